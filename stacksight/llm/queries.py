@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, packing, tokencounts, toxicity
+from . import language, packing, recompression, suffix_array, tokencounts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.deduplicate(_table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return language.predict(docs, language.train(docs)).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "rejected")
@@ -20,6 +24,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op8_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.deduplicate(_table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.section_tokens(_table(spark, sf_dir, "documents"))
 
@@ -29,5 +37,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op4_packing, op9_token_counts, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op3_language_id, op4_packing, op8_recompression, op9_token_counts, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}

@@ -22,7 +22,7 @@ def substring_dedup(texts: dict, span: int = 200) -> dict:
             if seen[t[p : p + span]] > 1:
                 gone[p : p + span] = b"\1" * span
         kept = bytes(b for b, g in zip(t, gone) if not g)
-        out[d] = (len(t), sum(gone), len(re.findall(rb"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest())
+        out[d] = (len(t), sum(gone), len(re.findall(rb"\x01+", bytes(gone))), hashlib.sha256(kept).hexdigest())
     return out
 
 

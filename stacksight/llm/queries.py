@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, lsh_forest, packing, recompression, suffix_array, tokencounts, toxicity
+from . import language, lsh_forest, packing, prefix_forest, recompression, suffix_array, tokencounts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_forest.search(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(_table(spark, sf_dir, "documents"), size=2)
 
@@ -41,5 +45,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op3_language_id, op4_packing, op6_minhash_near_dedup, op8_recompression, op9_token_counts, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op3_language_id, op4_packing, op5_nearest_neighbours, op6_minhash_near_dedup, op8_recompression, op9_token_counts, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, lsh_forest, packing, prefix_forest, recompression, suffix_array, tokencounts, toxicity
+from . import decontaminate, language, licenses, lsh_forest, packing, prefix_forest, recompression, suffix_array, tokencounts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.deduplicate(_table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return language.predict(docs, language.train(docs)).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "rejected")
@@ -32,6 +36,10 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(_table(spark, sf_dir, "documents"), size=2)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op8_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression.deduplicate(_table(spark, sf_dir, "documents"), with_text=False)
 
@@ -45,5 +53,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op3_language_id, op4_packing, op5_nearest_neighbours, op6_minhash_near_dedup, op8_recompression, op9_token_counts, op10_toxicity)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_decontamination, op3_language_id, op4_packing, op5_nearest_neighbours, op6_minhash_near_dedup, op7_license_scan, op8_recompression, op9_token_counts, op10_toxicity)}
+ORACLE_SQL: dict[str, str] = {"op7_license_scan": licenses.oracle_sql()}

@@ -20,12 +20,13 @@ from . import common, repeats
 
 SPAN = 200
 GRAM = 32
-#: Anchors with more different stretches than this are compared by window fingerprints, which are counted without gathering them.
-VARIANTS_IN_ONE_ARRAY = 1000
+#: Anchors with more different stretches than this are compared chunk by chunk, by fingerprints that are counted without gathering them.
+VARIANTS_IN_ONE_ARRAY = 128
+CHUNK = 16
 ARRAY_BYTES = 1 << 19
 
 SEGMENTS = "akey long, bkey long, n long, starts int, segment binary"
-WINDOWS = "akey long, bkey long, off int, h1 long, h2 long, n long, owner long"
+CHUNKS = "akey long, bkey long, lo int, hi int, core long, union long, n long, h1 array<long>, h2 array<long>"
 GROUPS = "akey long, bkey long, lo int, length int, occurrences int"
 
 
@@ -84,22 +85,55 @@ def _segments(span: int, limit: int):
     return run
 
 
-def _windows(span: int, limit: int):
+def _chunks(span: int, limit: int):
+    """mapInArrow body: the window starts of a stretch in chunks of CHUNK, counted from its anchor.
+
+    The core is what every window of a chunk holds, whichever part of the chunk a stretch has; the union is what its
+    own windows cover together.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in repeats.blocks_of(batches):
-            row, x = repeats.flat_lists(rows, ["akey", "bkey", "variants", "n", "s", "e"])
+            row, x = repeats.flat_lists(rows, ["akey", "bkey", "variants", "n", "s", "e", "a"])
             keep = np.flatnonzero(x["variants"] > limit)
-            count = (x["e"] - x["s"] + 1)[keep].astype(np.int64)
-            which = np.repeat(keep, count)
-            off = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-            at = offsets[row[which]] + x["s"][which] + off
-            h = [p.of(p.prefix(data), at, at + span) for p in (common.POLY_A, common.POLY_B)]
-            doc = rows.column(0).to_numpy(zero_copy_only=False)
-            yield repeats.arrow_rows(WINDOWS, [pa.array(x["akey"][which]), pa.array(x["bkey"][which]), pa.array(off.astype(np.int32)), *map(common.signed, h), pa.array(x["n"][which]), pa.array(doc[row[which]])])
+            s, e, a = (x[k][keep].astype(np.int64) for k in "sea")
+            low = (s - a) // CHUNK
+            count = (e - a) // CHUNK - low + 1
+            which = np.repeat(np.arange(len(keep)), count)
+            chunk = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + low[which]
+            begin = a[which] + chunk * CHUNK
+            lo, hi = np.maximum(begin, s[which]), np.minimum(begin + CHUNK - 1, e[which])
+            base, k = offsets[row[keep[which]]], keep[which]
+            one, two = common.POLY_A.prefix(data), common.POLY_B.prefix(data)
+            core = common.POLY_A.of(one, base + begin + CHUNK - 1, base + begin + span) ^ common.mixed(chunk.astype(np.uint64))
+            union = common.POLY_B.of(two, base + lo, base + hi + span) ^ common.mixed((lo - begin).astype(np.uint64))
+            size = hi - lo + 1
+            at = np.repeat(base + lo, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            cuts = pa.array(np.append(0, np.cumsum(size)).astype(np.int32))
+            h1, h2 = (pa.ListArray.from_arrays(cuts, common.signed(p.of(f, at, at + span))) for p, f in ((common.POLY_A, one), (common.POLY_B, two)))
+            yield repeats.arrow_rows(CHUNKS, [pa.array(x["akey"][k]), pa.array(x["bkey"][k]), pa.array((lo - s[which]).astype(np.int32)), pa.array((hi - s[which]).astype(np.int32)), common.signed(core), common.signed(union), pa.array(x["n"][k]), h1, h2])
 
     return run
 
 
+def crowded_marks(docs: DataFrame, blocks: DataFrame, span: int, limit: int) -> DataFrame:
+    """MARKS of anchors with very many variants, however many: nothing is gathered, and of equal chunks one is looked at.
+
+    A chunk whose core occurs once holds no repeat. Equal chunks are repeated as a whole. Only where different
+    chunks share a core are their windows counted, one of each kind.
+    """
+    chunks = common.checkpointed(repeats.with_representatives(docs, blocks.where(F.col("variants") > limit)).mapInArrow(_chunks(span, limit), CHUNKS))
+    kinds = chunks.groupBy("core", "union").agg(F.sum("n").alias("times"), F.first(F.struct("h1", "h2")).alias("w"))
+    mixed = kinds.groupBy("core").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("core")
+    windows = kinds.join(mixed, "core").select("core", "union", "times", F.posexplode(F.arrays_zip("w.h1", "w.h2")).alias("at", "h")).select("core", "union", "times", "at", "h.h1", "h.h2")
+    same = windows.groupBy("core", "h1", "h2").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").drop("kinds")
+    parts = windows.where("times = 1").join(same, ["core", "h1", "h2"]).groupBy("core", "union").agg(F.collect_list("at").alias("parts"))
+    known = kinds.join(parts, ["core", "union"], "left").where("times > 1 or parts is not null").select("core", "union", F.when(F.col("times") == 1, F.col("parts")).alias("parts"))
+    marked = chunks.select("akey", "bkey", "lo", "hi", "core", "union").join(known, ["core", "union"])
+    whole = marked.where("parts is null").select("akey", "bkey", "lo", "hi")
+    return whole.unionByName(marked.where("parts is not null").select("akey", "bkey", F.explode("parts").alias("at"), "lo").select("akey", "bkey", (F.col("lo") + F.col("at")).alias("lo"), (F.col("lo") + F.col("at")).alias("hi")))
+
+
 def suffix_ranks(data: np.ndarray, ends: np.ndarray, upto: int) -> dict[int, np.ndarray]:
     """Ranks of the prefixes of 4, 8, ... upto bytes of every suffix, cut at its segment's end, by prefix doubling."""
     n, at = len(data), np.arange(len(data))
@@ -207,8 +241,7 @@ def repeated_spans(docs: DataFrame, *, span: int = SPAN, gram: int = GRAM) -> Da
 
     def marks(docs: DataFrame, blocks: DataFrame) -> DataFrame:
         small = repeat_groups(docs, blocks, span).select("akey", "bkey", "lo", (F.col("lo") + F.col("length") - span).alias("hi"))
-        many = repeats.with_representatives(docs, blocks.where(F.col("variants") > VARIANTS_IN_ONE_ARRAY)).mapInArrow(_windows(span, VARIANTS_IN_ONE_ARRAY), WINDOWS)
-        return small.unionByName(repeats.marks_of_windows(many, earlier_only=False))
+        return small.unionByName(crowded_marks(docs, blocks, span, VARIANTS_IN_ONE_ARRAY))
 
     return repeats.covers(docs, runs, span, marks, earlier_only=False)
 
@@ -251,3 +284,37 @@ def deduplicate(docs: DataFrame, *, span: int = SPAN, gram: int = GRAM, with_tex
     found = repeated_spans(d, span=span, gram=gram)
     out = d.join(found, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_remove(with_text), DIGEST)
     return out if with_text else out.drop("kept")
+
+
+def _cut_rows(names: list[str]):
+    text, size = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, offsets in repeats.blocks_of(iter([batch])):
+                cut, lo, hi = repeats.unpacked(rows.column(len(names)))
+                columns = list(rows.columns[:-1])
+                if len(lo):
+                    texts = columns[text].to_pylist()
+                    for k in np.flatnonzero(np.diff(cut)):
+                        raw = data[offsets[k] : offsets[k + 1]]
+                        kept = raw[~repeats.merged(lo[cut[k] : cut[k + 1]], hi[cut[k] : cut[k + 1]], len(raw))]
+                        texts[k] = kept.tobytes().decode("utf-8", "ignore")
+                    columns[text] = pa.array(texts, columns[text].type)
+                    if size >= 0:
+                        counts = columns[size].to_pylist()
+                        for k in np.flatnonzero(np.diff(cut)):
+                            counts[k] = len(texts[k])
+                        columns[size] = pa.array(counts, columns[size].type)
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return run
+
+
+def shortened_documents(docs: DataFrame, *, span: int = SPAN, gram: int = GRAM) -> DataFrame:
+    """The documents, all columns, with the repeated bytes cut from text and, where there is such a column, n_chars counted anew.
+
+    A character of which only some bytes are cut goes whole. doc_id is a long and does not repeat.
+    """
+    found = repeated_spans(docs.select("doc_id", "text"), span=span, gram=gram)
+    return docs.where("doc_id is not null").join(found, "doc_id", "left").select(*docs.columns, "spans").mapInArrow(_cut_rows(docs.columns), docs.schema)

@@ -5,7 +5,8 @@ signatures by a row of their values of its own. The first DEPTH values open a re
 two sets share a region of some tree but for a chance of (1 - s**DEPTH)**TREES, 1e-6 at 0.8. Within a region, where
 longer common prefixes lie side by side, neighbours in the order are compared first and joined to components. Only
 regions that still hold several components are looked at again, cell by cell, all of their rows against those outside
-their largest component; so an ample region costs a few comparisons a row, and no pair is left out.
+their largest component; so an ample region costs a few comparisons a row, and no pair is left out. Before texts are
+read, a bitmap of each set bounds the intersection from above, which drops most pairs below the limit for certain.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ TREES, DEPTH = 48, 6
 HASHES = TREES * DEPTH
 #: A signature may agree this much less than asked for (five standard deviations and more) before its pair is dropped unread.
 SLACK = 0.12
+#: Bits of the map of a set's shingles.
+MAP_BITS = 4096
 #: Rows on a side of the cells that large regions are cut into.
 CELL = 256
 
@@ -71,20 +74,47 @@ def minhashes(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def bitmaps(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A bit for each shingle of each row, by the shingle's hash."""
+    out = np.zeros((len(first) - 1, MAP_BITS // 8), np.uint8)
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    bit = (common.mixed(h) & np.uint64(MAP_BITS - 1)).astype(np.int64)
+    np.bitwise_or.at(out, (row, bit >> 3), np.left_shift(1, bit & 7).astype(np.uint8))
+    return out
+
+
 def _signatures(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in repeats.blocks_of(batches):
             h, first = shingle_hashes(data, offsets, size)
             sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(common.mixed(h ^ np.uint64(seed)), dtype=np.uint64))) for seed in (0x1234567, 0x89ABCDEF)]
             f1, f2 = (common.signed(s[first[1:]] - s[first[:-1]]) for s in sums)
-            sig = minhashes(h, first)
+            sig = np.concatenate((minhashes(h, first).view(np.uint8), bitmaps(h, first)), 1)
             yield repeats.arrow_rows(SIGNATURES, [rows.column(0), pa.array(np.diff(first).astype(np.int64)), f1, f2, pa.array([r.tobytes() for r in sig], pa.binary())])
 
     return run
 
 
-def signature_rows(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, HASHES)
+def signature_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """MinHash values and bitmaps."""
+    both = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 2 * HASHES + MAP_BITS // 8)
+    return both[:, : 2 * HASHES].copy().view(np.uint16), both[:, 2 * HASHES :].copy().view(np.uint64)
+
+
+def possible(size_a, size_b, map_a: np.ndarray, map_b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes and maps can be as similar as asked for: a bit that one map lacks is a shingle that its set lacks."""
+    shared = np.bitwise_count(map_a & map_b).sum(-1, dtype=np.int64)
+    both = np.minimum(size_a - np.bitwise_count(map_a).sum(-1, dtype=np.int64), size_b - np.bitwise_count(map_b).sum(-1, dtype=np.int64)) + shared
+    return 100 * both >= percent * (size_a + size_b - both)
+
+
+def regions(sig: np.ndarray) -> np.ndarray:
+    """The region of each row in each tree."""
+    sig = sig.astype(np.uint64).reshape(-1, TREES, DEPTH)
+    prefix = np.zeros(sig.shape[:2], np.uint64) + common.mixed(np.arange(TREES, dtype=np.uint64))[None, :]
+    for k in range(DEPTH):
+        prefix = common.mixed(prefix ^ (sig[:, :, k] + np.uint64(k << 20)))
+    return prefix
 
 
 def _tree_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,11 +122,9 @@ def _tree_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 2000):
             part = batch.slice(lo, 2000)
-            sig = signature_rows(part.column(1)).astype(np.uint64).reshape(-1, TREES, DEPTH)
-            prefix = np.zeros(sig.shape[:2], np.uint64) + common.mixed(np.arange(TREES, dtype=np.uint64))[None, :]
-            for k in range(DEPTH):
-                prefix = common.mixed(prefix ^ (sig[:, :, k] + np.uint64(k << 20)))
-            after = np.roll(sig, -1, axis=1)
+            sig = signature_rows(part.column(1))[0]
+            prefix = regions(sig)
+            after = np.roll(sig.astype(np.uint64).reshape(-1, TREES, DEPTH), -1, axis=1)
             tail = (after[:, :, 0] << np.uint64(47)) | (after[:, :, 1] << np.uint64(31)) | (after[:, :, 2] << np.uint64(15)) | (after[:, :, 3] >> np.uint64(1))
             doc = np.repeat(part.column(0).to_numpy(zero_copy_only=False), TREES)
             yield repeats.arrow_rows(KEYS, [common.signed(prefix.reshape(-1)), common.signed(tail.reshape(-1)), pa.array(doc)])
@@ -139,24 +167,26 @@ def neighbours(sets: DataFrame) -> DataFrame:
     return found.where("edge < 0").select("prefix", "a", "b").unionByName(across.select("prefix", F.least("a", "before").alias("a"), F.greatest("a", "before").alias("b")).where("a <> b"))
 
 
-def _alike(least: float):
+def _alike(percent: int):
+    least = percent / 100 - SLACK
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = [np.zeros(0)]
-            for lo in range(0, batch.num_rows, 4000):
-                part = batch.slice(lo, 4000)
-                near.append((signature_rows(part.column(2)) == signature_rows(part.column(3))).mean(1))
-            near = np.concatenate(near)
-            keep = pa.array(near >= least)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(near[near >= least])], ["a", "b", "near"])
+            for lo in range(0, batch.num_rows, 2000):
+                part = batch.slice(lo, 2000)
+                (sa, ma), (sb, mb) = signature_rows(part.column(4)), signature_rows(part.column(5))
+                near = (sa == sb).mean(1)
+                good = (near >= least) & possible(part.column(2).to_numpy(), part.column(3).to_numpy(), ma, mb, percent)
+                keep = pa.array(good)
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep), pa.array(near[good])], ["a", "b", "near"])
 
     return run
 
 
-def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """(a, b, near): the pairs whose signatures agree in the share `least` of their values or more."""
-    first, second = sets.select(F.col("doc").alias("a"), F.col("sig").alias("sa")), sets.select(F.col("doc").alias("b"), F.col("sig").alias("sb"))
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "sa", "sb").mapInArrow(_alike(least), "a long, b long, near double")
+def alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, near): the pairs that signatures and bitmaps leave possible, and the share of values in which the signatures agree."""
+    first, second = (sets.select(F.col("doc").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}")) for c in "ab")
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_alike(percent), "a long, b long, near double")
 
 
 def _confirm(size: int, percent: int):
@@ -222,55 +252,52 @@ def _linked(pairs: DataFrame, links: DataFrame | None, of: DataFrame | None, tex
     return links, of
 
 
-def _cells(least: float):
-    """mapInArrow body over rows sorted by cell: pairs of a row (role 0) and one outside the largest component (role 1) that are alike."""
+def _cells(percent: int):
+    """mapInArrow body over rows sorted by cell: the possible pairs of a row (role 0) and one outside the largest component (role 1).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-
-        def pairs(rows: pa.Table) -> pa.RecordBatch:
-            role, doc, comp = (rows.column(k).to_numpy() for k in ("role", "doc", "comp"))
-            sig = signature_rows(rows.column("sig"))
-            mine, out = np.flatnonzero(role == 1), [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
-            all_rows = np.flatnonzero(role == 0)
-            if len(all_rows):
-                for m in mine:
-                    near = (sig[all_rows] == sig[m]).mean(1)
-                    hit = all_rows[(near >= least) & (comp[all_rows] != comp[m])]
-                    out[0].append(np.minimum(doc[hit], doc[m]))
-                    out[1].append(np.maximum(doc[hit], doc[m]))
-                    out[2].append((sig[hit] == sig[m]).mean(1))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["a", "b", "near"])
+    A pair that meets in several trees is put out in the first only.
+    """
+    least = percent / 100 - SLACK
 
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            held = rows if held is None else pa.concat_tables([held, rows])
-            key = np.stack([held.column(k).to_numpy() for k in ("prefix", "i", "j")])
-            cut = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
-            for lo, hi in zip(np.append(0, cut[:-1]), cut, strict=True) if len(cut) else ():
-                yield pairs(held.slice(lo, hi - lo))
-            held = held.slice(int(cut[-1]) if len(cut) else 0)
-        if held is not None and held.num_rows:
-            yield pairs(held)
+    def pairs(g: pa.Table) -> pa.RecordBatch:
+        role, doc, comp, n, outside = (g.column(k).to_numpy() for k in ("role", "doc", "comp", "n", "outside"))
+        sig, bits = signature_rows(g.column("sig"))
+        own, trees = np.flatnonzero(role == 0), sig.reshape(len(sig), TREES, DEPTH)
+        region, here = regions(sig), np.uint64(g.column("prefix")[0].as_py() & ((1 << 64) - 1))
+        out: list[list] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+        for m in np.flatnonzero(role == 1):
+            at = own[(comp[own] != comp[m]) & (~outside[own] | (doc[own] < doc[m]))]
+            at = at[possible(n[at], n[m], bits[at], bits[m], percent)]
+            near = (sig[at] == sig[m]).mean(1)
+            at, near = at[near >= least], near[near >= least]
+            first = region[m][(trees[at] == trees[m]).all(2).argmax(1)] == here
+            at, near = at[first], near[first]
+            for column, x in zip(out, (np.minimum(doc[at], doc[m]), np.maximum(doc[at], doc[m]), near), strict=True):
+                column.append(x)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["a", "b", "near"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in repeats.groups_of(batches, ["prefix", "i", "j"]):
+            yield pairs(g)
 
     return run
 
 
-def _left_over(near: DataFrame, of: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """(a, b, near): in regions with several components, the alike pairs between components."""
+def _left_over(near: DataFrame, of: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, near): in regions with several components, the possible pairs between components."""
     members = near.select("prefix", F.col("a").alias("doc")).unionByName(near.select("prefix", F.col("b").alias("doc"))).distinct()
     members = members.join(of, "doc", "left").select("prefix", "doc", F.coalesce("component", "doc").alias("comp"))
-    parts = members.groupBy("prefix", "comp").agg(F.count(F.lit(1)).alias("n"))
-    regions = parts.groupBy("prefix").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("rows"), F.count(F.lit(1)).alias("comps")).where("comps > 1 and rows > 2")
-    rows = members.join(regions, "prefix").select(
+    parts = members.groupBy("prefix", "comp").agg(F.count(F.lit(1)).alias("rows"))
+    several = parts.groupBy("prefix").agg(F.max(F.struct("rows", "comp")).alias("most"), F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("comps")).where("comps > 1 and rows > 2")
+    rows = members.join(several, "prefix").select(
         "prefix", "doc", "comp", (F.col("comp") != F.col("most.comp")).alias("outside"),
-        F.ceil(F.col("rows") / CELL).cast("int").alias("wide"), F.ceil((F.col("rows") - F.col("most.n")) / CELL).cast("int").alias("high"),
+        F.ceil(F.col("rows") / CELL).cast("int").alias("wide"), F.ceil((F.col("rows") - F.col("most.rows")) / CELL).cast("int").alias("high"),
     )
     dealt = F.pmod(F.xxhash64("doc"), F.lit(1 << 30))
-    side = rows.select("prefix", "doc", "comp", F.lit(0).alias("role"), (dealt % F.col("wide")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("high") - 1)).alias("j"))
-    top = rows.where("outside").select("prefix", "doc", "comp", F.lit(1).alias("role"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("i"), (dealt % F.col("high")).cast("int").alias("j"))
-    cells = side.unionByName(top).join(sets.select("doc", "sig"), "doc")
-    found = cells.repartition("prefix", "i", "j").sortWithinPartitions("prefix", "i", "j").mapInArrow(_cells(least), "a long, b long, near double")
+    side = rows.select("prefix", "doc", "comp", "outside", F.lit(0).alias("role"), (dealt % F.col("wide")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("high") - 1)).alias("j"))
+    top = rows.where("outside").select("prefix", "doc", "comp", "outside", F.lit(1).alias("role"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("i"), (dealt % F.col("high")).cast("int").alias("j"))
+    cells = side.unionByName(top).join(sets, "doc")
+    found = cells.repartition("prefix", "i", "j").sortWithinPartitions("prefix", "i", "j").mapInArrow(_cells(percent), "a long, b long, near double")
     return found.groupBy("a", "b").agg(F.max("near").alias("near"))
 
 
@@ -285,14 +312,13 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
     """
     d = common.unique_documents(docs)
     signed = common.stored(d.mapInArrow(_signatures(size), SIGNATURES))
-    classes = common.stored(signed.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig")))
-    sets = classes.select("doc", "sig")
-    near = common.stored(neighbours(sets))
+    classes = common.stored(signed.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sig").alias("sig")))
+    sets = classes.select("doc", "n", "sig")
+    near = common.stored(neighbours(classes.select("doc", "sig")))
     wanted = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
     texts = common.stored(d.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), "text"))
-    least = percent / 100 - SLACK
-    links, of = _linked(common.checkpointed(alike(near.select("a", "b").distinct(), sets, least)), None, None, texts, size, percent)
-    more = common.checkpointed(_left_over(near, of, sets, least))
+    links, of = _linked(common.checkpointed(alike(near.select("a", "b").distinct(), sets, percent)), None, None, texts, size, percent)
+    more = common.checkpointed(_left_over(near, of, sets, percent))
     if not more.isEmpty():
         _, of = _linked(more, links, of, texts, size, percent)
     named = classes.join(of, "doc", "left").select("f1", "f2", F.coalesce("component", "doc").alias("component"))

@@ -67,26 +67,11 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n += k
 
 
-def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """The groups of rows sorted by integer keys, each once and whole."""
-    held = None
-    for batch in batches:
-        rows = pa.Table.from_batches([batch])
-        held = rows if held is None else pa.concat_tables([held, rows])
-        key = np.stack([held.column(k).to_numpy() for k in keys])
-        cut = np.append(0, np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1)
-        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-            yield held.slice(lo, hi - lo)
-        held = held.slice(int(cut[-1]))
-    if held is not None and held.num_rows:
-        yield held
-
-
 def _around(reach: int, bits: int):
     """mapInArrow body over blocks: rows of role 0 (entries) and 1 (queries), to the entries within reach and the length of the common prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in groups_of(batches, ["block"]):
+        for g in repeats.groups_of(batches, ["block"]):
             role, place, tree, code, entry = (g.column(k).to_numpy() for k in ("role", "place", "tree", "code", "entry"))
             own, ask = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
             order = own[np.argsort(place[own])]
@@ -108,7 +93,7 @@ def _nearest(keep: int):
     """mapInArrow body over queries: the row of role 0 has the query's vector, those of role 1 the candidates with their ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in groups_of(batches, ["query"]):
+        for g in repeats.groups_of(batches, ["query"]):
             x = matrix(g.column("vector").combine_chunks())
             role = g.column("role").to_numpy()
             mine = x[np.flatnonzero(role == 0)[0]]

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute is there only once it is imported
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on; it bounds a task's memory.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,10 +27,27 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Rows of the Arrow batches between the JVM and Python while a step is stored; whole texts of both sides of a pair are in such rows.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within it, steps that run have batches of BATCH_ROWS at most; the session's own number is put back."""
+    held = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, min(int(held), BATCH_ROWS) if int(held) > 0 else BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, held)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df cut from its lineage by a checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    with small_batches(df.sparkSession):
+        return df.checkpoint()
 
 
 def unique_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -141,5 +160,6 @@ def stored(df: DataFrame) -> DataFrame:
     """df written as compressed Parquet to the shared folder and read back: lineage is cut, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -13,16 +13,30 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-#: s and e: first and last window start; a: the anchor; all count from the document's first symbol.
-RUNS = "doc_id long, akey long, bkey long, s int, e int, a int"
+#: at: the first window start s, counted from the document's first symbol, in the upper 40 bits, then e - s and a - s in
+#: 12 bits each, for the last window start e and the anchor a. Neither is longer than a window.
+RUNS = "doc_id long, akey long, bkey long, at long"
 MARKS = "akey long, bkey long, lo int, hi int"
 
 
+def first_start(at: str) -> F.Column:
+    return F.shiftright(F.col(at), 24)
+
+
+def last_start(at: str) -> F.Column:
+    return first_start(at) + F.shiftright(F.col(at), 12).bitwiseAND(F.lit(4095))
+
+
+def anchor(at: str) -> F.Column:
+    return first_start(at) + F.col(at).bitwiseAND(F.lit(4095))
+
+
 def packed(lo, hi) -> F.Column:
     return F.shiftleft(F.col(lo) if isinstance(lo, str) else lo, 32).bitwiseOR(F.col(hi) if isinstance(hi, str) else hi)
 
@@ -46,9 +60,8 @@ def run_rows(doc_ids: np.ndarray, windows: np.ndarray, anchors: np.ndarray, row:
         last = np.append(first[1:], len(windows)) - 1
     s, e, a, r = windows[first], windows[last], anchors[first], row[first]
     akey, bkey = keys(s, e, a)
-    at = base[r]
-    cols = [pa.array(doc_ids[r]), common.signed(akey), common.signed(bkey), *(pa.array((x - at).astype(np.int32)) for x in (s, e, a))]
-    return pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in RUNS.split(", ")])
+    at = ((s - base[r]) << 24) | ((e - s) << 12) | np.clip(a - s, 0, 4095)
+    return arrow_rows(RUNS, [pa.array(doc_ids[r]), common.signed(akey), common.signed(bkey), pa.array(at)])
 
 
 def covers(docs: DataFrame, runs: DataFrame, span: int, marks: Callable[[DataFrame, DataFrame], DataFrame], *, earlier_only: bool) -> DataFrame:
@@ -60,14 +73,14 @@ def covers(docs: DataFrame, runs: DataFrame, span: int, marks: Callable[[DataFra
     """
     often = runs.groupBy("akey").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("akey")
     hits = common.stored(runs.join(often, "akey", "left_semi"))
-    blocks = hits.groupBy("akey", "bkey").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "s", "e", "a")).alias("rep"), F.max("doc_id").alias("last"))
+    blocks = hits.groupBy("akey", "bkey").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "at")).alias("rep"), F.max("doc_id").alias("last"))
     blocks = common.checkpointed(blocks)
     shared = blocks.groupBy("akey").agg(F.count(F.lit(1)).alias("variants")).where("variants > 1")
     found = marks(docs, blocks.join(shared, "akey")).groupBy("akey", "bkey").agg(F.collect_list(packed(F.col("lo").cast("long"), F.col("hi").cast("long"))).alias("marks"))
     whole = F.col("last") > F.col("rep.doc_id") if earlier_only else F.col("n") > 1
     useful = blocks.join(found, ["akey", "bkey"], "left").where(whole | F.col("marks").isNotNull()).select("akey", "bkey", F.col("rep.doc_id").alias("owner"), whole.alias("whole"), "marks")
     full = F.col("whole") & (F.col("doc_id") > F.col("owner")) if earlier_only else F.col("whole")
-    s, e = F.col("s").cast("long"), F.col("e").cast("long")
+    s, e = first_start("at"), last_start("at")
     of_marks = F.transform("marks", lambda m: F.shiftleft(s + F.shiftright(m, 32), 32).bitwiseOR(s + m.bitwiseAND(F.lit(0xFFFFFFFF)) + span))
     spans = hits.join(useful, ["akey", "bkey"]).select("doc_id", F.when(full, F.array(packed(s, e + span))).otherwise(of_marks).alias("some")).where("some is not null")
     return spans.groupBy("doc_id").agg(F.flatten(F.collect_list("some")).alias("spans"))
@@ -75,8 +88,8 @@ def covers(docs: DataFrame, runs: DataFrame, span: int, marks: Callable[[DataFra
 
 def with_representatives(docs: DataFrame, blocks: DataFrame) -> DataFrame:
     """Documents that hold the representative of a block: doc_id, text, and the blocks as parallel lists in one order."""
-    wanted = blocks.groupBy(F.col("rep.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("akey", "bkey", "variants", "n", F.col("rep.s").alias("s"), F.col("rep.e").alias("e"))).alias("wanted"))
-    parts = [F.col(f"wanted.{c}").alias(c) for c in ("akey", "bkey", "variants", "n", "s", "e")]
+    wanted = blocks.groupBy(F.col("rep.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("akey", "bkey", "variants", "n", first_start("rep.at").alias("s"), last_start("rep.at").alias("e"), anchor("rep.at").alias("a"))).alias("wanted"))
+    parts = [F.col(f"wanted.{c}").alias(c) for c in ("akey", "bkey", "variants", "n", "s", "e", "a")]
     return docs.join(wanted, "doc_id").select("doc_id", "text", *parts)
 
 
@@ -104,11 +117,11 @@ def arrow_rows(schema: str, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
 
 
-def blocks_of(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Arrow batches cut to blocks of about BLOCK_BYTES of text: the rows, their bytes and offsets."""
+def blocks_of(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = common.BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Arrow batches cut to blocks of about limit bytes of text: the rows, their bytes and offsets."""
     for batch in batches:
         data, offsets = common.text_buffer(batch.column(batch.schema.get_field_index(text)))
-        for lo, hi in common.row_blocks(offsets):
+        for lo, hi in common.row_blocks(offsets, limit):
             yield batch.slice(lo, hi - lo), data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
 
 

@@ -25,8 +25,8 @@ VARIANTS_IN_ONE_ARRAY = 128
 CHUNK = 16
 ARRAY_BYTES = 1 << 19
 
-SEGMENTS = "akey long, bkey long, n long, starts int, segment binary"
-CHUNKS = "akey long, bkey long, lo int, hi int, core long, union long, n long, h1 array<long>, h2 array<long>"
+#: Stretches of anchors with few variants have starts and segment, the chunks of the others the rest.
+PARTS = "akey long, bkey long, n long, starts int, segment binary, lo int, hi int, core long, union long, h1 array<long>, h2 array<long>"
 GROUPS = "akey long, bkey long, lo int, length int, occurrences int"
 
 
@@ -67,26 +67,13 @@ def _runs(span: int, gram: int):
                 part = data[lo : lo + chunk + span - 1]
                 out = of(ids, part, np.array([0, len(part)]))
                 if out is not None:
-                    shift = [pa.compute.add(out.column(k), pa.scalar(lo, pa.int32())) for k in (3, 4, 5)]
-                    yield pa.RecordBatch.from_arrays([*out.columns[:3], *shift], out.schema.names)
+                    yield pa.RecordBatch.from_arrays([*out.columns[:3], pa.compute.add(out.column(3), pa.scalar(lo << 24, pa.int64()))], out.schema.names)
 
     return run
 
 
-def _segments(span: int, limit: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in repeats.blocks_of(batches):
-            row, x = repeats.flat_lists(rows, ["akey", "bkey", "variants", "n", "s", "e"])
-            keep = x["variants"] <= limit
-            lo, hi = offsets[row] + x["s"], offsets[row] + x["e"] + span
-            raw = data.tobytes()
-            yield repeats.arrow_rows(SEGMENTS, [pa.array(x["akey"][keep]), pa.array(x["bkey"][keep]), pa.array(x["n"][keep]), pa.array((x["e"] - x["s"] + 1)[keep].astype(np.int32)), pa.array([raw[a:b] for a, b in zip(lo[keep], hi[keep], strict=True)], pa.binary())])
-
-    return run
-
-
-def _chunks(span: int, limit: int):
-    """mapInArrow body: the window starts of a stretch in chunks of CHUNK, counted from its anchor.
+def _parts(span: int, limit: int):
+    """mapInArrow body: the text of stretches of anchors with few variants; those of others in chunks of CHUNK window starts, counted from the anchor.
 
     The core is what every window of a chunk holds, whichever part of the chunk a stretch has; the union is what its
     own windows cover together.
@@ -95,6 +82,9 @@ def _chunks(span: int, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in repeats.blocks_of(batches):
             row, x = repeats.flat_lists(rows, ["akey", "bkey", "variants", "n", "s", "e", "a"])
+            few = np.flatnonzero(x["variants"] <= limit)
+            raw, begin, end = data.tobytes(), offsets[row[few]] + x["s"][few], offsets[row[few]] + x["e"][few] + span
+            yield part_rows(len(few), akey=pa.array(x["akey"][few]), bkey=pa.array(x["bkey"][few]), n=pa.array(x["n"][few]), starts=pa.array((x["e"] - x["s"] + 1)[few].astype(np.int32)), segment=pa.array([raw[i:j] for i, j in zip(begin, end, strict=True)], pa.binary()))
             keep = np.flatnonzero(x["variants"] > limit)
             s, e, a = (x[k][keep].astype(np.int64) for k in "sea")
             low = (s - a) // CHUNK
@@ -111,18 +101,22 @@ def _chunks(span: int, limit: int):
             at = np.repeat(base + lo, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
             cuts = pa.array(np.append(0, np.cumsum(size)).astype(np.int32))
             h1, h2 = (pa.ListArray.from_arrays(cuts, common.signed(p.of(f, at, at + span))) for p, f in ((common.POLY_A, one), (common.POLY_B, two)))
-            yield repeats.arrow_rows(CHUNKS, [pa.array(x["akey"][k]), pa.array(x["bkey"][k]), pa.array((lo - s[which]).astype(np.int32)), pa.array((hi - s[which]).astype(np.int32)), common.signed(core), common.signed(union), pa.array(x["n"][k]), h1, h2])
+            yield part_rows(len(k), akey=pa.array(x["akey"][k]), bkey=pa.array(x["bkey"][k]), n=pa.array(x["n"][k]), lo=pa.array((lo - s[which]).astype(np.int32)), hi=pa.array((hi - s[which]).astype(np.int32)), core=common.signed(core), union=common.signed(union), h1=h1, h2=h2)
 
     return run
 
 
-def crowded_marks(docs: DataFrame, blocks: DataFrame, span: int, limit: int) -> DataFrame:
+def part_rows(rows: int, **columns: pa.Array) -> pa.RecordBatch:
+    kinds = {"akey": pa.int64(), "bkey": pa.int64(), "n": pa.int64(), "starts": pa.int32(), "segment": pa.binary(), "lo": pa.int32(), "hi": pa.int32(), "core": pa.int64(), "union": pa.int64(), "h1": pa.list_(pa.int64()), "h2": pa.list_(pa.int64())}
+    return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(rows, t)) for c, t in kinds.items()], list(kinds))
+
+
+def crowded_marks(chunks: DataFrame) -> DataFrame:
     """MARKS of anchors with very many variants, however many: nothing is gathered, and of equal chunks one is looked at.
 
     A chunk whose core occurs once holds no repeat. Equal chunks are repeated as a whole. Only where different
     chunks share a core are their windows counted, one of each kind.
     """
-    chunks = common.checkpointed(repeats.with_representatives(docs, blocks.where(F.col("variants") > limit)).mapInArrow(_chunks(span, limit), CHUNKS))
     kinds = chunks.groupBy("core", "union").agg(F.sum("n").alias("times"), F.first(F.struct("h1", "h2")).alias("w"))
     mixed = kinds.groupBy("core").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("core")
     windows = kinds.join(mixed, "core").select("core", "union", "times", F.posexplode(F.arrays_zip("w.h1", "w.h2")).alias("at", "h")).select("core", "union", "times", "at", "h.h1", "h.h2")
@@ -229,10 +223,10 @@ def _groups(span: int):
     return run
 
 
-def repeat_groups(docs: DataFrame, blocks: DataFrame, span: int = SPAN) -> DataFrame:
+def repeat_groups(segments: DataFrame, span: int = SPAN) -> DataFrame:
     """akey, bkey, lo, length, occurrences: where, in the stretch of each block, a maximal repeat starts, how long the longest there is and how often it occurs."""
-    segments = repeats.with_representatives(docs, blocks.where(F.col("variants") <= VARIANTS_IN_ONE_ARRAY)).mapInArrow(_segments(span, VARIANTS_IN_ONE_ARRAY), SEGMENTS)
-    return segments.repartition("akey").sortWithinPartitions("akey", "bkey").mapInArrow(_groups(span), GROUPS)
+    rows = segments.select("akey", "bkey", "n", "starts", "segment")
+    return rows.repartition("akey").sortWithinPartitions("akey", "bkey").mapInArrow(_groups(span), GROUPS)
 
 
 def repeated_spans(docs: DataFrame, *, span: int = SPAN, gram: int = GRAM) -> DataFrame:
@@ -240,8 +234,9 @@ def repeated_spans(docs: DataFrame, *, span: int = SPAN, gram: int = GRAM) -> Da
     runs = docs.select("doc_id", "text").mapInArrow(_runs(span, gram), repeats.RUNS)
 
     def marks(docs: DataFrame, blocks: DataFrame) -> DataFrame:
-        small = repeat_groups(docs, blocks, span).select("akey", "bkey", "lo", (F.col("lo") + F.col("length") - span).alias("hi"))
-        return small.unionByName(crowded_marks(docs, blocks, span, VARIANTS_IN_ONE_ARRAY))
+        parts = common.stored(repeats.with_representatives(docs, blocks).mapInArrow(_parts(span, VARIANTS_IN_ONE_ARRAY), PARTS))
+        small = repeat_groups(parts.where("segment is not null"), span).select("akey", "bkey", "lo", (F.col("lo") + F.col("length") - span).alias("hi"))
+        return small.unionByName(crowded_marks(parts.where("segment is null")))
 
     return repeats.covers(docs, runs, span, marks, earlier_only=False)
 

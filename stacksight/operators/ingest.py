@@ -58,13 +58,13 @@ def mapped(rows: DataFrame) -> tuple[DataFrame, list[str]]:
 
 
 def typed(rows: DataFrame) -> DataFrame:
-    """Dates, numbers and reading flags of mapped rows, error codes, and the number that the title tells where the cell is blank."""
+    """Dates (a bare year is its first day), numbers and reading flags of mapped rows, error codes, and the number that the title tells where the cell is blank."""
     status = d.status(F.col("read_status"))
     own = t.number(F.col("book_number"))
     inferred = t.inferred_number(F.col("title"), F.col("series_name"))
     errors = F.array_compact(F.array(F.when(t.blank(F.col("title")), "missing_title"), F.when(t.blank(F.col("author")), "missing_author")))
     return rows.withColumns(
-        {c: d.spreadsheet_date(F.col(c)) for c in DATES}
+        {c: F.coalesce(F.when(t.text(F.col(c)).rlike(r"^\s*[12]\d{3}\s*$"), d.strict_date(F.col(c))), d.spreadsheet_date(F.col(c))) for c in DATES}
         | {"pages": d.whole_number(F.col("pages")), "rating": d.whole_number(F.col("rating")), "read_status": status, "is_read": status.isin(*d.READ_WORDS), "is_upcoming": status.isin(*d.UPCOMING_WORDS), "series_finished": d.series_finished(F.col("series_finished"))}
         | {"book_number": F.coalesce(own, inferred), "book_number_source": F.when(own.isNotNull(), "user").when(inferred.isNotNull(), "title_inferred"), "errors": errors}
     ).withColumn("date_read", F.col("date_finished"))

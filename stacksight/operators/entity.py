@@ -197,7 +197,7 @@ def missing_slots(books: DataFrame, hits: DataFrame, ahead: int = LOOKAHEAD) ->
 
 def find(books: DataFrame, hits: DataFrame, top: int = 6, per_provider: int = 3) -> DataFrame:
     """For each book the best candidates among the hits of its series: rank, key, confidence (high, medium, low) and its signals."""
-    few = hits.withColumn("nth", F.row_number().over(Window.partitionBy("series_id", "source").orderBy("hit_pos", "title"))).where(F.col("nth") <= per_provider)
+    few = hits.withColumn("nth", F.row_number().over(Window.partitionBy("series_id", "source").orderBy("hit_pos", "title", "isbn13"))).where(F.col("nth") <= per_provider)
     key = t.group_key(F.col("isbn13"), F.col("title"))
     latest = few.groupBy("series_id", key.alias("key"), "source").agg(F.max_by(F.struct("title", "author", "isbn13"), F.struct("hit_pos", "title")).alias("hit"), F.min("hit_pos").alias("first"))
     rank = provider_rank(F.col("source"))

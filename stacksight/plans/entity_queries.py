@@ -132,7 +132,7 @@ for key in ("J10_reasons_by_key", "J11_grades_by_key"):
         f"WITH {FUSED}, {_DELTA}, g AS (SELECT series_id, lower(trim(title)) AS lt, isbn13, series_number_hint AS n, string_agg(DISTINCT nullif(reasons, ''), ',' ORDER BY nullif(reasons, '')) AS reasons FROM delta GROUP BY ALL) SELECT h.hit_pos, coalesce(g.reasons, '') AS reasons FROM candidate_hits h LEFT JOIN g ON g.series_id = h.series_id AND g.lt = lower(trim(h.title)) AND g.isbn13 IS NOT DISTINCT FROM h.isbn13 AND g.n IS NOT DISTINCT FROM h.series_number_hint")
 
 # find and bind
-_FIND = f"""few AS (SELECT * FROM candidate_hits QUALIFY row_number() OVER (PARTITION BY series_id, source ORDER BY hit_pos, title) <= 3), keyed AS (SELECT *, coalesce('isbn:' || isbn13, 'title:' || {duck.core_key('title')}) AS key FROM few),
+_FIND = f"""few AS (SELECT * FROM candidate_hits QUALIFY row_number() OVER (PARTITION BY series_id, source ORDER BY hit_pos, title, isbn13 NULLS FIRST) <= 3), keyed AS (SELECT *, coalesce('isbn:' || isbn13, 'title:' || {duck.core_key('title')}) AS key FROM few),
 latest AS (SELECT series_id, key, source, arg_max(title, (hit_pos, title)) AS title, arg_max(author, (hit_pos, title)) AS author, max(isbn13) AS isbn13, min(hit_pos) AS first FROM keyed GROUP BY ALL),
 grp AS (SELECT series_id, key, arg_min(title, {_RANK}) AS title, max(isbn13) AS isbn13, list(DISTINCT author) AS authors, count(*) AS n, min(first) AS first FROM latest GROUP BY series_id, key),
 sig AS (SELECT b.book_id, g.*, list_contains(g.authors, b.author) OR len(list_filter(g.authors, lambda a: starts_with(a, b.author))) > 0 AS author_match, g.isbn13 IS NOT NULL AS isbn_present, {duck.title('g.title')} <> '' AND {duck.title('g.title')} IN ({duck.title('b.title')}, {duck.title(duck.core('b.title'))}) AS strong_title_match FROM books b JOIN grp g ON g.series_id = b.series_id),

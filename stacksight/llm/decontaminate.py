@@ -3,8 +3,8 @@
 A document is words (A-Z lower-cased, ASCII punctuation left out). A window of an item's size at any word is embedded by random walks: at step
 j a walk writes the word it stands on and moves on by a random bit of (j, word), so that few edits of words change few
 letters of the embedding. Samples of a few letters are the LSH keys; windows and items that share one are compared by
-exact edit distance. Before walking, windows are left out that cannot match, because too few of their words occur in
-any item of that size: that loses nothing.
+exact edit distance. Before walking, windows are left out that cannot match: an edit breaks two word pairs at most, so
+a match keeps a known number of an item's pairs. That loses nothing.
 """
 
 from __future__ import annotations
@@ -23,8 +23,9 @@ from . import common, repeats
 EDITS = 0.2
 #: Shorter items are everyday phrases; they are not looked for.
 LEAST_WORDS = 8
-#: Walks, keys from each walk, letters in a key: at EDITS, 0.99 of randomly edited items share a key (tests/llm measures it).
-WALKS, KEYS, LETTERS = 16, 8, 2
+#: Walks, keys from each walk, letters in a key, and the keys that a window and an item must share to be compared: at EDITS,
+#: 0.99 of randomly edited items share as many (tests/llm measures it).
+WALKS, KEYS, LETTERS, SHARED = 16, 8, 2, 4
 #: Items that one scan of the documents looks for; more take another scan.
 ITEMS_IN_ONE_SCAN = 20_000
 FOUND = "doc_id long, item_id long, start_word long, n_words long, edits long"
@@ -40,19 +41,31 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.maximum(common.word_hashes(data, starts, ends, lower=True), np.uint64(1)), first
 
 
-def walk_keys(symbols: np.ndarray, start: np.ndarray, end: np.ndarray, steps: int, walk: int) -> np.ndarray:
-    """KEYS keys of one walk over each of the strings symbols[start:end], from letters before `steps`; past its end a string is zeros."""
-    r = np.random.default_rng((walk, steps))
-    factor = r.integers(1, 1 << 63, steps, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    picked = np.array([np.sort(r.choice(steps, LETTERS, replace=False)) for _ in range(KEYS)])
-    at, out = start.copy(), np.zeros((KEYS, len(start)), np.uint64)
-    out += common.mixed(np.arange(KEYS, dtype=np.uint64) + np.uint64(walk * KEYS))[:, None]
+def pairs(names: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Fingerprints of each word with the next one of its row; 0 for the last word."""
+    out = np.zeros(len(names), np.uint64)
+    if len(names) > 1:
+        out[:-1] = np.maximum(common.mixed(names[:-1] * np.uint64(0x9E3779B97F4A7C15) + names[1:]), np.uint64(1))
+    out[first[1:][np.diff(first) > 0] - 1] = 0
+    return out
+
+
+def walk_keys(symbols: np.ndarray, start: np.ndarray, end: np.ndarray, steps: int, walks: int) -> np.ndarray:
+    """KEYS keys of each walk over each of the strings symbols[start:end], from letters before `steps`; past its end a string is zeros."""
+    r = np.random.default_rng(steps)
+    factor = r.integers(1, 1 << 63, (walks, steps), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    picked = np.array([np.sort(r.choice(steps, LETTERS, replace=False)) for _ in range(walks * KEYS)])
+    at = np.tile(start, (walks, 1))
     padded = np.append(symbols, np.uint64(0))
+    letters = np.zeros((LETTERS, walks * KEYS, len(start)), np.uint64)
     for j in range(steps):
         letter = padded[np.where(at < end, at, len(symbols))]
-        for k in np.flatnonzero((picked == j).any(1)):
-            out[k] = common.mixed(out[k] ^ letter)
-        at += ((letter * factor[j]) >> np.uint64(63)).astype(np.int64)
+        for k, n in zip(*np.nonzero(picked == j), strict=True):
+            letters[n, k] = letter[k // KEYS]
+        at += ((letter * factor[:, j, None]) >> np.uint64(63)).astype(np.int64)
+    out = common.mixed(np.arange(walks * KEYS, dtype=np.uint64))[:, None]
+    for n in range(LETTERS):
+        out = common.mixed(out ^ letters[n])
     return out
 
 
@@ -74,14 +87,17 @@ class Class:
 
     shortest: int
     longest: int
-    known: np.ndarray  # of each word of the vocabulary: whether it occurs in an item of the class
-    keys: list[tuple[np.ndarray, np.ndarray]]  # of each walk: sorted keys and their items
+    known: np.ndarray  # of each pair of the vocabulary: whether it occurs in an item of the class
+    least: int  # pairs that a match keeps
+    keys: np.ndarray  # sorted, and
+    items: np.ndarray  # the item of each
 
 
 class Index:
     def __init__(self, items: list[tuple[int, np.ndarray]], edits: float = EDITS, walks: int = WALKS):
         self.items, self.edits, self.walks = items, edits, walks
-        self.vocabulary = np.unique(np.concatenate([w for _, w in items]))
+        of_item = [pairs(w, np.array([0, len(w)])) for _, w in items]
+        self.vocabulary = np.unique(np.concatenate(of_item))
         self.classes: list[Class] = []
         order = sorted(range(len(items)), key=lambda k: len(items[k][1]))
         while order:
@@ -91,12 +107,11 @@ class Index:
             symbols = np.concatenate([items[k][1] for k in own])
             end = np.cumsum([len(items[k][1]) for k in own])
             start = end - [len(items[k][1]) for k in own]
-            keys = []
-            for walk in range(walks):
-                flat = walk_keys(symbols, start, end, self.steps(shortest), walk).reshape(-1)
-                by = np.argsort(flat, kind="stable")
-                keys.append((flat[by], np.tile(np.array(own), KEYS)[by]))
-            self.classes.append(Class(shortest, len(items[own[-1]][1]), np.append(np.isin(self.vocabulary, symbols), False), keys))
+            flat = walk_keys(symbols, start, end, self.steps(shortest), walks)
+            by = np.argsort(flat, axis=None, kind="stable")
+            known = np.isin(self.vocabulary, np.concatenate([of_item[k] for k in own])) & (self.vocabulary > 0)
+            least = min(n - 1 - 2 * self.allowed(n) for n in (len(items[k][1]) for k in own))
+            self.classes.append(Class(shortest, len(items[own[-1]][1]), np.append(known, False), least, flat.reshape(-1)[by], np.tile(np.array(own), len(flat))[by]))
 
     @staticmethod
     def steps(shortest: int) -> int:
@@ -107,17 +122,18 @@ class Index:
         return int(n * self.edits)
 
     def windows(self, place: np.ndarray, ends: np.ndarray, c: Class) -> np.ndarray:
-        """Word positions at which an item of the class can start. place: of each word in the vocabulary; ends: of its document."""
+        """Word positions at which an item of the class can start. place: of each word pair in the vocabulary; ends: of its document."""
         most = self.allowed(c.longest)
         count = np.concatenate(([0], np.cumsum(c.known[place])))
         at = np.arange(len(place))
         last = np.minimum(at + c.longest + most, ends)
-        return np.flatnonzero((count[last] - count[at] >= c.shortest - self.allowed(c.shortest)) & c.known[place])
+        return np.flatnonzero((count[last] - count[at] >= c.least) & c.known[place])
 
     def search(self, names: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(row, item, start word, edits) of the best window of each item in each row."""
-        at = np.minimum(np.searchsorted(self.vocabulary, names), len(self.vocabulary) - 1)
-        place = np.where(self.vocabulary[at] == names, at, len(self.vocabulary))
+        two = pairs(names, first)
+        at = np.minimum(np.searchsorted(self.vocabulary, two), len(self.vocabulary) - 1)
+        place = np.where(self.vocabulary[at] == two, at, len(self.vocabulary))
         row = np.repeat(np.arange(len(first) - 1), np.diff(first))
         ends = first[row + 1]
         padded = np.append(names, np.uint64(0))
@@ -125,17 +141,15 @@ class Index:
             start = self.windows(place, ends, c)
             if not len(start):
                 continue
-            pairs = []
-            for walk, (keys, items) in enumerate(c.keys):
-                mine = walk_keys(names, start, np.minimum(start + c.longest, ends[start]), self.steps(c.shortest), walk).reshape(-1)
-                lo, hi = np.searchsorted(keys, mine), np.searchsorted(keys, mine, "right")
-                hit = np.flatnonzero(hi > lo)
-                n = (hi - lo)[hit]
-                which = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[hit], n)
-                pairs.append(np.unique(np.repeat(start[hit % len(start)], n) * len(self.items) + items[which]))
-            pairs = np.unique(np.concatenate(pairs))
+            mine = walk_keys(names, start, np.minimum(start + c.longest, ends[start]), self.steps(c.shortest), self.walks).reshape(-1)
+            lo, hi = np.searchsorted(c.keys, mine), np.searchsorted(c.keys, mine, "right")
+            hit = np.flatnonzero(hi > lo)
+            n = (hi - lo)[hit]
+            which = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[hit], n)
+            met, times = np.unique(np.repeat(start[hit % len(start)], n) * len(self.items) + c.items[which], return_counts=True)
+            met = met[times >= SHARED]
             best: dict[tuple[int, int], tuple[int, int]] = {}
-            window, item = pairs // len(self.items), pairs % len(self.items)
+            window, item = met // len(self.items), met % len(self.items)
             by = np.argsort(item, kind="stable")
             for part in np.split(by, np.flatnonzero(np.diff(item[by])) + 1) if len(by) else ():
                 k = int(item[part[0]])
@@ -155,7 +169,7 @@ class Index:
 
 def _scan(index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in repeats.blocks_of(batches):
+        for rows, data, offsets in repeats.blocks_of(batches, limit=4 * common.BLOCK_BYTES):
             ids = rows.column(0).to_pylist()
             names, first = words(data, offsets)
             out = [(ids[r], index.items[k][0], s, len(index.items[k][1]), d) for r, k, s, d in index.search(names, first)] if len(names) else []

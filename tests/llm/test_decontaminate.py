@@ -45,7 +45,7 @@ def test_leaks_match_brute_force(spark):
 def test_recall_at_the_limit():
     r = random.Random(9)
     hits = total = 0
-    for _ in range(150):
+    for _ in range(300):
         n = r.choice([15, 30, 45])
         item = [f"w{int(r.paretovariate(0.6)) % 3000}" for _ in range(n)]
         index = dc.Index(dc.item_words([(1, " ".join(item))]))

@@ -17,6 +17,8 @@ CONTAINED = 0.8
 #: A template's own windows lie at every place, so an unchanged stretch of a document meets an equal window. Where a fifth
 #: of a window's shingles differ, the Jaccard similarity is 2/3 and one of 8 bands agrees with probability 0.9998.
 WINDOWS = ((1, 1), (3, 1), (8, 2))
+#: Words that stand for no shingle if it has another one.
+COMMON = ("that", "this", "with", "from", "will", "under", "have", "which", "there", "must", "form", "basis", "except", "person", "anyone")
 SEPARATORS = r"[\x09-\x0D\x20!-/:-@\[-`{-~]+"
 
 # Public license notices, as they are commonly written.
@@ -86,14 +88,14 @@ def scan(docs: DataFrame, templates=TEMPLATES, *, contained: float = CONTAINED,
     if not rows:
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.lit(None).cast(t).alias(c) for c, t in (("template", "string"), ("license", "string"), ("n_shingles", "int"), ("n_found", "int"), ("containment", "double")))).limit(0)
     keys = sorted({k for r in rows for k in r["keys"]})
-    # one word of every shingle of every template: a document without any of them holds no shingle at all
-    anchors = sorted({max(r["w"][i : i + SHINGLE], key=lambda w: (len(w), w)) for r in rows for i in range(len(r["w"]) - SHINGLE + 1)})
+    # one word of every shingle of every template: a document without any of them holds no shingle at all, so no window of it can match
+    anchors = sorted({max(r["w"][i : i + SHINGLE], key=lambda w: (w not in COMMON, len(w), w)) for r in rows for i in range(len(r["w"]) - SHINGLE + 1)})
     by_key = spark.createDataFrame([(k, r["template"], r["license"], r["t"]) for r in rows for k in r["keys"]], "key long, template string, license string, t array<long>")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     d = d.where(F.arrays_overlap(words(F.col("text")), F.array(*map(F.lit, anchors))))
-    both = _bound(shingles(F.col("text")), lambda h: F.struct(h.alias("h"), F.array_intersect(band_keys(h, WINDOWS, bands), _longs(keys)).alias("hits")))
-    seen = d.select("doc_id", both.alias("x")).where("size(x.hits) > 0").select("doc_id", F.col("x.h").alias("h"), F.col("x.hits").alias("hits"))
-    names = seen.select("doc_id", "h", F.explode("hits").alias("key")).join(F.broadcast(by_key), "key")
+    d = d.select("doc_id", shingles(F.col("text")).alias("h")).where(F.arrays_overlap("h", _longs({x for r in rows for x in r["t"]})))
+    hits = _bound(F.col("h"), lambda h: F.array_intersect(band_keys(h, WINDOWS, bands), _longs(keys)))
+    names = d.select("doc_id", "h", F.explode(hits).alias("key")).join(F.broadcast(by_key), "key")
     n = F.size("t")
     found = F.size(F.array_intersect("t", "h"))
     out = names.select("doc_id", "template", "license", n.alias("n_shingles"), found.alias("n_found"), (found / n).alias("containment"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Edges of one partition that are contracted together before the first round.
+#: Edges of one partition that are contracted together before the first round. What is left, if it is no more, is contracted in one task.
 LOCAL_EDGES = 1 << 18
 SCHEMA = "u long, v long"
 
@@ -51,13 +51,24 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield stars()
 
 
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
+    if rows:
+        node, root = roots(np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]))
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["doc", "component"])
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(doc, component) of every node that has an edge; the component is its smallest node.
 
-    Minima are aggregated before they are shuffled and joined back, so that a node with very many edges is no
+    Edges are contracted within their partitions. Up to LOCAL_EDGES that remain, a few megabytes, are finished in one
+    task; more go through rounds over all partitions. There, minima are aggregated before they are shuffled and joined back, so that a node with very many edges is no
     group in one task. Each round is checkpointed in the shared folder.
     """
-    e = common.checkpointed(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v").mapInArrow(_contract, SCHEMA).distinct())
+    e = common.checkpointed(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v").mapInArrow(_contract, SCHEMA))
+    if e.count() <= LOCAL_EDGES:
+        return e.coalesce(1).mapInArrow(_named, "doc long, component long")
+    e = e.distinct()
     while True:
         # a forest of stars: every node has one parent, and no parent has one
         unfinished = e.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("u").unionByName(e.select(F.col("v").alias("u")).join(e.select("u"), "u", "left_semi"))

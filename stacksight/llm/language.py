@@ -35,7 +35,7 @@ def gram_counts(data: np.ndarray, offsets: np.ndarray, features: int = FEATURES)
     """Counts of hashed byte bigrams and trigrams, a row for each document; long rows are added up in chunks."""
     rows = len(offsets) - 1
     out = np.zeros((rows, features), np.float32)
-    if rows == 1 and len(data) > common.BLOCK_BYTES:
+    if rows == 1 and len(data) > 2 * common.BLOCK_BYTES:
         for lo in range(0, len(data), common.BLOCK_BYTES):
             part = data[lo : lo + common.BLOCK_BYTES + 2]
             out += gram_counts(part[: common.BLOCK_BYTES + 2], np.array([0, len(part)]), features)

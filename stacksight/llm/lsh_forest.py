@@ -244,7 +244,7 @@ def _linked(pairs: DataFrame, links: DataFrame | None, of: DataFrame | None, tex
     for step in range(2):
         new = seen.where("linked").select("a", "b")
         links = new if links is None else links.unionByName(new)
-        of = components(links if of is None else new.unionByName(of.select(F.col("doc").alias("a"), F.col("component").alias("b"))))
+        of = common.checkpointed(components(links if of is None else new.unionByName(of.select(F.col("doc").alias("a"), F.col("component").alias("b")))))
         rest = common.checkpointed(_across(pairs.select("a", "b").join(seen, ["a", "b"], "left_anti"), of)) if step == 0 else None
         if rest is None or rest.isEmpty():
             break

@@ -25,7 +25,7 @@ OPEN = 128
 #: Partitions whose leftovers meet in one task of the merge.
 FAN_IN = 64
 #: Entries that a worker's word cache may hold before it starts anew.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 150_000
 TOKENIZER = "word_bpe_49k.json"
 SEPARATOR = 2
 

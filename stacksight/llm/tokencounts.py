@@ -21,7 +21,7 @@ from . import common
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: first: the section of a token's first byte. most: the one with most of its bytes, the earlier on a tie.
 RULES = ("first", "most")
-CACHE_WORDS = 700_000
+CACHE_WORDS = 150_000
 #: Sections: runs of lines between blank lines would be rare in scraped prose, so each line with its break is one.
 SCHEMA = "doc_id long, section_id int, kind string, start_byte long, end_byte long, n_tokens long, n_crossing long"
 

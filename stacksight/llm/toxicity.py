@@ -16,22 +16,42 @@ from pyspark.sql import functions as F
 
 from . import common
 
-HASH_BITS = 20
+HASH_BITS = 22
 #: Labelled documents that the fit looks at, at most (a hash sample of each class).
 SAMPLE_PER_CLASS = 3000
+#: Bytes of the beginnings of longer words that are features as well: they stand for all forms of a stem.
+BEGINNINGS = (5, 6, 7, 8)
 #: Words that the model keeps: the strongest by smoothed log-odds, each in so many toxic documents of the sample at least.
-FEATURES, LEAST_DOCUMENTS, LEAST_LOG_ODDS = 512, 3, 2.5
+FEATURES, LEAST_DOCUMENTS, LEAST_LOG_ODDS = 1024, 3, 2.5
 
 _BREAK = np.ones(256, bool)
 _BREAK[[39, *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with A-Z and the capitals of Latin-1 in lower case."""
+    out = data.copy()
+    out[(data >= 65) & (data <= 90)] += 32
+    second = np.flatnonzero(data[:-1] == 0xC3) + 1
+    second = second[(data[second] >= 0x80) & (data[second] <= 0x9E) & (data[second] != 0x97)]
+    out[second] += 32
+    return out
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and hashed feature of each word (letters and apostrophes, lower case) of a block."""
-    blank = np.where(_BREAK[data], 32, np.where((data == 0x20) | ((data >= 9) & (data <= 13)), 32, data)).astype(np.uint8)
+    """Row and hashed feature of each word (letters and apostrophes, lower case) of a block and of the beginnings of longer ones, in order of rows."""
+    blank = np.where(_BREAK[data], 32, data).astype(np.uint8)
     starts, ends, first = common.word_spans(blank, offsets)
-    h = common.word_hashes(data, starts, ends, lower=True)
-    return np.repeat(np.arange(len(offsets) - 1), np.diff(first)), (h >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+    prefix = common.POLY_A.prefix(lowered(data))
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+    rows, hashes = [row], [common.POLY_A.of(prefix, starts, ends)]
+    for n in BEGINNINGS:
+        long = np.flatnonzero(ends - starts > n)
+        rows.append(row[long])
+        hashes.append(common.mixed(common.POLY_A.of(prefix, starts[long], starts[long] + n) + np.uint64(n)))
+    row = np.concatenate(rows)
+    order = np.argsort(row, kind="stable")
+    return row[order], (np.concatenate(hashes)[order] >> np.uint64(64 - HASH_BITS)).astype(np.int64)
 
 
 @dataclass

@@ -1,3 +1,4 @@
+import importlib
 import random
 
 import pytest
@@ -29,7 +30,9 @@ def test_large_groups_and_small_cells(spark, monkeypatch):
     assert got == brute.near_duplicates(texts, 2)
 
 
-def test_components_of_long_chains(spark):
+@pytest.mark.parametrize("limit", [1 << 18, 20])
+def test_components_of_long_chains(spark, monkeypatch, limit):
+    monkeypatch.setattr(importlib.import_module("stacksight.llm.components"), "LOCAL_EDGES", limit)
     r = random.Random(3)
     ids = list(range(300))
     r.shuffle(ids)

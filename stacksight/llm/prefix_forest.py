@@ -2,8 +2,9 @@
 
 Each tree gives every vector a string of BITS bits: the sides of random hyperplanes, each laid through the median of
 a bounded sample. A tree is those strings in order, cut into blocks of equal size. A query finds its place in every
-tree, where the longest common prefixes lie next to it; then all trees ascend together, level by level, until
-enough candidates are found, whose distances are computed on the original vectors. Equal vectors are one entry.
+tree, where the longest common prefixes lie next to it, and all trees ascend together to the same share of entries;
+a sketch of other hyperplanes leaves the most promising of each, whose distances are computed on the original vectors.
+Equal vectors are one entry.
 """
 
 from __future__ import annotations
@@ -18,14 +19,16 @@ from pyspark.sql import functions as F
 from . import common, repeats
 
 TREES, BITS = 32, 48
-#: Places on either side of a query that a tree offers, and candidates that a query takes from all trees.
-REACH, CANDIDATES = 192, 1600
+#: Entries on either side of a query that a tree offers: REACH, or one in SHARE if that is more, as vectors without any
+#: structure are found with the same probability only in the same share of all; and how many of a block's are kept by sketch.
+REACH, SHARE, KEEP = 192, 70, 24
+SKETCH = 256
 BLOCK = 512
 #: Vectors at most that the hyperplanes' medians are taken from.
 SAMPLE = 4096
 NEIGHBOURS = 10
 
-PLACES = "part long, place long, tree int, code long, entry long"
+PLACES = "part long, place long, tree int, code long, entry long, s0 long, s1 long, s2 long, s3 long"
 FOUND = "query long, entry long, depth int"
 
 
@@ -36,7 +39,8 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def planes(size: int, trees: int, bits: int) -> np.ndarray:
-    return np.random.default_rng(81).standard_normal((size, trees * bits))
+    """Normals of the trees' hyperplanes and of those of the sketch."""
+    return np.random.default_rng(81).standard_normal((size, trees * bits + SKETCH))
 
 
 def _codes(medians: np.ndarray, trees: int, bits: int):
@@ -49,10 +53,11 @@ def _codes(medians: np.ndarray, trees: int, bits: int):
                 part = batch.slice(lo, 1000)
                 x = matrix(part.column(1))
                 p = planes(x.shape[1], trees, bits) if p is None else p
-                side = (x @ p > medians).reshape(len(x), trees, bits)
-                code = (side * weight).sum(2, dtype=np.uint64).astype(np.int64)
+                side = x @ p > medians
+                code = (side[:, : trees * bits].reshape(len(x), trees, bits) * weight).sum(2, dtype=np.uint64).astype(np.int64)
+                sketch = np.packbits(side[:, trees * bits :], axis=1).view(np.int64)
                 entry = part.column(0).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(trees, dtype=np.int32), len(x))), pa.array(code.reshape(-1)), pa.array(np.repeat(entry, trees))], ["tree", "code", "entry"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(trees, dtype=np.int32), len(x))), pa.array(code.reshape(-1)), pa.array(np.repeat(entry, trees)), *(pa.array(np.repeat(sketch[:, k], trees)) for k in range(4))], ["tree", "code", "entry", "s0", "s1", "s2", "s3"])
 
     return run
 
@@ -67,24 +72,29 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n += k
 
 
-def _around(reach: int, bits: int):
-    """mapInArrow body over blocks: rows of role 0 (entries) and 1 (queries), to the entries within reach and the length of the common prefix."""
+def _around(reach: int, bits: int, keep: int):
+    """mapInArrow body over blocks: rows of role 0 (entries) and 1 (queries), to the entries within reach that the sketch brings nearest, and the length of the common prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in repeats.groups_of(batches, ["block"]):
             role, place, tree, code, entry = (g.column(k).to_numpy() for k in ("role", "place", "tree", "code", "entry"))
+            sketch = np.stack([g.column(f"s{k}").to_numpy().view(np.uint64) for k in range(4)], 1)
             own, ask = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
             order = own[np.argsort(place[own])]
             lo, hi = np.searchsorted(place[order], place[ask] - reach), np.searchsorted(place[order], place[ask] + reach, "right")
-            q = np.repeat(ask, hi - lo)
-            if not len(q):
-                continue
-            e = order[np.arange(len(q)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)]
-            same = tree[e] == tree[q]
-            q, e = q[same], e[same]
-            # frexp gives the place of the highest bit in which two strings differ
-            depth = bits - np.frexp((code[q] ^ code[e]).astype(np.float64))[1]
-            yield repeats.arrow_rows(FOUND, [pa.array(entry[q]), pa.array(entry[e]), pa.array(depth.astype(np.int32))])
+            found = []
+            for q, a, b in zip(ask, lo, hi, strict=True):
+                e = order[a:b]
+                e = e[tree[e] == tree[q]]
+                if len(e) > keep:
+                    away = np.bitwise_count(sketch[e] ^ sketch[q]).sum(1)
+                    e = e[np.lexsort((entry[e], away))[:keep]]
+                found.append((np.full(len(e), q), e))
+            if found:
+                q, e = (np.concatenate(x) for x in zip(*found, strict=True))
+                # frexp gives the place of the highest bit in which two strings differ
+                depth = bits - np.frexp((code[q] ^ code[e]).astype(np.float64))[1]
+                yield repeats.arrow_rows(FOUND, [pa.array(entry[q]), pa.array(entry[e]), pa.array(depth.astype(np.int32))])
 
     return run
 
@@ -121,7 +131,7 @@ def usable(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
     return d if repeated.isEmpty() else d.groupBy("vec_id").agg(F.min("vector").alias("vector"))
 
 
-def search(rows: DataFrame, *, is_query: F.Column | None = None, k: int = NEIGHBOURS, trees: int = TREES, bits: int = BITS, reach: int = REACH, candidates: int = CANDIDATES) -> DataFrame:
+def search(rows: DataFrame, *, is_query: F.Column | None = None, k: int = NEIGHBOURS, trees: int = TREES, bits: int = BITS, reach: int = REACH, share: int = SHARE, keep: int = KEEP) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of every query among all other rows, by Euclidean distance.
 
     rows has vec_id and embedding; is_query tells the queries by vec_id, by default those divisible by 100. Vectors
@@ -141,6 +151,7 @@ def search(rows: DataFrame, *, is_query: F.Column | None = None, k: int = NEIGHB
     out = "query_id long, rank int, vec_id long, score double"
     if not n:
         return rows.sparkSession.createDataFrame([], out)
+    reach = max(reach, n // share)
     part = min(1.0, 0.9 * SAMPLE / n)
     sample = entries.where(F.pmod(F.xxhash64(F.lit("planes"), "entry"), F.lit(1 << 20)) <= part * (1 << 20)).orderBy(F.xxhash64("entry")).limit(SAMPLE).select("vector").toArrow().column(0).combine_chunks()
     if not len(sample):
@@ -148,7 +159,7 @@ def search(rows: DataFrame, *, is_query: F.Column | None = None, k: int = NEIGHB
     x = matrix(sample)
     medians = np.median(x @ planes(x.shape[1], trees, bits), 0)
 
-    keys = entries.select("entry", "vector").mapInArrow(_codes(medians, trees, bits), "tree int, code long, entry long")
+    keys = entries.select("entry", "vector").mapInArrow(_codes(medians, trees, bits), "tree int, code long, entry long, s0 long, s1 long, s2 long, s3 long")
     sorted_keys = common.stored(keys.repartitionByRange("tree", "code", "entry").sortWithinPartitions("tree", "code", "entry").mapInArrow(_places, PLACES))
     # one number for each partition
     counts = {r["part"]: r["n"] for r in sorted_keys.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -157,16 +168,16 @@ def search(rows: DataFrame, *, is_query: F.Column | None = None, k: int = NEIGHB
         starts.append(total)
         total += counts.get(p, 0)
     at = F.element_at(F.array(*map(F.lit, starts)), (F.col("part") + 1).cast("int")) + F.col("place")
-    placed = sorted_keys.select("tree", "code", "entry", at.cast("long").alias("place"))
+    sketch = ("s0", "s1", "s2", "s3")
+    placed = sorted_keys.select("tree", "code", "entry", *sketch, at.cast("long").alias("place"))
     block = lambda c: F.floor(c / BLOCK).cast("long")
-    of_entries = placed.select(block(F.col("place")).alias("block"), F.lit(0).alias("role"), "place", "tree", "code", "entry")
+    of_entries = placed.select(block(F.col("place")).alias("block"), F.lit(0).alias("role"), "place", "tree", "code", "entry", *sketch)
     asking = placed.join(entries.where("asked").select("entry"), "entry", "left_semi")
-    of_queries = asking.select(F.explode(F.sequence(block(F.greatest(F.col("place") - reach, F.lit(0))), block(F.col("place") + reach))).alias("block"), F.lit(1).alias("role"), "place", "tree", "code", "entry")
-    found = of_entries.unionByName(of_queries).repartition("block").sortWithinPartitions("block").mapInArrow(_around(reach, bits), FOUND)
-    level = found.groupBy("query", "entry").agg(F.max("depth").alias("depth"), F.count(F.lit(1)).alias("trees"))
-    taken = level.withColumn("nth", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("depth"), F.desc("trees"), "entry"))).where(F.col("nth") <= candidates)
+    of_queries = asking.select(F.explode(F.sequence(block(F.greatest(F.col("place") - reach, F.lit(0))), block(F.col("place") + reach))).alias("block"), F.lit(1).alias("role"), "place", "tree", "code", "entry", *sketch)
+    found = of_entries.unionByName(of_queries).repartition("block").sortWithinPartitions("block").mapInArrow(_around(reach, bits, keep), FOUND)
+    taken = found.select("query", "entry").distinct()
     vectors = entries.select("entry", "vector", "ids")
-    offered = taken.select("query", "entry").join(vectors, "entry").select("query", F.lit(1).alias("role"), "vector", "ids")
+    offered = taken.join(vectors, "entry").select("query", F.lit(1).alias("role"), "vector", "ids")
     mine = entries.where("asked").select(F.col("entry").alias("query"), F.lit(0).alias("role"), "vector", "ids")
     nearest = offered.unionByName(mine).repartition("query").sortWithinPartitions("query").mapInArrow(_nearest(k + 1), "query long, vec_id long, score double")
     each = queries.join(entries.where("asked").select("v1", "v2", F.col("entry").alias("query")), ["v1", "v2"]).select("query_id", "query")

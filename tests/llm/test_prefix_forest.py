@@ -48,6 +48,16 @@ def test_equal_vectors_and_odd_rows(spark):
     assert got == {q: [(i, pytest.approx(s)) for i, s in v] for q, v in want.items()}
 
 
+def test_recall_without_structure(spark):
+    r = np.random.default_rng(2)
+    x = r.standard_normal((9000, 64))
+    rows = [(i, (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(x)]
+    got, want = found(prefix_forest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))), brute(rows)
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    print("recall without structure", hits / sum(map(len, want.values())))
+    assert hits >= 0.92 * sum(map(len, want.values()))
+
+
 def test_small_and_empty_tables(spark):
     d = spark.createDataFrame([(0, [1.0, 0.0]), (7, [0.0, 1.0]), (100, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert {q: [i for i, _ in v] for q, v in found(prefix_forest.search(d)).items()} == {0: [100, 7], 100: [0, 7]}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from stacksight.functions.text import NUMBER_WORDS, blank, filled, number, text
+from stacksight.functions.text import NUMBER_WORDS, number, text
 
 STALE_AFTER, VERY_STALE_AFTER = 183, 365
 COOLDOWN_DAYS = 7

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stacksight.functions import dates as d
-from stacksight.functions.text import author_identity, blank, filled, is_placeholder_author
+from stacksight.functions.text import author_identity, blank, is_placeholder_author
 from stacksight.operators.intelligence import active
 
 
@@ -99,7 +99,3 @@ def skeletons(books: DataFrame) -> DataFrame:
     """The durable lineup of each series: its numbered active books as structs in order of number."""
     entry = F.struct("book_number", "title", F.col("read_status").alias("status"), F.lit("high").alias("confidence"), F.coalesce("release_date", "publication_date").alias("release_date"), F.array_compact(F.array("edition")).alias("edition_hints"))
     return books.where(active() & F.col("series_id").isNotNull() & F.col("book_number").isNotNull()).groupBy("series_id").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
-
-
-def no_value(c: Column) -> Column:
-    return filled(c).isNull()

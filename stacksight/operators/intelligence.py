@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stacksight.functions import dates as d
-from stacksight.functions.text import blank
 
 #: Numbers above this are slips of the pen; a series is not laid out beyond it.
 HIGHEST_VOLUME = 10_000
@@ -150,7 +149,3 @@ def owned_top(books: DataFrame) -> DataFrame:
 
 def percent(done: Column, total: Column) -> Column:
     return F.coalesce(F.floor(F.try_divide(done * 100, total)), F.lit(0)).cast("bigint")
-
-
-def blank_author() -> Column:
-    return blank(F.col("author"))

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stacksight.llm import common, decontaminate, language, lsh_forest, packing, suffix_array
 
+#: Words that a worker of the last stage remembers; workers are shared with the other stages, so fewer than where packing runs alone.
+CACHE_WORDS = 150_000
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a language that the labelled ones teach; those that are rejected go."""
@@ -29,7 +32,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents in sequences of 4096 tokens."""
-    return packing.pack(docs)
+    return packing.pack(docs, cache_words=CACHE_WORDS)
 
 
 STAGES = [

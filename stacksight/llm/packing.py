@@ -25,7 +25,7 @@ OPEN = 128
 #: Partitions whose leftovers meet in one task of the merge.
 FAN_IN = 64
 #: Entries that a worker's word cache may hold before it starts anew.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 700_000
 TOKENIZER = "word_bpe_49k.json"
 SEPARATOR = 2
 
@@ -49,9 +49,10 @@ class WordCache:
     marks = ",.!?;:"
     whole = re.compile(r"<\||[\x1c-\x1f\x85᠎​﻿]")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
+        self.limit = limit
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
@@ -65,7 +66,7 @@ class WordCache:
         split = [None if self.whole.search(t) or not (t.isascii() or unicodedata.is_normalized("NFC", t)) else t.split() for t in texts]
         seen = set().union(*(s for s in split if s is not None))
         new = [w for w in seen if w not in self.words]
-        if len(self.words) + len(new) > CACHE_WORDS:
+        if len(self.words) + len(new) > self.limit:
             self.words, new = {}, list(seen)
         self.learn(new)
         get = self.words.__getitem__
@@ -75,7 +76,7 @@ class WordCache:
     def learn(self, new: list[str]) -> None:
         """Caches the ids of words: of plain letters with a mark behind from the parts, of others by encoding them."""
         odd = []
-        if len(self.cores) > CACHE_WORDS:
+        if len(self.cores) > self.limit:
             self.cores = {}
         for word in new:
             core = word.rstrip(self.marks)
@@ -111,13 +112,13 @@ class WordCache:
         return [ids[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
-_CACHES: dict[str, WordCache] = {}
+_CACHES: dict[tuple[str, int], WordCache] = {}
 
 
-def cache(path: str) -> WordCache:
-    if path not in _CACHES:
-        _CACHES[path] = WordCache(path)
-    return _CACHES[path]
+def cache(path: str, limit: int = CACHE_WORDS) -> WordCache:
+    if (path, limit) not in _CACHES:
+        _CACHES[path, limit] = WordCache(path, limit)
+    return _CACHES[path, limit]
 
 
 class Open:
@@ -148,14 +149,14 @@ class Open:
         return self.rows.pop(k)
 
 
-def _token_pieces(path: str, window: int, separator: int, open_windows: int):
+def _token_pieces(path: str, window: int, separator: int, open_windows: int, cache_words: int):
     """mapInArrow body: documents to packed pieces; windows left open carry a negative window number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        words, space, number = cache(path), Open(window, open_windows), 0
+        words, space, number = cache(path, cache_words), Open(window, open_windows), 0
         done: list[tuple] = []
 
         def emit(rows: list, sign: int) -> None:
@@ -236,17 +237,17 @@ def _links(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * len(names))], names)
 
 
-def pack(docs: DataFrame, *, tokenizer: str | None = None, window: int = WINDOW, separator: int = SEPARATOR, open_windows: int = OPEN) -> DataFrame:
+def pack(docs: DataFrame, *, tokenizer: str | None = None, window: int = WINDOW, separator: int = SEPARATOR, open_windows: int = OPEN, cache_words: int = CACHE_WORDS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_tokens.
 
     A null or empty text is a document of the separator alone. Rows that repeat a doc_id are packed each for
-    itself; rows without doc_id are left out. Other columns are not looked at. An empty table gives no rows.
+    itself; rows without doc_id are left out. cache_words bounds what a worker remembers; it changes no result. Other columns are not looked at. An empty table gives no rows.
     """
     import public_tokenizers  # noqa: F401  a missing tokenizer package shows here, not in a task
 
     path = tokenizer or tokenizer_path()
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    pieces = common.checkpointed(d.mapInArrow(_token_pieces(path, window, separator, open_windows), PIECES))
+    pieces = common.checkpointed(d.mapInArrow(_token_pieces(path, window, separator, open_windows, cache_words), PIECES))
     closed = pieces.where("window > 0").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.lit(0).alias("round"), "part", "window", "offset", F.col("used").alias("sequence_tokens"))
     out, left, level = [closed], pieces.where("window < 0"), 0
     tasks = max(1, d.rdd.getNumPartitions())

@@ -169,10 +169,15 @@ def maximal_repeats(segments: list[bytes], starts: np.ndarray, least: int) -> It
     sizes = np.fromiter(map(len, segments), np.int64, len(segments))
     first = np.cumsum(sizes) - sizes
     ends = np.repeat(first + sizes, sizes)
-    rank = suffix_ranks(data, ends, 256)
+    # prefixes of `size` bytes have ranks; two of them in a row reach the end of the longest segment, so the order is that of whole suffixes
+    size = 4
+    while 2 * size < sizes.max(initial=0):
+        size *= 2
+    rank = suffix_ranks(data, ends, size)
     which = np.repeat(np.arange(len(segments)), starts)
     at = np.arange(len(which)) - np.repeat(np.cumsum(starts) - starts, starts) + first[which]
-    order = np.argsort(rank[256][at], kind="stable")
+    rest = np.where(at + size < ends[at], rank[size][np.minimum(at + size, len(data) - 1)], 0)
+    order = np.argsort(rank[size][at] * (len(data) + 2) + rest, kind="stable")
     sa, seg = at[order], which[order]
     lcp = common_prefixes(rank, data, ends, sa[:-1], sa[1:])
     near = np.concatenate(([False], lcp >= least, [False]))

@@ -1,3 +1,7 @@
+import random
+from collections import Counter
+
+import numpy as np
 import pytest
 
 from stacksight.llm import recompression, suffix_array
@@ -37,3 +41,33 @@ def test_odd_tables(spark, operator):
     assert sorted(r.doc_id for r in operator(docs).collect()) == [1, 2]
     assert operator(docs.limit(0)).count() == 0
     assert operator(docs.where("doc_id = 2")).collect()[0][1] == 0
+
+
+def near_copies(seed: int, groups: int = 12, copies: int = 10, size: int = 700) -> dict:
+    """Groups of copies of one text, each with single letters changed at places of its own."""
+    r = random.Random(seed)
+    texts = {}
+    for g in range(groups):
+        base = r.choices("abcdefghijklmnopqrstuvwxyz ", k=size)
+        for c in range(copies):
+            text = list(base)
+            for _ in range(r.randint(1, 3)):
+                text[r.randrange(size)] = r.choice("ABCDEFGH")
+            texts[g * 100 + c] = "".join(text)
+    return texts
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_copies_match_brute_force(spark, seed):
+    texts = near_copies(seed)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_array.deduplicate(brute.table(spark, texts)).collect()}
+    assert got == brute.substring_dedup(texts)
+
+
+@pytest.mark.parametrize(("seed", "size"), [(1, 368), (2, 368), (3, 200), (4, 1100)])
+def test_maximal_repeats_cover_every_repeated_window(seed, size):
+    segments = [t.encode() for t in dict.fromkeys(near_copies(seed, groups=1, copies=40, size=size).values())]
+    starts = np.full(len(segments), size - 199)
+    got = {(k, off + i) for n, o in suffix_array.maximal_repeats(segments, starts, 200) for k, off in o for i in range(n - 199)}
+    seen = Counter(s[p : p + 200] for s in segments for p in range(size - 199))
+    assert got == {(k, p) for k, s in enumerate(segments) for p in range(size - 199) if seen[s[p : p + 200]] > 1}

@@ -4,7 +4,8 @@ A document is words (A-Z lower-cased, ASCII punctuation left out). A window of a
 j a walk writes the word it stands on and moves on by a random bit of (j, word), so that few edits of words change few
 letters of the embedding. Samples of a few letters are the LSH keys; windows and items that share one are compared by
 exact edit distance. Before walking, windows are left out that cannot match: an edit breaks two word pairs at most, so
-a match keeps a known number of an item's pairs. That loses nothing.
+a match keeps a known number of an item's pairs, and the first of them lies at most two words an edit from where the match
+starts. That loses nothing; the keys can (see SHARED).
 """
 
 from __future__ import annotations
@@ -69,8 +70,8 @@ def walk_keys(symbols: np.ndarray, start: np.ndarray, end: np.ndarray, steps: in
     return out
 
 
-def edit_distances(item: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """For each row of text (padded with zeros), the fewest edits that make some stretch of it the item."""
+def edits_by_end(item: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """For each row of text (padded with zeros) and each end, the fewest edits that make some stretch up to there the item."""
     column = np.arange(text.shape[1] + 1)
     row = np.zeros((len(text), text.shape[1] + 1), np.int64)
     for i, word in enumerate(item, 1):
@@ -78,7 +79,17 @@ def edit_distances(item: np.ndarray, text: np.ndarray) -> np.ndarray:
         new[:, 0] = i
         new[:, 1:] = np.minimum(row[:, :-1] + (text != word), row[:, 1:] + 1)
         row = np.minimum.accumulate(new - column, axis=1) + column
-    return row.min(1)
+    return row
+
+
+def edit_distances(item: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """For each row of text (padded with zeros), the fewest edits that make some stretch of it the item."""
+    return edits_by_end(item, text).min(1)
+
+
+def first_starts(item: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """For each row of text, where the first stretch starts that fewest edits make the item."""
+    return np.argmin(edits_by_end(item[::-1], text[:, ::-1])[:, ::-1], axis=1)
 
 
 @dataclass
@@ -127,7 +138,8 @@ class Index:
         count = np.concatenate(([0], np.cumsum(c.known[place])))
         at = np.arange(len(place))
         last = np.minimum(at + c.longest + most, ends)
-        return np.flatnonzero((count[last] - count[at] >= c.least) & c.known[place])
+        near = np.minimum(at + 2 * most + 2, ends)  # the first kept pair starts before here
+        return np.flatnonzero((count[last] - count[at] >= c.least) & (count[near] > count[at]))
 
     def search(self, names: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(row, item, start word, edits) of the best window of each item in each row."""
@@ -159,10 +171,12 @@ class Index:
                     begin = window[part[lo : lo + 4000]]
                     low = np.maximum(begin - most, first[row[begin]])
                     reach = low[:, None] + np.arange(len(text) + 2 * most)
-                    d = edit_distances(text, padded[np.where(reach < ends[begin][:, None], reach, len(names))])
-                    for j in np.flatnonzero(d <= most):
+                    near = padded[np.where(reach < ends[begin][:, None], reach, len(names))]
+                    d = edit_distances(text, near)
+                    close = np.flatnonzero(d <= most)
+                    for j, s in zip(close, low[close] + first_starts(text, near[close]), strict=True):
                         key = (int(row[begin[j]]), k)
-                        best[key] = min(best.get(key, (1 << 60, 0)), (int(d[j]), int(begin[j] - first[row[begin[j]]])))
+                        best[key] = min(best.get(key, (1 << 60, 0)), (int(d[j]), int(s - first[row[begin[j]]])))
             for (r, k), (d, s) in best.items():
                 yield r, k, s, d
 
@@ -192,7 +206,7 @@ def item_words(rows) -> list[tuple[int, np.ndarray]]:
 def leaks(docs: DataFrame, benchmark: DataFrame, *, edits: float = EDITS, walks: int = WALKS) -> DataFrame:
     """One row per document and item found: doc_id, item_id, start_word, n_words (of the item), edits.
 
-    An item is found where a stretch of the document is within edits * n_words edits of words of it; the best window
+    An item is found where a stretch of the document is within edits * n_words edits of words of it; the best stretch
     is told (the first, on a tie). Items that are null or have fewer than LEAST_WORDS words are not looked for; of
     rows that share an item_id one is (the smallest text). A null or empty text holds nothing; of rows that repeat a
     doc_id each is scanned and one row per item told; rows without doc_id are left out; other columns are not looked

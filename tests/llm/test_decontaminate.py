@@ -64,3 +64,32 @@ def test_odd_tables(spark):
     assert dc.clean_documents(docs, bench).count() == 0
     assert dc.leaks(docs, bench.limit(0)).count() == 0 and dc.leaks(docs.limit(0), bench).count() == 0
     assert dc.clean_documents(docs, bench.limit(0)).columns == docs.columns
+
+
+def found(item: list, text: list) -> list:
+    names, first = dc.words(*(lambda raw: (np.frombuffer(raw, np.uint8), np.array([0, len(raw)])))(" ".join(["q"] * 20 + text + ["q"] * 20).encode()))
+    return list(dc.Index(dc.item_words([(1, " ".join(item))])).search(names, first))
+
+
+def test_edits_of_early_words_are_found():
+    for n in range(8, 15):
+        item = [f"w{n}x{k}" for k in range(n)]
+        most = int(n * dc.EDITS)
+        early = ["n1", *item[1:]], [item[0], "n1", *item[2:]], item[1:], [item[0], *item[2:]], [item[0], "n1", *item[1:]]
+        if most > 1:
+            early += (["n1", item[1], "n2", *item[3:]], [item[0], "n1", item[2], "n2", *item[4:]], [item[0], "n1", "n2", *item[1:]])
+        for text in early:
+            assert [x[:2] for x in found(item, text)] == [(0, 0)], (n, text)
+        assert found(item, item) == [(0, 0, 20, 0)]
+        assert found(item, [*item[: n - 1], "n1"]) == [(0, 0, 20, 1)]
+
+
+def test_recall_of_short_items_at_the_limit():
+    r = random.Random(9)
+    for n in range(8, 15):
+        hits = 0
+        for _ in range(200):
+            item = [f"w{int(r.paretovariate(0.6)) % 3000}" for _ in range(n)]
+            hits += bool(found(item, edited(r, item, int(n * dc.EDITS))))
+        print("recall at the limit", n, hits / 200)
+        assert hits >= 198, n

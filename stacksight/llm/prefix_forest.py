@@ -1,14 +1,17 @@
 """Operator 5: approximate nearest neighbours by a forest of sorted hash strings.
 
-Each tree gives every vector a string of BITS bits: the sides of random hyperplanes, each laid through the median of
-a bounded sample. A tree is those strings in order, cut into blocks of equal size. A query finds its place in every
-tree, where the longest common prefixes lie next to it, and all trees ascend together to the same share of entries;
-a sketch of other hyperplanes leaves the most promising of each, whose distances are computed on the original vectors.
-Equal vectors are one entry.
+A tree gives every vector a string of SYMBOLS symbols: a symbol is the axis on which the vector, turned by random
+projections, lies farthest out, and its sign. A tree is those strings in order, so the vectors that share a prefix of
+any length (a node) lie side by side. A query descends in all trees at once to the longest prefixes at which the trees
+together offer k candidates for certain. The k-th distance among them tells how long a prefix vectors at that distance share
+with what probability; all trees ascend together to the longest length at which RECALL of them are met in some tree,
+and every vector of those nodes is a candidate. Distances are computed on the original vectors. Equal vectors are one
+entry.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,18 +21,19 @@ from pyspark.sql import functions as F
 
 from . import common, repeats
 
-TREES, BITS = 32, 48
-#: Entries on either side of a query that a tree offers: REACH, or one in SHARE if that is more, as vectors without any
-#: structure are found with the same probability only in the same share of all; and how many of a block's are kept by sketch.
-REACH, SHARE, KEEP = 192, 70, 24
-SKETCH = 256
-BLOCK = 512
-#: Vectors at most that the hyperplanes' medians are taken from.
-SAMPLE = 4096
+TREES, SYMBOLS, AXES = 128, 8, 16
+#: Bits of a symbol: its axis, then its sign; and of a string.
+SYMBOL_BITS = 5
+BITS = SYMBOLS * SYMBOL_BITS
+#: Probability with which a vector as far away as the k-th found is to be met in some tree.
+RECALL = 0.9
+#: Places of a tree in a block of the interval join, and queries whose vectors travel together.
+BLOCK, TOGETHER = 256, 512
 NEIGHBOURS = 10
 
-PLACES = "part long, place long, tree int, code long, entry long, s0 long, s1 long, s2 long, s3 long"
-FOUND = "query long, entry long, depth int"
+KEYS = "key long, entry long"
+PLACES = "part int, place long, id long, tree int, level int, upper boolean"
+HITS = "query long, entry long, score double, cosine double"
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -38,82 +42,132 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(np.float64)
 
 
-def planes(size: int, trees: int, bits: int) -> np.ndarray:
-    """Normals of the trees' hyperplanes and of those of the sketch."""
-    return np.random.default_rng(81).standard_normal((size, trees * bits + SKETCH))
+@functools.cache
+def projections(size: int, trees: int) -> list[np.ndarray]:
+    """Random directions: for each symbol, AXES for each tree."""
+    r = np.random.default_rng(81)
+    return [r.standard_normal((size, trees * AXES), dtype=np.float32) for _ in range(SYMBOLS)]
 
 
-def _codes(medians: np.ndarray, trees: int, bits: int):
-    weight = np.uint64(1) << np.arange(bits - 1, -1, -1, dtype=np.uint64)
+def strings(x: np.ndarray, trees: int) -> np.ndarray:
+    """The string of each row in each tree."""
+    out = np.zeros((len(x), trees), np.int64)
+    for p in projections(x.shape[1], trees):
+        y = (x.astype(np.float32) @ p).reshape(len(x), trees, AXES)
+        axis = np.abs(y).argmax(2)
+        sign = np.take_along_axis(y, axis[:, :, None], 2)[:, :, 0] > 0
+        out = (out << SYMBOL_BITS) | (axis << 1) | sign
+    return out
 
+
+def met_at(cosine: np.ndarray, samples: int = 1 << 14) -> np.ndarray:
+    """P(two strings agree in their first 0, 1, ... BITS bits) for vectors at these cosines, a row each.
+
+    Random projections of two vectors depend on their angle only, so a symbol's share is drawn once and the
+    symbols of a string are independent.
+    """
+    r = np.random.default_rng(82)
+    a, b = r.standard_normal((2, samples, AXES))
+    best = np.abs(a).argmax(1)
+    one = best * 2 + (a[np.arange(samples), best] > 0)
+    symbol = np.zeros((len(cosine), SYMBOL_BITS + 1))
+    for k, c in enumerate(cosine):
+        y = c * a + np.sqrt(max(0.0, 1 - c * c)) * b
+        best = np.abs(y).argmax(1)
+        other = best * 2 + (y[np.arange(samples), best] > 0)
+        differ = np.frexp((one ^ other).astype(float))[1]  # bits from the first difference on
+        symbol[k] = [(SYMBOL_BITS - differ >= j).mean() for j in range(SYMBOL_BITS + 1)]
+    level = np.arange(BITS + 1)
+    return symbol[:, -1:] ** (level // SYMBOL_BITS) * symbol[:, level % SYMBOL_BITS]
+
+
+def least_cosines(trees: int, recall: float) -> list[float]:
+    """For each prefix length from 1: the least cosine at which some tree has the two vectors in one node with this probability (2 if none has)."""
+    grid = np.linspace(-1, 1, 101)
+    met = np.maximum.accumulate(1 - (1 - met_at(grid)) ** trees, axis=0)[:, 1:] >= recall
+    return [float(grid[column.argmax()]) if column.any() else 2.0 for column in met.T]
+
+
+def _keys(centre: np.ndarray, trees: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = None
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                x = matrix(part.column(1))
-                p = planes(x.shape[1], trees, bits) if p is None else p
-                side = x @ p > medians
-                code = (side[:, : trees * bits].reshape(len(x), trees, bits) * weight).sum(2, dtype=np.uint64).astype(np.int64)
-                sketch = np.packbits(side[:, trees * bits :], axis=1).view(np.int64)
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                key = strings(matrix(part.column(1)) - centre, trees) | (np.arange(trees, dtype=np.int64) << BITS)
                 entry = part.column(0).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(trees, dtype=np.int32), len(x))), pa.array(code.reshape(-1)), pa.array(np.repeat(entry, trees)), *(pa.array(np.repeat(sketch[:, k], trees)) for k in range(4))], ["tree", "code", "entry", "s0", "s1", "s2", "s3"])
+                yield repeats.arrow_rows(KEYS, [pa.array(key.reshape(-1)), pa.array(np.repeat(entry, trees))])
 
     return run
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of key and role: an entry's place is the number of entries before it in the partition, a bound's likewise."""
     from pyspark import TaskContext
 
     part, n = TaskContext.get().partitionId(), 0
     for batch in batches:
-        k = batch.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(k, part, np.int64)), pa.array(np.arange(n, n + k)), *batch.columns], [x.split()[0] for x in PLACES.split(", ")])
-        n += k
+        role = batch.column(1).to_numpy(zero_copy_only=False)
+        entry = role == 1
+        place = n + np.cumsum(entry) - entry
+        n += int(entry.sum())
+        yield repeats.arrow_rows(PLACES, [pa.array(np.full(len(role), part, np.int32)), pa.array(place), *batch.columns[2:]])
 
 
-def _around(reach: int, bits: int, keep: int):
-    """mapInArrow body over blocks: rows of role 0 (entries) and 1 (queries), to the entries within reach that the sketch brings nearest, and the length of the common prefix."""
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total, n = None, 0
+    for batch in batches:
+        if batch.num_rows:
+            x = matrix(batch.column(0)).sum(0)
+            total, n = x if total is None else total + x, n + batch.num_rows
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64())), pa.array([n], pa.int64())], ["x", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in repeats.groups_of(batches, ["block"]):
-            role, place, tree, code, entry = (g.column(k).to_numpy() for k in ("role", "place", "tree", "code", "entry"))
-            sketch = np.stack([g.column(f"s{k}").to_numpy().view(np.uint64) for k in range(4)], 1)
-            own, ask = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
-            order = own[np.argsort(place[own])]
-            lo, hi = np.searchsorted(place[order], place[ask] - reach), np.searchsorted(place[order], place[ask] + reach, "right")
-            found = []
-            for q, a, b in zip(ask, lo, hi, strict=True):
-                e = order[a:b]
-                e = e[tree[e] == tree[q]]
-                if len(e) > keep:
-                    away = np.bitwise_count(sketch[e] ^ sketch[q]).sum(1)
-                    e = e[np.lexsort((entry[e], away))[:keep]]
-                found.append((np.full(len(e), q), e))
-            if found:
-                q, e = (np.concatenate(x) for x in zip(*found, strict=True))
-                # frexp gives the place of the highest bit in which two strings differ
-                depth = bits - np.frexp((code[q] ^ code[e]).astype(np.float64))[1]
-                yield repeats.arrow_rows(FOUND, [pa.array(entry[q]), pa.array(entry[e]), pa.array(depth.astype(np.int32))])
 
-    return run
+def centre_of(entries: DataFrame) -> np.ndarray:
+    """The mean of all vectors: one partial sum for each task, added up by component."""
+    sums = entries.select("vector").mapInArrow(_sums, "x array<double>, n long")
+    rows = sums.select("n", F.posexplode("x").alias("at", "x")).groupBy("at").agg((F.sum("x") / F.sum("n")).alias("mean")).orderBy("at").collect()
+    return np.array([r["mean"] for r in rows])
+
 
+def _distances(centre: np.ndarray, keep: int):
+    """mapInArrow body over rows sorted by (block, role): the vectors of a block's queries (role 0), then entries with the queries that they are candidates of.
 
-def _nearest(keep: int):
-    """mapInArrow body over queries: the row of role 0 has the query's vector, those of role 1 the candidates with their ids."""
+    Of each query the `keep` nearest of a batch are put out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in repeats.groups_of(batches, ["query"]):
-            x = matrix(g.column("vector").combine_chunks())
-            role = g.column("role").to_numpy()
-            mine = x[np.flatnonzero(role == 0)[0]]
-            at = np.flatnonzero(role == 1)
-            distance = np.sqrt(((x[at] - mine) ** 2).sum(1))
-            ids = g.column("ids").combine_chunks().take(pa.array(at))
-            count = np.diff(ids.offsets.to_numpy())
-            d, i = np.repeat(distance, count), ids.flatten().to_numpy()
-            order = np.lexsort((i, d))[:keep]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(order), g.column("query")[0].as_py())), pa.array(i[order]), pa.array(d[order])], ["query", "vec_id", "score"])
+        block, mine, names = None, np.zeros((0, len(centre))), np.zeros(0, np.int64)
+        for batch in batches:
+            blocks = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)])
+            cut = np.concatenate(([0], np.flatnonzero((blocks[:, 1:] != blocks[:, :-1]).any(0)) + 1, [batch.num_rows]))
+            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+                if lo == hi:
+                    continue
+                g = batch.slice(lo, hi - lo)
+                if (here := tuple(blocks[:, lo])) != block:
+                    block, mine, names = here, np.zeros((0, len(centre))), np.zeros(0, np.int64)
+                role, ids, x = g.column(2).to_numpy(zero_copy_only=False), g.column(3).to_numpy(zero_copy_only=False), matrix(g.column(4))
+                own = role == 0
+                if own.any():
+                    names, mine = np.append(names, ids[own]), np.concatenate((mine, x[own]))
+                    order = np.argsort(names)
+                    names, mine = names[order], mine[order]
+                if own.all():
+                    continue
+                asked = g.column(5).take(pa.array(np.flatnonzero(~own)))
+                row = np.repeat(np.flatnonzero(~own), np.diff(asked.offsets.to_numpy()))
+                query = np.searchsorted(names, asked.flatten().to_numpy())
+                score, cosine = np.empty(len(row)), np.empty(len(row))
+                for a in range(0, len(row), 1 << 14):
+                    p, q = x[row[a : a + (1 << 14)]], mine[query[a : a + (1 << 14)]]
+                    score[a : a + (1 << 14)] = np.sqrt(((p - q) ** 2).sum(1))
+                    p, q = p - centre, q - centre
+                    cosine[a : a + (1 << 14)] = (p * q).sum(1) / np.maximum(np.sqrt((p * p).sum(1) * (q * q).sum(1)), 1e-300)
+                by = np.lexsort((ids[row], score, query))
+                nth = np.arange(len(by)) - np.searchsorted(query[by], query[by])
+                by = by[nth < keep]
+                yield repeats.arrow_rows(HITS, [pa.array(names[query[by]]), pa.array(ids[row[by]]), pa.array(score[by]), pa.array(cosine[by])])
 
     return run
 
@@ -131,13 +185,72 @@ def usable(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
     return d if repeated.isEmpty() else d.groupBy("vec_id").agg(F.min("vector").alias("vector"))
 
 
-def search(rows: DataFrame, *, is_query: F.Column | None = None, k: int = NEIGHBOURS, trees: int = TREES, bits: int = BITS, reach: int = REACH, share: int = SHARE, keep: int = KEEP) -> DataFrame:
+def nodes(entries: DataFrame, centre: np.ndarray, trees: int) -> tuple[DataFrame, DataFrame]:
+    """The sorted arrays of all trees, one behind the other, as (place, entry); and (query, tree, level, place, upper): the first place of each node of each query, and the first behind it.
+
+    The bounds of a node are strings themselves, so they are sorted in among the strings, and the number of strings
+    before one is its place. A node of level 0 is a whole tree; only the first tree's is told.
+    """
+    keys = entries.select("entry", "vector").mapInArrow(_keys(centre, trees), KEYS)
+    strings_ = keys.select("key", F.lit(1).alias("role"), F.col("entry").alias("id"), F.lit(-1).alias("tree"), F.lit(-1).alias("level"), F.lit(False).alias("upper"))
+    asking = entries.where("asked").select("entry", "vector").mapInArrow(_keys(centre, trees), KEYS)
+    level = F.explode(F.when(F.col("tree") == 0, F.sequence(F.lit(0), F.lit(BITS))).otherwise(F.sequence(F.lit(1), F.lit(BITS)))).alias("level")
+    each = asking.withColumn("tree", F.shiftright("key", BITS).cast("int")).select("key", F.col("entry").alias("id"), "tree", level)
+    width = F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(BITS) - F.col("level"))
+    low, upper = F.col("key") - F.pmod("key", width), F.explode(F.array(F.lit(False), F.lit(True))).alias("upper")
+    bounds = each.select("id", "tree", "level", low.alias("low"), width.alias("width"), upper)
+    bounds = bounds.select((F.col("low") + F.when(F.col("upper"), F.col("width")).otherwise(0)).alias("key"), F.lit(0).alias("role"), "id", "tree", "level", "upper")
+    both = strings_.unionByName(bounds)
+    placed = common.stored(both.repartitionByRange("key", "role", "id").sortWithinPartitions("key", "role", "id").mapInArrow(_places, PLACES))
+    # one number for each partition
+    counts = {r["part"]: r["n"] for r in placed.where("level < 0").groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    last = placed.agg(F.max("part").alias("p")).first()["p"]
+    starts, total = [], 0
+    for p in range(last + 1):
+        starts.append(total)
+        total += counts.get(p, 0)
+    at = (F.element_at(F.array(*map(F.lit, starts)), F.col("part") + 1) + F.col("place")).cast("long").alias("place")
+    return placed.where("level < 0").select(at, F.col("id").alias("entry")), placed.where("level >= 0").select(F.col("id").alias("query"), "tree", "level", at, "upper")
+
+
+def _offered(array: DataFrame, bounds: DataFrame, levels: DataFrame) -> DataFrame:
+    """(query, entry): what the nodes of the queries at their levels (query, level) hold, in all trees."""
+    node = bounds.join(levels, ["query", "level"]).groupBy("query", "tree").agg(F.min("place").alias("lo"), F.max("place").alias("hi")).where("hi > lo")
+    block = lambda c: F.floor(c / BLOCK).cast("long")
+    asked = node.select("query", "lo", "hi", F.explode(F.sequence(block(F.col("lo")), block(F.col("hi") - 1))).alias("block"))
+    held = array.select(block(F.col("place")).alias("block"), "place", "entry")
+    return asked.join(held, "block").where("place >= lo and place < hi and entry <> query").select("query", "entry").distinct()
+
+
+def _nearest(pairs: DataFrame, entries: DataFrame, centre: np.ndarray, asked: int, keep: int) -> DataFrame:
+    """HITS of the pairs (query, entry), the `keep` nearest of each query.
+
+    An entry's vector travels once for all queries of a block that it is a candidate of, and meets their vectors there.
+    """
+    blocks, slices = max(1, -(-asked // TOGETHER)), 8
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int").alias("block")
+    slice_ = F.pmod(F.xxhash64(F.lit("slice"), "entry"), F.lit(slices)).cast("int").alias("slice")
+    wanted = pairs.groupBy(block("query"), "entry").agg(F.collect_list("query").alias("queries"))
+    offered = wanted.join(entries.select("entry", "vector"), "entry").select("block", slice_, F.lit(1).alias("role"), F.col("entry").alias("id"), "vector", "queries")
+    mine = entries.where("asked").select(block("entry"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(0).alias("role"), F.col("entry").alias("id"), "vector", F.array().cast("array<long>").alias("queries"))
+    rows = mine.unionByName(offered).repartition("block", "slice").sortWithinPartitions("block", "slice", "role")
+    hits = rows.mapInArrow(_distances(centre, keep), HITS)
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("score", "entry"))
+    return common.stored(hits.withColumn("nth", rank).where(F.col("nth") <= keep))
+
+
+def search(rows: DataFrame, *, is_query: F.Column | None = None, k: int = NEIGHBOURS, trees: int = TREES, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of every query among all other rows, by Euclidean distance.
 
-    rows has vec_id and embedding; is_query tells the queries by vec_id, by default those divisible by 100. Vectors
-    that are null, zero or hold null or non-finite components take no part; nor do such of another size than most.
-    Ties go to the smaller vec_id. Equal vectors, however many, are one entry of the forest with its k + 1 smallest
-    ids, which is all that any query can take of them. An empty table gives no rows.
+    rows has vec_id and embedding, other columns are not looked at; is_query tells the queries by vec_id, by default
+    those divisible by 100. Vectors that are null, zero or hold null or non-finite components take no part; nor do
+    such of another size than most. Of rows that repeat a vec_id the smallest vector stays; rows without vec_id are
+    left out. Ties go to the smaller vec_id. Equal vectors, however many, are one entry of the forest with its k + 1
+    smallest ids, which is all that any query can take of them. An empty table gives no rows.
+
+    `recall` is kept for vectors of about one length (from the centre), as a prefix speaks of angles. Work follows the
+    data: where nearest vectors are much nearer than others a query meets few; where they are hardly nearer, prefixes
+    must be short and a query meets a share of all.
     """
     is_query = F.col("vec_id") % 100 == 0 if is_query is None else is_query
     d = common.stored(usable(rows).withColumns({"v1": F.xxhash64("vector"), "v2": F.xxhash64(F.lit("second"), "vector")}))
@@ -147,39 +260,29 @@ def search(rows: DataFrame, *, is_query: F.Column | None = None, k: int = NEIGHB
     asked = queries.groupBy("v1", "v2").agg(F.lit(1).alias("asked"))
     entries = some.groupBy("v1", "v2").agg(F.min("vec_id").alias("entry"), F.sort_array(F.collect_list("vec_id")).alias("ids"), F.first("vector").alias("vector"))
     entries = common.stored(entries.join(asked, ["v1", "v2"], "left").withColumn("asked", F.col("asked").isNotNull()))
-    n = entries.count()
-    out = "query_id long, rank int, vec_id long, score double"
+    n = entries.where("asked").count()
     if not n:
-        return rows.sparkSession.createDataFrame([], out)
-    reach = max(reach, n // share)
-    part = min(1.0, 0.9 * SAMPLE / n)
-    sample = entries.where(F.pmod(F.xxhash64(F.lit("planes"), "entry"), F.lit(1 << 20)) <= part * (1 << 20)).orderBy(F.xxhash64("entry")).limit(SAMPLE).select("vector").toArrow().column(0).combine_chunks()
-    if not len(sample):
-        sample = entries.limit(1).select("vector").toArrow().column(0).combine_chunks()
-    x = matrix(sample)
-    medians = np.median(x @ planes(x.shape[1], trees, bits), 0)
-
-    keys = entries.select("entry", "vector").mapInArrow(_codes(medians, trees, bits), "tree int, code long, entry long, s0 long, s1 long, s2 long, s3 long")
-    sorted_keys = common.stored(keys.repartitionByRange("tree", "code", "entry").sortWithinPartitions("tree", "code", "entry").mapInArrow(_places, PLACES))
-    # one number for each partition
-    counts = {r["part"]: r["n"] for r in sorted_keys.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    starts, total = [], 0
-    for p in range(max(counts) + 1):
-        starts.append(total)
-        total += counts.get(p, 0)
-    at = F.element_at(F.array(*map(F.lit, starts)), (F.col("part") + 1).cast("int")) + F.col("place")
-    sketch = ("s0", "s1", "s2", "s3")
-    placed = sorted_keys.select("tree", "code", "entry", *sketch, at.cast("long").alias("place"))
-    block = lambda c: F.floor(c / BLOCK).cast("long")
-    of_entries = placed.select(block(F.col("place")).alias("block"), F.lit(0).alias("role"), "place", "tree", "code", "entry", *sketch)
-    asking = placed.join(entries.where("asked").select("entry"), "entry", "left_semi")
-    of_queries = asking.select(F.explode(F.sequence(block(F.greatest(F.col("place") - reach, F.lit(0))), block(F.col("place") + reach))).alias("block"), F.lit(1).alias("role"), "place", "tree", "code", "entry", *sketch)
-    found = of_entries.unionByName(of_queries).repartition("block").sortWithinPartitions("block").mapInArrow(_around(reach, bits, keep), FOUND)
-    taken = found.select("query", "entry").distinct()
-    vectors = entries.select("entry", "vector", "ids")
-    offered = taken.join(vectors, "entry").select("query", F.lit(1).alias("role"), "vector", "ids")
-    mine = entries.where("asked").select(F.col("entry").alias("query"), F.lit(0).alias("role"), "vector", "ids")
-    nearest = offered.unionByName(mine).repartition("query").sortWithinPartitions("query").mapInArrow(_nearest(k + 1), "query long, vec_id long, score double")
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    centre = centre_of(entries)
+    array, bounds = nodes(entries, centre, trees)
+
+    signed = F.when(F.col("upper"), F.col("place")).otherwise(-F.col("place"))
+    sizes = bounds.groupBy("query", "level").agg((F.sum(signed) - F.count_if("upper")).alias("others"))  # but for the query itself
+    # as many as trees * k, as one candidate may be met in every tree
+    down = common.stored(sizes.where((F.col("others") >= trees * k) | (F.col("level") == 0)).groupBy("query").agg(F.max("level").alias("level")))
+    near = _nearest(_offered(array, bounds, down), entries, centre, n, k + 1)
+    # what the first candidates say of how far all trees must ascend together; too few say nothing
+    least = F.array(*map(F.lit, least_cosines(trees, recall)))
+    far = entries.where("asked").select(F.col("entry").alias("query")).join(near.where(F.col("nth") <= k).groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.min("cosine").alias("cosine")), "query", "left")
+    level = F.when(F.col("n") == k, F.size(F.filter(least, lambda c: c <= F.col("cosine")))).otherwise(0)
+    up = far.select("query", level.alias("to")).join(down, "query").where("to < level").select("query", F.col("to").alias("level"))
+    more = _nearest(_offered(array, bounds, common.stored(up)), entries, centre, n, k + 1)
+
+    own = entries.where("asked").select(F.col("entry").alias("query"), "entry", F.lit(0.0).alias("score"))
+    found = near.unionByName(more).groupBy("query", "entry").agg(F.min("score").alias("score")).unionByName(own)
+    nearest = found.join(entries.select("entry", "ids"), "entry").select("query", F.explode("ids").alias("vec_id"), "score")
+    best = F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))
+    nearest = nearest.withColumn("nth", best).where(F.col("nth") <= k + 1)
     each = queries.join(entries.where("asked").select("v1", "v2", F.col("entry").alias("query")), ["v1", "v2"]).select("query_id", "query")
     hits = each.join(nearest, "query").where("query_id <> vec_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))

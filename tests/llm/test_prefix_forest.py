@@ -58,6 +58,35 @@ def test_recall_without_structure(spark):
     assert hits >= 0.92 * sum(map(len, want.values()))
 
 
+def test_clusters_of_near_copies(spark):
+    """A third of all vectors lie in one tight group, others in pairs: nearest ones are much nearer than the rest."""
+    r = np.random.default_rng(3)
+    one = r.standard_normal(16)
+    x = np.concatenate((one + 1e-3 * r.standard_normal((1000, 16)), np.repeat(r.standard_normal((1000, 16)), 2, axis=0) + 0.01 * r.standard_normal((2000, 16))))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got, want = found(prefix_forest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=1)), brute(rows, 1)
+    assert got.keys() == want.keys()
+    assert sum(got[q][0][0] == want[q][0][0] for q in want) >= 0.9 * len(want)
+
+
+def test_met_at_is_what_strings_show():
+    r = np.random.default_rng(4)
+    a, b = r.standard_normal((2, 300, 24))
+    cosine = 0.6
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b -= (a * b).sum(1)[:, None] * a
+    b = cosine * a + 0.8 * b / np.linalg.norm(b, axis=1)[:, None]
+    met = prefix_forest.met_at(np.array([cosine]))[0]
+    differ = np.frexp((prefix_forest.strings(a, 64) ^ prefix_forest.strings(b, 64)).astype(float))[1]
+    for level in (1, 4, 5, 8, 12):
+        assert abs((prefix_forest.BITS - differ >= level).mean() - met[level]) < 0.03
+
+
+def test_repeated_ids_and_clashing_columns(spark):
+    d = spark.createDataFrame([(0, [1.0, 0.0], "a", 1), (0, [0.5, 0.0], "b", 2), (7, [0.0, 1.0], "c", 3), (9, [0.0, 1.0], "c", 3)], "vec_id int, embedding array<float>, query string, entry long")
+    assert [(r.vec_id, r["rank"]) for r in prefix_forest.search(d).orderBy("rank").collect()] == [(7, 1), (9, 2)]
+
+
 def test_small_and_empty_tables(spark):
     d = spark.createDataFrame([(0, [1.0, 0.0]), (7, [0.0, 1.0]), (100, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert {q: [i for i, _ in v] for q, v in found(prefix_forest.search(d)).items()} == {0: [100, 7], 100: [0, 7]}

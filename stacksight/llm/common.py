@@ -156,6 +156,37 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import zstandard
+
+    tool = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        data, offsets = text_buffer(batch.column(1))
+        raw = data.tobytes()
+        packed = [tool.compress(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["doc_id", "packed"])
+
+
+def squeezed(docs: DataFrame) -> DataFrame:
+    """(doc_id, packed): each text compressed, for where texts must be shuffled; a null text is empty."""
+    return docs.select("doc_id", "text").mapInArrow(_squeeze, "doc_id long, packed binary")
+
+
+def squeezed_blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Batches whose second column is compressed text, cut to blocks of about limit bytes of text: the rows, their bytes and offsets."""
+    import zstandard
+
+    tool = zstandard.ZstdDecompressor()
+    for batch in batches:
+        held, size, lo = [], 0, 0
+        for k, x in enumerate(batch.column(1)):
+            held.append(tool.decompress(x.as_py()))
+            size += len(held[-1])
+            if size >= limit or k + 1 == batch.num_rows:
+                yield batch.slice(lo, len(held)), np.frombuffer(b"".join(held), np.uint8), np.cumsum([0, *map(len, held)])
+                held, size, lo = [], 0, k + 1
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written as compressed Parquet to the shared folder and read back: lineage is cut, and a lost executor costs nothing."""
     spark = df.sparkSession

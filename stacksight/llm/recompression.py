@@ -1,29 +1,147 @@
 """Operator 8: repeated passages by recompression.
 
 Words are symbols. In each round, runs of an equal symbol and then pairs (a left and a right symbol, by a hash bit
-of their names) become new symbols named by a fingerprint of their content, so that every task names them alike.
-A symbol's context is the stretch of words that decides that it exists; wherever that stretch recurs, the symbol
-does too. Each window of words picks the highest symbol whose context lies inside it. Windows that share such a
-symbol are compared: by their blocks where those agree, else by fingerprints of the windows themselves.
+of their names) become new symbols named by a fingerprint of their content, so that every task names them alike and
+equal passages have equal symbols inside.
+
+Long repeats. The first rounds run inside the tasks until symbols have LONG words. From there each round is a Spark
+step over all documents: names are counted, symbols whose name occurs once are left out, as no larger one that holds
+them repeats, and the others that follow each other are named on. Words of a symbol whose name occurs in an earlier
+document, at any level, are decided, however long the repeat is.
+
+Edges. Windows that no such symbol holds are told by low symbols. A symbol's context is the stretch of words that
+decides that it exists; wherever that stretch recurs, the symbol does too. Each window picks the highest symbol of
+ROUNDS rounds whose context lies inside it, and windows that share such a symbol are compared: by their blocks where
+those agree, else by fingerprints of the windows themselves. A decided window need not be looked at even as a first
+occurrence: the first document that holds it has it undecided.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import common, repeats
 
 SPAN = 13
-#: More rounds name longer symbols, whose contexts leave a window of 13 words less choice; with one, runs of windows are longest.
+#: Words of the symbols that Spark rounds begin with, at least; and rounds in the tasks that make them.
+LONG, FIRST_ROUNDS = 24, 16
+#: Runs and pairs are named so many times between the first two counts, and twice as often between any later two.
+STEPS = 4
+#: Of the symbols that windows pick. More rounds name longer symbols, whose contexts leave a window of 13 words less choice; with one, runs of windows are longest.
 ROUNDS = 1
+SYMBOLS = "doc_id long, start long, end long, name long, check long"
 WINDOWS = "akey long, bkey long, off int, h1 long, h2 long, n long, owner long"
 
 
+def named_on(name: np.ndarray, start: np.ndarray, end: np.ndarray, after: np.ndarray, ready: np.ndarray, level: int):
+    """One round: runs of an equal symbol become one, then pairs of a left symbol and the right one behind it.
+
+    name has a row for each of one or more independent fingerprints. after tells whether a symbol begins where the one
+    before ends; only those that are ready take part.
+    """
+    same = np.zeros(len(start), bool)
+    same[1:] = (name[:, 1:] == name[:, :-1]).all(0) & after[1:] & ready[1:] & ready[:-1]
+    first = np.flatnonzero(~same)
+    last = np.append(first[1:], len(start)) - 1
+    length = (last - first + 1).astype(np.uint64)
+    name = np.where(length > 1, common.mixed(name[:, first] + length), name[:, first])
+    start, end, after, ready = start[first], end[last], after[first], ready[first]
+    right = (common.mixed(name[0] + np.uint64(level)) >> np.uint64(63)).astype(bool)
+    head = np.zeros(len(start), bool)
+    head[:-1] = ~right[:-1] & right[1:] & after[1:] & ready[:-1] & ready[1:]
+    at = np.flatnonzero(~np.concatenate(([False], head[:-1])))
+    paired, mate = head[at], np.minimum(at + 1, len(start) - 1)
+    both = common.mixed(name[:, at] * np.uint64(0x9E3779B97F4A7C15) + common.mixed(name[:, mate] + np.uint64(level)))
+    return np.where(paired, both, name[:, at]), start[at], np.where(paired, end[mate], end[at]), after[at], ready[at]
+
+
+def long_symbols(names: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word ranges of the symbols that FIRST_ROUNDS rounds make of the words of each row, naming on those below `least` words.
+
+    Shorter ones that are left belong to the long one before them; those at a row's beginning are one symbol.
+    """
+    n = len(names)
+    start = np.arange(n)
+    end, after = start + 1, np.ones(n, bool)
+    after[first[:-1][np.diff(first) > 0]] = False
+    name = names[None, :]
+    for level in range(1, FIRST_ROUNDS + 1):
+        name, start, end, after, _ = named_on(name, start, end, after, end - start < least, level)
+    begins = np.flatnonzero((end - start >= least) | ~after)
+    return start[begins], end[np.append(begins[1:], len(start)) - 1] if n else end
+
+
+def _symbols(span: int, least: int):
+    limit = common.BLOCK_BYTES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in repeats.blocks_of(batches):
+            starts, ends, first, names = word_names(data, offsets)
+            other = common.word_hashes(data, starts, ends, poly=common.POLY_B)
+            ids = rows.column(0).to_numpy(zero_copy_only=False)
+            step = limit if len(first) == 2 and len(names) > 2 * limit else max(len(names), 1)
+            for lo in range(0, len(names), step):  # one long text part by part
+                part, own = names[lo : lo + step], first if step != limit else np.array([0, len(names[lo : lo + step])])
+                s, e = long_symbols(part, own, least)
+                s, e = s[e - s >= span], e[e - s >= span]
+                row = np.searchsorted(own, s, "right") - 1
+                name, check = common.POLY_A.of(common.POLY_A.prefix(part), s, e), common.POLY_B.of(common.POLY_B.prefix(other[lo : lo + step]), s, e)
+                base = lo - own[row]
+                yield repeats.arrow_rows(SYMBOLS, [pa.array(ids[row]), pa.array(s + base), pa.array(e + base), common.signed(name), common.signed(check)])
+
+    return run
+
+
+def _grown(level: int):
+    """mapInArrow body over symbols sorted by document and start: the larger ones that they are named to, and those left; `new` tells which."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            held = rows if held is None else pa.concat_tables([held, rows])
+            doc = held.column(0).to_numpy()
+            whole = int(np.searchsorted(doc, doc[-1])) if len(doc) else 0  # the last document may go on
+            if whole:
+                yield grown(held.slice(0, whole))
+                held = held.slice(whole)
+        if held is not None and held.num_rows:
+            yield grown(held)
+
+    def grown(rows: pa.Table) -> pa.RecordBatch:
+        doc, start, end, name, check = (c.to_numpy() for c in rows.columns)
+        names = np.stack((name, check)).view(np.uint64)
+        after = np.zeros(len(doc), bool)
+        after[1:] = (doc[1:] == doc[:-1]) & (start[1:] == end[:-1])
+        known, first = end, np.arange(len(doc))
+        for step in range(STEPS << level):
+            names, first, end, after, _ = named_on(names, first, end, after, np.ones(len(first), bool), 1000 + (STEPS << level) + step)
+        return pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(start[first]), pa.array(end), *(common.signed(np.ascontiguousarray(x)) for x in names), pa.array(end > known[first])], ["doc_id", "start", "end", "name", "check", "new"])
+
+    return run
+
+
+def long_repeats(docs: DataFrame, *, span: int = SPAN, least: int = LONG) -> DataFrame:
+    """(doc_id, start, end, level): word ranges of symbols whose name, at that level, occurs in a document with a smaller doc_id."""
+    symbols = docs.select("doc_id", "text").mapInArrow(_symbols(span, least), SYMBOLS)
+    found, level = [], 0
+    while True:
+        names = symbols.groupBy("name", "check").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).where("n > 1").drop("n")
+        live = common.stored(symbols.join(repeats.apart(names, "name", "check"), ["name", "check"]).select("doc_id", "start", "end", "name", "check", "first"))
+        found.append(live.where("doc_id > first").select("doc_id", "start", "end", F.lit(level).alias("level")))
+        grown = common.stored(live.drop("first").repartition("doc_id").sortWithinPartitions("doc_id", "start").mapInArrow(_grown(level), f"{SYMBOLS}, new boolean"))
+        if grown.where("new").isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        symbols, level = grown.drop("new"), level + 1
+
+
 class Level:
     """Symbols of one level: names, word ranges and contexts."""
 
@@ -111,14 +229,22 @@ def word_names(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, first, common.word_hashes(data, starts, ends)
 
 
+def undecided(windows: np.ndarray, span: int, lo: np.ndarray, hi: np.ndarray, n: int) -> np.ndarray:
+    """Which of the windows of `span` words do not lie in one of the ranges."""
+    return ~repeats.merged(lo, np.maximum(hi - span + 1, lo), n)[windows]
+
+
 def _runs(span: int, rounds: int):
+    """mapInArrow body over (doc_id, packed, spans): the runs of windows that no span holds."""
     limit = common.BLOCK_BYTES
 
-    def of(doc_ids, names, first) -> pa.RecordBatch | None:
+    def of(doc_ids, names, first, begin, end) -> pa.RecordBatch | None:
         if len(names) < span:
             return None
         windows, row, symbol, lo, hi = anchors(names, first, span, rounds)
-        place = np.searchsorted(windows, np.arange(len(names)))  # of a window start among the valid ones
+        keep = undecided(windows, span, begin, end, len(names))
+        windows, symbol, lo, hi = windows[keep], symbol[keep], lo[keep], hi[keep]
+        place = np.searchsorted(windows, np.arange(len(names)))  # of a window start among those left
         a, b = common.POLY_A.prefix(names), common.POLY_B.prefix(names)
 
         def keys(s, e, sym):
@@ -128,13 +254,17 @@ def _runs(span: int, rounds: int):
         return repeats.run_rows(doc_ids, windows, symbol, row[windows], first, keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in repeats.blocks_of(batches):
+        for rows, data, offsets in common.squeezed_blocks(batches):
             ids = rows.column(0).to_numpy(zero_copy_only=False)
             _, _, first, names = word_names(data, offsets)
+            cut, begin, end = repeats.unpacked(rows.column(2))
+            base = np.repeat(first[:-1], np.diff(cut))
+            begin, end = begin + base, end + base
             step = limit if len(first) == 2 and len(names) > 2 * limit else max(len(names), 1)
             for lo in range(0, len(names), step):
                 part = names[lo : lo + step + span - 1] if step == limit else names
-                out = of(ids, part, first if step != limit else np.array([0, len(part)]))
+                inside = lambda x: np.clip(x - lo, 0, len(part))  # noqa: B023, E731
+                out = of(ids, part, first if step != limit else np.array([0, len(part)]), inside(begin), inside(end))
                 if out is not None:
                     yield pa.RecordBatch.from_arrays([*out.columns[:3], pa.compute.add(out.column(3), pa.scalar(lo << 24, pa.int64()))], out.schema.names)
 
@@ -143,7 +273,7 @@ def _runs(span: int, rounds: int):
 
 def _windows(span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in repeats.blocks_of(batches):
+        for rows, data, offsets in common.squeezed_blocks(batches):
             starts, ends, first, names = word_names(data, offsets)
             other = common.word_hashes(data, starts, ends, poly=common.POLY_B)
             row, x = repeats.flat_lists(rows, ["akey", "bkey", "n", "s", "e"])
@@ -158,15 +288,18 @@ def _windows(span: int):
     return run
 
 
-def repeated_words(docs: DataFrame, *, span: int = SPAN, rounds: int = ROUNDS) -> DataFrame:
+def repeated_words(docs: DataFrame, *, span: int = SPAN, rounds: int = ROUNDS, least: int = LONG) -> DataFrame:
     """(doc_id, spans): packed word ranges covered by windows that also start in a document with a smaller doc_id."""
-    runs = docs.select("doc_id", "text").mapInArrow(_runs(span, rounds), repeats.RUNS)
+    decided = long_repeats(docs, span=span, least=least).groupBy("doc_id").agg(F.collect_set(repeats.packed("start", "end")).alias("spans"))
+    decided, texts = common.stored(decided), common.squeezed(docs)
+    runs = texts.join(decided, "doc_id", "left").select("doc_id", "packed", "spans").mapInArrow(_runs(span, rounds), repeats.RUNS)
 
-    def marks(docs: DataFrame, blocks: DataFrame) -> DataFrame:
-        windows = repeats.with_representatives(docs, blocks).mapInArrow(_windows(span), WINDOWS)
+    def marks(texts: DataFrame, blocks: DataFrame) -> DataFrame:
+        windows = repeats.with_representatives(texts, blocks).mapInArrow(_windows(span), WINDOWS)
         return repeats.marks_of_windows(windows, earlier_only=True)
 
-    return repeats.covers(docs, runs, span, marks, earlier_only=True)
+    rest = repeats.covers(texts, runs, span, marks, earlier_only=True)
+    return decided.unionByName(rest).groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
@@ -174,7 +307,7 @@ DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept st
 
 def _remove(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in repeats.blocks_of(batches):
+        for rows, data, offsets in common.squeezed_blocks(batches):
             cut, lo, hi = repeats.unpacked(rows.column(2))
             starts, ends, first = common.word_spans(data, offsets)
             length = ends - starts
@@ -203,7 +336,7 @@ def _remove(with_text: bool):
     return run
 
 
-def deduplicate(docs: DataFrame, *, span: int = SPAN, rounds: int = ROUNDS, with_text: bool = True) -> DataFrame:
+def deduplicate(docs: DataFrame, *, span: int = SPAN, rounds: int = ROUNDS, least: int = LONG, with_text: bool = True) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256, and with_text the kept words joined by one space.
 
     Each word covered by a window of `span` words that also starts in a document with a smaller doc_id is removed;
@@ -211,5 +344,6 @@ def deduplicate(docs: DataFrame, *, span: int = SPAN, rounds: int = ROUNDS, with
     smallest text); rows without doc_id are left out; other columns are not looked at. An empty table gives no rows.
     """
     d = common.unique_documents(docs)
-    out = d.join(repeated_words(d, span=span, rounds=rounds), "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_remove(with_text), DIGEST)
+    spans = common.stored(repeated_words(d, span=span, rounds=rounds, least=least))
+    out = common.squeezed(d).join(spans, "doc_id", "left").select("doc_id", "packed", "spans").mapInArrow(_remove(with_text), DIGEST)
     return out if with_text else out.drop("kept")

@@ -64,33 +64,42 @@ def run_rows(doc_ids: np.ndarray, windows: np.ndarray, anchors: np.ndarray, row:
     return arrow_rows(RUNS, [pa.array(doc_ids[r]), common.signed(akey), common.signed(bkey), pa.array(at)])
 
 
-def covers(docs: DataFrame, runs: DataFrame, span: int, marks: Callable[[DataFrame, DataFrame], DataFrame], *, earlier_only: bool) -> DataFrame:
+def apart(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by something else than its keys, so that a join on them has to exchange it.
+
+    Spark splits the hot keys of a join only where both sides are exchanges; the result of an aggregate or join on the
+    same keys is none.
+    """
+    return df.repartition(F.xxhash64(F.lit("apart"), *keys))
+
+
+def covers(texts: DataFrame, runs: DataFrame, span: int, marks: Callable[[DataFrame, DataFrame], DataFrame], *, earlier_only: bool) -> DataFrame:
     """(doc_id, spans): packed [lo, hi) symbol ranges covered by repeated windows.
 
     A window counts as repeated if it starts anywhere else or, with earlier_only, in a document with a smaller id.
-    marks(docs, blocks) gives, for blocks that share an anchor but differ, the offsets lo..hi of window starts that
+    marks(texts, blocks) gives, for blocks that share an anchor but differ, the offsets lo..hi of window starts that
     are repeated in another block (with earlier_only: in one whose smallest document comes before).
     """
     often = runs.groupBy("akey").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("akey")
-    hits = common.stored(runs.join(often, "akey", "left_semi"))
+    hits = common.stored(runs.join(apart(often, "akey"), "akey", "left_semi"))
     blocks = hits.groupBy("akey", "bkey").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "at")).alias("rep"), F.max("doc_id").alias("last"))
     blocks = common.checkpointed(blocks)
     shared = blocks.groupBy("akey").agg(F.count(F.lit(1)).alias("variants")).where("variants > 1")
-    found = marks(docs, blocks.join(shared, "akey")).groupBy("akey", "bkey").agg(F.collect_list(packed(F.col("lo").cast("long"), F.col("hi").cast("long"))).alias("marks"))
+    found = marks(texts, blocks.join(apart(shared, "akey"), "akey")).groupBy("akey", "bkey").agg(F.collect_list(packed(F.col("lo").cast("long"), F.col("hi").cast("long"))).alias("marks"))
     whole = F.col("last") > F.col("rep.doc_id") if earlier_only else F.col("n") > 1
     useful = blocks.join(found, ["akey", "bkey"], "left").where(whole | F.col("marks").isNotNull()).select("akey", "bkey", F.col("rep.doc_id").alias("owner"), whole.alias("whole"), "marks")
     full = F.col("whole") & (F.col("doc_id") > F.col("owner")) if earlier_only else F.col("whole")
     s, e = first_start("at"), last_start("at")
     of_marks = F.transform("marks", lambda m: F.shiftleft(s + F.shiftright(m, 32), 32).bitwiseOR(s + m.bitwiseAND(F.lit(0xFFFFFFFF)) + span))
-    spans = hits.join(useful, ["akey", "bkey"]).select("doc_id", F.when(full, F.array(packed(s, e + span))).otherwise(of_marks).alias("some")).where("some is not null")
+    spans = hits.join(apart(useful, "akey", "bkey"), ["akey", "bkey"]).select("doc_id", F.when(full, F.array(packed(s, e + span))).otherwise(of_marks).alias("some")).where("some is not null")
     return spans.groupBy("doc_id").agg(F.flatten(F.collect_list("some")).alias("spans"))
 
 
-def with_representatives(docs: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Documents that hold the representative of a block: doc_id, text, and the blocks as parallel lists in one order."""
+def with_representatives(texts: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Documents that hold the representative of a block: doc_id, the packed text, and the blocks as parallel lists in one order."""
     wanted = blocks.groupBy(F.col("rep.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("akey", "bkey", "variants", "n", first_start("rep.at").alias("s"), last_start("rep.at").alias("e"), anchor("rep.at").alias("a"))).alias("wanted"))
     parts = [F.col(f"wanted.{c}").alias(c) for c in ("akey", "bkey", "variants", "n", "s", "e", "a")]
-    return docs.join(wanted, "doc_id").select("doc_id", "text", *parts)
+    return texts.join(wanted, "doc_id").select("doc_id", "packed", *parts)
 
 
 def flat_lists(batch: pa.RecordBatch, names: list[str]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
@@ -110,7 +119,7 @@ def marks_of_windows(windows: DataFrame, *, earlier_only: bool) -> DataFrame:
     """MARKS from rows (akey, bkey, off, h1, h2, n, owner): windows equal by both fingerprints, whatever their number."""
     same = windows.groupBy("h1", "h2").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("times"), F.min("owner").alias("first")).where("times > 1")
     rule = F.col("first") < F.col("owner") if earlier_only else F.col("all") > 1
-    return windows.join(same, ["h1", "h2"]).where(rule).select("akey", "bkey", F.col("off").alias("lo"), F.col("off").alias("hi"))
+    return windows.join(apart(same, "h1", "h2"), ["h1", "h2"]).where(rule).select("akey", "bkey", F.col("off").alias("lo"), F.col("off").alias("hi"))
 
 
 def arrow_rows(schema: str, columns: list) -> pa.RecordBatch:

@@ -80,7 +80,7 @@ def _parts(span: int, limit: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in repeats.blocks_of(batches):
+        for rows, data, offsets in common.squeezed_blocks(batches):
             row, x = repeats.flat_lists(rows, ["akey", "bkey", "variants", "n", "s", "e", "a"])
             few = np.flatnonzero(x["variants"] <= limit)
             raw, begin, end = data.tobytes(), offsets[row[few]] + x["s"][few], offsets[row[few]] + x["e"][few] + span
@@ -119,11 +119,11 @@ def crowded_marks(chunks: DataFrame) -> DataFrame:
     """
     kinds = chunks.groupBy("core", "union").agg(F.sum("n").alias("times"), F.first(F.struct("h1", "h2")).alias("w"))
     mixed = kinds.groupBy("core").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("core")
-    windows = kinds.join(mixed, "core").select("core", "union", "times", F.posexplode(F.arrays_zip("w.h1", "w.h2")).alias("at", "h")).select("core", "union", "times", "at", "h.h1", "h.h2")
+    windows = kinds.join(repeats.apart(mixed, "core"), "core").select("core", "union", "times", F.posexplode(F.arrays_zip("w.h1", "w.h2")).alias("at", "h")).select("core", "union", "times", "at", "h.h1", "h.h2")
     same = windows.groupBy("core", "h1", "h2").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").drop("kinds")
-    parts = windows.where("times = 1").join(same, ["core", "h1", "h2"]).groupBy("core", "union").agg(F.collect_list("at").alias("parts"))
+    parts = windows.where("times = 1").join(repeats.apart(same, "core", "h1", "h2"), ["core", "h1", "h2"]).groupBy("core", "union").agg(F.collect_list("at").alias("parts"))
     known = kinds.join(parts, ["core", "union"], "left").where("times > 1 or parts is not null").select("core", "union", F.when(F.col("times") == 1, F.col("parts")).alias("parts"))
-    marked = chunks.select("akey", "bkey", "lo", "hi", "core", "union").join(known, ["core", "union"])
+    marked = chunks.select("akey", "bkey", "lo", "hi", "core", "union").join(repeats.apart(known, "core", "union"), ["core", "union"])
     whole = marked.where("parts is null").select("akey", "bkey", "lo", "hi")
     return whole.unionByName(marked.where("parts is not null").select("akey", "bkey", F.explode("parts").alias("at"), "lo").select("akey", "bkey", (F.col("lo") + F.col("at")).alias("lo"), (F.col("lo") + F.col("at")).alias("hi")))
 
@@ -238,12 +238,12 @@ def repeated_spans(docs: DataFrame, *, span: int = SPAN, gram: int = GRAM) -> Da
     """(doc_id, spans): packed byte ranges that strings of `span` bytes cover which also start elsewhere."""
     runs = docs.select("doc_id", "text").mapInArrow(_runs(span, gram), repeats.RUNS)
 
-    def marks(docs: DataFrame, blocks: DataFrame) -> DataFrame:
-        parts = common.stored(repeats.with_representatives(docs, blocks).mapInArrow(_parts(span, VARIANTS_IN_ONE_ARRAY), PARTS))
+    def marks(texts: DataFrame, blocks: DataFrame) -> DataFrame:
+        parts = common.stored(repeats.with_representatives(texts, blocks).mapInArrow(_parts(span, VARIANTS_IN_ONE_ARRAY), PARTS))
         small = repeat_groups(parts.where("segment is not null"), span).select("akey", "bkey", "lo", (F.col("lo") + F.col("length") - span).alias("hi"))
         return small.unionByName(crowded_marks(parts.where("segment is null")))
 
-    return repeats.covers(docs, runs, span, marks, earlier_only=False)
+    return repeats.covers(common.squeezed(docs), runs, span, marks, earlier_only=False)
 
 
 DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -251,7 +251,7 @@ DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 def _remove(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in repeats.blocks_of(batches):
+        for rows, data, offsets in common.squeezed_blocks(batches):
             cut, lo, hi = repeats.unpacked(rows.column(2))
             out: list[list] = [[] for _ in range(5)]
             for k in range(rows.num_rows):
@@ -282,7 +282,7 @@ def deduplicate(docs: DataFrame, *, span: int = SPAN, gram: int = GRAM, with_tex
     """
     d = common.unique_documents(docs)
     found = repeated_spans(d, span=span, gram=gram)
-    out = d.join(found, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_remove(with_text), DIGEST)
+    out = common.squeezed(d).join(common.stored(found), "doc_id", "left").select("doc_id", "packed", "spans").mapInArrow(_remove(with_text), DIGEST)
     return out if with_text else out.drop("kept")
 
 

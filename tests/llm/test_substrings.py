@@ -28,6 +28,39 @@ def test_passages_match_brute_force(spark, seed):
     assert sum(v[1] for v in want.values()) > 500
 
 
+def long_texts(seed: int) -> dict:
+    """Texts of over 600,000 bytes that share stretches of some 20,000 words, some with single words changed, beside short ones."""
+    r = random.Random(seed)
+    words = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
+    shared = words(20_000)
+    edited = [w if r.random() > 0.003 else "edit" for w in shared]
+    texts = {1: words(60_000) + shared + words(40_000), 2: words(30_000) + edited + words(70_000), 3: edited[5_000:] + words(100), 4: shared[100:160], 5: words(50)}
+    return {d: " ".join(w) for d, w in texts.items()}
+
+
+def test_long_texts_match_brute_force(spark):
+    texts = long_texts(7)
+    assert max(map(len, texts.values())) > 2 * (1 << 18)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in recompression.deduplicate(brute.table(spark, texts)).collect()}
+    assert got == brute.passage_dedup(texts)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_array.deduplicate(brute.table(spark, texts)).collect()}
+    assert got == brute.substring_dedup(texts)
+
+
+@pytest.mark.parametrize("least", [13, 20])
+def test_long_symbols_name_repeats_at_several_levels(spark, least):
+    r = random.Random(5)
+    words = lambda n: [r.choice("abcdefghijklmnop") + str(r.randrange(40)) for _ in range(n)]
+    shared = words(900)
+    texts = {1: shared, 2: words(30) + shared[100:] + words(50), 3: ["x"] * 500, 4: words(20) + ["x"] * 400, 5: words(400)}
+    found = recompression.long_repeats(brute.table(spark, {d: " ".join(w) for d, w in texts.items()}), least=least).collect()
+    assert {f.doc_id for f in found} <= {2, 4} and len({f.level for f in found}) > 2
+    for f in found:
+        part = texts[f.doc_id][f.start : f.end]
+        assert any(part == w[i : i + len(part)] for d, w in texts.items() if d < f.doc_id for i in range(len(w) - len(part) + 1))
+    assert max(f.end - f.start for f in found if f.doc_id == 2) > 300
+
+
 def test_maximal_repeats_hold_all_occurrences():
     segments = [b"xabcabcy", b"zabcabcw", b"abc"]
     found = {segments[o[0][0]][o[0][1] : o[0][1] + n]: sorted(o) for n, o in ((n, list(o)) for n, o in suffix_array.maximal_repeats(segments, __import__("numpy").array([8, 8, 3]), 3))}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,13 @@ BRANDING = r"\b(?:series|universe|collection|world|saga)\b"
 NUMERIC = r"^\s*[+-]?(\d+\.?\d*|\.\d+)\s*$"
 
 
+def bound(*values: Column, use: Callable[..., Column]) -> Column:
+    """use(*values) with each value computed once; an expression that names an input several times repeats it otherwise."""
+    if not values:
+        return use()
+    return F.element_at(F.transform(F.array(values[0]), lambda x: bound(*values[1:], use=lambda *rest: use(x, *rest))), 1)
+
+
 def text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
@@ -97,8 +106,7 @@ def title_identity(c: Column) -> Column:
 
 
 def positive_number(c: Column) -> Column:
-    n = number(c)
-    return F.when(n > 0, n)
+    return bound(number(c), use=lambda n: F.when(n > 0, n))
 
 
 def number_text(n: Column) -> Column:
@@ -108,12 +116,11 @@ def number_text(n: Column) -> Column:
 
 def series_book_key(series: Column, n: Column) -> Column:
     """`series|number`, null where either side is missing."""
-    s, p = series_identity(series), positive_number(n)
-    return F.when((s != "") & p.isNotNull(), F.concat_ws("|", s, number_text(p)))
+    return bound(series_identity(series), positive_number(n), use=lambda s, p: F.when((s != "") & p.isNotNull(), F.concat_ws("|", s, number_text(p))))
 
 
 def title_key(c: Column) -> Column:
-    return F.nullif(title_identity(c), F.lit(""))
+    return bound(title_identity(c), use=lambda t: F.when(t != "", t))
 
 
 def display_title(title: Column, canonical: Column) -> Column:
@@ -145,8 +152,7 @@ def bare_title_key(c: Column) -> Column:
 
 
 def core_title_key(c: Column) -> Column:
-    n = inferred_number(c)
-    return F.concat(bare_title_key(c), F.when(n.isNotNull(), F.concat(F.lit(" "), n.cast("bigint").cast("string"))).otherwise(""))
+    return F.concat(bare_title_key(c), F.coalesce(F.concat(F.lit(" "), inferred_number(c).cast("bigint").cast("string")), F.lit("")))
 
 
 def number_context(c: Column) -> Column:
@@ -157,28 +163,26 @@ def number_context(c: Column) -> Column:
 
 def inferred_number(c: Column, series: Column | None = None) -> Column:
     """The place in a series that a title tells: `#N`, `book|volume|vol N`, a spelled number, `<series> N`."""
-    context, clean = number_context(c), normalized(c)
-    found = [positive_number(extract(text(c), r"#\s*(\d+(?:\.\d+)?)\b"))]
-    found += [positive_number(extract(context, rf"\b{word}\s*(\d+(?:\.\d+)?)\b")) for word in ("book", "volume", r"vol\.?")]
-    word = extract(clean, r"\b(?:book|volume|vol\.?)\s+(" + "|".join(NUMBER_WORDS) + r")\b")
-    found.append(F.nullif(F.coalesce(F.array_position(F.array(*map(F.lit, NUMBER_WORDS)), word), F.lit(0)), F.lit(0)).cast("double"))
-    if series is not None:
-        s = normalized(series)
-        after = F.when((s != "") & F.startswith(clean, s), F.trim(F.substring(clean, F.length(s) + 1, F.length(clean))))
-        found.append(positive_number(extract(after, r"^(\d+)\b")))
-        # the name is letters, digits and blanks, so it stands for itself in a pattern
-        anywhere = F.nullif(F.call_function("regexp_extract", clean, F.concat(F.lit(r"\b"), s, F.lit(r"\s+(\d+)\b")), F.lit(1)), F.lit(""))
-        found.append(F.when(s != "", positive_number(anywhere)))
-    return F.coalesce(*found)
+
+    def told(context: Column, clean: Column, s: Column | None = None) -> Column:
+        found = [positive_number(extract(text(c), r"#\s*(\d+(?:\.\d+)?)\b"))]
+        found += [positive_number(extract(context, rf"\b{word}\s*(\d+(?:\.\d+)?)\b")) for word in ("book", "volume", r"vol\.?")]
+        word = extract(clean, r"\b(?:book|volume|vol\.?)\s+(" + "|".join(NUMBER_WORDS) + r")\b")
+        found.append(bound(F.array_position(F.array(*map(F.lit, NUMBER_WORDS)), word), use=lambda n: F.when(n > 0, n.cast("double"))))
+        if s is not None:
+            after = F.when((s != "") & F.startswith(clean, s), F.trim(F.substring(clean, F.length(s) + 1, F.length(clean))))
+            found.append(positive_number(extract(after, r"^(\d+)\b")))
+            # the name is letters, digits and blanks, so it stands for itself in a pattern
+            anywhere = F.call_function("regexp_extract", clean, F.concat(F.lit(r"\b"), s, F.lit(r"\s+(\d+)\b")), F.lit(1))
+            found.append(F.when(s != "", positive_number(anywhere)))
+        return F.coalesce(*found)
+
+    return bound(number_context(c), normalized(c), *([] if series is None else [normalized(series)]), use=told)
 
 
 def is_placeholder_title(c: Column) -> Column:
-    t = normalized(c)
-    padded = F.concat(F.lit(" "), t, F.lit(" "))
-    out = t == ""
-    for marker in PLACEHOLDER_TITLES:
-        out = out | padded.contains(f" {marker} ")
-    return out
+    padded = F.concat(F.lit(" "), normalized(c), F.lit(" "))
+    return padded.rlike("^ +$|" + "|".join(f" {marker} " for marker in PLACEHOLDER_TITLES))
 
 
 def branding_name(c: Column) -> Column:
@@ -186,11 +190,7 @@ def branding_name(c: Column) -> Column:
 
 
 def is_not_new_release(c: Column) -> Column:
-    t = normalized(c)
-    out = t.rlike("|".join(NOT_A_NEW_RELEASE_PATTERNS))
-    for marker in NOT_A_NEW_RELEASE:
-        out = out | t.contains(marker)
-    return out
+    return normalized(c).rlike("|".join((*NOT_A_NEW_RELEASE_PATTERNS, *NOT_A_NEW_RELEASE)))
 
 
 def is_english_or_unknown(c: Column) -> Column:
@@ -208,28 +208,40 @@ def overlap_ratio(a: Column, b: Column) -> Column:
 
 
 def series_names_compatible(a: Column, b: Column) -> Column:
-    x, y = branding_name(a), branding_name(b)
-    s, t = tokens(x), tokens(y)
-    subset = (F.size(F.array_except(s, t)) == 0) | (F.size(F.array_except(t, s)) == 0)
-    return (x != "") & (y != "") & ((x == y) | ((F.size(F.array_intersect(s, t)) >= 2) & (subset | (overlap_ratio(s, t) >= 0.5))))
+    return bound(branding_name(a), branding_name(b), use=brands_compatible)
+
+
+def brands_compatible(x: Column, y: Column) -> Column:
+    """Of two branding names: equal, or two shared words or more and one within the other or half of the shorter one shared."""
+
+    def close(s: Column, t: Column) -> Column:
+        subset = (F.size(F.array_except(s, t)) == 0) | (F.size(F.array_except(t, s)) == 0)
+        return (F.size(F.array_intersect(s, t)) >= 2) & (subset | (overlap_ratio(s, t) >= 0.5))
+
+    return (x != "") & (y != "") & ((x == y) | bound(tokens(x), tokens(y), use=close))
 
 
 def is_series_variant(title: Column, series: Column, isbn13: Column, hint: Column) -> Column:
     """The title is the series' name, or that with fillers, and neither an ISBN nor a number speaks for a book."""
-    t, s = branding_name(title), branding_name(series)
-    x, y = tokens(t), tokens(s)
-    own = F.filter(F.array_except(x, y), lambda w: ~w.isin(*TITLE_FILLERS) & ~w.rlike(r"^\d+$"))
-    only_genre = (F.size(own) == 1) & F.forall(own, lambda w: w.isin(*GENRE_TAGLINES))
-    partly = F.coalesce(hint == 0, F.lit(True)) & (F.size(F.array_intersect(x, y)) >= 2) & ((F.size(own) == 0) | only_genre)
-    return blank(isbn13) & (t != "") & (s != "") & F.when(t == s, ~F.coalesce(hint == 1, F.lit(False))).otherwise(partly)
+
+    def partly(x: Column, y: Column) -> Column:
+        own = F.filter(F.array_except(x, y), lambda w: ~w.isin(*TITLE_FILLERS) & ~w.rlike(r"^\d+$"))
+        fits = bound(own, use=lambda o: (F.size(o) == 0) | ((F.size(o) == 1) & F.forall(o, lambda w: w.isin(*GENRE_TAGLINES))))
+        return F.coalesce(hint == 0, F.lit(True)) & (F.size(F.array_intersect(x, y)) >= 2) & fits
+
+    def variant(t: Column, s: Column) -> Column:
+        return (t != "") & (s != "") & F.when(t == s, ~F.coalesce(hint == 1, F.lit(False))).otherwise(bound(tokens(t), tokens(s), use=partly))
+
+    return blank(isbn13) & bound(branding_name(title), branding_name(series), use=variant)
 
 
 def is_series_index_entry(title: Column, series: Column, isbn13: Column, has_number: Column) -> Column:
-    t, s, stripped = normalized(title), normalized(series), branding_name(title)
-    bare = without_article(s)
-    same = (t == s) | ((stripped != "") & (stripped == s))
-    bare_same = (bare != "") & ((without_article(t) == bare) | ((stripped != "") & (without_article(stripped) == bare)))
-    return blank(isbn13) & ~F.coalesce(has_number, F.lit(False)) & (t != "") & (s != "") & (same | bare_same)
+    def index(t: Column, s: Column, stripped: Column, bare: Column) -> Column:
+        same = (t == s) | ((stripped != "") & (stripped == s))
+        bare_same = (bare != "") & ((without_article(t) == bare) | ((stripped != "") & (without_article(stripped) == bare)))
+        return (t != "") & (s != "") & (same | bare_same)
+
+    return blank(isbn13) & ~F.coalesce(has_number, F.lit(False)) & bound(normalized(title), normalized(series), branding_name(title), without_article(normalized(series)), use=index)
 
 
 def series_hint(c: Column) -> Column:
@@ -253,8 +265,8 @@ def primary_author(c: Column) -> Column:
 def author_matches(candidates: Column, target: Column) -> Column:
     """Some name of the target has all its words of two letters or more within one candidate's name."""
     names = F.transform(author_names(target), lambda n: F.filter(F.split(normalized(n), " "), lambda w: F.length(w) > 1))
-    known = F.transform(candidates, normalized)
-    return F.exists(names, lambda words: (F.size(words) > 0) & F.exists(known, lambda k: F.forall(words, lambda w: F.contains(k, w))))
+    match = lambda known: F.exists(names, lambda words: (F.size(words) > 0) & F.exists(known, lambda k: F.forall(words, lambda w: F.contains(k, w))))
+    return bound(F.transform(candidates, normalized), use=match)
 
 
 def edition_from_title(c: Column) -> Column:
@@ -359,6 +371,7 @@ def series_alignment(candidates: Column, series_author: Column) -> Column:
     same = lambda w, o: F.array_sort(F.array_distinct(w)) == F.array_sort(F.array_distinct(o))
     surname = lambda w: F.element_at(w, -1)
     given = lambda w: F.array_remove(F.array_distinct(w), surname(w))
-    exact = F.exists(theirs, lambda w: F.exists(own, lambda o: same(w, o)))
-    close = F.exists(theirs, lambda w: F.exists(own, lambda o: (surname(w) == surname(o)) & initials_variant(given(w), given(o))))
-    return F.when(blank(series_author) | (F.size(F.coalesce(candidates, F.array().cast("array<string>"))) == 0), "low").when(exact, "high").when(close, "medium").otherwise("zero")
+    exact = lambda own, theirs: F.exists(theirs, lambda w: F.exists(own, lambda o: same(w, o)))
+    close = lambda own, theirs: F.exists(theirs, lambda w: F.exists(own, lambda o: (surname(w) == surname(o)) & initials_variant(given(w), given(o))))
+    compared = bound(own, theirs, use=lambda x, y: F.when(exact(x, y), "high").when(close(x, y), "medium").otherwise("zero"))
+    return F.when(blank(series_author) | (F.size(F.coalesce(candidates, F.array().cast("array<string>"))) == 0), "low").otherwise(compared)

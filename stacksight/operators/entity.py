@@ -49,7 +49,7 @@ def fused(hits: DataFrame, series: DataFrame) -> DataFrame:
     """
     of = series.select("series_id", F.col("name").alias("target"), F.coalesce("author", F.lit("")).alias("target_author"))
     rows = hits.where(~t.blank(F.col("title"))).join(of, "series_id").withColumns({"key": hit_key(), "ord": F.struct(provider_rank(F.col("source")).alias("r"), F.col("hit_pos"), F.col("title"), F.col("published_date"))})
-    rows = rows.withColumn("by_author", t.author_matches(F.array("author"), F.col("target_author")))
+    rows = rows.withColumns({"by_author": t.author_matches(F.array("author"), F.col("target_author")), "brand": F.when(F.col("series_name_hint").isNotNull(), t.branding_name(F.col("series_name_hint")))})
     order, has = F.col("ord"), lambda c: ~t.blank(F.col(c))
     groups = rows.groupBy("series_id", "target", "target_author", "key").agg(
         F.min("ord").alias("first"), F.min_by("title", order).alias("title"),
@@ -60,10 +60,12 @@ def fused(hits: DataFrame, series: DataFrame) -> DataFrame:
         first_by(F.col("series_number_hint"), order, F.coalesce(F.col("series_number_hint") != 0, F.lit(False))).alias("series_number_hint"),
         first_by(F.col("series_total_hint"), order, F.col("series_total_hint").isNotNull()).alias("series_total_hint"),
         first_by(F.col("upcoming_hint"), order, F.col("upcoming_hint").isNotNull()).alias("upcoming_hint"),
-        F.array_sort(F.collect_set("source")).alias("sources"), F.collect_set("series_name_hint").alias("series_names"), F.count(F.lit(1)).alias("n_hits"),
+        F.array_sort(F.collect_set("source")).alias("sources"), F.collect_set("brand").alias("brands"), F.count(F.lit(1)).alias("n_hits"),
     )
     weights = F.aggregate("sources", F.lit(0.0), lambda a, s: a + provider_weight(s))
-    disagree = F.exists("series_names", lambda a: F.exists(F.col("series_names"), lambda b: ~t.series_names_compatible(a, b)))
+    # a name is compatible with itself but where nothing of it is left
+    several = (F.size("brands") > 1) | F.array_contains("brands", "")
+    disagree = several & F.exists("brands", lambda a: F.exists(F.col("brands"), lambda b: ~t.brands_compatible(a, b)))
     plus = lambda c, x: F.when(c, F.lit(x)).otherwise(F.lit(0.0))
     named = ~t.blank(F.col("series_name_hint"))
     score = (
@@ -72,7 +74,7 @@ def fused(hits: DataFrame, series: DataFrame) -> DataFrame:
     )
     present = [~t.blank(F.col(c)) for c in ("title", "author", "series_name_hint", "isbn13", "published_date")] + [F.col("series_number_hint").isNotNull()]
     complete = sum((p.cast("int") for p in present), F.lit(0)) / COMPLETENESS_FIELDS
-    return groups.withColumns({"confidence": F.round(F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)), 4), "completeness": F.round(complete, 4)}).drop("series_names")
+    return groups.withColumns({"confidence": F.round(F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)), 4), "completeness": F.round(complete, 4)}).drop("brands")
 
 
 def editions_collapsed(candidates: DataFrame) -> DataFrame:

@@ -46,11 +46,16 @@ def library_order(rows: DataFrame) -> list[Column]:
     return [status_priority(F.col("status")), F.when(F.col("status") == "upcoming", date).desc_nulls_last(), F.col("book_id").desc(), F.col("title")]
 
 
-def numbered(rows: DataFrame, order: list[Column], n: int | None = None) -> DataFrame:
-    """Rows with their place in the order, the first n of them. A top-n is taken before the single window that numbers it."""
-    if n is not None:
+def numbered(rows: DataFrame, order: list[Column], n: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows with their place in the order, within each `by` where it is given; the first n of them.
+
+    Lists are of a series or a profile, so places are dealt by it; an order over all rows is for a top-n, taken before
+    the single window that numbers it, or for small dimensions.
+    """
+    if n is not None and not by:
         rows = rows.orderBy(*order).limit(n)
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    rows = rows.withColumn("place", F.row_number().over((Window.partitionBy(*by) if by else Window).orderBy(*order)))
+    return rows if n is None else rows.where(F.col("place") <= n)
 
 
 def status_summary(rows: DataFrame) -> DataFrame:

@@ -45,6 +45,15 @@ def updated(books: DataFrame, hits: DataFrame, actions: DataFrame, as_of: str) -
     )
 
 
+def job_delta(books: DataFrame, hits: DataFrame, actions: DataFrame, as_of: str) -> DataFrame:
+    """What a job brought each series: inserts that are not upcoming, and books that went from upcoming to available."""
+    coming = d.is_upcoming(d.flexible_date(F.col("published_date")), F.col("upcoming_hint"), as_of)
+    new = actions.where("action = 'insert'").join(hits.select("hit_pos", "title", F.coalesce(coming, F.lit(False)).alias("coming")), ["hit_pos", "title"]).where("not coming").select("series_id", F.lit(1).alias("inserted"), F.lit(0).alias("moved"))
+    before = books.where(d.status(F.col("read_status")) == "upcoming").select("book_id", "series_id")
+    moved = updated(books, hits, actions, as_of).where("read_status = 'available'").join(before, "book_id").select("series_id", F.lit(0).alias("inserted"), F.lit(1).alias("moved"))
+    return new.unionByName(moved).groupBy("series_id").agg(F.sum("inserted").alias("inserted"), F.sum("moved").alias("moved"), (F.sum("inserted") + F.sum("moved")).alias("delta"))
+
+
 def collapsed(books: DataFrame, key: Column, by_asin: bool = False) -> DataFrame:
     """Active books of a series with one key: the book kept, and how many others went.
 

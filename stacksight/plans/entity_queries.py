@@ -50,8 +50,8 @@ register("D4b_completeness", lambda v: fused(v).groupBy("completeness").agg(F.co
 register("D5_editions_collapsed", lambda v: entity.editions_collapsed(fused(v)).select("series_id", "key", "title", "edition", "confidence"))
 register("W7_dominant_editions", lambda v: entity.editions_collapsed(fused(v)).groupBy("series_id").agg(F.count(F.lit(1)).alias("n")))
 _FIT = f"author_match AND NOT {_BAD} AND language IN ('', 'en') AND NOT ({_TNORM} = {_TGT} AND isbn13 IS NULL AND series_number_hint IS NULL)"
-register("D6_filtered_candidates", lambda v: entity.filtered(fused(v), v.books.where(active() & (F.col("book_id") % 2 == 0)).select("series_id", t.core_title_key(F.col("title")).alias("title_key")).where("series_id is not null").distinct()).select("series_id", "key", "title"),
-         f"WITH {FUSED} SELECT series_id, key, title FROM fused f WHERE {_FIT} AND NOT EXISTS (SELECT 1 FROM books b WHERE b.series_id = f.series_id AND b.book_id % 2 = 0 AND {BLIVE} AND {duck.core_key('b.title')} = {duck.core_key('f.title')})")
+register("D6_filtered_candidates", lambda v: entity.filtered(fused(v), v.books.where(active()).select("series_id", t.core_title_key(F.col("title")).alias("title_key")).where("series_id is not null").distinct()).select("series_id", "key", "title"),
+         f"WITH {FUSED} SELECT series_id, key, title FROM fused f WHERE {_FIT} AND NOT EXISTS (SELECT 1 FROM books b WHERE b.series_id = f.series_id AND {BLIVE} AND {duck.core_key('b.title')} = {duck.core_key('f.title')})")
 for key in ("D7a_fallback_gate", "A22_reconciliation_means"):
     register(key, lambda v: entity.gate(fused(v)), f"WITH {FUSED} SELECT series_id, round(coalesce(share, 0), 6) AS completeness, round(mean + 1e-9, 3) AS mean_confidence, coalesce(share, 0) < 0.5 OR mean < 0.35 AS fallback FROM (SELECT series_id, count(DISTINCT CASE WHEN series_number_hint > 0 THEN floor(series_number_hint) END) / max(CASE WHEN series_number_hint > 0 THEN floor(series_number_hint) END) AS share, avg(confidence) AS mean FROM fused GROUP BY series_id)")
 register("D7b_other_series", lambda v: entity.of_other_series(fused(v)).select("series_id", "key", "series_name_hint"), f"WITH {FUSED} SELECT series_id, key, series_name_hint FROM fused WHERE series_name_hint <> target")
@@ -125,11 +125,24 @@ for key, column, sql in (("D10a_provider_grade", "provider_grade", _PG), ("D10b_
 register("D10_graded", lambda v: grading.graded(fused(v), skeleton(v)).select("series_id", "key", "provider_grade", "title_grade", "number_grade", "alignment_grade", "overall"))
 register("D10d_overall", lambda v: grading.graded(fused(v), skeleton(v)).groupBy("overall").agg(F.count(F.lit(1)).alias("n")))
 register("D11_routed", lambda v: grading.routed(grading.graded(fused(v), skeleton(v)), d.is_upcoming(d.flexible_date(F.col("published_date")), F.col("upcoming_hint"), AS_OF)).select("series_id", "key", "overall", "route"))
-for key in ("J10_reasons_by_key", "J11_grades_by_key"):
-    register(key, lambda v: (lambda g: v.hits.select("hit_pos", "series_id", F.lower(F.trim("title")).alias("lt"), "isbn13", F.col("series_number_hint").alias("n")).alias("h").join(
-        g.groupBy("series_id", F.lower(F.trim("title")).alias("lt"), "isbn13", F.col("series_number_hint").alias("n")).agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("reasons")))), ",").alias("reasons")).alias("g"),
-        (F.col("h.series_id") == F.col("g.series_id")) & (F.col("h.lt") == F.col("g.lt")) & F.col("h.isbn13").eqNullSafe(F.col("g.isbn13")) & F.col("h.n").eqNullSafe(F.col("g.n")), "left").select("h.hit_pos", F.coalesce("g.reasons", F.lit("")).alias("reasons")))(grading.delta(fused(v), skeleton(v))),
-        f"WITH {FUSED}, {_DELTA}, g AS (SELECT series_id, lower(trim(title)) AS lt, isbn13, series_number_hint AS n, string_agg(DISTINCT nullif(reasons, ''), ',' ORDER BY nullif(reasons, '')) AS reasons FROM delta GROUP BY ALL) SELECT h.hit_pos, coalesce(g.reasons, '') AS reasons FROM candidate_hits h LEFT JOIN g ON g.series_id = h.series_id AND g.lt = lower(trim(h.title)) AND g.isbn13 IS NOT DISTINCT FROM h.isbn13 AND g.n IS NOT DISTINCT FROM h.series_number_hint")
+register("J10_reasons_by_key", lambda v: (lambda g: v.hits.select("hit_pos", "series_id", F.lower(F.trim("title")).alias("lt"), "isbn13", F.col("series_number_hint").alias("n")).alias("h").join(
+    g.groupBy("series_id", F.lower(F.trim("title")).alias("lt"), "isbn13", F.col("series_number_hint").alias("n")).agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("reasons")))), ",").alias("reasons")).alias("g"),
+    (F.col("h.series_id") == F.col("g.series_id")) & (F.col("h.lt") == F.col("g.lt")) & F.col("h.isbn13").eqNullSafe(F.col("g.isbn13")) & F.col("h.n").eqNullSafe(F.col("g.n")), "left").select("h.hit_pos", F.coalesce("g.reasons", F.lit("")).alias("reasons")))(grading.delta(fused(v), skeleton(v))),
+    f"WITH {FUSED}, {_DELTA}, g AS (SELECT series_id, lower(trim(title)) AS lt, isbn13, series_number_hint AS n, string_agg(DISTINCT nullif(reasons, ''), ',' ORDER BY nullif(reasons, '')) AS reasons FROM delta GROUP BY ALL) SELECT h.hit_pos, coalesce(g.reasons, '') AS reasons FROM candidate_hits h LEFT JOIN g ON g.series_id = h.series_id AND g.lt = lower(trim(h.title)) AND g.isbn13 IS NOT DISTINCT FROM h.isbn13 AND g.n IS NOT DISTINCT FROM h.series_number_hint")
+
+
+def grades_of_hits(v) -> DataFrame:
+    """The grades of the candidate with a hit's title, ISBN and number; of several the last one counts."""
+    names = ("provider_grade", "title_grade", "number_grade")
+    same = lambda n: [F.lower(F.trim("title")).alias("lt"), "isbn13", F.col("series_number_hint").alias(n)]
+    g = grading.graded(fused(v), skeleton(v)).groupBy("series_id", *same("n")).agg(F.max_by(F.struct(*names), "key").alias("last")).alias("g")
+    h = v.hits.select("hit_pos", "series_id", *same("n")).alias("h")
+    on = [F.col(f"h.{c}").eqNullSafe(F.col(f"g.{c}")) for c in ("series_id", "lt", "isbn13", "n")]
+    return h.join(g, on, "left").select("h.hit_pos", *(F.col(f"g.last.{c}").alias(c) for c in names))
+
+
+register("J11_grades_by_key", grades_of_hits,
+         f"WITH {FUSED}, {_DELTA}, g AS (SELECT series_id, lower(trim(title)) AS lt, isbn13, series_number_hint AS n, arg_max({_PG}, key) AS provider_grade, arg_max({_TG}, key) AS title_grade, arg_max({_NG}, key) AS number_grade FROM delta GROUP BY ALL) SELECT h.hit_pos, provider_grade, title_grade, number_grade FROM candidate_hits h LEFT JOIN g ON g.series_id = h.series_id AND g.lt = lower(trim(h.title)) AND g.isbn13 IS NOT DISTINCT FROM h.isbn13 AND g.n IS NOT DISTINCT FROM h.series_number_hint")
 
 # find and bind
 _FIND = f"""few AS (SELECT * FROM candidate_hits QUALIFY row_number() OVER (PARTITION BY series_id, source ORDER BY hit_pos, title, isbn13 NULLS FIRST) <= 3), keyed AS (SELECT *, coalesce('isbn:' || isbn13, 'title:' || {duck.core_key('title')}) AS key FROM few),
@@ -138,7 +151,7 @@ grp AS (SELECT series_id, key, arg_min(title, {_RANK}) AS title, max(isbn13) AS
 sig AS (SELECT b.book_id, g.*, list_contains(g.authors, b.author) OR len(list_filter(g.authors, lambda a: starts_with(a, b.author))) > 0 AS author_match, g.isbn13 IS NOT NULL AS isbn_present, {duck.title('g.title')} <> '' AND {duck.title('g.title')} IN ({duck.title('b.title')}, {duck.title(duck.core('b.title'))}) AS strong_title_match FROM books b JOIN grp g ON g.series_id = b.series_id),
 ranked AS (SELECT *, greatest(CAST(author_match AS INTEGER) + CAST(isbn_present AS INTEGER) + CAST(strong_title_match AS INTEGER), 1) AS tier FROM sig), found AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY tier DESC, n DESC, first, key) AS rank, CASE tier WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS confidence FROM ranked)"""
 for key in ("D2_find", "O8_find_order"):
-    register(key, lambda v: entity.find(v.books.where("book_id % 10 = 0"), v.hits).select("book_id", F.col("rank").cast("bigint").alias("rank"), "key", "title", "confidence"), f"WITH {_FIND} SELECT book_id, rank, key, title, confidence FROM found WHERE rank <= 6 AND book_id % 10 = 0")
+    register(key, lambda v: entity.find(v.books, v.hits).select("book_id", F.col("rank").cast("bigint").alias("rank"), "key", "title", "confidence"), f"WITH {_FIND} SELECT book_id, rank, key, title, confidence FROM found WHERE rank <= 6")
 register("D3_find_signals", lambda v: entity.find(v.books, v.hits).groupBy("author_match", "isbn_present", "strong_title_match", "confidence").agg(F.count(F.lit(1)).alias("n")), f"WITH {_FIND} SELECT author_match, isbn_present, strong_title_match, confidence, count(*) AS n FROM found WHERE rank <= 6 GROUP BY ALL")
 register("J19_bound", lambda v: entity.bound(v.books, entity.find(v.books, v.hits)),
          f"WITH {_FIND} SELECT b.book_id, CASE WHEN f.tier > 1 THEN coalesce(b.isbn13, f.isbn13) ELSE b.isbn13 END AS isbn13, CASE WHEN f.tier > 1 THEN f.title END AS canonical_title, CASE WHEN f.tier > 1 THEN 'provider' ELSE b.metadata_source END AS metadata_source, coalesce(f.tier > 1, false) AS resolved FROM books b LEFT JOIN found f ON f.book_id = b.book_id AND f.rank = 1")
@@ -151,7 +164,7 @@ register("D8_persist_actions", lambda v: persist.batch(v.hits, v.books, v.series
 for key in ("K18_upserted", "D8_updated_books"):
     register(key, lambda v: persist.updated(v.books, v.hits, persist.batch(v.hits, v.books, v.series), AS_OF))
 register("W9_batch_duplicates", lambda v: persist.batch(v.hits, v.books, v.series).where("action = 'skip'").select("hit_pos", "title"))
-register("A38_job_delta", lambda v: persist.batch(v.hits, v.books, v.series).groupBy("series_id").agg(F.count_if(F.col("action") == "insert").alias("inserted"), F.count_if(F.col("action") == "update").alias("updated")))
+register("A38_job_delta", lambda v: persist.job_delta(v.books, v.hits, persist.batch(v.hits, v.books, v.series), AS_OF))
 register("W5_identity_collapse", lambda v: persist.collapsed(v.books, t.title_key(F.col("title"))))
 register("W6_number_collapse", lambda v: persist.collapsed(v.books, t.positive_number(F.col("book_number")), by_asin=True))
 register("W6_number_groups", lambda v: persist.collapsed(v.books, t.positive_number(F.col("book_number")), by_asin=True).select("series_id", F.col("key").alias("book_number"), F.col("n_removed").cast("bigint").alias("n_removed")), f"SELECT series_id, book_number, count(*) - 1 AS n_removed FROM books WHERE {LIVE} AND series_id IS NOT NULL AND book_number > 0 GROUP BY ALL HAVING count(*) > 1")
@@ -181,9 +194,9 @@ register("U4_targeted_and_fallback", lambda v: (lambda a, b: a.unionByName(b.joi
          f"WITH h AS (SELECT hit_pos, series_id, source, {duck.core_key('title')} AS tk FROM candidate_hits) SELECT hit_pos, series_id, tk FROM h WHERE source = 'hardcover' UNION ALL SELECT hit_pos, series_id, tk FROM h WHERE source <> 'hardcover' AND (series_id, tk) NOT IN (SELECT (series_id, tk) FROM h WHERE source = 'hardcover')")
 register("U6_shared_tokens", lambda v: v.cases.select("id", F.size(F.array_intersect(t.tokens(F.col("title")), t.tokens(F.col("series")))).alias("shared"), (F.size(F.array_except(t.tokens(F.col("series")), t.tokens(F.col("title")))) == 0).alias("subset")),
          f"SELECT id, CAST({duck.shared(duck.tokens('title'), duck.tokens('series'))} AS INTEGER) AS shared, {duck.shared(duck.tokens('title'), duck.tokens('series'))} = len({duck.tokens('series')}) AS subset FROM title_cases")
-register("U7_affected_series", lambda v: v.books.where("book_id % 9 = 0").select("series_id").union(v.hits.where("hit_pos % 9 = 0").select("series_id")).where("series_id is not null").distinct(), "SELECT series_id FROM books WHERE book_id % 9 = 0 AND series_id IS NOT NULL UNION SELECT series_id FROM candidate_hits WHERE hit_pos % 9 = 0")
-register("K17_confirmations", lambda v: v.books.where("book_id % 4 = 0").withColumn("decision", F.element_at(F.array(F.lit("yes"), F.lit("no"), F.lit("dont_know")), (F.col("book_id") % 3 + 1).cast("int"))).join(v.series.select("series_id", F.lit(True).alias("there")), "series_id", "left").select("book_id", F.when(F.col("decision") == "no", "left_unlinked").when(F.col("decision") == "dont_know", "kept_pending").when(F.col("series_id").isNull(), "missing_candidate_series").when(F.col("there"), "linked").otherwise("canonical_series_not_found").alias("status")),
-         "SELECT b.book_id, CASE WHEN b.book_id % 3 = 1 THEN 'left_unlinked' WHEN b.book_id % 3 = 2 THEN 'kept_pending' WHEN b.series_id IS NULL THEN 'missing_candidate_series' WHEN s.series_id IS NOT NULL THEN 'linked' ELSE 'canonical_series_not_found' END AS status FROM books b LEFT JOIN series s ON s.series_id = b.series_id WHERE b.book_id % 4 = 0")
+register("U7_affected_series", lambda v: v.books.select("series_id").union(v.hits.select("series_id")).where("series_id is not null").distinct(), "SELECT series_id FROM books WHERE series_id IS NOT NULL UNION SELECT series_id FROM candidate_hits WHERE series_id IS NOT NULL")
+register("K17_confirmations", lambda v: v.books.withColumn("decision", F.element_at(F.array(F.lit("yes"), F.lit("no"), F.lit("dont_know")), (F.col("book_id") % 3 + 1).cast("int"))).join(v.series.select("series_id", F.lit(True).alias("there")), "series_id", "left").select("book_id", F.when(F.col("decision") == "no", "left_unlinked").when(F.col("decision") == "dont_know", "kept_pending").when(F.col("series_id").isNull(), "missing_candidate_series").when(F.col("there"), "linked").otherwise("canonical_series_not_found").alias("status")),
+         "SELECT b.book_id, CASE WHEN b.book_id % 3 = 1 THEN 'left_unlinked' WHEN b.book_id % 3 = 2 THEN 'kept_pending' WHEN b.series_id IS NULL THEN 'missing_candidate_series' WHEN s.series_id IS NOT NULL THEN 'linked' ELSE 'canonical_series_not_found' END AS status FROM books b LEFT JOIN series s ON s.series_id = b.series_id")
 
 
 # ingest over the title cases as a sheet

@@ -57,14 +57,19 @@ register("P6_reresolution_queue", lambda v: queue(v).select("book_id"), f"SELECT
 register("P7_open_notices", lambda v: v.notifications.where("kind = 'series_discovery_delta' and dismissed_at is null").select("notification_id", "series_id"), "SELECT notification_id, series_id FROM notifications WHERE kind = 'series_discovery_delta' AND dismissed_at IS NULL")
 register("P8_discovery_eligible", lambda v: lists.eligible_for_discovery(v.series, v.books, v.notifications, AS_OF),
          f"SELECT series_id, name, author FROM series WHERE NOT is_finished AND {duck.filled('author')} IS NOT NULL AND {duck.author('author')} NOT IN ('unknown', 'n a', 'none', 'various') AND (last_checked IS NULL OR {TODAY} - last_checked >= 7) AND series_id NOT IN (SELECT series_id FROM books WHERE {LIVE} AND needs_reresolution AND series_id IS NOT NULL) AND series_id NOT IN (SELECT series_id FROM notifications WHERE dismissed_at IS NULL)")
-register("P9_deleted_report", lambda v: integrity.deleted_books(v.books, v.series).where("series_id % 2 = 0"), "SELECT b.book_id, b.title, b.author, b.series_id, s.name AS series_name, b.book_number FROM books b LEFT JOIN series s ON s.series_id = b.series_id WHERE b.record_status = 'deleted' AND b.series_id % 2 = 0")
+register("P9_deleted_report", lambda v: integrity.deleted_books(v.books, v.series), "SELECT b.book_id, b.title, b.author, b.series_id, s.name AS series_name, b.book_number FROM books b LEFT JOIN series s ON s.series_id = b.series_id WHERE b.record_status = 'deleted'")
 
 
 def meta():
     return F.to_json(F.struct((F.col("book_id") % 3 == 0).alias("needs_confirmation"), (F.col("book_id") % 6 == 0).alias("resolved")))
 
 
-register("P10_confirmation_queue", lambda v: v.books.withColumn("meta", meta()).where((F.get_json_object("meta", "$.needs_confirmation") == "true") & (F.get_json_object("meta", "$.resolved") != "true")).select("book_id"), "SELECT book_id FROM books WHERE book_id % 3 = 0 AND book_id % 6 <> 0")
+def waiting(v):
+    """Books whose import metadata asks for a confirmation that is not given yet."""
+    return v.books.withColumn("meta", meta()).where((F.get_json_object("meta", "$.needs_confirmation") == "true") & (F.get_json_object("meta", "$.resolved") != "true"))
+
+
+register("P10_confirmation_queue", lambda v: waiting(v).select("book_id"), "SELECT book_id FROM books WHERE book_id % 3 = 0 AND book_id % 6 <> 0")
 register("L3_json_flags", lambda v: v.books.withColumn("meta", meta()).select("book_id", F.get_json_object("meta", "$.resolved").cast("boolean").alias("resolved")), "SELECT book_id, book_id % 6 = 0 AS resolved FROM books")
 register("L4_json_merge", lambda v: v.books.select("book_id", F.map_concat(F.create_map(F.lit("source"), F.coalesce("metadata_source", F.lit("none"))), F.create_map(F.lit("seen"), F.lit("yes"))).alias("m")).select("book_id", F.array_join(F.array_sort(F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",").alias("merged")), "SELECT book_id, 'seen=yes,source=' || coalesce(metadata_source, 'none') AS merged FROM books")
 register("L1_missing_lists", lambda v: v.books.where(active() & F.col("series_id").isNotNull()).groupBy("series_id").agg(F.array_join(F.array_sort(F.array_distinct(F.collect_list("edition"))), ",").alias("tags")), f"SELECT series_id, coalesce(string_agg(DISTINCT edition, ',' ORDER BY edition), '') AS tags FROM books WHERE {LIVE} AND series_id IS NOT NULL GROUP BY series_id")
@@ -101,46 +106,49 @@ register("S6_name_lookup", lambda v: lists.by_name(v.series, "p1", " cUSTOMER#00
 register("O1_page", lambda v: lists.page(v.books.where("profile_id = 'p1'").select("book_id", "title"), "book_id", 50, 20), "SELECT book_id, title FROM books WHERE profile_id = 'p1' ORDER BY book_id LIMIT 50 OFFSET 20")
 
 
-def ordered(key, rows, order, sql_rows, sql_order, n=200):
-    """The first n rows of an order, with their place. `rows` gives book_id and what the order needs."""
-    register(key, lambda v: lists.numbered(rows(v), order(), n).select("book_id", F.col("place").cast("bigint").alias("place")), f"SELECT book_id, row_number() OVER (ORDER BY {sql_order}) AS place FROM (SELECT * FROM ({sql_rows}) ORDER BY {sql_order} LIMIT {n})")
+def ordered(key, rows, order, sql_rows, sql_order, by=("series_id",), n=None):
+    """Every row with its place in the order of its series or profile; n where only the first n are asked for. `rows` gives book_id and what the order needs."""
+    split, limit = ", ".join(by), f" QUALIFY place <= {n}" if n else ""
+    over = f"PARTITION BY {split} ORDER BY {sql_order}" if by else f"ORDER BY {sql_order}"
+    register(key, lambda v: lists.numbered(rows(v), order(), n, by).select("book_id", F.col("place").cast("bigint").alias("place")), f"SELECT book_id, row_number() OVER ({over}) AS place FROM ({sql_rows}){limit}")
 
 
 def in_series(v):
-    return v.books.where(active() & (F.col("series_id") % 5 == 0))
+    return v.books.where(active() & F.col("series_id").isNotNull())
 
 
-_IN = f"SELECT * FROM books WHERE {LIVE} AND series_id % 5 = 0"
+PROFILE = ("profile_id",)
+_IN = f"SELECT * FROM books WHERE {LIVE} AND series_id IS NOT NULL"
 ordered("O2_by_number", in_series, lambda: [F.col("book_number").asc_nulls_first(), F.col("book_id")], _IN, "book_number NULLS FIRST, book_id")
 ordered("O3_by_number_or_zero", in_series, lambda: [F.coalesce("book_number", F.lit(0.0)), F.col("book_id")], _IN, "coalesce(book_number, 0), book_id")
-register("O4_newest_notices", lambda v: v.notifications.orderBy(F.desc("created_at"), F.desc("notification_id")).limit(100).select("notification_id"), "SELECT notification_id FROM notifications ORDER BY created_at DESC, notification_id DESC LIMIT 100")
-register("O5_profiles_in_order", lambda v: v.profiles.orderBy("display_name").limit(3).select("profile_id"), "SELECT profile_id FROM profiles ORDER BY display_name LIMIT 3")
-ordered("O6_reresolution_batch", queue, lambda: [F.col("book_id")], f"SELECT * FROM books WHERE {QUEUE}", "book_id", 25)
+register("O4_newest_notices", lambda v: lists.numbered(v.notifications, [F.desc("created_at"), F.desc("notification_id")], None, PROFILE).select("notification_id", F.col("place").cast("bigint").alias("place")), "SELECT notification_id, row_number() OVER (PARTITION BY profile_id ORDER BY created_at DESC, notification_id DESC) AS place FROM notifications")
+register("O5_profiles_in_order", lambda v: lists.numbered(v.profiles, [F.col("display_name")]).select("profile_id", F.col("place").cast("bigint").alias("place")), "SELECT profile_id, row_number() OVER (ORDER BY display_name) AS place FROM profiles")
+ordered("O6_reresolution_batch", queue, lambda: [F.col("book_id")], f"SELECT * FROM books WHERE {QUEUE}", "book_id", (), 25)
 _RANK = "CASE source WHEN 'hardcover' THEN 0 WHEN 'google_books' THEN 1 WHEN 'openlibrary' THEN 2 ELSE 3 END"
 ordered("O7_candidate_order", lambda v: v.hits.withColumnRenamed("hit_pos", "book_id"), lambda: [F.col("series_number_hint").asc_nulls_last(), t.normalized(F.col("title")), entity.provider_rank(F.col("source")), F.col("book_id")], "SELECT *, hit_pos AS book_id FROM candidate_hits", f"series_number_hint NULLS LAST, {duck.normalized('title')}, {_RANK}, book_id")
 ordered("O9_discovery_rows", lambda v: v.hits.withColumnRenamed("hit_pos", "book_id"), lambda: [F.col("series_name_hint").asc_nulls_last(), F.col("title"), F.col("book_id")], "SELECT *, hit_pos AS book_id FROM candidate_hits", "series_name_hint NULLS LAST, title, book_id")
 _PRI = "CASE status WHEN 'available' THEN 0 WHEN 'upcoming' THEN 1 WHEN 'read' THEN 2 ELSE 3 END"
-_LIB = f"SELECT * FROM (SELECT *, {LIBRARY} AS status FROM books WHERE {LIVE}) WHERE status <> 'available' OR book_id % 100 = 0"
+_LIB = f"SELECT *, {LIBRARY} AS status FROM books WHERE {LIVE}"
 _LIBO = f"{_PRI}, CASE WHEN status = 'upcoming' THEN {KNOWN_DATE} END DESC NULLS LAST, book_id DESC, title"
 
 
 def library(v):
-    return lists.with_status(v.books.where(active()), AS_OF).where("status <> 'available' or book_id % 100 = 0")
+    return lists.with_status(v.books.where(active()), AS_OF)
 
 
-ordered("O10_library_order", library, lambda: lists.library_order(None), _LIB, _LIBO)
-ordered("O11_user_order", library, lambda: [lists.status_priority(F.col("status")), F.lower("author").desc(), *lists.library_order(None)[1:]], _LIB, f"{_PRI}, lower(author) DESC, {_LIBO.split(', ', 1)[1]}")
-register("O12_series_order", lambda v: lists.numbered(v.series.withColumn("new", d.flag(F.col("has_new_books"))), [F.when(F.col("new"), 0).otherwise(1), F.lower("name"), F.col("series_id")], 100).select("series_id", F.col("place").cast("bigint").alias("place")), "SELECT series_id, row_number() OVER (ORDER BY CASE WHEN has_new_books THEN 0 ELSE 1 END, lower(name), series_id) AS place FROM series QUALIFY place <= 100")
+ordered("O10_library_order", library, lambda: lists.library_order(None), _LIB, _LIBO, PROFILE)
+ordered("O11_user_order", library, lambda: [lists.status_priority(F.col("status")), F.lower("author").desc(), *lists.library_order(None)[1:]], _LIB, f"{_PRI}, lower(author) DESC, {_LIBO.split(', ', 1)[1]}", PROFILE)
+register("O12_series_order", lambda v: lists.numbered(v.series.withColumn("new", d.flag(F.col("has_new_books"))), [F.when(F.col("new"), 0).otherwise(1), F.lower("name"), F.col("series_id")], None, PROFILE).select("series_id", F.col("place").cast("bigint").alias("place")), "SELECT series_id, row_number() OVER (PARTITION BY profile_id ORDER BY CASE WHEN has_new_books THEN 0 ELSE 1 END, lower(name), series_id) AS place FROM series")
 ordered("O13_by_title", in_series, lambda: [F.lower("title"), F.col("book_id")], _IN, "lower(title), book_id")
 ordered("O14_skeleton_order", lambda v: in_series(v).where("book_number is not null"), lambda: [F.col("series_id"), F.col("book_number"), F.col("book_id")], f"{_IN} AND book_number IS NOT NULL", "series_id, book_number, book_id")
-ordered("O15_preview_rows", lambda v: v.books.where("profile_id = 'p2'"), lambda: [F.col("book_id")], "SELECT * FROM books WHERE profile_id = 'p2'", "book_id", 10)
-ordered("O16_confirmation_order", lambda v: v.books.where("book_id % 3 = 0"), lambda: [F.col("book_id")], "SELECT * FROM books WHERE book_id % 3 = 0", "book_id", 50)
-ordered("O18_standalone_order", lambda v: lists.standalone(v.books), lambda: [F.lower("author").desc(), F.col("book_id")], f"SELECT * FROM books WHERE {LIVE} AND series_id IS NULL", "lower(author) DESC, book_id")
+ordered("O15_preview_rows", lambda v: v.books.where("profile_id = 'p2'"), lambda: [F.col("book_id")], "SELECT * FROM books WHERE profile_id = 'p2'", "book_id", (), 10)
+ordered("O16_confirmation_order", waiting, lambda: [F.col("book_id")], "SELECT * FROM books WHERE book_id % 3 = 0 AND book_id % 6 <> 0", "book_id", PROFILE)
+ordered("O18_standalone_order", lambda v: lists.standalone(v.books), lambda: [F.lower("author").desc(), F.col("book_id")], f"SELECT * FROM books WHERE {LIVE} AND series_id IS NULL", "lower(author) DESC, book_id", PROFILE)
 ordered("W13_pinned_first", lambda v: v.books.where("series_id = 5"), lambda: lists.pinned_first(None, [40, 7]), "SELECT * FROM books WHERE series_id = 5", "CASE book_id WHEN 40 THEN 1 WHEN 7 THEN 2 ELSE 3 END, coalesce(book_number, 0), book_id")
 _GRP = "coalesce(lower(trim(series_name_hint)), '')"
 for key in ("A19_candidate_groups", "O17_grouped_candidates"):
-    register(key, lambda v: v.hits.where("series_id % 10 = 1").groupBy(F.coalesce(F.lower(F.trim("series_name_hint")), F.lit("")).alias("heading")).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("series_number_hint", F.lit(9e15)).alias("n"), "hit_pos"))).alias("c")).select("heading", F.array_join(F.transform("c", lambda x: x["hit_pos"].cast("string")), ",").alias("members")),
-             f"SELECT {_GRP} AS heading, string_agg(CAST(hit_pos AS VARCHAR), ',' ORDER BY coalesce(series_number_hint, 9e15), hit_pos) AS members FROM candidate_hits WHERE series_id % 10 = 1 GROUP BY heading")
+    register(key, lambda v: v.hits.groupBy("series_id", F.coalesce(F.lower(F.trim("series_name_hint")), F.lit("")).alias("heading")).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("series_number_hint", F.lit(9e15)).alias("n"), "hit_pos"))).alias("c")).select("series_id", "heading", F.array_join(F.transform("c", lambda x: x["hit_pos"].cast("string")), ",").alias("members")),
+             f"SELECT series_id, {_GRP} AS heading, string_agg(CAST(hit_pos AS VARCHAR), ',' ORDER BY coalesce(series_number_hint, 9e15), hit_pos) AS members FROM candidate_hits GROUP BY series_id, heading")
 register("A34_facets", lambda v: lists.facet(v.books, "author").select(F.lit("author").alias("facet"), "value").unionByName(lists.facet(v.books, "read_status").select(F.lit("status").alias("facet"), "value")), "SELECT DISTINCT 'author' AS facet, trim(author) AS value FROM books WHERE trim(author) <> '' UNION SELECT DISTINCT 'status', trim(read_status) FROM books WHERE trim(read_status) <> ''")
 
 # windows

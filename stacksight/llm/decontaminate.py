@@ -22,8 +22,11 @@ from . import common, repeats
 
 #: An item is found where a document has it with edits (words put in, left out or changed) of at most this part of its words.
 EDITS = 0.2
-#: Shorter items are everyday phrases; they are not looked for.
+#: Shorter items have too few words for walks. One of n words is cut into as many pieces as it may have edits and one more,
+#: so one piece is whole wherever the item is found; pieces are looked up by their words, which loses nothing.
 LEAST_WORDS = 8
+#: Windows that are walked at once, and words of a long text that are looked at together.
+AT_ONCE, WORDS_AT_ONCE = 1 << 13, 1 << 15
 #: Walks, keys from each walk, letters in a key, and the keys that a window and an item must share to be compared: at EDITS,
 #: 0.99 of randomly edited items share as many (tests/llm measures it).
 WALKS, KEYS, LETTERS, SHARED = 16, 8, 2, 4
@@ -70,6 +73,12 @@ def walk_keys(symbols: np.ndarray, start: np.ndarray, end: np.ndarray, steps: in
     return out
 
 
+def fingerprints(names: np.ndarray, size: int) -> np.ndarray:
+    """Of each `size` consecutive words."""
+    at = np.arange(max(0, len(names) - size + 1))
+    return common.POLY_B.of(common.POLY_B.prefix(names), at, at + size)
+
+
 def edits_by_end(item: np.ndarray, text: np.ndarray) -> np.ndarray:
     """For each row of text (padded with zeros) and each end, the fewest edits that make some stretch up to there the item."""
     column = np.arange(text.shape[1] + 1)
@@ -107,10 +116,17 @@ class Class:
 class Index:
     def __init__(self, items: list[tuple[int, np.ndarray]], edits: float = EDITS, walks: int = WALKS):
         self.items, self.edits, self.walks = items, edits, walks
+        self.most_words = max(len(w) for _, w in items)
+        self.pieces: dict[int, list[tuple[np.uint64, int, int]]] = {}  # by length: fingerprint, item, place in the item
+        for k, (_, w) in enumerate(items):
+            if len(w) < LEAST_WORDS:
+                cuts = np.linspace(0, len(w), self.allowed(len(w)) + 2).astype(int)
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    self.pieces.setdefault(int(b - a), []).append((fingerprints(w, int(b - a))[a], k, int(a)))
         of_item = [pairs(w, np.array([0, len(w)])) for _, w in items]
         self.vocabulary = np.unique(np.concatenate(of_item))
         self.classes: list[Class] = []
-        order = sorted(range(len(items)), key=lambda k: len(items[k][1]))
+        order = sorted((k for k in range(len(items)) if len(items[k][1]) >= LEAST_WORDS), key=lambda k: len(items[k][1]))
         while order:
             shortest = len(items[order[0]][1])
             own = [k for k in order if len(items[k][1]) <= shortest * 1.15]
@@ -142,43 +158,81 @@ class Index:
         return np.flatnonzero((count[last] - count[at] >= c.least) & (count[near] > count[at]))
 
     def search(self, names: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(row, item, start word, edits) of the best window of each item in each row."""
+        """(row, item, start word, edits) of the best window of each item in each row; a long row is looked at part by part."""
+        if len(first) > 2 or len(names) <= 2 * WORDS_AT_ONCE:
+            yield from self.search_block(names, first)
+            return
+        beyond = self.most_words + 2 * self.allowed(self.most_words) + 2
+        for lo in range(0, len(names), WORDS_AT_ONCE):
+            part = names[lo : lo + WORDS_AT_ONCE + 2 * beyond]
+            for row, item, start, edits in self.search_block(part, np.array([0, len(part)])):
+                yield row, item, start + lo, edits
+
+    def search_block(self, names: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        yield from self.verified(names, first, row, *self.short(names, row))
+        if not self.classes:
+            return
         two = pairs(names, first)
         at = np.minimum(np.searchsorted(self.vocabulary, two), len(self.vocabulary) - 1)
         place = np.where(self.vocabulary[at] == two, at, len(self.vocabulary))
-        row = np.repeat(np.arange(len(first) - 1), np.diff(first))
         ends = first[row + 1]
-        padded = np.append(names, np.uint64(0))
         for c in self.classes:
-            start = self.windows(place, ends, c)
-            if not len(start):
+            starts = self.windows(place, ends, c)
+            met = [self.meeting(names, ends, starts[lo : lo + AT_ONCE], c) for lo in range(0, len(starts), AT_ONCE)]
+            if met:
+                yield from self.verified(names, first, row, *np.concatenate(met, axis=1))
+
+    def meeting(self, names: np.ndarray, ends: np.ndarray, start: np.ndarray, c: Class) -> np.ndarray:
+        """Windows and items that share SHARED keys."""
+        mine = walk_keys(names, start, np.minimum(start + c.longest, ends[start]), self.steps(c.shortest), self.walks).reshape(-1)
+        lo, hi = np.searchsorted(c.keys, mine), np.searchsorted(c.keys, mine, "right")
+        hit = np.flatnonzero(hi > lo)
+        n = (hi - lo)[hit]
+        which = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[hit], n)
+        met, times = np.unique(np.repeat(start[hit % len(start)], n) * len(self.items) + c.items[which], return_counts=True)
+        return np.stack(np.divmod(met[times >= SHARED], len(self.items)))
+
+    def short(self, names: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Windows and short items of which a piece is there."""
+        out = [np.zeros((2, 0), np.int64)]
+        for size, pieces in self.pieces.items():
+            if len(names) < size:
                 continue
-            mine = walk_keys(names, start, np.minimum(start + c.longest, ends[start]), self.steps(c.shortest), self.walks).reshape(-1)
-            lo, hi = np.searchsorted(c.keys, mine), np.searchsorted(c.keys, mine, "right")
-            hit = np.flatnonzero(hi > lo)
-            n = (hi - lo)[hit]
-            which = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[hit], n)
-            met, times = np.unique(np.repeat(start[hit % len(start)], n) * len(self.items) + c.items[which], return_counts=True)
-            met = met[times >= SHARED]
-            best: dict[tuple[int, int], tuple[int, int]] = {}
-            window, item = met // len(self.items), met % len(self.items)
-            by = np.argsort(item, kind="stable")
-            for part in np.split(by, np.flatnonzero(np.diff(item[by])) + 1) if len(by) else ():
-                k = int(item[part[0]])
-                text = self.items[k][1]
-                most = self.allowed(len(text))
-                for lo in range(0, len(part), 4000):
-                    begin = window[part[lo : lo + 4000]]
-                    low = np.maximum(begin - most, first[row[begin]])
-                    reach = low[:, None] + np.arange(len(text) + 2 * most)
-                    near = padded[np.where(reach < ends[begin][:, None], reach, len(names))]
-                    d = edit_distances(text, near)
-                    close = np.flatnonzero(d <= most)
-                    for j, s in zip(close, low[close] + first_starts(text, near[close]), strict=True):
-                        key = (int(row[begin[j]]), k)
-                        best[key] = min(best.get(key, (1 << 60, 0)), (int(d[j]), int(s - first[row[begin[j]]])))
-            for (r, k), (d, s) in best.items():
-                yield r, k, s, d
+            own = fingerprints(names, size)
+            own_at = np.flatnonzero(row[: len(own)] == row[size - 1 :])
+            order = np.argsort(own[own_at], kind="stable")
+            sorted_ = own[own_at][order]
+            for name, k, a in pieces:
+                lo, hi = np.searchsorted(sorted_, name), np.searchsorted(sorted_, name, "right")
+                start = own_at[order[lo:hi]] - a
+                start = np.where((start >= 0) & (row[np.maximum(start, 0)] == row[own_at[order[lo:hi]]]), start, own_at[order[lo:hi]])
+                out.append(np.stack((start, np.full(len(start), k))))
+        return np.concatenate(out, axis=1)
+
+    def verified(self, names: np.ndarray, first: np.ndarray, row: np.ndarray, window: np.ndarray, item: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """Of the windows and items, those within the edits allowed, by exact edit distance."""
+        padded = np.append(names, np.uint64(0))
+        best: dict[tuple[int, int], tuple[int, int]] = {}
+        by = np.argsort(item, kind="stable")
+        for part in np.split(by, np.flatnonzero(np.diff(item[by])) + 1) if len(by) else ():
+            k = int(item[part[0]])
+            text = self.items[k][1]
+            most = self.allowed(len(text))
+            width = len(text) + 2 * most
+            step = max(1, (1 << 18) // width)
+            for lo in range(0, len(part), step):
+                begin = window[part[lo : lo + step]]
+                low = np.maximum(begin - most, first[row[begin]])
+                reach = low[:, None] + np.arange(width)
+                near = padded[np.where(reach < first[row[begin] + 1][:, None], reach, len(names))]
+                d = edit_distances(text, near)
+                close = np.flatnonzero(d <= most)
+                for j, s in zip(close, low[close] + first_starts(text, near[close]), strict=True):
+                    key = (int(row[begin[j]]), k)
+                    best[key] = min(best.get(key, (1 << 60, 0)), (int(d[j]), int(s - first[row[begin[j]]])))
+        for (r, k), (d, s) in best.items():
+            yield r, k, s, d
 
 
 def _scan(index: Index):
@@ -198,7 +252,7 @@ def item_words(rows) -> list[tuple[int, np.ndarray]]:
     for i, text in rows:
         raw = (text or "").encode()
         names, _ = words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-        if i is not None and len(names) >= LEAST_WORDS:
+        if i is not None and len(names):
             out.setdefault(i, names)
     return sorted(out.items())
 
@@ -207,7 +261,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, edits: float = EDITS, walks:
     """One row per document and item found: doc_id, item_id, start_word, n_words (of the item), edits.
 
     An item is found where a stretch of the document is within edits * n_words edits of words of it; the best stretch
-    is told (the first, on a tie). Items that are null or have fewer than LEAST_WORDS words are not looked for; of
+    is told (the first, on a tie). Items that are null or have no words are not looked for; of
     rows that share an item_id one is (the smallest text). A null or empty text holds nothing; of rows that repeat a
     doc_id each is scanned and one row per item told; rows without doc_id are left out; other columns are not looked
     at. Documents are never shuffled: items come to them, ITEMS_IN_ONE_SCAN at a time, so the broadcast is bounded.

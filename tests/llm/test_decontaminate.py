@@ -93,3 +93,28 @@ def test_recall_of_short_items_at_the_limit():
             hits += bool(found(item, edited(r, item, int(n * dc.EDITS))))
         print("recall at the limit", n, hits / 200)
         assert hits >= 198, n
+
+
+def test_items_below_eight_words_are_all_found():
+    r = random.Random(11)
+    for n in range(1, 8):
+        for _ in range(100):
+            item = [f"w{r.randrange(30)}" for _ in range(n)]
+            text = edited(r, item, int(n * dc.EDITS))
+            got = found(item, text)
+            assert got and got[0][3] <= int(n * dc.EDITS), (item, text)
+        assert not found([f"w{k}" for k in range(n)], [f"v{k}" for k in range(40)])
+
+
+def test_long_texts_are_searched_part_by_part():
+    r = random.Random(12)
+    item, short = [f"w{k}" for k in range(30)], ["s1", "s2", "s3"]
+    names = [f"v{r.randrange(3000)}" for _ in range(3 * dc.WORDS_AT_ONCE)]
+    for at in (10, dc.WORDS_AT_ONCE - 15, 2 * dc.WORDS_AT_ONCE - 2, len(names) - 40):
+        text = [*names[:at], *item, *names[at:]]
+        raw = " ".join([*text, *short]).encode()
+        index = dc.Index(dc.item_words([(1, " ".join(item)), (2, " ".join(short))]))
+        best = {}
+        for _, k, start, edits in index.search(*dc.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))):
+            best[k] = min(best.get(k, (99, 0)), (edits, start))
+        assert best == {0: (0, at), 1: (0, len(text))}

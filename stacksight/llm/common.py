@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +19,16 @@ BLOCK_BYTES = 1 << 18
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or the session's checkpoint folder.
+
+    Where neither is set, a local session (tests) takes a temporary folder; on a cluster that is an error, as executors
+    do not share one.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        held = spark.sparkContext.getCheckpointDir()
-        folder = held or f"file:///tmp/spark-shared-{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"file://{tempfile.gettempdir()}/spark-shared-{uuid.uuid4().hex}"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -159,7 +166,7 @@ def signed(x: np.ndarray) -> pa.Array:
 def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
-    tool = zstandard.ZstdCompressor(level=1)
+    tool = zstandard.ZstdCompressor(level=3)
     for batch in batches:
         data, offsets = text_buffer(batch.column(1))
         raw = data.tobytes()
@@ -187,10 +194,34 @@ def squeezed_blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES)
                 held, size, lo = [], 0, k + 1
 
 
+#: Folders of the steps stored while an outcome is made.
+_PASSING: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written as compressed Parquet to the shared folder and read back: lineage is cut, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
     with small_batches(spark):
         df.write.option("compression", "zstd").parquet(path)
+    if (passing := _PASSING.get()) is not None:
+        passing.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def outcome(make: Callable[[], DataFrame]) -> DataFrame:
+    """What make returns, stored; the steps that it stored on the way are then deleted, as nothing reads them any more."""
+    steps: list[str] = []
+    held = _PASSING.set(steps)
+    try:
+        out = make()
+        spark, last = out.sparkSession, len(steps)
+        out = stored(out)
+    finally:
+        _PASSING.reset(held)
+    if (passing := _PASSING.get()) is not None:
+        passing += steps[last:]
+    for path in steps[:last]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return out

@@ -130,7 +130,7 @@ def _grown(level: int):
 
 def long_repeats(docs: DataFrame, *, span: int = SPAN, least: int = LONG) -> DataFrame:
     """(doc_id, start, end, level): word ranges of symbols whose name, at that level, occurs in a document with a smaller doc_id."""
-    symbols = docs.select("doc_id", "text").mapInArrow(_symbols(span, least), SYMBOLS)
+    symbols = common.stored(docs.select("doc_id", "text").mapInArrow(_symbols(span, least), SYMBOLS))
     found, level = [], 0
     while True:
         names = symbols.groupBy("name", "check").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).where("n > 1").drop("n")
@@ -290,8 +290,8 @@ def _windows(span: int):
 
 def repeated_words(docs: DataFrame, *, span: int = SPAN, rounds: int = ROUNDS, least: int = LONG) -> DataFrame:
     """(doc_id, spans): packed word ranges covered by windows that also start in a document with a smaller doc_id."""
-    decided = long_repeats(docs, span=span, least=least).groupBy("doc_id").agg(F.collect_set(repeats.packed("start", "end")).alias("spans"))
-    decided, texts = common.stored(decided), common.squeezed(docs)
+    texts = common.squeezed(docs)
+    decided = common.outcome(lambda: long_repeats(docs, span=span, least=least).groupBy("doc_id").agg(F.collect_set(repeats.packed("start", "end")).alias("spans")))
     runs = texts.join(decided, "doc_id", "left").select("doc_id", "packed", "spans").mapInArrow(_runs(span, rounds), repeats.RUNS)
 
     def marks(texts: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -344,6 +344,6 @@ def deduplicate(docs: DataFrame, *, span: int = SPAN, rounds: int = ROUNDS, leas
     smallest text); rows without doc_id are left out; other columns are not looked at. An empty table gives no rows.
     """
     d = common.unique_documents(docs)
-    spans = common.stored(repeated_words(d, span=span, rounds=rounds, least=least))
+    spans = common.outcome(lambda: repeated_words(d, span=span, rounds=rounds, least=least))
     out = common.squeezed(d).join(spans, "doc_id", "left").select("doc_id", "packed", "spans").mapInArrow(_remove(with_text), DIGEST)
     return out if with_text else out.drop("kept")

@@ -83,7 +83,7 @@ def covers(texts: DataFrame, runs: DataFrame, span: int, marks: Callable[[DataFr
     often = runs.groupBy("akey").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("akey")
     hits = common.stored(runs.join(apart(often, "akey"), "akey", "left_semi"))
     blocks = hits.groupBy("akey", "bkey").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "at")).alias("rep"), F.max("doc_id").alias("last"))
-    blocks = common.checkpointed(blocks)
+    blocks = common.stored(blocks)
     shared = blocks.groupBy("akey").agg(F.count(F.lit(1)).alias("variants")).where("variants > 1")
     found = marks(texts, blocks.join(apart(shared, "akey"), "akey")).groupBy("akey", "bkey").agg(F.collect_list(packed(F.col("lo").cast("long"), F.col("hi").cast("long"))).alias("marks"))
     whole = F.col("last") > F.col("rep.doc_id") if earlier_only else F.col("n") > 1

@@ -281,8 +281,8 @@ def deduplicate(docs: DataFrame, *, span: int = SPAN, gram: int = GRAM, with_tex
     other columns are not looked at. An empty table gives no rows.
     """
     d = common.unique_documents(docs)
-    found = repeated_spans(d, span=span, gram=gram)
-    out = common.squeezed(d).join(common.stored(found), "doc_id", "left").select("doc_id", "packed", "spans").mapInArrow(_remove(with_text), DIGEST)
+    found = common.outcome(lambda: repeated_spans(d, span=span, gram=gram))
+    out = common.squeezed(d).join(found, "doc_id", "left").select("doc_id", "packed", "spans").mapInArrow(_remove(with_text), DIGEST)
     return out if with_text else out.drop("kept")
 
 
@@ -314,7 +314,10 @@ def _cut_rows(names: list[str]):
 def shortened_documents(docs: DataFrame, *, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """The documents, all columns, with the repeated bytes cut from text and, where there is such a column, n_chars counted anew.
 
-    A character of which only some bytes are cut goes whole. doc_id is a long and does not repeat.
+    A character of which only some bytes are cut goes whole. Rows that repeat a doc_id are each cut by what the one
+    with the smallest text shows; rows without doc_id are left out.
     """
-    found = repeated_spans(docs.select("doc_id", "text"), span=span, gram=gram)
-    return docs.where("doc_id is not null").join(found, "doc_id", "left").select(*docs.columns, "spans").mapInArrow(_cut_rows(docs.columns), docs.schema)
+    found = common.outcome(lambda: repeated_spans(common.unique_documents(docs), span=span, gram=gram))
+    found = found.select(F.col("doc_id").alias("__doc_id"), F.col("spans").alias("__spans"))
+    rows = docs.where("doc_id is not null").join(found, F.col("doc_id").cast("long") == F.col("__doc_id"), "left")
+    return rows.select(*docs.columns, "__spans").mapInArrow(_cut_rows(docs.columns), docs.schema)

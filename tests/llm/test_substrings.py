@@ -104,3 +104,11 @@ def test_maximal_repeats_cover_every_repeated_window(seed, size):
     got = {(k, off + i) for n, o in suffix_array.maximal_repeats(segments, starts, 200) for k, off in o for i in range(n - 199)}
     seen = Counter(s[p : p + 200] for s in segments for p in range(size - 199))
     assert got == {(k, p) for k, s in enumerate(segments) for p in range(size - 199) if seen[s[p : p + 200]] > 1}
+
+
+def test_shortened_documents_keep_odd_columns(spark):
+    text = "".join(chr(97 + i * i % 26) for i in range(300))
+    rows = [(1, text, "s", 300, {"a": 1}), (2, text, "t", 300, None), (2, text, "t", 300, None), (3, "short", None, 5, None), (None, text, "u", 300, None)]
+    d = spark.createDataFrame(rows, "doc_id int, text string, spans string, n_chars int, m map<string,int>")
+    got = sorted((r.doc_id, r.text, r.spans, r.n_chars) for r in suffix_array.shortened_documents(d).collect())
+    assert got == [(1, "", "s", 0), (2, "", "t", 0), (2, "", "t", 0), (3, "short", None, 5)]

@@ -3,9 +3,9 @@
 A tree gives every vector a string of SYMBOLS symbols: a symbol is the axis on which the vector, turned by random
 projections, lies farthest out, and its sign. A tree is those strings in order, so the vectors that share a prefix of
 any length (a node) lie side by side. A query descends in all trees at once to the longest prefixes at which the trees
-together offer k candidates for certain. The k-th distance among them tells how long a prefix vectors at that distance share
-with what probability; all trees ascend together to the longest length at which RECALL of them are met in some tree,
-and every vector of those nodes is a candidate. Distances are computed on the original vectors. Equal vectors are one
+together offer k candidates for certain. The k-th distance among those tells with what probability vectors at that
+distance share a prefix of what length in some tree. Where it is below RECALL at the length reached, all trees ascend
+together to the longest prefixes where it is not; every vector of the nodes reached is a candidate. Distances are computed on the original vectors. Equal vectors are one
 entry.
 """
 
@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 
 from . import common, repeats
 
-TREES, SYMBOLS, AXES = 128, 8, 16
+TREES, SYMBOLS, AXES = 320, 5, 64
 #: Bits of a symbol: its axis, then its sign; and of a string.
-SYMBOL_BITS = 5
+SYMBOL_BITS = 7
 BITS = SYMBOLS * SYMBOL_BITS
-#: Probability with which a vector as far away as the k-th found is to be met in some tree.
-RECALL = 0.9
+#: Probability with which a vector as far away as the k-th found is to be met in some tree; nearer ones are met with more.
+RECALL = 0.85
 #: Places of a tree in a block of the interval join, and queries whose vectors travel together.
 BLOCK, TOGETHER = 256, 512
 NEIGHBOURS = 10
@@ -91,7 +91,7 @@ def least_cosines(trees: int, recall: float) -> list[float]:
 def _keys(centre: np.ndarray, trees: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
+            for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 512)
                 key = strings(matrix(part.column(1)) - centre, trees) | (np.arange(trees, dtype=np.int64) << BITS)
                 entry = part.column(0).to_numpy(zero_copy_only=False)
@@ -268,18 +268,19 @@ def search(rows: DataFrame, *, is_query: F.Column | None = None, k: int = NEIGHB
 
     signed = F.when(F.col("upper"), F.col("place")).otherwise(-F.col("place"))
     sizes = bounds.groupBy("query", "level").agg((F.sum(signed) - F.count_if("upper")).alias("others"))  # but for the query itself
-    # as many as trees * k, as one candidate may be met in every tree
+    # trees * k others are k different ones for certain, as one may be met in every tree
     down = common.stored(sizes.where((F.col("others") >= trees * k) | (F.col("level") == 0)).groupBy("query").agg(F.max("level").alias("level")))
     near = _nearest(_offered(array, bounds, down), entries, centre, n, k + 1)
-    # what the first candidates say of how far all trees must ascend together; too few say nothing
+    # what the first candidates say of how far all trees must ascend together; fewer than k are all that there are
     least = F.array(*map(F.lit, least_cosines(trees, recall)))
-    far = entries.where("asked").select(F.col("entry").alias("query")).join(near.where(F.col("nth") <= k).groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.min("cosine").alias("cosine")), "query", "left")
-    level = F.when(F.col("n") == k, F.size(F.filter(least, lambda c: c <= F.col("cosine")))).otherwise(0)
-    up = far.select("query", level.alias("to")).join(down, "query").where("to < level").select("query", F.col("to").alias("level"))
-    more = _nearest(_offered(array, bounds, common.stored(up)), entries, centre, n, k + 1)
+    kth = near.where(F.col("nth") <= k).groupBy("query").agg(F.min("cosine").alias("cosine"))
+    enough = F.size(F.filter(least, lambda c: c <= F.col("cosine")))
+    up = common.stored(kth.select("query", enough.alias("to")).join(down, "query").where("to < level").select("query", F.col("to").alias("level")))
+    if not up.isEmpty():
+        near = near.unionByName(_nearest(_offered(array, bounds, up), entries, centre, n, k + 1))
 
     own = entries.where("asked").select(F.col("entry").alias("query"), "entry", F.lit(0.0).alias("score"))
-    found = near.unionByName(more).groupBy("query", "entry").agg(F.min("score").alias("score")).unionByName(own)
+    found = near.groupBy("query", "entry").agg(F.min("score").alias("score")).unionByName(own)
     nearest = found.join(entries.select("entry", "ids"), "entry").select("query", F.explode("ids").alias("vec_id"), "score")
     best = F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))
     nearest = nearest.withColumn("nth", best).where(F.col("nth") <= k + 1)

@@ -331,11 +331,13 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
 def kept_documents(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
     """The documents, all columns, of which one of each group of near-duplicates stays: that with the smallest doc_id.
 
-    Of rows that repeat a doc_id one stays (the smallest text); rows without doc_id are left out.
+    Of rows that repeat a doc_id one stays (the smallest text, nulls last; among equal texts the smallest row, written
+    as JSON); rows without doc_id are left out.
     """
     kept = near_duplicates(docs, size=size, percent=percent).where("kept").select("doc_id")
     rows = docs.join(kept, "doc_id", "left_semi").select(docs.columns)
     if docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).isEmpty():
         return rows
-    whole = F.struct(F.col("text").isNull().alias("nothing"), F.col("text").alias("of"), F.struct(*docs.columns).alias("row"))
-    return rows.groupBy("doc_id").agg(F.min(whole).alias("one")).select("one.row.*")
+    whole = F.struct(*docs.columns)  # may hold maps, which have no order
+    first = F.struct(F.col("text").isNull(), "text", F.to_json(whole))
+    return rows.groupBy("doc_id").agg(F.min_by(whole, first).alias("one")).select("one.*")

@@ -5,8 +5,8 @@ projections, lies farthest out, and its sign. A tree is those strings in order,
 any length (a node) lie side by side. A query descends in all trees at once to the longest prefixes at which the trees
 together offer k candidates for certain. The k-th distance among those tells with what probability vectors at that
 distance share a prefix of what length in some tree. Where it is below RECALL at the length reached, all trees ascend
-together to the longest prefixes where it is not; every vector of the nodes reached is a candidate. Distances are computed on the original vectors. Equal vectors are one
-entry.
+together to the longest prefixes where it is not; every vector of the nodes reached is a candidate. Distances are
+computed on the original vectors. Equal vectors are one entry.
 """
 
 from __future__ import annotations
@@ -92,7 +92,7 @@ def _keys(centre: np.ndarray, trees: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 512)
+                part = batch.slice(lo, 256)
                 key = strings(matrix(part.column(1)) - centre, trees) | (np.arange(trees, dtype=np.int64) << BITS)
                 entry = part.column(0).to_numpy(zero_copy_only=False)
                 yield repeats.arrow_rows(KEYS, [pa.array(key.reshape(-1)), pa.array(np.repeat(entry, trees))])

@@ -82,6 +82,17 @@ def test_met_at_is_what_strings_show():
         assert abs((prefix_forest.BITS - differ >= level).mean() - met[level]) < 0.03
 
 
+def test_each_entry_lies_once_in_each_tree(spark):
+    r = np.random.default_rng(5)
+    rows = [(i, r.standard_normal(6).tolist(), i % 400 == 0) for i in range(1200)]
+    entries = spark.createDataFrame(rows, "entry long, vector array<double>, asked boolean").coalesce(1)
+    array, bounds = prefix_forest.nodes(entries, np.zeros(6), 4)
+    assert [r["count"] for r in array.groupBy("entry").count().select("count").distinct().collect()] == [4]
+    assert array.count() == array.select("place").distinct().count() == 4800
+    levels = prefix_forest.BITS
+    assert bounds.count() == bounds.distinct().count() == 3 * 2 * (4 * levels + 1)
+
+
 def test_repeated_ids_and_clashing_columns(spark):
     d = spark.createDataFrame([(0, [1.0, 0.0], "a", 1), (0, [0.5, 0.0], "b", 2), (7, [0.0, 1.0], "c", 3), (9, [0.0, 1.0], "c", 3)], "vec_id int, embedding array<float>, query string, entry long")
     assert [(r.vec_id, r["rank"]) for r in prefix_forest.search(d).orderBy("rank").collect()] == [(7, 1), (9, 2)]

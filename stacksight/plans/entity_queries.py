@@ -205,24 +205,19 @@ def sheet(v) -> DataFrame:
 
 
 def rows_of(v) -> DataFrame:
-    return ingest.typed(ingest.mapped(sheet(v))[0]).withColumn("row_number", F.col("import_raw_row")["Shelf"].cast("int") + ingest.FIRST_ROW - 1)
-
-
-def literal_rows(v) -> DataFrame:
-    """Only the rows that are written out in the view, as in the twins of P13, P15, P16 and K7."""
-    return rows_of(v).where(F.col("import_raw_row")["Shelf"].cast("int") < 1000)
+    return ingest.typed(ingest.mapped(sheet(v))[0]).withColumn("row_number", F.col("import_raw_row")["Shelf"].cast("bigint") + ingest.FIRST_ROW - 1)
 
 
 register("P11_header_map", lambda v: v.spark.createDataFrame([(h, ingest.header_field(h)) for h in (*sheet(v).columns, "ISBN-13", "sub-title", "Ed.", "No Such")], "header string, field string"),
          "SELECT * FROM (VALUES ('Book Title', 'title'), ('Authors', 'author'), ('Series', 'series_name'), ('Book #', 'book_number'), ('Published', 'publication_date'), ('Status', 'read_status'), ('Shelf', NULL), ('ISBN-13', 'isbn13'), ('sub-title', 'subtitle'), ('Ed.', 'edition'), ('No Such', NULL)) AS t(header, field)")
 register("P12_typed_rows", lambda v: rows_of(v).select("row_number", "publication_date", "is_read", "is_upcoming", "read_status"))
-register("P13_row_errors", lambda v: literal_rows(v).select("row_number", F.array_join("errors", ",").alias("errors")), f"SELECT CAST(id + 1 AS INTEGER) AS row_number, concat_ws(',', CASE WHEN {duck.filled('title')} IS NULL THEN 'missing_title' END, CASE WHEN {duck.filled('author')} IS NULL THEN 'missing_author' END) AS errors FROM title_cases WHERE id < 1000")
-register("P14_import_preview", lambda v: ingest.preview(rows_of(v)).select("row_number", "title"), "SELECT CAST(id + 1 AS INTEGER) AS row_number, title FROM title_cases WHERE id <= 5")
+register("P13_row_errors", lambda v: rows_of(v).select("row_number", F.array_join("errors", ",").alias("errors")), f"SELECT id + 1 AS row_number, concat_ws(',', CASE WHEN {duck.filled('title')} IS NULL THEN 'missing_title' END, CASE WHEN {duck.filled('author')} IS NULL THEN 'missing_author' END) AS errors FROM title_cases")
+register("P14_import_preview", lambda v: ingest.preview(rows_of(v)).select("row_number", "title"), "SELECT id + 1 AS row_number, title FROM title_cases WHERE id <= 5")
 _MEAN = f"({duck.identity('series')} NOT IN ('', 'n a', 'na', 'none', 'standalone', 'tbd', 'unknown', 'n'))"
-for key in ("P15_link_reasons", "P16_meaningful_series"):
-    register(key, lambda v: literal_rows(v).select("row_number", ingest.link_reason().alias("reason")), f"SELECT CAST(id + 1 AS INTEGER) AS row_number, CASE WHEN {duck.filled('series')} IS NULL THEN 'no_series_name_provided' WHEN NOT {_MEAN} THEN 'series_name_looks_like_placeholder' ELSE 'explicit_series_name' END AS reason FROM title_cases WHERE id < 1000")
+register("P15_link_reasons", lambda v: rows_of(v).select("row_number", ingest.link_reason().alias("reason")), f"SELECT id + 1 AS row_number, CASE WHEN {duck.filled('series')} IS NULL THEN 'no_series_name_provided' WHEN NOT {_MEAN} THEN 'series_name_looks_like_placeholder' ELSE 'explicit_series_name' END AS reason FROM title_cases")
+register("P16_meaningful_series", lambda v: rows_of(v).select("row_number", t.is_meaningful_series(F.col("series_name"), F.col("author")).alias("value")), f"SELECT id + 1 AS row_number, {_MEAN} AS value FROM title_cases")
 register("P17_series_evidence", lambda v: rows_of(v).select("row_number", ingest.has_series_evidence().alias("value")))
-register("K7_good_and_bad_rows", lambda v: literal_rows(v).groupBy((F.size("errors") == 0).alias("good")).agg(F.count(F.lit(1)).alias("n")), f"SELECT {duck.filled('title')} IS NOT NULL AND {duck.filled('author')} IS NOT NULL AS good, count(*) AS n FROM title_cases WHERE id < 1000 GROUP BY good")
+register("K7_good_and_bad_rows", lambda v: rows_of(v).groupBy((F.size("errors") == 0).alias("good")).agg(F.count(F.lit(1)).alias("n")), f"SELECT {duck.filled('title')} IS NOT NULL AND {duck.filled('author')} IS NOT NULL AS good, count(*) AS n FROM title_cases GROUP BY good")
 register("K8_series_of_import", lambda v: ingest.series_of_rows(rows_of(v).where("size(errors) = 0"), v.series, "p1").select("key", "name", "is_finished", "is_new"))
 for key in ("D1_import", "F86_book_payload"):
     register(key, lambda v: ingest.imported(rows_of(v), v.series, "p1")[0].select("row_number", F.trim("title").alias("title"), "author", "linked_series", "book_number", "book_number_source", "is_read"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stacksight.functions import dates as d
@@ -85,11 +85,25 @@ register(
 )
 _l = f"lower({duck.text('title')})"
 scalar("F35_edition_from_title", lambda: t.edition_from_title(F.col("title")), f"CASE WHEN {duck.has(_l, r'\b(?:audible(?:\s+audio)?|audio\s*cd|audiobook)\b')} THEN 'audio' WHEN {duck.has(_l, r'\bkindle(?:\s+edition)?\b')} THEN 'ebook' WHEN {duck.has(_l, r'\bpaperback\b')} THEN 'paperback' WHEN {duck.has(_l, r'\bhardcover\b')} THEN 'hardcover' ELSE 'unknown' END")
+def same_books(v) -> DataFrame:
+    """Each case's class (title key and number; its smallest id) and how many other cases are the same book: those of its class and those that lack a number on either side.
+
+    Classes are counted before anything is joined, so pairs of a title are never laid out.
+    """
+    keyed = v.cases.select("id", t.title_key(F.col("title")).alias("key"), "num")
+    classes = keyed.where("key is not null").groupBy("key", "num").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n"))
+    titles = classes.groupBy("key").agg(F.sum("n").alias("total"), F.coalesce(F.sum(F.when(F.col("num").isNull(), F.col("n"))), F.lit(0)).alias("unnumbered"))
+    own = classes.withColumnsRenamed({"key": "own", "num": "of"})
+    rows = keyed.join(own, (F.col("key") == F.col("own")) & F.col("num").eqNullSafe(F.col("of")), "left").join(titles, "key", "left")
+    others = F.when(F.col("num").isNull(), F.col("total")).otherwise(F.col("n") + F.col("unnumbered")) - 1
+    return rows.select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce(others, F.lit(0)).alias("same_books"))
+
+
 register(
-    "F36_same_underlying_book",
-    lambda v: v.cases.alias("a").join(v.cases.alias("b"), (t.title_key(F.col("a.title")) == t.title_key(F.col("b.title"))) & (F.col("a.id") < F.col("b.id")) & (F.col("b.id") < 1000)).select(F.col("a.id").alias("id"), F.col("b.id").alias("other"), t.same_underlying_book(F.col("a.title"), F.col("a.num"), F.col("b.title"), F.col("b.num")).alias("value")),
-    f"SELECT a.id, b.id AS other, a.num IS NULL OR b.num IS NULL OR a.num = b.num AS value FROM title_cases a JOIN title_cases b ON {duck.title('a.title')} = {duck.title('b.title')} AND {duck.title('a.title')} <> '' AND a.id < b.id AND b.id < 1000",
-)
+    "F36_same_underlying_book", same_books,
+    f"""WITH k AS (SELECT id, nullif({duck.title('title')}, '') AS key, num FROM title_cases), c AS (SELECT *, min(id) OVER (PARTITION BY key, num) AS first, count(*) OVER (PARTITION BY key, num) AS n, count(*) OVER (PARTITION BY key) AS total, sum(CASE WHEN num IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY key) AS free FROM k)
+    SELECT id, CASE WHEN key IS NULL THEN id ELSE first END AS class_id, CAST(CASE WHEN key IS NULL THEN 0 WHEN num IS NULL THEN total - 1 ELSE n + free - 1 END AS BIGINT) AS same_books FROM c""",
+)
 _plain = lambda x: f"trim({duck.sub(duck.sub(f'lower({duck.text(x)})', '[^a-z0-9' + chr(92) + 's]+', ' '), chr(92) + 's+', ' ')})"
 _ptok = lambda x: f"list_distinct(list_filter(string_split({_plain(x)}, ' '), lambda t: t <> ''))"
 register(

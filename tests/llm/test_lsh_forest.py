@@ -48,3 +48,9 @@ def test_odd_tables(spark):
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in lsh_forest.near_duplicates(docs).collect()}
     assert got == {1: (1, 1, True), 2: (0, 2, True), 3: (0, 3, True), 4: (1, 1, False)}
     assert lsh_forest.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_rows_with_repeated_ids_may_hold_maps(spark):
+    docs = spark.createDataFrame([(1, "b", {"x": 2}), (1, "a", {"x": 3}), (1, "a", {"x": 1}), (1, None, None), (2, "c", None)], "doc_id long, text string, m map<string,int>")
+    kept = lsh_forest.kept_documents(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id, r.text, r.m) for r in kept.collect()) == [(1, "a", {"x": 1}), (2, "c", None)]

@@ -24,8 +24,6 @@ from .components import components
 #: Trees, and the values that open a region.
 TREES, DEPTH = 48, 6
 HASHES = TREES * DEPTH
-#: A signature may agree this much less than asked for (five standard deviations and more) before its pair is dropped unread.
-SLACK = 0.12
 #: Bits of the map of a set's shingles.
 MAP_BITS = 4096
 #: Rows on a side of the cells that large regions are cut into.
@@ -168,15 +166,13 @@ def neighbours(sets: DataFrame) -> DataFrame:
 
 
 def _alike(percent: int):
-    least = percent / 100 - SLACK
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):
                 part = batch.slice(lo, 2000)
                 (sa, ma), (sb, mb) = signature_rows(part.column(4)), signature_rows(part.column(5))
                 near = (sa == sb).mean(1)
-                good = (near >= least) & possible(part.column(2).to_numpy(), part.column(3).to_numpy(), ma, mb, percent)
+                good = possible(part.column(2).to_numpy(), part.column(3).to_numpy(), ma, mb, percent)
                 keep = pa.array(good)
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep), pa.array(near[good])], ["a", "b", "near"])
 
@@ -184,7 +180,7 @@ def _alike(percent: int):
 
 
 def alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, near): the pairs that signatures and bitmaps leave possible, and the share of values in which the signatures agree."""
+    """(a, b, near): the pairs that bitmaps leave possible, and the share of values in which the signatures agree."""
     first, second = (sets.select(F.col("doc").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}")) for c in "ab")
     return pairs.join(first, "a").join(second, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_alike(percent), "a long, b long, near double")
 
@@ -257,7 +253,6 @@ def _cells(percent: int):
 
     A pair that meets in several trees is put out in the first only.
     """
-    least = percent / 100 - SLACK
 
     def pairs(g: pa.Table) -> pa.RecordBatch:
         role, doc, comp, n, outside = (g.column(k).to_numpy() for k in ("role", "doc", "comp", "n", "outside"))
@@ -269,7 +264,6 @@ def _cells(percent: int):
             at = own[(comp[own] != comp[m]) & (~outside[own] | (doc[own] < doc[m]))]
             at = at[possible(n[at], n[m], bits[at], bits[m], percent)]
             near = (sig[at] == sig[m]).mean(1)
-            at, near = at[near >= least], near[near >= least]
             first = region[m][(trees[at] == trees[m]).all(2).argmax(1)] == here
             at, near = at[first], near[first]
             for column, x in zip(out, (np.minimum(doc[at], doc[m]), np.maximum(doc[at], doc[m]), near), strict=True):

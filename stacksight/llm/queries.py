@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, licenses, lsh_forest, packing, prefix_forest, recompression, suffix_array, tokencounts, toxicity
+from . import decontaminate, language, licenses, lsh_forest, packing, prefix_forest, recompression, suffix_array, tokencounts, toxicity, twins
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,4 +54,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_decontamination, op3_language_id, op4_packing, op5_nearest_neighbours, op6_minhash_near_dedup, op7_license_scan, op8_recompression, op9_token_counts, op10_toxicity)}
-ORACLE_SQL: dict[str, str] = {"op7_license_scan": licenses.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op1_suffix_array_dedup": twins.OP1,
+    "op6_minhash_near_dedup": twins.OP6,
+    "op7_license_scan": licenses.oracle_sql(),
+    "op8_recompression": twins.OP8,
+}

@@ -31,3 +31,15 @@ def test_odd_rows(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [4, 8, 12, 24, 28]
     nothing = language.train(docs.limit(0))
     assert {r.lang_pred for r in language.predict(docs, nothing).collect()} == {"und"} and language.predict(docs.limit(0), model).count() == 0
+
+
+def test_rejection_by_distance(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language.train(docs)
+    strange = [(1, "Съешь же ещё этих мягких французских булок да выпей чаю. " * 4), (2, "xqzv wkjq zzxq vvkq jjqx qwzx kxqj zvqk " * 4), (3, "いろはにほへと ちりぬるを わかよたれそ つねならむ " * 4)]
+    odd = spark.createDataFrame([(i, t, None, "x", len(t)) for i, t in strange], docs.schema)
+    got = {r.doc_id: (r.lang_pred, r.rejected) for r in language.predict(odd, model).collect()}
+    assert all(rejected for _, rejected in got.values()) and len(got) == 3
+    assert language.kept_documents(odd, model).count() == 0
+    known = language.predict(docs, model).where("lang_pred <> 'und'")
+    assert known.where("rejected").count() <= 0.01 * known.count()

@@ -209,6 +209,12 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forgotten(spark: SparkSession, path: str) -> None:
+    """Delete a stored step that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def outcome(make: Callable[[], DataFrame]) -> DataFrame:
     """What make returns, stored; the steps that it stored on the way are then deleted, as nothing reads them any more."""
     steps: list[str] = []
@@ -222,6 +228,5 @@ def outcome(make: Callable[[], DataFrame]) -> DataFrame:
     if (passing := _PASSING.get()) is not None:
         passing += steps[last:]
     for path in steps[:last]:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        forgotten(spark, path)
     return out

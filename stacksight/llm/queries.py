@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, licenses, lsh_forest, packing, prefix_forest, recompression, suffix_array, tokencounts, toxicity, twins
+from . import decontaminate, delta_lloyd, divergence, language, licenses, lsh_forest, packing, prefix_forest, recompression, suffix_array, tokencounts, toxicity, twins
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,10 +53,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_decontamination, op3_language_id, op4_packing, op5_nearest_neighbours, op6_minhash_near_dedup, op7_license_scan, op8_recompression, op9_token_counts, op10_toxicity)}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return delta_lloyd.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+_OPERATORS = (
+    op1_suffix_array_dedup, op2_decontamination, op3_language_id, op4_packing, op5_nearest_neighbours, op6_minhash_near_dedup, op7_license_scan, op8_recompression, op9_token_counts, op10_toxicity,
+    op11_source_divergence, op13_centroid_clustering,
+)
+QUERIES = {f.__name__: f for f in _OPERATORS}
 ORACLE_SQL: dict[str, str] = {
     "op1_suffix_array_dedup": twins.OP1,
     "op6_minhash_near_dedup": twins.OP6,
     "op7_license_scan": licenses.oracle_sql(),
     "op8_recompression": twins.OP8,
+    "op11_source_divergence": twins.OP11,
+    "op13_centroid_clustering": twins.OP13,
 }

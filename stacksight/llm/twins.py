@@ -1,4 +1,4 @@
-"""DuckDB twins of operators that plain SQL can state: op1, op6 and op8, over the whole of `documents`."""
+"""DuckDB twins of operators that plain SQL can state: op1, op6, op8, op11 and op13, over their whole tables."""
 
 #: Texts as hex digits, two a byte; strings of 200 bytes are told by MD5. Texts are cut into parts first, as a substring costs as much as what lies before it.
 OP1 = r"""
@@ -74,3 +74,53 @@ found AS (
 SELECT t.doc_id, len(t.words) AS n_words, coalesce(f.n_removed, 0) AS n_removed, sha256(coalesce(f.kept, '')) AS kept_sha256
 FROM texts t LEFT JOIN found f ON t.doc_id = f.doc_id
 """
+
+_P = lambda n, total: f"(1 + 1000000000::HUGEINT * ({n} + 2) // ({total} + 2 * terms))"
+_F = lambda p, q: f"(({p} - {q}) * ({p} - {q}) // ({p} + {q}))"
+
+#: Every kept term of every group and of every pair of groups is laid out.
+OP11 = rf"""
+WITH docs AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS d,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+found AS (SELECT lang, source, d, unnest(words) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS n FROM found GROUP BY lang, term HAVING count(DISTINCT d) >= 10),
+langs AS (SELECT lang, count(*) AS terms, sum(n)::HUGEINT AS total FROM kept GROUP BY lang),
+counts AS (SELECT f.lang, f.source, f.term, count(*) AS n FROM found f JOIN kept k ON f.lang = k.lang AND f.term = k.term GROUP BY ALL),
+groups AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0)::HUGEINT AS total FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source GROUP BY ALL),
+shares AS MATERIALIZED (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, {_P('coalesce(c.n, 0)', 'g.total')} AS p, {_P('k.n', 'l.total')} AS q
+  FROM groups g JOIN langs l ON l.lang = g.lang JOIN kept k ON k.lang = g.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+apart AS (SELECT a.lang, a.source, b.source AS item, sum({_F('a.p', 'b.p')}) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(x.value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+parts AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pairs
+  UNION ALL SELECT lang, source, 'term', term, {_F('p', 'q')} FROM shares WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
+FROM parts QUALIFY part = 'pair' OR rank <= 10
+"""
+
+
+def _rounds() -> str:
+    """Four assignments, and the three moves of the centroids between them."""
+    squares = "list_sum(list_transform(list_zip(v.point, c.point), lambda x: (x[1] - x[2]) * (x[1] - x[2])))"
+    out = ["c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS k, point FROM points ORDER BY sha256('1:' || vec_id) LIMIT 16)"]
+    for r in range(4):
+        out.append(f"a{r} AS MATERIALIZED (SELECT v.vec_id, v.point, min(struct_pack(d := ({squares})::BIGINT, k := c.k)) AS best FROM points v, c{r} c GROUP BY ALL)")
+        if r < 3:
+            out.append(f"s{r} AS (SELECT best.k AS k, i, sum(point[i])::BIGINT AS s, count(*) AS n FROM a{r}, unnest(range(1, 65)) t(i) GROUP BY ALL)")
+            out.append(f"m{r} AS (SELECT k, list((s - (s % n + n) % n) // n ORDER BY i) AS point FROM s{r} GROUP BY k)")
+            out.append(f"c{r + 1} AS (SELECT c.k, coalesce(m.point, c.point) AS point FROM c{r} c LEFT JOIN m{r} m ON m.k = c.k)")
+    return ",\n".join(out)
+
+
+OP13 = f"""
+WITH points AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS point FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+{_rounds()}
+SELECT a.vec_id, best.k::INT AS cluster, best.d AS distance, (sum(best.d) OVER (PARTITION BY best.k))::BIGINT AS cluster_inertia, (sum(best.d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c.point, ',')) AS centroid_sha256
+FROM a3 a JOIN c3 c ON c.k = a.best.k
+"""

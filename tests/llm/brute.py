@@ -3,7 +3,7 @@
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -109,3 +109,46 @@ def corpus(seed: int, n: int = 60) -> dict:
 
 def table(spark, texts: dict, **extra):
     return spark.createDataFrame([(d, t) for d, t in texts.items()], "doc_id long, text string").repartition(3)
+
+
+def divergence(rows: list, least: int = 10, top: int = 10) -> set:
+    """op11: (lang, source, part, item, value, rank) of rows (text, lang, source)."""
+    docs = [(lang or "", source or "", re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))) for text, lang, source in rows]
+    out = set()
+    for lang in {d[0] for d in docs}:
+        own = [d for d in docs if d[0] == lang]
+        seen = Counter(t for d in own for t in set(d[2]))
+        kept = [t for t in seen if seen[t] >= least]
+
+        def shares(words):
+            n = Counter(words)
+            total = sum(n[t] for t in kept)
+            return {t: (1 + 10**9 * (n[t] + 2) // (total + 2 * len(kept)), n[t]) for t in kept}
+
+        q = shares(w for d in own for w in d[2])
+        p = {s: shares(w for d in own if d[1] == s for w in d[2]) for s in {d[1] for d in own}}
+        f = lambda a, b: (a - b) ** 2 // (a + b)
+        for s in p:
+            pairs = [(o, sum(f(p[s][t][0], p[o][t][0]) for t in kept)) for o in p if o != s]
+            terms = [(t, f(p[s][t][0], q[t][0])) for t in kept if p[s][t][1] and p[s][t][0] > q[t][0]]
+            for part, items, most in (("pair", pairs, len(pairs)), ("term", terms, top)):
+                for rank, (item, value) in enumerate(sorted(items, key=lambda x: (-x[1], x[0].encode()))[:most], 1):
+                    out.add((lang, s, part, item, value, rank))
+    return out
+
+
+def lloyd(rows: dict, clusters: int = 16, rounds: int = 3) -> dict:
+    """op13: vec_id -> (cluster, distance, cluster_inertia, inertia, centroid hash) of kept integer points."""
+    first = sorted(rows, key=lambda i: hashlib.sha256(f"1:{i}".encode()).hexdigest())[:clusters]
+    centroids = [rows[i] for i in first]
+    gap = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b, strict=True))
+    for r in range(rounds + 1):
+        best = {i: min((gap(v, c), k) for k, c in enumerate(centroids)) for i, v in rows.items()}
+        if r < rounds:
+            for k in range(len(centroids)):
+                if mine := [rows[i] for i in rows if best[i][1] == k]:
+                    centroids[k] = [sum(x) // len(mine) for x in zip(*mine, strict=True)]
+    own = Counter()
+    for d, k in best.values():
+        own[k] += d
+    return {i: (k, d, own[k], sum(own.values()), hashlib.sha256(",".join(map(str, centroids[k])).encode()).hexdigest()) for i, (d, k) in best.items()}

@@ -6,10 +6,11 @@ from stacksight.llm import queries
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["op1_suffix_array_dedup", "op6_minhash_near_dedup", "op8_recompression"])
+@pytest.mark.parametrize("name", ["op1_suffix_array_dedup", "op6_minhash_near_dedup", "op8_recompression", "op11_source_divergence", "op13_centroid_clustering"])
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     want = con.execute(queries.ORACLE_SQL[name])
     columns = sorted(c[0] for c in want.description)
     at = [[c[0] for c in want.description].index(c) for c in columns]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, delta_lloyd, divergence, language, licenses, lsh_forest, packing, prefix_forest, recompression, suffix_array, tokencounts, toxicity, twins
+from . import decontaminate, delta_lloyd, divergence, language, licenses, lsh_forest, packing, prefix_forest, recompression, semi_crf, suffix_array, tokencounts, toxicity, twins
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,13 +57,18 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return semi_crf.find(docs, semi_crf.train(docs))
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delta_lloyd.cluster(_table(spark, sf_dir, "embeddings"))
 
 
 _OPERATORS = (
     op1_suffix_array_dedup, op2_decontamination, op3_language_id, op4_packing, op5_nearest_neighbours, op6_minhash_near_dedup, op7_license_scan, op8_recompression, op9_token_counts, op10_toxicity,
-    op11_source_divergence, op13_centroid_clustering,
+    op11_source_divergence, op12_personal_data, op13_centroid_clustering,
 )
 QUERIES = {f.__name__: f for f in _OPERATORS}
 ORACLE_SQL: dict[str, str] = {

@@ -102,18 +102,32 @@ def token_number(c: Column) -> Column:
 
 _TOKEN = r"(?:\d+|" + "|".join(sorted(NUMBER_WORDS, key=len, reverse=True)) + r"|[ivxlcdm]+)"
 _RANGE = rf"(?i)\b({_TOKEN})\b\s*(?:-|–|—|to|thru|through)\s*\b({_TOKEN})\b"
-#: A range wider than this is a slip of the pen (years, page numbers), not an omnibus.
-WIDEST_RANGE = 1000
 
 
-def omnibus_numbers(c: Column) -> Column:
-    """The numbers of all ranges of a title that has a word for book or volume: `Books 1-3`, `Volume I to III`."""
+def _range_end(c: Column) -> Column:
+    """An end of a range: any number that a long holds."""
+    t = F.trim(text(c))
+    return F.when(t.rlike(r"^\d{10,18}$"), t.cast("bigint")).otherwise(token_number(c).cast("bigint"))
+
+
+def omnibus_ranges(c: Column) -> Column:
+    """The ranges (lo, hi) of a title that has a word for book or volume: `Books 1-3`, `Volume I to III`; of any width, as they are not laid out."""
     t = text(c)
     pairs = F.arrays_zip(F.regexp_extract_all(t, F.lit(_RANGE), F.lit(1)).alias("a"), F.regexp_extract_all(t, F.lit(_RANGE), F.lit(2)).alias("b"))
-    ends = F.transform(pairs, lambda p: F.struct(token_number(p["a"]).alias("a"), token_number(p["b"]).alias("b")))
-    fine = F.filter(ends, lambda p: p["a"].isNotNull() & p["b"].isNotNull() & (F.abs(p["a"] - p["b"]) <= WIDEST_RANGE))
-    numbers = F.array_distinct(F.flatten(F.transform(fine, lambda p: F.sequence(F.least(p["a"], p["b"]), F.greatest(p["a"], p["b"])))))
-    return F.when(t.rlike(r"(?i)\b(?:books?|volumes?|vol\.?)\b"), numbers).otherwise(F.array().cast("array<int>"))
+    ends = F.transform(pairs, lambda p: F.struct(_range_end(p["a"]).alias("a"), _range_end(p["b"]).alias("b")))
+    fine = F.filter(ends, lambda p: p["a"].isNotNull() & p["b"].isNotNull())
+    ranges = F.transform(fine, lambda p: F.struct(F.least(p["a"], p["b"]).alias("lo"), F.greatest(p["a"], p["b"]).alias("hi")))
+    return F.when(t.rlike(r"(?i)\b(?:books?|volumes?|vol\.?)\b"), ranges).otherwise(F.array().cast("array<struct<lo:bigint,hi:bigint>>"))
+
+
+def laid_out(ranges: Column) -> Column:
+    """Every number of an array of ranges, for display."""
+    return F.flatten(F.transform(ranges, lambda r: F.sequence(r["lo"], r["hi"])))
+
+
+def omnibus_numbers(c: Column) -> Column:
+    """The numbers of all ranges of a title, laid out; operators work on omnibus_ranges instead."""
+    return F.array_distinct(laid_out(omnibus_ranges(c)))
 
 
 def truncated_number(c: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stacksight.functions import dates as d
 from stacksight.functions import text as t
-from stacksight.operators.intelligence import active
+from stacksight.operators.intelligence import active, expected_gaps, first_numbers
 
 # The order in which providers are trusted, and what each adds to the confidence of a fused candidate.
 PROVIDERS = (("hardcover", 0.4), ("google_books", 0.3), ("openlibrary", 0.25), ("web_search", 0.15))
@@ -187,14 +187,10 @@ def bundles_of_owned(hits: DataFrame, books: DataFrame, least: int = 2, shortest
 
 def missing_slots(books: DataFrame, hits: DataFrame, ahead: int = LOOKAHEAD) -> DataFrame:
     """Numbers up to the expected total that neither books nor hits have, the first `ahead` of each series."""
-    from stacksight.operators.intelligence import gaps
-
-    none = F.array().cast("array<int>")
-    have = books.where(active() & (F.col("book_number") > 0)).select("series_id", F.floor("book_number").cast("int").alias("n")).unionByName(hits.where("series_number_hint > 0").select("series_id", F.floor("series_number_hint").cast("int").alias("n")))
-    owned = have.where("series_id is not null").groupBy("series_id").agg(F.collect_set("n").alias("have"))
-    total = hits.groupBy("series_id").agg(F.max("series_total_hint").alias("total")).where("total is not null")
-    rows = total.join(owned, "series_id", "left").select("series_id", F.slice(F.array_sort(gaps(F.col("total"), F.coalesce("have", none))), 1, ahead).alias("slots"))
-    return rows.where("size(slots) > 0")
+    have = books.where(active() & (F.col("book_number") > 0)).select("series_id", F.floor("book_number").alias("n")).unionByName(hits.where("series_number_hint > 0").select("series_id", F.floor("series_number_hint").alias("n")))
+    total = hits.groupBy("series_id").agg(F.max("series_total_hint").alias("expected")).where("expected is not null")
+    rows = expected_gaps(total, have.where("series_id is not null"))
+    return rows.where("size(gaps) > 0").select("series_id", first_numbers(F.col("gaps"), ahead).alias("slots"))
 
 
 def find(books: DataFrame, hits: DataFrame, top: int = 6, per_provider: int = 3) -> DataFrame:

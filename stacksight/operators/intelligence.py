@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stacksight.functions import dates as d
 
-#: Numbers above this are slips of the pen; a series is not laid out beyond it.
-HIGHEST_VOLUME = 10_000
+RANGES = "array<struct<lo:bigint,hi:bigint>>"
 
 
 def active(c: Column | None = None) -> Column:
@@ -41,31 +40,56 @@ def series_aggregates(books: DataFrame, series: DataFrame) -> DataFrame:
     return series.select("series_id").join(counted, "series_id", "left").select("series_id", *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in names))
 
 
-def gaps(total: Column, covered: Column) -> Column:
-    """The numbers 1..total that are not covered. A sequence from 1 to 0 would run backwards, so no total is no gap."""
-    whole = F.sequence(F.lit(1), F.least(total, F.lit(HIGHEST_VOLUME)).cast("int"))
-    return F.when(total >= 1, F.array_except(whole, covered)).otherwise(F.array().cast("array<int>"))
+def own_range() -> Column:
+    """The whole number of a book as ranges: one, or none."""
+    n = F.col("book_number")
+    one = F.struct(n.cast("bigint").alias("lo"), n.cast("bigint").alias("hi"))
+    return F.when((n > 0) & (n == F.floor(n)), F.array(one)).otherwise(F.array().cast(RANGES))
+
+
+def reach_before(by: str = "series_id") -> Column:
+    """Of rows (lo, hi): the highest number that any earlier range reaches, 0 before the first. Rows of a series stream by in order, none is laid out."""
+    w = Window.partitionBy(by).orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.max("hi").over(w), F.lit(0))
+
+
+def between_ranges(reach: str = "reach") -> Column:
+    """Aggregate over rows (lo, hi, reach): the gaps between the ranges, as ranges in order."""
+    gap = F.struct((F.col(reach) + 1).alias("lo"), (F.col("lo") - 1).alias("hi"))
+    return F.array_sort(F.collect_list(F.when(F.col("lo") > F.col(reach) + 1, gap)))
+
+
+def n_numbers(ranges: Column) -> Column:
+    return F.aggregate(ranges, F.lit(0).cast("bigint"), lambda a, r: a + r["hi"] - r["lo"] + 1)
+
+
+def first_numbers(ranges: Column, n: int) -> Column:
+    """The first n numbers of ranges in order; wide ranges are laid out no further."""
+    few = F.transform(F.slice(ranges, 1, n), lambda r: F.sequence(r["lo"], F.least(r["hi"], r["lo"] + n - 1)))
+    return F.slice(F.flatten(few), 1, n)
 
 
 def series_intelligence(books: DataFrame, series: DataFrame) -> DataFrame:
     """Per series: total, gaps, next unread and next upcoming number, finished flag, read and unread counts.
 
-    A book covers its own whole number and every number of an omnibus range in its title. One shuffle by series.
+    A book covers its own whole number and every number of an omnibus range in its title. Ranges are sorted, and a gap
+    lies where one starts beyond what all before it reach, so no number needs to be laid out: `gaps` holds ranges, and
+    `missing` lays them out for display (it costs nothing where it is not selected). One shuffle by series.
     """
     n = F.col("book_number")
-    whole = (n > 0) & (n == F.floor(n)) & (n <= HIGHEST_VOLUME)
-    own = F.when(whole, F.array(n.cast("int"))).otherwise(F.array().cast("array<int>"))
-    per_book = of_own_profile(books.where(active()), series).select("series_id", F.array_union(own, d.omnibus_numbers(F.col("title"))).alias("covers"), n.alias("n"), whole.alias("whole"), read().alias("read"), upcoming().alias("upcoming"))
-    counted = per_book.groupBy("series_id").agg(
-        F.array_distinct(F.flatten(F.collect_set("covers"))).alias("covered"),
+    whole = (n > 0) & (n == F.floor(n))
+    covers = F.concat(own_range(), d.omnibus_ranges(F.col("title")))
+    per_book = of_own_profile(books.where(active()), series).select("series_id", n.alias("n"), whole.alias("whole"), read().alias("read"), upcoming().alias("upcoming"), F.posexplode_outer(covers).alias("pos", "range"))
+    rows = per_book.select("*", F.col("range.lo").alias("lo"), F.col("range.hi").alias("hi"), (F.coalesce("pos", F.lit(0)) == 0).alias("once"))
+    counted = rows.withColumn("reach", reach_before()).groupBy("series_id").agg(
+        F.max("hi").alias("total"), between_ranges().alias("gaps"),
         F.min(F.when(F.col("whole") & ~F.col("read") & ~F.col("upcoming"), F.col("n"))).cast("bigint").alias("next_unread"),
         F.min(F.when((F.col("n") > 0) & F.col("upcoming"), F.col("n"))).alias("next_upcoming"),
-        F.count_if("read").alias("read_count"), F.count_if(~F.col("read")).alias("unread_count"),
+        F.count_if(F.col("once") & F.col("read")).alias("read_count"), F.count_if(F.col("once") & ~F.col("read")).alias("unread_count"),
     )
-    covered = F.coalesce("covered", F.array().cast("array<int>"))
-    total = F.coalesce(F.array_max(covered), F.lit(0))
+    ranges = F.coalesce("gaps", F.array().cast(RANGES))
     return series.join(counted, "series_id", "left").select(
-        "series_id", total.cast("bigint").alias("total_covered"), F.array_sort(gaps(total, covered)).alias("missing"), "next_unread", "next_upcoming",
+        "series_id", F.coalesce("total", F.lit(0)).cast("bigint").alias("total_covered"), ranges.alias("gaps"), d.laid_out(ranges).alias("missing"), "next_unread", "next_upcoming",
         d.flag(F.col("is_finished")).alias("is_finished"), F.coalesce("read_count", F.lit(0)).alias("read_count"), F.coalesce("unread_count", F.lit(0)).alias("unread_count"),
     )
 
@@ -78,7 +102,7 @@ def series_state(intelligence: DataFrame, series: DataFrame, added: DataFrame |
         new = new.join(added.select("series_id").distinct().withColumn("added", F.lit(True)), "series_id", "left").withColumn("had_new", F.col("had_new") | d.flag(F.col("added")))
     return intelligence.join(new, "series_id").select(
         "series_id", F.col("had_new").alias("has_new_books"), unread.alias("has_unread_books"), coming.alias("has_upcoming_books"),
-        (~unread & ~coming & (F.size("missing") == 0)).alias("is_caught_up"), F.when(F.col("is_finished"), "finished").otherwise("ongoing").alias("series_status"),
+        (~unread & ~coming & (F.size("gaps") == 0)).alias("is_caught_up"), F.when(F.col("is_finished"), "finished").otherwise("ongoing").alias("series_status"),
     )
 
 
@@ -127,16 +151,31 @@ def read_counts(books: DataFrame) -> DataFrame:
 
 def client_gaps(books: DataFrame) -> DataFrame:
     """Gaps below the highest owned number, where two whole numbers are owned at least; omnibus ranges fill gaps but do not raise the top."""
-    n = F.col("book_number")
-    whole = (n > 0) & (n == F.floor(n)) & (n <= HIGHEST_VOLUME)
-    owned = books.where(active() & F.col("series_id").isNotNull()).groupBy("series_id").agg(F.collect_set(F.when(whole, n.cast("int"))).alias("owned"), F.array_distinct(F.flatten(F.collect_set(d.omnibus_numbers(F.col("title"))))).alias("omnibus"))
-    return owned.where("size(owned) >= 2").select("series_id", F.array_sort(gaps(F.array_max("owned"), F.array_union("owned", "omnibus"))).alias("missing"))
+    own = own_range()
+    rows = books.where(active() & F.col("series_id").isNotNull()).select("series_id", F.get(own, F.lit(0))["lo"].alias("own"), F.explode(F.concat(own, d.omnibus_ranges(F.col("title")))).alias("range"))
+    whole = Window.partitionBy("series_id")
+    rows = rows.select("series_id", "own", F.col("range.lo").alias("lo"), F.col("range.hi").alias("hi"), F.max("own").over(whole).alias("top"), F.min("own").over(whole).alias("bottom"))
+    rows = rows.where("top <> bottom and lo <= top").withColumn("hi", F.least("hi", "top"))
+    found = rows.withColumn("reach", reach_before()).groupBy("series_id").agg(between_ranges().alias("gaps"))
+    return found.select("series_id", "gaps", d.laid_out(F.col("gaps")).alias("missing"))
 
 
 def merged_gaps(known: DataFrame, inferred: DataFrame) -> DataFrame:
-    none = F.array().cast("array<int>")
-    both = known.select("series_id", F.col("missing").alias("a")).join(inferred.select("series_id", F.col("missing").alias("b")), "series_id", "left")
-    return both.select("series_id", F.array_sort(F.array_union(F.coalesce("a", none), F.coalesce("b", none))).alias("missing"))
+    """For each series of `known`: the numbers that lie in a gap of either side, as ranges that neither touch nor overlap."""
+    both = known.select("series_id", F.explode_outer("gaps").alias("range")).unionByName(inferred.select("series_id", F.explode("gaps").alias("range")).join(known.select("series_id"), "series_id", "left_semi"))
+    rows = both.select("series_id", F.col("range.lo").alias("lo"), F.col("range.hi").alias("hi")).withColumn("starts", (F.col("lo") > reach_before() + 1).cast("int"))
+    island = F.sum("starts").over(Window.partitionBy("series_id").orderBy("lo", "hi"))
+    merged = rows.withColumn("island", island).groupBy("series_id", "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    found = merged.groupBy("series_id").agg(F.array_sort(F.collect_list(F.when(F.col("lo").isNotNull(), F.struct("lo", "hi")))).alias("gaps"))
+    return found.select("series_id", "gaps", d.laid_out(F.col("gaps")).alias("missing"))
+
+
+def expected_gaps(expected: DataFrame, have: DataFrame) -> DataFrame:
+    """Numbers 1..expected that nobody has. expected: series_id, expected; have: series_id, n. A range just behind the last number closes the last gap."""
+    end = expected.where("expected >= 0").select("series_id", (F.col("expected").cast("bigint") + 1).alias("lo"))
+    rows = have.where("n > 0").select("series_id", F.col("n").cast("bigint").alias("lo")).join(end.withColumnRenamed("lo", "end"), "series_id").where("lo < end").select("series_id", "lo").unionByName(end)
+    found = rows.withColumn("hi", F.col("lo")).withColumn("reach", reach_before()).groupBy("series_id").agg(between_ranges().alias("gaps"))
+    return expected.join(found, "series_id").select("series_id", "expected", "gaps", d.laid_out(F.col("gaps")).alias("missing"))
 
 
 def owned_top(books: DataFrame) -> DataFrame:

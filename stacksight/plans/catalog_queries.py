@@ -17,11 +17,11 @@ LIVE = "(record_status IS NULL OR record_status <> 'deleted')"
 READ = "(is_read OR read_status = 'read')"
 OWN = "books JOIN (SELECT series_id AS sid, profile_id AS pid FROM series) own ON own.sid = series_id AND own.pid = profile_id"
 _LO, _HI = duck.get("title", r"books? (\d+)-(\d+)", 1, "i"), duck.get("title", r"books? (\d+)-(\d+)", 2, "i")
-COVERED = f"""SELECT series_id, CAST(book_number AS INTEGER) AS n FROM live WHERE book_number > 0 AND book_number = floor(book_number)
-UNION SELECT series_id, unnest(range(CAST({_LO} AS INTEGER), CAST({_HI} AS INTEGER) + 1)) AS n FROM live WHERE {duck.has('title', r'books? (\d+)-(\d+)', 'i')}"""
-KNOWN = f"""live AS (SELECT * FROM {OWN} WHERE {LIVE}), covered AS (SELECT DISTINCT series_id, CAST(n AS INTEGER) AS n FROM ({COVERED})),
+COVERED = f"""SELECT series_id, CAST(book_number AS BIGINT) AS n FROM live WHERE book_number > 0 AND book_number = floor(book_number)
+UNION SELECT series_id, unnest(range(CAST({_LO} AS BIGINT), CAST({_HI} AS BIGINT) + 1)) AS n FROM live WHERE {duck.has('title', r'books? (\d+)-(\d+)', 'i')}"""
+KNOWN = f"""live AS (SELECT * FROM {OWN} WHERE {LIVE}), covered AS (SELECT DISTINCT series_id, CAST(n AS BIGINT) AS n FROM ({COVERED})),
 totals AS (SELECT series_id, max(n) AS total FROM covered GROUP BY series_id),
-lacking AS (SELECT series_id, n FROM (SELECT series_id, CAST(unnest(range(1, total + 1)) AS INTEGER) AS n FROM totals) EXCEPT SELECT series_id, n FROM covered),
+lacking AS (SELECT series_id, n FROM (SELECT series_id, CAST(unnest(range(1, total + 1)) AS BIGINT) AS n FROM totals) EXCEPT SELECT series_id, n FROM covered),
 gaps AS (SELECT series_id, string_agg(CAST(n AS VARCHAR), ',' ORDER BY n) AS missing FROM lacking GROUP BY series_id),
 counts AS (SELECT series_id, CAST(min(CASE WHEN book_number > 0 AND book_number = floor(book_number) AND NOT {READ} AND read_status <> 'upcoming' THEN book_number END) AS BIGINT) AS next_unread,
 min(CASE WHEN book_number > 0 AND read_status = 'upcoming' THEN book_number END) AS next_upcoming, count(*) FILTER ({READ}) AS read_count, count(*) FILTER (NOT {READ}) AS unread_count FROM live GROUP BY series_id),
@@ -38,7 +38,7 @@ def known(v):
 
 
 def shown(df):
-    return df.withColumn("missing", intelligence.missing_text())
+    return df.withColumn("missing", intelligence.missing_text()).drop("gaps")
 
 
 # scans
@@ -76,7 +76,7 @@ register("A15_ongoing_finished", lambda v: v.series.join(intelligence.counters(v
 _TOP = f"SELECT series_id, max(CASE WHEN NOT is_missing THEN CAST(floor(book_number) AS BIGINT) END) AS highest_owned, CAST(floor(max(book_number)) + 1 AS BIGINT) AS next_number, coalesce(max(book_number), 0.0) AS ceiling FROM books WHERE {LIVE} AND series_id IS NOT NULL GROUP BY series_id"
 register("A16_next_number", lambda v: intelligence.owned_top(v.books).select("series_id", "next_number"), f"SELECT series_id, next_number FROM ({_TOP})")
 register("A41_highest_owned", lambda v: intelligence.owned_top(v.books).select("series_id", "highest_owned"), f"SELECT series_id, highest_owned FROM ({_TOP})")
-register("A44_number_ceiling", lambda v: intelligence.owned_top(v.books).join(known(v).select("series_id", F.coalesce(F.array_max("missing"), F.lit(0)).alias("gap")), "series_id").select("series_id", F.greatest("ceiling", "gap").alias("ceiling")),
+register("A44_number_ceiling", lambda v: intelligence.owned_top(v.books).join(known(v).select("series_id", F.coalesce(F.try_element_at("gaps", F.lit(-1))["hi"], F.lit(0)).alias("gap")), "series_id").select("series_id", F.greatest("ceiling", "gap").alias("ceiling")),
          f"WITH {KNOWN}, top AS ({_TOP}), far AS (SELECT series_id, max(n) AS gap FROM lacking GROUP BY series_id) SELECT top.series_id, greatest(ceiling, CAST(coalesce(gap, 0) AS DOUBLE)) AS ceiling FROM top JOIN series USING (series_id) LEFT JOIN far USING (series_id)")
 register("A17_detail_counts", lambda v: v.books.where(active() & F.col("series_id").isNotNull()).groupBy("series_id").agg(F.count_if(intelligence.read()).alias("read"), F.count_if(intelligence.upcoming()).alias("upcoming"), F.count_if(~intelligence.read() & ~intelligence.upcoming()).alias("unread"), F.count_if(d.needs_verification(F.col("read_status"), F.col("publication_date"), F.col("release_date"))).alias("unverified")),
          f"SELECT series_id, count(*) FILTER ({READ}) AS read, count(*) FILTER (read_status = 'upcoming') AS upcoming, count(*) FILTER (NOT {READ} AND read_status <> 'upcoming') AS unread, count(*) FILTER (read_status IN ('upcoming', 'available') AND publication_date IS NULL AND release_date IS NULL) AS unverified FROM books WHERE {LIVE} AND series_id IS NOT NULL GROUP BY series_id")
@@ -88,7 +88,7 @@ register("A20_unique_bare_titles", lambda v: v.books.where(active()).groupBy("pr
 register("A21_completeness", lambda v: v.books.where(active() & (F.col("book_number") > 0) & F.col("series_id").isNotNull()).groupBy("series_id").agg(F.round(F.count_distinct(F.floor("book_number")) / F.max(F.floor("book_number")), 6).alias("completeness"), F.round(F.avg(F.col("is_read").cast("double")), 6).alias("read_share")).where("completeness is not null"),
          f"SELECT series_id, round(count(DISTINCT floor(book_number)) / max(floor(book_number)), 6) AS completeness, round(avg(CAST(is_read AS DOUBLE)), 6) AS read_share FROM books WHERE {LIVE} AND book_number > 0 AND series_id IS NOT NULL GROUP BY series_id HAVING max(floor(book_number)) > 0")
 register("A23_expected_total", lambda v: v.hits.groupBy("series_id").agg(F.max("series_total_hint").alias("expected"), F.count("series_total_hint").alias("hints")), "SELECT series_id, max(series_total_hint) AS expected, count(series_total_hint) AS hints FROM candidate_hits GROUP BY series_id")
-_HAVE = f"SELECT DISTINCT series_id, CAST(floor(book_number) AS INTEGER) AS n FROM books WHERE {LIVE} AND book_number > 0"
+_HAVE = f"SELECT DISTINCT series_id, CAST(floor(book_number) AS BIGINT) AS n FROM books WHERE {LIVE} AND book_number > 0"
 
 
 def expected(v):
@@ -97,23 +97,19 @@ def expected(v):
 
 def numbers(rows, c, whole):
     n = F.col(c)
-    return rows.where((n > 0) & F.col("series_id").isNotNull() & (F.lit(True) if not whole else n == F.floor(n))).groupBy("series_id").agg(F.collect_set(F.floor(n).cast("int")).alias("have"))
+    return rows.where((n > 0) & F.col("series_id").isNotNull() & (F.lit(True) if not whole else n == F.floor(n))).select("series_id", F.floor(n).alias("n"))
 
 
 def external_gaps(v, whole):
-    none = F.array().cast("array<int>")
-    owned = numbers(v.books.where(active()), "book_number", whole)
-    rows = expected(v).join(owned, "series_id", "left").select("series_id", "expected", F.coalesce("have", none).alias("have"))
-    if not whole:
-        rows = rows.join(numbers(v.hits, "series_number_hint", False).withColumnRenamed("have", "found"), "series_id", "left").withColumn("have", F.array_union("have", F.coalesce("found", none)))
-    return rows.select("series_id", "expected", F.array_sort(F.array_except(F.sequence(F.lit(1), F.col("expected")), "have")).alias("missing"))
+    have = numbers(v.books.where(active()), "book_number", whole)
+    return intelligence.expected_gaps(expected(v), have if whole else have.unionByName(numbers(v.hits, "series_number_hint", False)))
 
 
-_EXP = "wanted AS (SELECT series_id, max(series_total_hint) AS expected FROM candidate_hits GROUP BY series_id HAVING max(series_total_hint) IS NOT NULL), slots AS (SELECT series_id, expected, CAST(unnest(range(1, expected + 1)) AS INTEGER) AS n FROM wanted)"
+_EXP = "wanted AS (SELECT series_id, max(series_total_hint) AS expected FROM candidate_hits GROUP BY series_id HAVING max(series_total_hint) IS NOT NULL), slots AS (SELECT series_id, expected, CAST(unnest(range(1, expected + 1)) AS BIGINT) AS n FROM wanted)"
 _WHOLE = f"{_HAVE} AND book_number = floor(book_number)"
 register("A24_external_missing", lambda v: external_gaps(v, False).select("series_id", intelligence.missing_text().alias("missing")),
-         f"WITH {_EXP}, have AS ({_HAVE} UNION SELECT series_id, CAST(floor(series_number_hint) AS INTEGER) FROM candidate_hits WHERE series_number_hint > 0) SELECT s.series_id, coalesce(string_agg(CASE WHEN h.n IS NULL THEN CAST(s.n AS VARCHAR) END, ',' ORDER BY s.n), '') AS missing FROM slots s LEFT JOIN have h ON h.series_id = s.series_id AND h.n = s.n GROUP BY s.series_id")
-register("A25_external_gap_ratio", lambda v: external_gaps(v, True).select("series_id", F.round(F.try_divide(F.size("missing"), F.col("expected")), 4).alias("ratio")),
+         f"WITH {_EXP}, have AS ({_HAVE} UNION SELECT series_id, CAST(floor(series_number_hint) AS BIGINT) FROM candidate_hits WHERE series_number_hint > 0) SELECT s.series_id, coalesce(string_agg(CASE WHEN h.n IS NULL THEN CAST(s.n AS VARCHAR) END, ',' ORDER BY s.n), '') AS missing FROM slots s LEFT JOIN have h ON h.series_id = s.series_id AND h.n = s.n GROUP BY s.series_id")
+register("A25_external_gap_ratio", lambda v: external_gaps(v, True).select("series_id", F.round(F.try_divide(intelligence.n_numbers(F.col("gaps")), F.col("expected")), 4).alias("ratio")),
          f"WITH {_EXP}, have AS ({_WHOLE}) SELECT s.series_id, round(count(*) FILTER (h.n IS NULL) / CAST(max(expected) AS DOUBLE), 4) AS ratio FROM slots s LEFT JOIN have h ON h.series_id = s.series_id AND h.n = s.n GROUP BY s.series_id")
 register("A26_number_coverage", lambda v: v.books.where(active()).groupBy("series_id").agg(F.count(F.lit(1)).alias("books"), F.count("book_number").alias("numbered"), F.count_if(F.col("book_number") == F.floor("book_number")).alias("integral")),
          f"SELECT series_id, count(*) AS books, count(book_number) AS numbered, count(*) FILTER (book_number = floor(book_number)) AS integral FROM books WHERE {LIVE} GROUP BY series_id")
@@ -123,7 +119,7 @@ register("A29_accepted_rejected", lambda v: v.hits.groupBy("source").agg(F.count
 register("A32_title_pattern_vote", lambda v: v.books.where(active() & F.col("series_id").isNotNull()).groupBy("series_id").agg(F.count_if(w.has_series_suffix(F.col("title"))).alias("with_suffix"), F.count_if(~w.has_series_suffix(F.col("title"))).alias("title_only")).withColumn("pattern", F.when(F.col("with_suffix") >= F.col("title_only"), "with_suffix").otherwise("title_only")),
          f"SELECT series_id, with_suffix, title_only, CASE WHEN with_suffix >= title_only THEN 'with_suffix' ELSE 'title_only' END AS pattern FROM (SELECT series_id, count(*) FILTER ({duck.has('title', r'\([^)]*\bbook\s*\d+(?:\.\d+)?[^)]*\)\s*$', 'i')}) AS with_suffix, count(*) FILTER (NOT {duck.has('title', r'\([^)]*\bbook\s*\d+(?:\.\d+)?[^)]*\)\s*$', 'i')}) AS title_only FROM books WHERE {LIVE} AND series_id IS NOT NULL GROUP BY series_id)")
 register("A33_series_number_groups", lambda v: v.books.where(active()).select("series_id", "book_number").where("series_id is not null and book_number is not null").distinct(), f"SELECT DISTINCT series_id, book_number FROM books WHERE {LIVE} AND series_id IS NOT NULL AND book_number IS NOT NULL")
-_CL = f"live AS (SELECT * FROM books WHERE {LIVE} AND series_id IS NOT NULL), omni AS (SELECT DISTINCT series_id, CAST(unnest(range(CAST({_LO} AS INTEGER), CAST({_HI} AS INTEGER) + 1)) AS INTEGER) AS n FROM live WHERE {duck.has('title', r'books? (\d+)-(\d+)', 'i')}), owned AS (SELECT DISTINCT series_id, CAST(book_number AS INTEGER) AS n FROM live WHERE book_number > 0 AND book_number = floor(book_number)), tops AS (SELECT series_id, max(n) AS top FROM owned GROUP BY series_id HAVING count(*) >= 2), lack AS (SELECT series_id, CAST(unnest(range(1, top + 1)) AS INTEGER) AS n FROM tops EXCEPT SELECT * FROM owned EXCEPT SELECT * FROM omni)"
+_CL = f"live AS (SELECT * FROM books WHERE {LIVE} AND series_id IS NOT NULL), omni AS (SELECT DISTINCT series_id, CAST(unnest(range(CAST({_LO} AS BIGINT), CAST({_HI} AS BIGINT) + 1)) AS BIGINT) AS n FROM live WHERE {duck.has('title', r'books? (\d+)-(\d+)', 'i')}), owned AS (SELECT DISTINCT series_id, CAST(book_number AS BIGINT) AS n FROM live WHERE book_number > 0 AND book_number = floor(book_number)), tops AS (SELECT series_id, max(n) AS top FROM owned GROUP BY series_id HAVING count(*) >= 2), lack AS (SELECT series_id, CAST(unnest(range(1, top + 1)) AS BIGINT) AS n FROM tops EXCEPT SELECT * FROM owned EXCEPT SELECT * FROM omni)"
 register("A35_client_gaps", lambda v: shown(intelligence.client_gaps(v.books)), f"WITH {_CL} SELECT tops.series_id, coalesce(string_agg(CAST(n AS VARCHAR), ',' ORDER BY n), '') AS missing FROM tops LEFT JOIN lack USING (series_id) GROUP BY tops.series_id")
 _MG = lambda inferred: f"WITH {KNOWN}, {inferred.replace('live AS', 'alive AS').replace('FROM live', 'FROM alive')}, every AS (SELECT series_id, n FROM lacking UNION SELECT series_id, n FROM lack) SELECT series.series_id, coalesce(string_agg(CAST(n AS VARCHAR), ',' ORDER BY n), '') AS missing FROM series LEFT JOIN every USING (series_id) GROUP BY series.series_id"
 for key in ("A36_merged_gaps", "U9_gap_union"):
@@ -187,6 +183,6 @@ register("U1_expected_minus_known", lambda v: external_gaps(v, True).select("ser
 register("U2_skeleton_minus_found", lambda v: v.books.where(active() & F.col("book_number").isNotNull()).select("series_id", F.col("book_number").alias("number")).distinct().join(v.hits.select("series_id", F.col("series_number_hint").alias("number")).distinct(), ["series_id", "number"], "left_anti").where("series_id is not null"),
          f"SELECT series_id, book_number AS number FROM books WHERE {LIVE} AND book_number IS NOT NULL AND series_id IS NOT NULL EXCEPT SELECT series_id, series_number_hint FROM candidate_hits")
 register("U3_titles_of_author", lambda v: v.books.select("author", t.title_key(F.col("title")).alias("title_key")).union(v.hits.select("author", t.title_key(F.col("title")))).where("title_key is not null").distinct(), f"SELECT author, {duck.title('title')} AS title_key FROM books WHERE {duck.title('title')} <> '' UNION SELECT author, {duck.title('title')} FROM candidate_hits WHERE {duck.title('title')} <> ''")
-register("U5_covered_numbers", lambda v: v.books.where(active() & F.col("series_id").isNotNull()).select("series_id", F.explode(F.array_union(F.when((F.col("book_number") > 0) & (F.col("book_number") == F.floor("book_number")), F.array(F.col("book_number").cast("int"))).otherwise(F.array().cast("array<int>")), d.omnibus_numbers(F.col("title")))).alias("number")).distinct(),
-         f"WITH live AS (SELECT * FROM books WHERE {LIVE} AND series_id IS NOT NULL) SELECT DISTINCT series_id, CAST(n AS INTEGER) AS number FROM ({COVERED})")
+register("U5_covered_numbers", lambda v: v.books.where(active() & F.col("series_id").isNotNull()).select("series_id", F.explode(d.laid_out(F.concat(intelligence.own_range(), d.omnibus_ranges(F.col("title"))))).alias("number")).distinct(),
+         f"WITH live AS (SELECT * FROM books WHERE {LIVE} AND series_id IS NOT NULL) SELECT DISTINCT series_id, CAST(n AS BIGINT) AS number FROM ({COVERED})")
 register("U8_providers_in_order", lambda v: v.hits.select("series_id", F.when(F.col("source") == "hardcover", 0).when(F.col("source") == "google_books", 1).when(F.col("source") == "openlibrary", 2).otherwise(3).alias("rank"), "source").distinct(), "SELECT DISTINCT series_id, CASE source WHEN 'hardcover' THEN 0 WHEN 'google_books' THEN 1 WHEN 'openlibrary' THEN 2 ELSE 3 END AS rank, source FROM candidate_hits")

@@ -85,6 +85,27 @@ def test_intelligence_of_a_small_library(spark):
     assert state == {1: (False, "ongoing"), 2: (True, "finished")}
 
 
+def test_gaps_of_high_volumes_and_wide_ranges(spark):
+    """Ranges are never laid out: volume 3,000,000 and `Books 1-50000` cost what volume 3 costs."""
+    series = spark.createDataFrame([(1, "p0", False, False), (2, "p0", False, False), (3, "p0", False, False)], "series_id long, profile_id string, is_finished boolean, has_new_books boolean")
+    b = "book_id long, series_id long, profile_id string, title string, book_number double, is_read boolean, read_status string, record_status string"
+    rows = [(1, 1, "p0", "One", 1.0, True, "read", None), (2, 1, "p0", "Far", 3_000_000.0, True, "read", None), (3, 2, "p0", "Books 1-50000", None, True, "read", None), (4, 2, "p0", "Books 40000-60000", None, True, "read", None),
+            (5, 2, "p0", "Sixty", 60_002.0, True, "read", None), (6, 3, "p0", "Books 2-123456789012", None, True, "read", None)]
+    books = spark.createDataFrame(rows, b)
+    known = intelligence.series_intelligence(books, series)
+    got = {r.series_id: (r.total_covered, [tuple(g) for g in r.gaps]) for r in known.select("series_id", "total_covered", "gaps").collect()}
+    assert got == {1: (3_000_000, [(2, 2_999_999)]), 2: (60_002, [(60_001, 60_001)]), 3: (123_456_789_012, [(1, 1)])}
+    assert {r.series_id: r.n for r in known.select("series_id", intelligence.n_numbers(F.col("gaps")).alias("n")).collect()} == {1: 2_999_998, 2: 1, 3: 1}
+    assert known.where("series_id = 1").select(intelligence.first_numbers(F.col("gaps"), 3)).first()[0] == [2, 3, 4]
+    assert {r.series_id: [tuple(g) for g in r.gaps] for r in intelligence.client_gaps(books).select("series_id", "gaps").collect()} == {1: [(2, 2_999_999)]}
+    other = spark.createDataFrame([(1, [(5, 9), (2_999_999, 3_000_010)]), (2, [(70_000, 70_001), (70_002, 70_009)])], "series_id long, gaps array<struct<lo:long,hi:long>>")
+    both = {r.series_id: [tuple(g) for g in r.gaps] for r in intelligence.merged_gaps(known, other).select("series_id", "gaps").collect()}
+    assert both == {1: [(2, 3_000_010)], 2: [(60_001, 60_001), (70_000, 70_009)], 3: [(1, 1)]}
+    want = spark.createDataFrame([(1, 5_000_000), (2, 3), (3, 0)], "series_id long, expected int")
+    have = spark.createDataFrame([(1, 2), (1, 4_999_999), (1, 6_000_000), (2, 1), (2, 2), (2, 3)], "series_id long, n long")
+    assert {r.series_id: [tuple(g) for g in r.gaps] for r in intelligence.expected_gaps(want, have).select("series_id", "gaps").collect()} == {1: [(1, 1), (3, 4_999_998), (5_000_000, 5_000_000)], 2: [], 3: []}
+
+
 def test_healing_is_stable(lib):
     once = integrity.healed(lib.books, AS_OF)
     again = integrity.healed(lib.books.drop("read_status", "is_missing", "is_upcoming_auto", "is_upcoming_final").join(once.drop("changed"), "book_id"), AS_OF)

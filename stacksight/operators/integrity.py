@@ -51,7 +51,7 @@ def stale_flags(books: DataFrame) -> DataFrame:
     return books.where((d.flag(F.col("is_read")) | (d.status(F.col("read_status")) == "read")) & (marks[0] | marks[1] | marks[2])).select("book_id", "series_id", "is_missing", "is_upcoming_auto", "is_upcoming_final")
 
 
-def healed(books: DataFrame, as_of: str) -> DataFrame:
+def healed(books: DataFrame, as_of: str, key: tuple[str, ...] = ("book_id",)) -> DataFrame:
     """read_status, is_missing and upcoming flags as dates and flags demand, and whether anything changed."""
     c = F.col
     new = d.healed_status(c("is_read"), c("read_status"), c("publication_date"), c("release_date"), c("is_upcoming_auto"), c("is_upcoming_final"), as_of)
@@ -60,7 +60,7 @@ def healed(books: DataFrame, as_of: str) -> DataFrame:
     auto = F.when(c("new_status") == "available", False).otherwise(d.flag(c("is_upcoming_auto")))
     final = F.when(c("new_status") == "available", False).otherwise(d.flag(c("is_upcoming_final")))
     changed = ~d.status(c("read_status")).eqNullSafe(c("new_status")) | (missing != d.flag(c("is_missing"))) | (auto != d.flag(c("is_upcoming_auto"))) | (final != d.flag(c("is_upcoming_final")))
-    return out.select("book_id", c("new_status").alias("read_status"), missing.alias("is_missing"), auto.alias("is_upcoming_auto"), final.alias("is_upcoming_final"), changed.alias("changed"))
+    return out.select(*key, c("new_status").alias("read_status"), missing.alias("is_missing"), auto.alias("is_upcoming_auto"), final.alias("is_upcoming_final"), changed.alias("changed"))
 
 
 def recovered_fields(books: DataFrame, fields: tuple[str, ...] = ("publication_date", "release_date", "isbn13", "asin", "edition")) -> DataFrame:

@@ -94,14 +94,36 @@ def recap(books: DataFrame, before: float | None = None) -> DataFrame:
     return rows.groupBy("series_id").agg(entries.alias("entries")).select("series_id", F.element_at("entries", -1)["title"].alias("last"), F.array_join(F.transform(F.slice("entries", F.lit(1), F.size("entries") - 1), lambda e: e["title"]), " | ").alias("earlier"))
 
 
-def eligible_for_discovery(series: DataFrame, books: DataFrame, notifications: DataFrame, as_of: str) -> DataFrame:
-    """Unfinished series with a real author that were not checked lately, without open notice and without a book to resolve again."""
+def eligible_for_discovery(known: DataFrame, state: DataFrame, series: DataFrame, books: DataFrame) -> DataFrame:
+    """Series that a sweep may check: unfinished and caught up, nothing unread, upcoming or missing, a real author, and no active book to resolve again.
+
+    known and state are those of intelligence; a deleted book's mark does not count.
+    """
     from stacksight.functions.text import is_placeholder_author
 
     flagged = books.where(active() & d.flag(F.col("needs_reresolution"))).select("series_id").distinct()
-    open_notice = notifications.where("dismissed_at is null").select("series_id").distinct()
-    due = F.col("last_checked").isNull() | (F.datediff(F.lit(as_of).cast("date"), F.col("last_checked")) >= d.COOLDOWN_DAYS)
-    return series.where(~d.flag(F.col("is_finished")) & ~blank(F.col("author")) & ~is_placeholder_author(F.col("author")) & due).join(flagged, "series_id", "left_anti").join(open_notice, "series_id", "left_anti").select("series_id", "name", "author")
+    calm = state.where(F.col("is_caught_up") & ~F.col("has_unread_books") & ~F.col("has_upcoming_books")).select("series_id")
+    whole = known.where(F.size("gaps") == 0).select("series_id")
+    named = series.where(~d.flag(F.col("is_finished")) & ~blank(F.col("author")) & ~is_placeholder_author(F.col("author")))
+    return named.join(calm, "series_id", "left_semi").join(whole, "series_id", "left_semi").join(flagged, "series_id", "left_anti").select("series_id", "profile_id", "name", "author")
+
+
+def swept(eligible: DataFrame, profiles: DataFrame, running: DataFrame, deltas: DataFrame, now: str) -> DataFrame:
+    """What a sweep does with each eligible series of the profiles whose last full sweep lies a cooldown back: checked with what its job brought, or skipped as a check of it is running.
+
+    running: series_id; deltas: series_id, new_books, delta of the jobs.
+    """
+    free = profiles.where(d.cooldown_left(F.col("last_full_discovery_run_at"), F.lit(now).cast("timestamp")) == 0).select("profile_id")
+    rows = eligible.join(free, "profile_id", "left_semi").join(running.select("series_id").distinct().withColumn("busy", F.lit(True)), "series_id", "left").join(deltas, "series_id", "left")
+    checked = F.col("busy").isNull()
+    told = lambda c: F.when(checked, F.coalesce(c, F.lit(0)))
+    return rows.select("profile_id", "series_id", F.col("name").alias("series_name"), F.when(checked, "checked").otherwise("skipped_already_running").alias("outcome"), told("new_books").alias("new_books_found"), told("delta").alias("discovery_delta_count"))
+
+
+def sweep_totals(outcomes: DataFrame) -> DataFrame:
+    """Of each profile's sweep: series looked at, checked, books found and the sum of deltas; series that were skipped count for nothing."""
+    count = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return outcomes.groupBy("profile_id").agg(F.count(F.lit(1)).alias("completed"), F.count_if(F.col("outcome") == "checked").alias("checked"), count("new_books_found"), count("discovery_delta_count"))
 
 
 def compared(books: DataFrame, a: int, b: int, fields: tuple[str, ...]) -> DataFrame:

@@ -1,75 +1,219 @@
-"""Discovered candidates into a library snapshot: match, insert or update, and collapse of duplicates."""
+"""Discovered candidates into a library snapshot: an ordered merge per series whose keys grow, two collapses of duplicates, then the sync of reading states.
+
+The merge is ordered by its nature: a candidate that becomes a book can be matched by the next one. Keys, dates and
+statuses are native columns; only the order-dependent part, which book a candidate meets and what that book then holds,
+is a fold over rows sorted by series, so a series streams through one task and nothing is gathered but its own books.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stacksight.functions import dates as d
 from stacksight.functions import text as t
-from stacksight.operators.entity import matched
-from stacksight.operators.intelligence import active
+from stacksight.operators.integrity import healed
+from stacksight.operators.intelligence import active, of_own_profile
+from stacksight.operators.steps import kept
 
+#: What a book keeps over a merge and a collapse, and what a keeper takes from a duplicate where it lacks it.
+STATE = ("title", "author", "book_number", "isbn13", "asin", "publication_date", "release_date", "edition", "metadata_source", "read_status", "record_status", "is_read", "is_missing", "is_upcoming_auto", "is_upcoming_final")
+TAKEN_OVER = ("release_date", "publication_date", "isbn13")
+KINDS = {"book_number": "double", "publication_date": "date", "release_date": "date"} | dict.fromkeys(("is_read", "is_missing", "is_upcoming_auto", "is_upcoming_final"), "boolean")
+FIELDS = ", ".join(f"{c} {KINDS.get(c, 'string')}" for c in STATE)
+#: An event is a candidate's outcome (action not null) or a book as the merge leaves it.
+EVENTS = f"series_id long, hit_pos long, hit_title string, action string, reason string, coming boolean, book_id long, moved boolean, {FIELDS}"
+#: A new book's id is minus the hit_pos that it came with, shifted so that hits of a series with one hit_pos stay apart.
+SAME_HIT_BITS = 6
+#: In this order a candidate looks for its book.
+MATCHES = (("identifier", "identifier"), ("number_key", "series_number"), ("title_key", "title"))
 
-def batch(hits: DataFrame, books: DataFrame, series: DataFrame) -> DataFrame:
-    """hit_pos, book_id, action: update of a matched book; insert of the first hit of its keys; skip of a batch duplicate.
 
-    A hit without a match is new if no earlier one without a match has its identifier, its number or its title.
-    """
-    same = series.select("series_id", F.col("author").alias("series_author"))
-    rows = matched(hits.join(same, "series_id").where(t.same_author(F.col("author"), F.col("series_author"))), books, series)
-    free = F.col("book_id").isNull()
-    nth = lambda key: F.when(free & F.col(key).isNotNull(), F.row_number().over(Window.partitionBy("series_id", key, free).orderBy("hit_pos", "title")))
-    rows = rows.withColumns({f"nth_{k}": nth(k) for k in ("isbn13", "number_key", "title_key")})
-    first = (F.coalesce("nth_isbn13", F.lit(1)) == 1) & (F.coalesce("nth_number_key", F.lit(1)) == 1) & (F.coalesce("nth_title_key", F.lit(1)) == 1)
-    return rows.select("hit_pos", "series_id", "title", "book_id", "reason", F.when(~free, "update").when(first, "insert").otherwise("skip").alias("action"))
-
-
-def updated(books: DataFrame, hits: DataFrame, actions: DataFrame, as_of: str) -> DataFrame:
-    """Matched books after all their updates: smallest date, first number where none was, best edition, status of the last hit."""
-    h = hits.select("hit_pos", "title", d.flexible_date(F.col("published_date")).alias("day"), "series_number_hint", "upcoming_hint", t.edition_from_title(F.col("title")).alias("edition_hint"))
-    news = actions.where("action = 'update'").select("hit_pos", "title", "book_id").join(h, ["hit_pos", "title"])
-    coming = d.is_upcoming(F.col("day"), F.col("upcoming_hint"), as_of)
-    order = F.struct("hit_pos", "title")
-    per = news.groupBy("book_id").agg(
-        F.max_by("title", order).alias("new_title"), F.min(F.when(~coming, F.col("day"))).alias("new_date"), F.min_by("day", F.when(coming & F.col("day").isNotNull(), order)).alias("new_release"),
-        F.min_by("series_number_hint", F.when(F.col("series_number_hint").isNotNull(), order)).alias("new_number"), F.max_by(coming, order).alias("coming"), F.max(F.struct(t.edition_rank(F.col("edition_hint")).alias("r"), F.col("edition_hint").alias("e"))).alias("new_edition"),
-    )
-    rows = books.join(per, "book_id")
-    read = d.status(F.col("read_status")) == "read"
-    return rows.select(
-        "book_id", F.col("new_title").alias("title"), F.when(F.coalesce(F.col("book_number") > 0, F.lit(False)), F.col("book_number")).otherwise(F.coalesce("new_number", "book_number")).alias("book_number"),
-        F.least("publication_date", "new_date").alias("publication_date"), F.coalesce("release_date", "new_release").alias("release_date"),
-        F.when(F.col("new_edition.r") > t.edition_rank(F.col("edition")), F.col("new_edition.e")).otherwise(F.col("edition")).alias("edition"),
-        F.when(F.col("coming"), "upcoming").when(read, F.col("read_status")).otherwise("available").alias("read_status"), F.lit("active").alias("record_status"),
+def arriving(hits: DataFrame, series: DataFrame, as_of: str) -> DataFrame:
+    """Hits by the series' own author with their keys, date and status; hits without title are none."""
+    of = series.select("series_id", "profile_id", F.col("name").alias("series_name"), F.col("author").alias("series_author"))
+    rows = hits.join(of, "series_id").where(t.same_author(F.col("author"), F.col("series_author")) & ~t.blank(F.col("title")))
+    day, said = d.flexible_date(F.col("published_date")), F.lower(F.col("title"))
+    coming = F.coalesce(F.col("upcoming_hint"), F.lit(False)) | reduce(lambda a, b: a | b, (said.contains(w) for w in ("upcoming", "preorder", "pre-order"))) | F.coalesce(day > F.lit(as_of).cast("date"), F.lit(False))
+    own = F.coalesce(t.filled(F.col("series_name_hint")), F.col("series_name"))
+    rows = rows.select(
+        "series_id", "profile_id", "hit_pos", F.trim("title").alias("title"), "author", F.upper(t.filled(F.col("isbn13"))).alias("identifier"), t.series_book_key(own, F.col("series_number_hint")).alias("number_key"),
+        t.series_book_key(F.col("series_name"), F.col("series_number_hint")).alias("own_number_key"), t.title_key(F.col("title")).alias("title_key"), t.discovered_title_key(F.col("title")).alias("plain"),
+        F.col("series_number_hint").alias("book_number"), day.alias("publication_date"), F.when(coming & (day > F.lit(as_of).cast("date")), day).alias("release_date"), coming.alias("coming"), t.edition_from_title(F.col("title")).alias("edition"),
     )
+    return rows.withColumn("fingerprint", F.coalesce("identifier", "number_key", "title_key", "plain"))
+
+
+def shelved(books: DataFrame, series: DataFrame) -> DataFrame:
+    """Active books of a series in its profile, with the keys by which candidates find them."""
+    own = of_own_profile(books.where(active() & F.col("series_id").isNotNull()), series).join(series.select("series_id", F.col("name").alias("series_name")), "series_id")
+    return own.select("series_id", "book_id", *(F.col(c).cast(KINDS.get(c, "string")).alias(c) for c in STATE), F.upper(t.filled(F.col("isbn13"))).alias("identifier"), t.series_book_key(F.col("series_name"), F.col("book_number")).alias("number_key"), t.title_key(F.col("title")).alias("title_key"))
+
+
+RANKS = dict(t.EDITION_RANKS)
+
+
+def _rank(edition: str | None) -> int:
+    return RANKS.get((edition or "").strip().lower(), 1)
+
+
+def _refresh(book: dict, hit: dict) -> bool:
+    """What a matched book takes from a candidate; whether it went from upcoming to available."""
+    was = (book["read_status"] or "").strip().lower() == "upcoming" or bool(book["is_upcoming_auto"]) or bool(book["is_upcoming_final"])
+    book |= {"title": hit["title"], "author": hit["author"], "metadata_source": "discovery", "record_status": "active", "is_missing": False}
+    book["isbn13"] = hit["identifier"] or book["isbn13"]
+    if hit["book_number"] is not None and not (book["book_number"] or 0) > 0:
+        book["book_number"] = hit["book_number"]
+    if hit["publication_date"]:
+        book["publication_date"] = min(book["publication_date"] or hit["publication_date"], hit["publication_date"])
+    book["release_date"] = book["release_date"] or hit["release_date"]
+    if _rank(hit["edition"]) > _rank(book["edition"]):
+        book["edition"] = hit["edition"]
+    if hit["coming"]:
+        book |= {"read_status": "upcoming", "is_upcoming_auto": True}
+    elif (book["read_status"] or "").strip().lower() != "read":
+        book |= {"read_status": "available", "is_upcoming_auto": False}
+    return was and not hit["coming"]
+
+
+def _new(hit: dict) -> dict:
+    known = hit["edition"] if hit["edition"] != "unknown" else None
+    return {c: hit[c] for c in ("title", "author", "book_number", "publication_date", "release_date")} | {
+        "isbn13": hit["identifier"], "asin": None, "edition": known, "metadata_source": "discovery", "read_status": "upcoming" if hit["coming"] else "available", "record_status": "active",
+        "is_read": False, "is_missing": False, "is_upcoming_auto": hit["coming"], "is_upcoming_final": False,
+    }
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by series, books before candidates. A candidate updates the book it meets by a key, else it becomes a book whose keys count from there on, unless its fingerprint was there before."""
+    names = [f.split()[0] for f in EVENTS.split(", ")]
+    schema = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "date": pa.date32()}[k]) for n, k in (f.split() for f in EVENTS.split(", "))])
+    row = lambda **known: dict.fromkeys(names) | known
+    series, keys, seen, books = None, {}, set(), {}
+
+    def left() -> list[dict]:
+        return [row(series_id=series, book_id=i, **{c: b[c] for c in STATE}) for i, (b, changed) in books.items() if changed]
+
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            if r["series_id"] != series:
+                out += left()
+                series, keys, seen, books = r["series_id"], {kind: {} for kind, _ in MATCHES}, set(), {}
+            if not r["arrives"]:
+                books[r["book_id"]] = [r, False]
+                for kind in keys:
+                    if r[kind] is not None:
+                        keys[kind].setdefault(r[kind], r["book_id"])
+                continue
+            action, reason, moved = "skip", None, None
+            met = next(((keys[kind][r[kind]], why) for kind, why in MATCHES if r[kind] is not None and r[kind] in keys[kind]), None)
+            if met:
+                action, (book, reason) = "update", met
+                moved = _refresh(books[book][0], r)
+                books[book][1] = True
+            elif r["fingerprint"] not in seen:
+                action, book = "insert", -1 - (r["hit_pos"] << SAME_HIT_BITS)
+                while book in books:
+                    book -= 1
+                books[book] = [_new(r), True]
+                for kind, key in (("identifier", r["identifier"]), ("number_key", r["own_number_key"]), ("title_key", r["title_key"])):
+                    if key is not None:
+                        keys[kind][key] = book
+            seen.add(r["fingerprint"])
+            out.append(row(series_id=series, hit_pos=r["hit_pos"], hit_title=r["title"], action=action, reason=reason, coming=r["coming"], book_id=None if action == "skip" else book, moved=moved))
+        yield pa.RecordBatch.from_pylist(out, schema)
+    yield pa.RecordBatch.from_pylist(left(), schema)
+
 
+def merged(hits: DataFrame, books: DataFrame, series: DataFrame, as_of: str) -> DataFrame:
+    """EVENTS: the outcome of every candidate in order of hit_pos and title, and every book that changed or is new (its book_id is then below zero)."""
+    come = arriving(hits, series, as_of).withColumn("arrives", F.lit(True))
+    have = shelved(books, series).join(come.select("series_id").distinct(), "series_id", "left_semi").withColumn("arrives", F.lit(False))
+    rows = have.unionByName(come.drop("profile_id"), allowMissingColumns=True)
+    return rows.repartition("series_id").sortWithinPartitions("series_id", "arrives", "book_id", "hit_pos", "title").mapInArrow(_merge, EVENTS)
 
-def job_delta(books: DataFrame, hits: DataFrame, actions: DataFrame, as_of: str) -> DataFrame:
-    """What a job brought each series: inserts that are not upcoming, and books that went from upcoming to available."""
-    coming = d.is_upcoming(d.flexible_date(F.col("published_date")), F.col("upcoming_hint"), as_of)
-    new = actions.where("action = 'insert'").join(hits.select("hit_pos", "title", F.coalesce(coming, F.lit(False)).alias("coming")), ["hit_pos", "title"]).where("not coming").select("series_id", F.lit(1).alias("inserted"), F.lit(0).alias("moved"))
-    before = books.where(d.status(F.col("read_status")) == "upcoming").select("book_id", "series_id")
-    moved = updated(books, hits, actions, as_of).where("read_status = 'available'").join(before, "book_id").select("series_id", F.lit(0).alias("inserted"), F.lit(1).alias("moved"))
-    return new.unionByName(moved).groupBy("series_id").agg(F.sum("inserted").alias("inserted"), F.sum("moved").alias("moved"), (F.sum("inserted") + F.sum("moved")).alias("delta"))
 
+def actions(events: DataFrame) -> DataFrame:
+    """hit_pos, series_id, title, book_id, reason, action of each candidate."""
+    return events.where("action is not null").select("hit_pos", "series_id", F.col("hit_title").alias("title"), F.when(F.col("action") == "update", F.col("book_id")).alias("book_id"), "reason", "action")
 
-def collapsed(books: DataFrame, key: Column, by_asin: bool = False) -> DataFrame:
-    """Active books of a series with one key: the book kept, and how many others went.
 
-    An ordered fold, not a maximum: the keeper takes over reading state and date of the losers, and is compared with
-    the next book as it then is. Books of one key in one series are few, so the fold runs over an array in the JVM.
+def written(events: DataFrame) -> DataFrame:
+    return events.where("action is null").select("series_id", "book_id", *STATE)
+
+
+def snapshot(books: DataFrame, events: DataFrame) -> DataFrame:
+    """The library after the merge: books that no candidate met as they are, the others as it left them, new ones beside them."""
+    new = written(events)
+    rest = books.join(new.select("book_id"), "book_id", "left_anti").select("series_id", "book_id", *(F.col(c).cast(KINDS.get(c, "string")).alias(c) for c in STATE))
+    return rest.unionByName(new)
+
+
+def job_delta(events: DataFrame) -> DataFrame:
+    """What a job brought each series: books inserted, of these not upcoming, and books that went from upcoming to available."""
+    own = events.where("action is not null").groupBy("series_id").agg(F.count_if(F.col("action") == "insert").alias("new_books"), F.count_if((F.col("action") == "insert") & ~F.col("coming")).alias("inserted"), F.count_if("moved").alias("moved"))
+    return own.select("series_id", "new_books", "inserted", "moved", (F.col("inserted") + F.col("moved")).alias("delta"))
+
+
+def collapsed(books: DataFrame, key: Column, by_identifier: bool = False, identifier: str = "asin") -> DataFrame:
+    """Duplicates by (series, key): the fields of the book kept, and which others go.
+
+    An ordered fold, not a maximum: of two books the one with the higher score stays (read, edition, dated; before them
+    the identifier, where asked), the earlier one on a tie; it takes over what it lacks, and is compared with the next
+    book as it then is. Books of one key in one series are few, so the fold runs over an array in the JVM.
     """
-    asin = (~t.blank(F.col("asin"))).cast("int") if by_asin else F.lit(0)
-    entry = F.struct("book_id", asin.alias("asin"), (d.flag(F.col("is_read")) | (d.status(F.col("read_status")) == "read")).cast("int").alias("read"), t.edition_rank(F.col("edition")).alias("edition"), F.col("publication_date").isNotNull().cast("int").alias("dated"))
+    score = lambda b: F.struct(*([(~t.blank(b[identifier])).cast("int")] if by_identifier else []), b["is_read"].cast("int"), t.edition_rank(b["edition"]), b["publication_date"].isNotNull().cast("int"))
+    entry = F.struct((F.col("book_id") < 0).alias("new"), F.abs("book_id").alias("ord"), "book_id", d.flag(F.col("is_read")).alias("is_read"), *(F.col(c) for c in dict.fromkeys((*TAKEN_OVER, "edition", "read_status", identifier))))
     groups = books.where(active() & F.col("series_id").isNotNull() & key.isNotNull()).groupBy("series_id", key.alias("key")).agg(F.array_sort(F.collect_list(entry)).alias("rows")).where("size(rows) > 1")
-    fields = ("book_id", "asin", "read", "edition", "dated")
-    better = lambda k, r: F.struct(r["asin"], r["read"], r["edition"], r["dated"]) > F.struct(k["asin"], k["read"], k["edition"], k["dated"])
 
-    def step(k, r):
-        wins = better(k, r)
-        merged = {"book_id": F.when(wins, r["book_id"]).otherwise(k["book_id"]), "edition": F.when(wins, r["edition"]).otherwise(k["edition"])}
-        return F.struct(*((merged[f] if f in merged else F.greatest(k[f], r[f])).alias(f) for f in fields))
+    def step(keeper: Column, other: Column) -> Column:
+        wins = score(other) > score(keeper)
+        either = lambda c: F.when(wins, other[c]).otherwise(keeper[c])
+        filled = lambda c: F.when(wins, F.coalesce(other[c], keeper[c])).otherwise(F.coalesce(keeper[c], other[c]))
+        read, loser_read = either("is_read"), F.when(wins, keeper["is_read"]).otherwise(other["is_read"])
+        own = {c: either(c) for c in ("new", "ord", "book_id", "edition", identifier)} | {c: filled(c) for c in TAKEN_OVER}
+        own |= {"is_read": read | loser_read, "read_status": F.when(loser_read & ~read, "read").otherwise(either("read_status"))}
+        return F.struct(*(own[c].alias(c) for c in ("new", "ord", "book_id", "is_read", *dict.fromkeys((*TAKEN_OVER, "edition", "read_status", identifier)))))
 
     keeper = F.aggregate(F.slice("rows", F.lit(2), F.size("rows") - 1), F.get("rows", F.lit(0)), step)
-    return groups.select("series_id", "key", keeper["book_id"].alias("kept"), (F.size("rows") - 1).alias("n_removed"), keeper["read"].cast("boolean").alias("is_read"))
+    return groups.select("series_id", "key", keeper.alias("kept"), F.transform("rows", lambda r: r["book_id"]).alias("members"))
+
+
+def after_collapse(books: DataFrame, groups: DataFrame) -> DataFrame:
+    """The snapshot with keepers filled up and the others of their groups deleted; those keep their own fields."""
+    each = groups.select("series_id", F.explode("members").alias("book_id"), "kept").select("series_id", "book_id", F.col("kept.book_id").alias("stays"), *(F.col(f"kept.{c}").alias(f"kept_{c}") for c in (*TAKEN_OVER, "read_status", "is_read")))
+    mine = F.col("stays") == F.col("book_id")
+    out = books.join(each, ["series_id", "book_id"], "left").withColumns({c: F.when(mine, F.coalesce(F.col(f"kept_{c}"), F.col(c))).otherwise(F.col(c)) for c in (*TAKEN_OVER, "read_status", "is_read")})
+    out = out.withColumn("record_status", F.when(F.col("stays") != F.col("book_id"), "deleted").otherwise(F.col("record_status")))
+    return out.drop("stays", *(f"kept_{c}" for c in (*TAKEN_OVER, "read_status", "is_read")))
+
+
+def number_key(books: DataFrame, series: DataFrame) -> DataFrame:
+    """Books with the key of their series' name and number."""
+    return books.join(series.select("series_id", F.col("name").alias("series_name")), "series_id", "left").withColumn("number_key", t.series_book_key(F.col("series_name"), F.col("book_number"))).drop("series_name")
+
+
+def identity_key(identifier: str = "asin") -> Column:
+    return F.coalesce(F.upper(t.filled(F.col(identifier))), F.col("number_key"), t.title_key(F.col("title")))
+
+
+def job(hits: DataFrame, books: DataFrame, series: DataFrame, as_of: str) -> DataFrame:
+    """The whole job on the series that candidates arrived for: merge, collapse by identity, collapse by number whatever the identifiers, sync of reading states.
+
+    The identifier of candidates is their isbn13, so books are told by it as well. Other series stay as they are.
+    """
+    events = kept(merged(hits, books, series, as_of))
+    touched = events.where("action is not null").select("series_id").distinct()
+    rows = number_key(snapshot(books, events).join(touched, "series_id", "left_semi"), series)
+    rows = kept(after_collapse(rows, collapsed(rows, identity_key("isbn13"), identifier="isbn13")))
+    rows = after_collapse(rows, collapsed(rows, F.col("number_key"), by_identifier=True, identifier="isbn13"))
+    sync = healed(rows.where(active()), as_of, ("series_id", "book_id")).select("series_id", "book_id", *(F.col(c).alias(f"new_{c}") for c in ("read_status", "is_missing", "is_upcoming_auto", "is_upcoming_final")))
+    rows = rows.drop("number_key").join(sync, ["series_id", "book_id"], "left")
+    flags = {c: F.coalesce(F.col(f"new_{c}"), F.col(c)) for c in ("read_status", "is_missing", "is_upcoming_auto", "is_upcoming_final")}
+    return rows.withColumns(flags).select("series_id", "book_id", *STATE)
+

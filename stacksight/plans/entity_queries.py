@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from stacksight.functions import dates as d
 from stacksight.functions import text as t
 from stacksight.functions import titles as w
-from stacksight.operators import entity, grading, ingest, persist
+from stacksight.operators import entity, grading, ingest, lists, persist
 from stacksight.operators.intelligence import active
 from stacksight.plans import duck
 from stacksight.plans.catalog_queries import LIVE, queue
-from stacksight.plans.list_queries import _RANK
+from stacksight.plans.list_queries import _RANK, eligible
 from stacksight.plans.registry import register
 from stacksight.sources.library import AS_OF
 
@@ -67,9 +67,6 @@ def discovered(v) -> DataFrame:
 
 register("D7_discovered", discovered)
 register("D7c_discovered_by_author", lambda v: entity.filtered(fused(v)).where("author_match").groupBy("target_author", t.bare_title_key(F.col("title")).alias("bare")).agg(F.count(F.lit(1)).alias("n"), F.max("confidence").alias("confidence")))
-register("D15_sweep", lambda v: (lambda x: x.groupBy("series_id").agg(F.count(F.lit(1)).alias("new_books")))(discovered(v)))
-register("A37_sweep_totals", lambda v: discovered(v).agg(F.count(F.lit(1)).alias("new_books"), F.count_distinct("series_id").alias("series")))
-
 # what is owned
 _SBK = lambda s, n: f"CASE WHEN {duck.series(s)} <> '' AND ({duck.positive(n)}) IS NOT NULL THEN {duck.series(s)} || '|' || {duck.number_text(n)} END"
 _OWNED = f"""own AS (SELECT b.profile_id, b.isbn13, nullif({duck.title('b.title')}, '') AS tk, {_SBK('s.name', 'b.book_number')} AS nk, {duck.bare_key('b.title')} AS bare FROM books b LEFT JOIN series s ON s.series_id = b.series_id WHERE {BLIVE}),
@@ -159,15 +156,32 @@ for key in ("D14_reresolution_batch", "A30_reresolution_outcomes"):
     register(key, lambda v: (lambda b: entity.bound(b, entity.find(b, v.hits)).agg(F.count(F.lit(1)).alias("n"), F.count_if("resolved").alias("resolved"), F.count_if(~F.col("resolved")).alias("unresolved")))(queue(v).orderBy("book_id").limit(200)))
 
 # persistence
-_BATCH = f"""{_MATCH}, kept AS (SELECT hh.*, coalesce(b1.book_id, b2.book_id, b3.book_id) AS book_id FROM hh JOIN candidate_hits h ON h.hit_pos = hh.hit_pos AND h.title = hh.title JOIN series s ON s.series_id = hh.series_id LEFT JOIN b1 ON b1.series_id = hh.series_id AND b1.isbn13 = hh.isbn13 LEFT JOIN b2 ON b2.series_id = hh.series_id AND b2.nk = hh.nk LEFT JOIN b3 ON b3.series_id = hh.series_id AND b3.tk = hh.tk WHERE {duck.author('h.author')} <> '' AND {duck.author('h.author')} = {duck.author('s.author')})"""
-register("D8_persist_actions", lambda v: persist.batch(v.hits, v.books, v.series).groupBy("action", "reason").agg(F.count(F.lit(1)).alias("n")))
-for key in ("K18_upserted", "D8_updated_books"):
-    register(key, lambda v: persist.updated(v.books, v.hits, persist.batch(v.hits, v.books, v.series), AS_OF))
-register("W9_batch_duplicates", lambda v: persist.batch(v.hits, v.books, v.series).where("action = 'skip'").select("hit_pos", "title"))
-register("A38_job_delta", lambda v: persist.job_delta(v.books, v.hits, persist.batch(v.hits, v.books, v.series), AS_OF))
-register("W5_identity_collapse", lambda v: persist.collapsed(v.books, t.title_key(F.col("title"))))
-register("W6_number_collapse", lambda v: persist.collapsed(v.books, t.positive_number(F.col("book_number")), by_asin=True))
-register("W6_number_groups", lambda v: persist.collapsed(v.books, t.positive_number(F.col("book_number")), by_asin=True).select("series_id", F.col("key").alias("book_number"), F.col("n_removed").cast("bigint").alias("n_removed")), f"SELECT series_id, book_number, count(*) - 1 AS n_removed FROM books WHERE {LIVE} AND series_id IS NOT NULL AND book_number > 0 GROUP BY ALL HAVING count(*) > 1")
+def events(v) -> DataFrame:
+    return persist.merged(v.hits, v.books, v.series, AS_OF)
+
+
+def _collapse(v, key, **how) -> DataFrame:
+    groups = persist.collapsed(persist.number_key(v.books, v.series), key, **how)
+    return groups.select("series_id", "key", F.col("kept.book_id").alias("kept"), (F.size("members") - 1).alias("n_removed"), F.col("kept.is_read").alias("is_read"))
+
+
+register("D8_persist_actions", lambda v: persist.actions(events(v)).groupBy("action", "reason").agg(F.count(F.lit(1)).alias("n")))
+register("K18_upserted", lambda v: persist.written(events(v)).select("book_id", "title", "book_number", "publication_date", "release_date", "edition", "read_status", "record_status"))
+register("D8_updated_books", lambda v: persist.job(v.hits, v.books, v.series, AS_OF))
+register("W9_batch_duplicates", lambda v: persist.actions(events(v)).where("action = 'skip'").select("hit_pos", "title"))
+register("A38_job_delta", lambda v: persist.job_delta(events(v)))
+register("W5_identity_collapse", lambda v: _collapse(v, persist.identity_key()))
+register("W6_number_collapse", lambda v: _collapse(v, F.col("number_key"), by_identifier=True))
+
+
+# the sweep over what P8 lets through; a few series stand for those that somebody checks at the moment
+def sweep(v) -> DataFrame:
+    return lists.swept(eligible(v), v.profiles, v.series.where("series_id % 23 = 0"), persist.job_delta(events(v)), AS_OF)
+
+
+register("D15_sweep", sweep)
+register("A37_sweep_totals", lambda v: lists.sweep_totals(sweep(v)))
+register("W6_number_groups", lambda v: persist.collapsed(v.books, t.positive_number(F.col("book_number")), by_identifier=True).select("series_id", F.col("key").alias("book_number"), (F.size("members") - 1).cast("bigint").alias("n_removed")), f"SELECT series_id, book_number, count(*) - 1 AS n_removed FROM books WHERE {LIVE} AND series_id IS NOT NULL AND book_number > 0 GROUP BY ALL HAVING count(*) > 1")
 
 # titles across a series
 _VOTE = lambda v: v.books.where(active() & F.col("series_id").isNotNull()).groupBy("series_id").agg((F.count_if(w.has_series_suffix(F.col("title"))) >= F.count_if(~w.has_series_suffix(F.col("title")))).alias("with_suffix"))

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from stacksight.functions import dates as d
 from stacksight.functions import text as t
-from stacksight.operators import entity, integrity, lists
+from stacksight.operators import entity, integrity, intelligence, lists
 from stacksight.operators.intelligence import active, read, upcoming
 from stacksight.plans import duck
-from stacksight.plans.catalog_queries import LIVE, QUEUE, READ, queue
+from stacksight.plans.catalog_queries import KNOWN, LIVE, QUEUE, READ, queue
 from stacksight.plans.registry import register
 from stacksight.sources.library import AS_OF
 
@@ -55,8 +55,18 @@ register("P5_series_with_books", lambda v: v.series.select("series_id").join(v.b
          f"SELECT s.series_id, count(b.book_id) AS n, coalesce(string_agg(DISTINCT b.title, '|' ORDER BY b.title), '') AS titles FROM series s LEFT JOIN (SELECT * FROM books WHERE {LIVE}) b ON b.series_id = s.series_id GROUP BY s.series_id")
 register("P6_reresolution_queue", lambda v: queue(v).select("book_id"), f"SELECT book_id FROM books WHERE {QUEUE}")
 register("P7_open_notices", lambda v: v.notifications.where("kind = 'series_discovery_delta' and dismissed_at is null").select("notification_id", "series_id"), "SELECT notification_id, series_id FROM notifications WHERE kind = 'series_discovery_delta' AND dismissed_at IS NULL")
-register("P8_discovery_eligible", lambda v: lists.eligible_for_discovery(v.series, v.books, v.notifications, AS_OF),
-         f"SELECT series_id, name, author FROM series WHERE NOT is_finished AND {duck.filled('author')} IS NOT NULL AND {duck.author('author')} NOT IN ('unknown', 'n a', 'none', 'various') AND (last_checked IS NULL OR {TODAY} - last_checked >= 7) AND series_id NOT IN (SELECT series_id FROM books WHERE {LIVE} AND needs_reresolution AND series_id IS NOT NULL) AND series_id NOT IN (SELECT series_id FROM notifications WHERE dismissed_at IS NULL)")
+_MEANT = f"{duck.author('s.author')} NOT IN ('', 'unknown', 'n a', 'none', 'various') AND trim(coalesce(s.author, '')) <> ''"
+ELIGIBLE = f"""eligible AS (SELECT s.series_id, s.profile_id, s.name, s.author FROM known k JOIN series s USING (series_id)
+WHERE NOT s.is_finished AND k.next_unread IS NULL AND k.next_upcoming IS NULL AND k.missing = '' AND {_MEANT}
+AND NOT EXISTS (SELECT 1 FROM books b WHERE b.series_id = s.series_id AND b.needs_reresolution AND (b.record_status IS NULL OR b.record_status <> 'deleted')))"""
+
+
+def eligible(v):
+    known = intelligence.series_intelligence(v.books, v.series)
+    return lists.eligible_for_discovery(known, intelligence.series_state(known, v.series), v.series, v.books)
+
+
+register("P8_discovery_eligible", lambda v: eligible(v).select("series_id", "name", "author"), f"WITH {KNOWN}, {ELIGIBLE} SELECT series_id, name, author FROM eligible")
 register("P9_deleted_report", lambda v: integrity.deleted_books(v.books, v.series), "SELECT b.book_id, b.title, b.author, b.series_id, s.name AS series_name, b.book_number FROM books b LEFT JOIN series s ON s.series_id = b.series_id WHERE b.record_status = 'deleted'")
 
 
@@ -122,7 +132,7 @@ _IN = f"SELECT * FROM books WHERE {LIVE} AND series_id IS NOT NULL"
 ordered("O2_by_number", in_series, lambda: [F.col("book_number").asc_nulls_first(), F.col("book_id")], _IN, "book_number NULLS FIRST, book_id")
 ordered("O3_by_number_or_zero", in_series, lambda: [F.coalesce("book_number", F.lit(0.0)), F.col("book_id")], _IN, "coalesce(book_number, 0), book_id")
 register("O4_newest_notices", lambda v: lists.numbered(v.notifications, [F.desc("created_at"), F.desc("notification_id")], None, PROFILE).select("notification_id", F.col("place").cast("bigint").alias("place")), "SELECT notification_id, row_number() OVER (PARTITION BY profile_id ORDER BY created_at DESC, notification_id DESC) AS place FROM notifications")
-register("O5_profiles_in_order", lambda v: lists.numbered(v.profiles, [F.col("display_name")]).select("profile_id", F.col("place").cast("bigint").alias("place")), "SELECT profile_id, row_number() OVER (ORDER BY display_name) AS place FROM profiles")
+register("O5_profiles_in_order", lambda v: lists.numbered(v.profiles, [F.col("created_at"), F.col("profile_id")]).select("profile_id", F.col("place").cast("bigint").alias("place")), "SELECT profile_id, row_number() OVER (ORDER BY created_at, profile_id) AS place FROM profiles")
 ordered("O6_reresolution_batch", queue, lambda: [F.col("book_id")], f"SELECT * FROM books WHERE {QUEUE}", "book_id", (), 25)
 _RANK = "CASE source WHEN 'hardcover' THEN 0 WHEN 'google_books' THEN 1 WHEN 'openlibrary' THEN 2 ELSE 3 END"
 ordered("O7_candidate_order", lambda v: v.hits.withColumnRenamed("hit_pos", "book_id"), lambda: [F.col("series_number_hint").asc_nulls_last(), t.normalized(F.col("title")), entity.provider_rank(F.col("source")), F.col("book_id")], "SELECT *, hit_pos AS book_id FROM candidate_hits", f"series_number_hint NULLS LAST, {duck.normalized('title')}, {_RANK}, book_id")

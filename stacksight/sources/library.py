@@ -11,7 +11,10 @@ AS_OF = "1998-06-01"
 
 VIEWS: dict[str, str] = {
     "profiles": """
-SELECT concat('p', CAST(r_regionkey AS STRING)) AS profile_id, r_name AS display_name, r_regionkey = 0 AS is_default FROM region
+SELECT concat('p', CAST(r_regionkey AS STRING)) AS profile_id, r_name AS display_name, r_regionkey = 0 AS is_default,
+  DATE '1997-06-01' + CAST(r_regionkey * 7 % 5 AS INT) AS created_at,
+  CASE WHEN r_regionkey <> 3 THEN CAST(DATE '1998-06-01' - CAST(r_regionkey * 3 AS INT) AS TIMESTAMP) END AS last_full_discovery_run_at
+FROM region
 """,
     "series": """
 SELECT CAST(c_custkey AS BIGINT) AS series_id, concat('p', CAST(n_regionkey AS STRING)) AS profile_id, c_name AS name,

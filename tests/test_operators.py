@@ -3,7 +3,6 @@
 import pytest
 from pyspark.sql import functions as F
 
-from stacksight.functions import text as t
 from stacksight.operators import entity, ingest, integrity, intelligence, persist, snapshots
 from stacksight.sources.library import AS_OF, Library
 
@@ -13,43 +12,11 @@ def lib(spark):
     return Library(spark, "/root/testdata/sf0.001")
 
 
-def test_collapse_is_an_ordered_fold(spark, lib):
-    rank = {"hardcover": 5, "paperback": 4, "ebook": 3, "audio": 2}
-    rows = lib.books.where("series_id is not null and book_number > 0 and coalesce(record_status, '') <> 'deleted'").collect()
-    groups = {}
-    for r in sorted(rows, key=lambda r: r.book_id):
-        groups.setdefault((r.series_id, r.book_number), []).append(r)
-    want = {}
-    for key, members in groups.items():
-        score = lambda r: [r.asin is not None, bool(r.is_read) or r.read_status == "read", rank.get(r.edition, 1), r.publication_date is not None]
-        keeper, own = members[0].book_id, score(members[0])
-        for m in members[1:]:
-            other = score(m)
-            if other > own:
-                keeper, own = m.book_id, [max(own[0], other[0]), max(own[1], other[1]), other[2], max(own[3], other[3])]
-            else:
-                own = [max(own[0], other[0]), max(own[1], other[1]), own[2], max(own[3], other[3])]
-        if len(members) > 1:
-            want[key] = (keeper, len(members) - 1)
-    for books in (lib.books, lib.books.orderBy(F.rand(3)).repartition(5)):
-        got = {(r.series_id, r.key): (r.kept, r.n_removed) for r in persist.collapsed(books, t.positive_number(F.col("book_number")), by_asin=True).collect()}
-        assert got == want and want
-
-
 def test_row_order_does_not_matter(lib):
     shuffled = lib.hits.orderBy(F.rand(7)).repartition(7)
     key = lambda df: sorted(map(str, df.collect()))
     assert key(entity.fused(lib.hits, lib.series)) == key(entity.fused(shuffled, lib.series))
-    assert key(persist.batch(lib.hits, lib.books, lib.series).groupBy("action").count()) == key(persist.batch(shuffled, lib.books, lib.series).groupBy("action").count())
-
-
-def test_batch_rules(spark):
-    series = spark.createDataFrame([(1, "p0", "Unbound", "Ann Bee")], "series_id long, profile_id string, name string, author string")
-    books = spark.createDataFrame([(10, 1, None, 1.0, "Start", None)], "book_id long, series_id long, isbn13 string, book_number double, title string, record_status string")
-    h = "hit_pos long, series_id long, title string, author string, isbn13 string, series_number_hint double"
-    hits = spark.createDataFrame([(1, 1, "Other Title", "Ann Bee", None, 1.0), (2, 1, "Stone", "Ann Bee", "978", 2.0), (3, 1, "Stone (Kindle Edition)", "Ann Bee", None, None), (4, 1, "Fall", "Zed", None, 3.0), (5, 1, "Rise", "Ann Bee", None, 2.0)], h)
-    got = {r.hit_pos: r.action for r in persist.batch(hits, books, series).collect()}
-    assert got == {1: "update", 2: "insert", 3: "skip", 5: "skip"}
+    assert key(persist.merged(lib.hits, lib.books, lib.series, AS_OF)) == key(persist.merged(shuffled, lib.books, lib.series, AS_OF))
 
 
 def test_sheet_is_imported(spark, tmp_path):

@@ -177,14 +177,6 @@ def hints_enriched(hits: DataFrame) -> DataFrame:
     return hits.where(t.blank(F.col("series_name_hint"))).select("hit_pos", "author", "title", bare).join(named, ["author", "bare"]).select("hit_pos", "title", F.col("hint").alias("series_name_hint"))
 
 
-def bundles_of_owned(hits: DataFrame, books: DataFrame, least: int = 2, shortest: int = 8) -> DataFrame:
-    """Hits whose title holds the core titles of several owned books of the series; the titles of one series are a short list."""
-    core = t.bare_title_key(F.col("title"))
-    cores = books.where(active() & F.col("series_id").isNotNull()).groupBy("series_id").agg(F.collect_set(F.when(F.length(core) >= shortest, core)).alias("cores"))
-    n = F.size(F.filter("cores", lambda c: F.contains(F.col("plain"), c)))
-    return hits.withColumn("plain", t.normalized(F.col("title"))).join(cores, "series_id").select("hit_pos", "title", n.alias("n_cores")).where(F.col("n_cores") >= least)
-
-
 def missing_slots(books: DataFrame, hits: DataFrame, ahead: int = LOOKAHEAD) -> DataFrame:
     """Numbers up to the expected total that neither books nor hits have, the first `ahead` of each series."""
     have = books.where(active() & (F.col("book_number") > 0)).select("series_id", F.floor("book_number").alias("n")).unionByName(hits.where("series_number_hint > 0").select("series_id", F.floor("series_number_hint").alias("n")))

@@ -71,7 +71,3 @@ def graded(candidates: DataFrame, skeleton: DataFrame) -> DataFrame:
     rows = rows.withColumns({"provider_grade": provider_grade(F.col("sources")), "title_grade": title_grade(), "number_grade": number_grade(), "alignment_grade": t.series_alignment(F.array("author"), F.col("target_author"))})
     return rows.withColumn("overall", overall(*(F.col(f"{g}_grade") for g in ("provider", "title", "number", "alignment"))))
 
-
-def routed(graded_rows: DataFrame, today_upcoming: Column) -> DataFrame:
-    """Where a graded candidate goes: available or upcoming where sure, needs_review where likely, else drop."""
-    return graded_rows.withColumn("route", F.when(F.col("overall").isin("zero", "low"), "drop").when(F.col("overall") == "medium", "needs_review").when(today_upcoming, "upcoming").otherwise("available"))

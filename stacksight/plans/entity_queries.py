@@ -89,14 +89,11 @@ register("J15_dates_backfilled", lambda v: entity.dates_backfilled(v.hits),
          f"WITH dated AS (SELECT * FROM candidate_hits WHERE source = 'hardcover' AND {_DF} IS NOT NULL), d1 AS (SELECT series_id, isbn13, arg_min(published_date, (hit_pos, published_date)) AS x FROM dated WHERE isbn13 IS NOT NULL GROUP BY ALL), d2 AS (SELECT series_id, author, {duck.title('title')} AS tk, arg_min(published_date, (hit_pos, published_date)) AS x FROM dated GROUP BY ALL) SELECT h.hit_pos, h.title, coalesce(d1.x, d2.x) AS published_date FROM candidate_hits h LEFT JOIN d1 ON d1.series_id = h.series_id AND d1.isbn13 = h.isbn13 LEFT JOIN d2 ON d2.series_id = h.series_id AND d2.author = h.author AND d2.tk = {duck.title('h.title')} AND d2.tk <> '' WHERE h.published_date = '' AND coalesce(d1.x, d2.x) IS NOT NULL")
 register("J16_hints_enriched", lambda v: entity.hints_enriched(v.hits),
          f"SELECT h.hit_pos, h.title, n.hint AS series_name_hint FROM candidate_hits h JOIN (SELECT author, {duck.bare_key('title')} AS bare, min(series_name_hint) AS hint FROM candidate_hits WHERE series_name_hint IS NOT NULL GROUP BY ALL HAVING count(DISTINCT series_name_hint) = 1) n ON n.author = h.author AND n.bare = {duck.bare_key('h.title')} WHERE h.series_name_hint IS NULL")
-register("J17_bundles_of_owned", lambda v: entity.bundles_of_owned(v.hits, v.books, 1, 6),
-         f"SELECT h.hit_pos, h.title, CAST(count(DISTINCT c.core) AS INTEGER) AS n_cores FROM (SELECT row_number() OVER () AS rid, * FROM candidate_hits) h JOIN (SELECT DISTINCT series_id, {duck.bare_key('title')} AS core FROM books WHERE {LIVE} AND series_id IS NOT NULL) c ON c.series_id = h.series_id AND length(c.core) >= 6 AND contains({duck.normalized('h.title')}, c.core) GROUP BY h.rid, h.hit_pos, h.title")
 register("A39_author_index", lambda v: v.books.where(active()).groupBy("author").agg(F.count_distinct("isbn13").alias("isbns"), F.count_distinct(t.title_key(F.col("title"))).alias("titles"), F.count_distinct("series_id").alias("series")),
          f"SELECT author, count(DISTINCT isbn13) AS isbns, count(DISTINCT nullif({duck.title('title')}, '')) AS titles, count(DISTINCT series_id) AS series FROM books WHERE {LIVE} GROUP BY author")
 register("A40_identity_sets", lambda v: v.books.where(active() & F.col("series_id").isNotNull()).select("series_id", F.concat_ws("|", t.title_key(F.col("title")), t.number_text(F.col("book_number"))).alias("key")).distinct(), f"SELECT DISTINCT series_id, concat_ws('|', nullif({duck.title('title')}, ''), {duck.number_text('book_number')}) AS key FROM books WHERE {LIVE} AND series_id IS NOT NULL")
 register("W14_missing_slots", lambda v: entity.missing_slots(v.books, v.hits).select("series_id", F.array_join(F.col("slots").cast("array<string>"), ",").alias("slots")),
          f"WITH want AS (SELECT series_id, max(series_total_hint) AS total FROM candidate_hits GROUP BY series_id HAVING total IS NOT NULL), slot AS (SELECT series_id, CAST(unnest(range(1, total + 1)) AS INTEGER) AS n FROM want), lack AS (SELECT * FROM slot EXCEPT SELECT series_id, CAST(floor(book_number) AS INTEGER) FROM books WHERE {LIVE} AND book_number > 0 EXCEPT SELECT series_id, CAST(floor(series_number_hint) AS INTEGER) FROM candidate_hits WHERE series_number_hint > 0), few AS (SELECT * FROM lack QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY n) <= 6) SELECT series_id, string_agg(CAST(n AS VARCHAR), ',' ORDER BY n) AS slots FROM few GROUP BY series_id")
-register("D12_reconstructed", lambda v: entity.missing_slots(v.books, v.hits, 1000).select("series_id", F.size("slots").alias("open_slots")))
 register("D18_worth_checking", lambda v: entity.worth_checking(v.hits, v.books, v.series),
          f"SELECT h.series_id, bool_or(coalesce(h.series_number_hint > coalesce(c.top, 0), false) AND {_AM}) AS worth FROM candidate_hits h JOIN series s ON s.series_id = h.series_id LEFT JOIN (SELECT series_id, max(book_number) AS top FROM books WHERE {LIVE} GROUP BY series_id) c ON c.series_id = h.series_id GROUP BY h.series_id")
 
@@ -121,7 +118,6 @@ for key, column, sql in (("D10a_provider_grade", "provider_grade", _PG), ("D10b_
     register(key, lambda v, column=column: grading.graded(fused(v), skeleton(v)).select("series_id", "key", F.col(column).alias("grade")), f"WITH {FUSED}, {_DELTA} SELECT series_id, key, {sql} AS grade FROM delta")
 register("D10_graded", lambda v: grading.graded(fused(v), skeleton(v)).select("series_id", "key", "provider_grade", "title_grade", "number_grade", "alignment_grade", "overall"))
 register("D10d_overall", lambda v: grading.graded(fused(v), skeleton(v)).groupBy("overall").agg(F.count(F.lit(1)).alias("n")))
-register("D11_routed", lambda v: grading.routed(grading.graded(fused(v), skeleton(v)), d.is_upcoming(d.flexible_date(F.col("published_date")), F.col("upcoming_hint"), AS_OF)).select("series_id", "key", "overall", "route"))
 register("J10_reasons_by_key", lambda v: (lambda g: v.hits.select("hit_pos", "series_id", F.lower(F.trim("title")).alias("lt"), "isbn13", F.col("series_number_hint").alias("n")).alias("h").join(
     g.groupBy("series_id", F.lower(F.trim("title")).alias("lt"), "isbn13", F.col("series_number_hint").alias("n")).agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("reasons")))), ",").alias("reasons")).alias("g"),
     (F.col("h.series_id") == F.col("g.series_id")) & (F.col("h.lt") == F.col("g.lt")) & F.col("h.isbn13").eqNullSafe(F.col("g.isbn13")) & F.col("h.n").eqNullSafe(F.col("g.n")), "left").select("h.hit_pos", F.coalesce("g.reasons", F.lit("")).alias("reasons")))(grading.delta(fused(v), skeleton(v))),

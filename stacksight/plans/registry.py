@@ -20,7 +20,7 @@ def register(key: str, build: Callable[[Library], DataFrame], sql: str | None =
 
 
 def _load() -> None:
-    from stacksight.plans import catalog_queries, entity_queries, function_queries, list_queries, provider_queries  # noqa: F401
+    from stacksight.plans import catalog_queries, discovery_queries, entity_queries, function_queries, list_queries, provider_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:

@@ -32,7 +32,7 @@ BLOCK, TOGETHER = 256, 512
 NEIGHBOURS = 10
 
 KEYS = "key long, entry long"
-PLACES = "part int, place long, id long, tree int, level int, upper boolean"
+PLACES = "part int, place long, id long, tree int, level int, upper boolean, entries array<long>"
 HITS = "query long, entry long, score double, cosine double"
 
 
@@ -101,16 +101,33 @@ def _keys(centre: np.ndarray, trees: int):
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of key and role: an entry's place is the number of entries before it in the partition, a bound's likewise."""
+    """Rows in order of key and role: a bound's place is the number of entries before it in the partition; the entries go out in blocks of BLOCK, a row each."""
     from pyspark import TaskContext
 
-    part, n = TaskContext.get().partitionId(), 0
+    part, n, waiting = TaskContext.get().partitionId(), 0, np.zeros(0, np.int64)
+
+    def blocks(ids: np.ndarray, first: int) -> pa.RecordBatch:
+        starts = np.arange(0, len(ids), BLOCK)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(ids)).astype(np.int32)), pa.array(ids))
+        none = pa.array(np.full(len(starts), -1, np.int32))
+        return repeats.arrow_rows(PLACES, [pa.array(np.full(len(starts), part, np.int32)), pa.array(first + starts), pa.array(np.full(len(starts), -1)), none, none, pa.array(np.zeros(len(starts), bool)), lists])
+
     for batch in batches:
         role = batch.column(1).to_numpy(zero_copy_only=False)
         entry = role == 1
-        place = n + np.cumsum(entry) - entry
+        place = n + np.cumsum(entry)
+        bound = pa.array(~entry)
+        own = [c.filter(bound) for c in batch.columns[2:]]
+        at = place[~entry]
+        yield repeats.arrow_rows(PLACES, [pa.array(np.full(len(at), part, np.int32)), pa.array(at), *own, pa.nulls(len(at), pa.list_(pa.int64()))])
+        ids = np.append(waiting, batch.column(2).to_numpy(zero_copy_only=False)[entry])
+        first, whole = n - len(waiting), len(ids) // BLOCK * BLOCK
         n += int(entry.sum())
-        yield repeats.arrow_rows(PLACES, [pa.array(np.full(len(role), part, np.int32)), pa.array(place), *batch.columns[2:]])
+        if whole:
+            yield blocks(ids[:whole], first)
+        waiting = ids[whole:]
+    if len(waiting):
+        yield blocks(waiting, n - len(waiting))
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,8 +202,8 @@ def usable(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
     return d if repeated.isEmpty() else d.groupBy("vec_id").agg(F.min("vector").alias("vector"))
 
 
-def nodes(entries: DataFrame, centre: np.ndarray, trees: int) -> tuple[DataFrame, DataFrame]:
-    """The sorted arrays of all trees, one behind the other, as (place, entry); and (query, tree, level, place, upper): the first place of each node of each query, and the first behind it.
+def nodes(entries: DataFrame, centre: np.ndarray, trees: int) -> tuple[DataFrame, DataFrame, list[int]]:
+    """The sorted arrays of all trees, one behind the other, in blocks (part, block, entries) and the number of entries in each part; and (query, tree, level, upper, at, part, place): the first place of each node of each query, and the first behind it, counted from the start (at) and within its part.
 
     The bounds of a node are strings themselves, so they are sorted in among the strings, and the number of strings
     before one is its place. A node of level 0 is a whole tree; only the first tree's is told.
@@ -203,34 +220,52 @@ def nodes(entries: DataFrame, centre: np.ndarray, trees: int) -> tuple[DataFrame
     both = strings_.unionByName(bounds)
     placed = common.stored(both.repartitionByRange("key", "role", "id").sortWithinPartitions("key", "role", "id").mapInArrow(_places, PLACES))
     # one number for each partition
-    counts = {r["part"]: r["n"] for r in placed.where("level < 0").groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["part"]: r["n"] for r in placed.where("level < 0").groupBy("part").agg(F.sum(F.size("entries")).alias("n")).collect()}
     last = placed.agg(F.max("part").alias("p")).first()["p"]
     starts, total = [], 0
     for p in range(last + 1):
         starts.append(total)
         total += counts.get(p, 0)
-    at = (F.element_at(F.array(*map(F.lit, starts)), F.col("part") + 1) + F.col("place")).cast("long").alias("place")
-    return placed.where("level < 0").select(at, F.col("id").alias("entry")), placed.where("level >= 0").select(F.col("id").alias("query"), "tree", "level", at, "upper")
-
-
-def _offered(array: DataFrame, bounds: DataFrame, levels: DataFrame) -> DataFrame:
-    """(query, entry): what the nodes of the queries at their levels (query, level) hold, in all trees."""
-    node = bounds.join(levels, ["query", "level"]).groupBy("query", "tree").agg(F.min("place").alias("lo"), F.max("place").alias("hi")).where("hi > lo")
-    block = lambda c: F.floor(c / BLOCK).cast("long")
-    asked = node.select("query", "lo", "hi", F.explode(F.sequence(block(F.col("lo")), block(F.col("hi") - 1))).alias("block"))
-    held = array.select(block(F.col("place")).alias("block"), "place", "entry")
-    return asked.join(held, "block").where("place >= lo and place < hi and entry <> query").select("query", "entry").distinct()
+    at = (F.element_at(F.array(*map(F.lit, starts)), F.col("part") + 1) + F.col("place")).cast("long").alias("at")
+    array = placed.where("level < 0").select("part", F.floor(F.col("place") / BLOCK).cast("long").alias("block"), "entries")
+    return array, placed.where("level >= 0").select(F.col("id").alias("query"), "tree", "level", "upper", at, "part", "place"), [counts.get(p, 0) for p in range(last + 1)]
+
+
+def _ranges(bounds: DataFrame, levels: DataFrame, names: tuple[str, str]) -> DataFrame:
+    """(query, tree, lo, hi): the nodes of the queries at their levels (query, level), as (at, part, place) of their ends."""
+    end = F.struct("at", "part", "place")
+    return bounds.join(levels, ["query", "level"]).groupBy("query", "tree").agg(F.min(end).alias(names[0]), F.max(end).alias(names[1])).where(f"{names[1]}.at > {names[0]}.at")
+
+
+def _offered(array: DataFrame, bounds: DataFrame, sizes: list[int], levels: DataFrame, inner: DataFrame | None = None) -> DataFrame:
+    """(query, entry): what the nodes of the queries at their levels hold, in all trees, without what their nodes at the inner levels held; an entry comes once for each tree that offers it."""
+    node = _ranges(bounds, levels, ("lo", "hi"))
+    if inner is None:
+        node = node.select("query", "lo", "hi")
+    else:
+        within = _ranges(bounds, inner.join(levels.select("query"), "query", "left_semi"), ("a", "b"))
+        sides = F.when(F.col("a").isNull(), F.array(F.struct("lo", "hi"))).otherwise(F.array(F.struct("lo", F.col("a").alias("hi")), F.struct(F.col("b").alias("lo"), "hi")))
+        node = node.join(within, ["query", "tree"], "left").select("query", F.explode(sides).alias("side")).select("query", "side.lo", "side.hi").where("hi.at > lo.at")
+    # a node that goes over the end of a part goes on at the start of the next
+    parts = node.select("query", "lo", "hi", F.explode(F.sequence("lo.part", "hi.part")).alias("part"))
+    size = F.element_at(F.array(*(F.lit(n).cast("long") for n in sizes)), F.col("part") + 1)
+    own = parts.select("query", "part", F.when(F.col("part") == F.col("lo.part"), F.col("lo.place")).otherwise(0).alias("lo"), F.when(F.col("part") == F.col("hi.part"), F.col("hi.place")).otherwise(size).alias("hi")).where("hi > lo")
+    asked = own.select("query", "part", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / BLOCK), F.floor((F.col("hi") - 1) / BLOCK))).alias("block"))
+    first = F.greatest(F.col("lo") - F.col("block") * BLOCK, F.lit(0))
+    count = F.least(F.col("hi") - F.col("block") * BLOCK, F.lit(BLOCK)) - first
+    met = asked.join(array, ["part", "block"]).select("query", F.explode(F.slice("entries", (first + 1).cast("int"), count.cast("int"))).alias("entry"))
+    return met.where("entry <> query")
 
 
 def _nearest(pairs: DataFrame, entries: DataFrame, centre: np.ndarray, asked: int, keep: int) -> DataFrame:
-    """HITS of the pairs (query, entry), the `keep` nearest of each query.
+    """HITS of the pairs (query, entry), which may repeat, the `keep` nearest of each query.
 
     An entry's vector travels once for all queries of a block that it is a candidate of, and meets their vectors there.
     """
     blocks, slices = max(1, -(-asked // TOGETHER)), 8
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int").alias("block")
     slice_ = F.pmod(F.xxhash64(F.lit("slice"), "entry"), F.lit(slices)).cast("int").alias("slice")
-    wanted = pairs.groupBy(block("query"), "entry").agg(F.collect_list("query").alias("queries"))
+    wanted = pairs.groupBy(block("query"), "entry").agg(F.collect_set("query").alias("queries"))
     offered = wanted.join(entries.select("entry", "vector"), "entry").select("block", slice_, F.lit(1).alias("role"), F.col("entry").alias("id"), "vector", "queries")
     mine = entries.where("asked").select(block("entry"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(0).alias("role"), F.col("entry").alias("id"), "vector", F.array().cast("array<long>").alias("queries"))
     rows = mine.unionByName(offered).repartition("block", "slice").sortWithinPartitions("block", "slice", "role")
@@ -253,6 +288,10 @@ def search(rows: DataFrame, *, is_query: F.Column | None = None, k: int = NEIGHB
     must be short and a query meets a share of all.
     """
     is_query = F.col("vec_id") % 100 == 0 if is_query is None else is_query
+    return common.outcome(lambda: _search(rows, is_query, k, trees, recall))
+
+
+def _search(rows: DataFrame, is_query: F.Column, k: int, trees: int, recall: float) -> DataFrame:
     d = common.stored(usable(rows).withColumns({"v1": F.xxhash64("vector"), "v2": F.xxhash64(F.lit("second"), "vector")}))
     queries = d.where(is_query).select(F.col("vec_id").alias("query_id"), "v1", "v2")
     place = F.row_number().over(Window.partitionBy("v1", "v2").orderBy("vec_id"))
@@ -264,20 +303,21 @@ def search(rows: DataFrame, *, is_query: F.Column | None = None, k: int = NEIGHB
     if not n:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     centre = centre_of(entries)
-    array, bounds = nodes(entries, centre, trees)
+    array, bounds, counts = nodes(entries, centre, trees)
 
-    signed = F.when(F.col("upper"), F.col("place")).otherwise(-F.col("place"))
+    signed = F.when(F.col("upper"), F.col("at")).otherwise(-F.col("at"))
     sizes = bounds.groupBy("query", "level").agg((F.sum(signed) - F.count_if("upper")).alias("others"))  # but for the query itself
     # trees * k others are k different ones for certain, as one may be met in every tree
     down = common.stored(sizes.where((F.col("others") >= trees * k) | (F.col("level") == 0)).groupBy("query").agg(F.max("level").alias("level")))
-    near = _nearest(_offered(array, bounds, down), entries, centre, n, k + 1)
+    near = _nearest(_offered(array, bounds, counts, down), entries, centre, n, k + 1)
     # what the first candidates say of how far all trees must ascend together; fewer than k are all that there are
     least = F.array(*map(F.lit, least_cosines(trees, recall)))
     kth = near.where(F.col("nth") <= k).groupBy("query").agg(F.min("cosine").alias("cosine"))
     enough = F.size(F.filter(least, lambda c: c <= F.col("cosine")))
     up = common.stored(kth.select("query", enough.alias("to")).join(down, "query").where("to < level").select("query", F.col("to").alias("level")))
     if not up.isEmpty():
-        near = near.unionByName(_nearest(_offered(array, bounds, up), entries, centre, n, k + 1))
+        # what the first nodes held has been compared
+        near = near.unionByName(_nearest(_offered(array, bounds, counts, up, down), entries, centre, n, k + 1))
 
     own = entries.where("asked").select(F.col("entry").alias("query"), "entry", F.lit(0.0).alias("score"))
     found = near.groupBy("query", "entry").agg(F.min("score").alias("score")).unionByName(own)

@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stacksight.llm import prefix_forest
 
@@ -86,13 +87,35 @@ def test_each_entry_lies_once_in_each_tree(spark):
     r = np.random.default_rng(5)
     rows = [(i, r.standard_normal(6).tolist(), i % 400 == 0) for i in range(1200)]
     entries = spark.createDataFrame(rows, "entry long, vector array<double>, asked boolean").coalesce(1)
-    array, bounds = prefix_forest.nodes(entries, np.zeros(6), 4)
-    assert [r["count"] for r in array.groupBy("entry").count().select("count").distinct().collect()] == [4]
-    assert array.count() == array.select("place").distinct().count() == 4800
+    array, bounds, counts = prefix_forest.nodes(entries, np.zeros(6), 4)
+    each = array.select("part", "block", F.explode("entries").alias("entry"))
+    assert [r["count"] for r in each.groupBy("entry").count().select("count").distinct().collect()] == [4]
+    assert each.count() == sum(counts) == 4800 and array.count() == array.select("part", "block").distinct().count()
+    assert max(r.n for r in array.select(F.size("entries").alias("n")).collect()) == prefix_forest.BLOCK
     levels = prefix_forest.BITS
     assert bounds.count() == bounds.distinct().count() == 3 * 2 * (4 * levels + 1)
 
 
+def test_ascending_offers_each_place_once(spark):
+    """What a higher node offers without the lower one, and what the lower one offers, is what the higher one offers; parts and blocks do not matter."""
+    r = np.random.default_rng(6)
+    rows = [(i, r.standard_normal(6).tolist(), i % 300 == 0) for i in range(1500)]
+    entries = spark.createDataFrame(rows, "entry long, vector array<double>, asked boolean").coalesce(1)
+    array, bounds, counts = prefix_forest.nodes(entries, np.zeros(6), 5)
+    asked = entries.where("asked").select(F.col("entry").alias("query"))
+    at = lambda level: asked.select("query", F.lit(level).alias("level"))
+    offers = lambda *levels: sorted(tuple(x) for x in prefix_forest._offered(array, bounds, counts, *levels).collect())
+    strings = prefix_forest.strings(np.array([x[1] for x in rows]), 5)
+    for high, low in ((0, 9), (2, 7), (4, 5), (1, prefix_forest.BITS)):
+        whole = offers(at(high))
+        parts = sorted(offers(at(low)) + offers(at(high), at(low)))
+        assert parts == whole if high else set(parts) == set(whole)  # at level 0 the other trees no longer count
+        shift = prefix_forest.BITS - high
+        trees = range(5) if high else range(1)
+        want = [(q, i) for q in range(0, 1500, 300) for t in trees for i in range(1500) if i != q and strings[q, t] >> shift == strings[i, t] >> shift]
+        assert whole == sorted(want)
+
+
 def test_repeated_ids_and_clashing_columns(spark):
     d = spark.createDataFrame([(0, [1.0, 0.0], "a", 1), (0, [0.5, 0.0], "b", 2), (7, [0.0, 1.0], "c", 3), (9, [0.0, 1.0], "c", 3)], "vec_id int, embedding array<float>, query string, entry long")
     assert [(r.vec_id, r["rank"]) for r in prefix_forest.search(d).orderBy("rank").collect()] == [(7, 1), (9, 2)]

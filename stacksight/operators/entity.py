@@ -125,39 +125,57 @@ def of_other_series(candidates: DataFrame) -> DataFrame:
     return candidates.where(~t.blank(F.col("series_name_hint")) & ~t.series_names_compatible(F.col("series_name_hint"), F.col("target")))
 
 
+def keyed(rows: DataFrame, keep: tuple[str, ...], keys: dict[str, Column]) -> DataFrame:
+    """One row for each key that a row has: the columns kept, kind and key. All keys of a table then share one exchange."""
+    entries = F.array(*(F.struct(F.lit(kind).alias("kind"), c.cast("string").alias("key")) for kind, c in keys.items()))
+    return rows.select(*keep, F.explode(F.filter(entries, lambda e: e["key"].isNotNull())).alias("k")).select(*keep, "k.kind", "k.key")
+
+
 def owned_flags(hits: DataFrame, books: DataFrame, series: DataFrame) -> DataFrame:
     """hit_pos and by which key a hit is owned already: ISBN, title, series and number, or a bare title that only one book has.
 
-    Four semi joins on equal keys, each a shuffle hash or sort merge join; an OR of conditions would be a nested loop.
+    Both sides lay all their keys side by side as (profile, kind, key), so four conditions are one join on equal keys,
+    and one aggregate by hit collects what met; an OR of conditions would be a nested loop.
     """
-    live = books.where(active()).join(series.select("series_id", F.col("name").alias("series_name")), "series_id", "left")
-    rows = hits.join(series.select("series_id", "profile_id", F.col("name").alias("series_name")), "series_id").select(
-        "hit_pos", "profile_id", "isbn13", t.title_key(F.col("title")).alias("title_key"), t.bare_title_key(F.col("title")).alias("bare"), t.series_book_key(F.col("series_name"), F.col("series_number_hint")).alias("number_key"), F.col("series_number_hint").isNull().alias("unnumbered"),
-    )
-    keys = {
-        "by_isbn": live.select("profile_id", "isbn13"), "by_title": live.select("profile_id", t.title_key(F.col("title")).alias("title_key")),
-        "by_number": live.select("profile_id", t.series_book_key(F.col("series_name"), F.col("book_number")).alias("number_key")),
-        "by_bare_title": live.groupBy("profile_id", t.bare_title_key(F.col("title")).alias("bare")).agg(F.count(F.lit(1)).alias("n")).where("n = 1").drop("n"),
+    names = series.select("series_id", F.col("name").alias("series_name"))
+    live = books.where(active()).join(names, "series_id", "left")
+    known = keyed(live, ("profile_id",), {"isbn": F.col("isbn13"), "title": t.title_key(F.col("title")), "number": t.series_book_key(F.col("series_name"), F.col("book_number")), "bare": t.bare_title_key(F.col("title"))})
+    known = known.groupBy("profile_id", "kind", "key").agg(F.count(F.lit(1)).alias("n")).where("kind <> 'bare' or n = 1").select("profile_id", "kind", "key", F.lit(True).alias("met"))
+    rows = hits.join(series.select("series_id", "profile_id", F.col("name").alias("series_name")), "series_id").select("hit_pos", "profile_id", "title", "isbn13", "series_name", "series_number_hint", F.monotonically_increasing_id().alias("row"))
+    # a hit without any key still has a row, so that it is told
+    asked = {
+        "isbn": F.col("isbn13"), "title": t.title_key(F.col("title")), "number": t.series_book_key(F.col("series_name"), F.col("series_number_hint")),
+        "bare": F.when(F.col("series_number_hint").isNull(), t.bare_title_key(F.col("title"))), "none": F.lit(""),
     }
-    for name, known in keys.items():
-        key = known.columns[1]
-        rows = rows.join(known.where(F.col(key).isNotNull()).distinct().withColumn(name, F.lit(True)), ["profile_id", key], "left").withColumn(name, F.coalesce(name, F.lit(False)))
-    rows = rows.withColumn("by_bare_title", F.col("by_bare_title") & F.col("unnumbered"))
-    return rows.select("hit_pos", *keys, (F.col("by_isbn") | F.col("by_title") | F.col("by_number") | F.col("by_bare_title")).alias("owned"))
+    met = keyed(rows, ("hit_pos", "profile_id", "row"), asked).join(known, ["profile_id", "kind", "key"], "left")
+    by = {"by_isbn": "isbn", "by_title": "title", "by_number": "number", "by_bare_title": "bare"}
+    flags = met.groupBy("row", "hit_pos").agg(*(F.coalesce(F.bool_or(F.col("met") & (F.col("kind") == kind)), F.lit(False)).alias(name) for name, kind in by.items()))
+    return flags.select("hit_pos", *by, (F.col("by_isbn") | F.col("by_title") | F.col("by_number") | F.col("by_bare_title")).alias("owned"))
 
 
 def matched(hits: DataFrame, books: DataFrame, series: DataFrame) -> DataFrame:
-    """hit_pos, book_id, reason: the book a hit updates, by the first of ASIN (here the hit's isbn13 stands for it), series and number, title."""
-    live = books.where(active() & F.col("series_id").isNotNull())
+    """The hits' columns with book_id and reason: the book a hit updates, by the first of identifier (its isbn13), series and number, title; of several books with a key the first.
+
+    All keys of a series meet in one join, and the best of a hit's matches is one minimum.
+    """
     names = series.select("series_id", F.col("name").alias("series_name"))
-    b = live.join(names, "series_id").select("series_id", "book_id", "isbn13", t.series_book_key(F.col("series_name"), F.col("book_number")).alias("number_key"), t.title_key(F.col("title")).alias("title_key"))
-    out = hits.join(names, "series_id").select("hit_pos", "series_id", "isbn13", t.series_book_key(F.col("series_name"), F.col("series_number_hint")).alias("number_key"), t.title_key(F.col("title")).alias("title_key"), "title")
-    for key in ("isbn13", "number_key", "title_key"):
-        first = b.where(F.col(key).isNotNull()).groupBy("series_id", key).agg(F.min("book_id").alias(f"via_{key}"))
-        out = out.join(first, ["series_id", key], "left")
-    via = ("via_isbn13", "via_number_key", "via_title_key")
-    reason = F.when(F.col(via[0]).isNotNull(), "identifier").when(F.col(via[1]).isNotNull(), "series_number").when(F.col(via[2]).isNotNull(), "title")
-    return out.withColumns({"book_id": F.coalesce(*via), "reason": reason}).drop(*via)
+    keys = lambda n: {"0identifier": F.col("isbn13"), "1series_number": t.series_book_key(F.col("series_name"), F.col(n)), "2title": t.title_key(F.col("title"))}
+    live = books.where(active() & F.col("series_id").isNotNull()).join(names, "series_id")
+    first = keyed(live, ("series_id", "book_id"), keys("book_number")).groupBy("series_id", "kind", "key").agg(F.min("book_id").alias("book_id"))
+    rows = hits.join(names, "series_id").select("hit_pos", "series_id", "isbn13", "title", "series_name", "series_number_hint", F.monotonically_increasing_id().alias("row"))
+    met = keyed(rows, ("row", "hit_pos", "series_id", "title"), keys("series_number_hint") | {"none": F.lit("")}).join(first, ["series_id", "kind", "key"], "left")
+    best = met.groupBy("row", "hit_pos", "series_id", "title").agg(F.min(F.when(F.col("book_id").isNotNull(), F.struct("kind", "book_id"))).alias("best"))
+    return best.select("hit_pos", "series_id", "title", F.col("best.book_id").alias("book_id"), F.substring("best.kind", 2, 20).alias("reason"))
+
+
+def author_identities(books: DataFrame, series: DataFrame) -> DataFrame:
+    """(profile_id, author, kind, key, series_id): what a profile owns of an author, whatever the way the name is written. kind is isbn, title (with its number), bare (that one book alone has), number (within its series), or tracked (a series' branding name)."""
+    author = t.author_identity(F.col("author"))
+    live = books.where(active() & (author != "")).withColumn("author", author)
+    held = keyed(live.withColumn("own", F.col("series_id")), ("profile_id", "author", "own"), {"isbn": t.filled(F.col("isbn13")), "title": F.nullif(t.core_title_key(F.col("title")), F.lit("")), "bare": F.nullif(t.bare_title_key(F.col("title")), F.lit("")), "number": F.when(F.col("series_id").isNotNull() & F.col("book_number").isNotNull(), t.number_text(F.col("book_number")))})
+    held = held.withColumn("series_id", F.when(F.col("kind") == "number", F.col("own"))).groupBy("profile_id", "author", "kind", "key", "series_id").agg(F.count(F.lit(1)).alias("n")).where("kind <> 'bare' or n = 1").drop("n")
+    tracked = series.where(author != "").groupBy("profile_id", author.alias("author"), t.branding_name(F.col("name")).alias("key")).agg(F.max("series_id").alias("series_id"))
+    return held.unionByName(tracked.withColumn("kind", F.lit("tracked")))
 
 
 def dates_backfilled(hits: DataFrame) -> DataFrame:

@@ -114,8 +114,11 @@ def imported(rows: DataFrame, series: DataFrame, profile_id: str) -> tuple[DataF
     good = rows.where("size(errors) = 0")
     of = series_of_rows(good, series, profile_id)
     key = F.when(link_reason() == "explicit_series_name", F.lower(F.trim("series_name")))
-    linked = good.withColumn("key", key).join(of.select("key", F.col("name").alias("linked_series"), "series_id"), "key", "left").drop("key")
-    return linked, rows.where("size(errors) > 0"), of
+    keyed = good.withColumn("key", key)
+    # rows without a series have nothing to look for and would all meet in the task of the null key
+    linked = keyed.where("key is not null").join(of.select("key", F.col("name").alias("linked_series"), "series_id"), "key", "left")
+    alone = keyed.where("key is null").withColumns({"linked_series": F.lit(None).cast("string"), "series_id": F.lit(None).cast("long")})
+    return linked.unionByName(alone).drop("key"), rows.where("size(errors) > 0"), of
 
 
 def preview(rows: DataFrame, n: int = 5) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stacksight.functions import dates as d
 from stacksight.functions.text import blank, text
 from stacksight.operators.intelligence import active
+from stacksight.operators.steps import kept
 
 PAGE_LIMIT = 200
 STATUS_ORDER = ("available", "upcoming", "read")
@@ -49,8 +50,8 @@ def library_order(rows: DataFrame) -> list[Column]:
 def numbered(rows: DataFrame, order: list[Column], n: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """Rows with their place in the order, within each `by` where it is given; the first n of them.
 
-    Lists are of a series or a profile, so places are dealt by it; an order over all rows is for a top-n, taken before
-    the single window that numbers it, or for small dimensions.
+    For lists of a series, whose rows are few, and for a top-n, taken before the single window that numbers it; whole
+    orders of a profile are `placed`.
     """
     if n is not None and not by:
         rows = rows.orderBy(*order).limit(n)
@@ -58,6 +59,25 @@ def numbered(rows: DataFrame, order: list[Column], n: int | None = None, by: tup
     return rows if n is None else rows.where(F.col("place") <= n)
 
 
+def in_ranges(rows: DataFrame, order: list[Column], by: tuple[str, ...]) -> DataFrame:
+    """Rows dealt by ranges of (by, order), which Spark draws from a sample; stored, so that the ranges stay what they are."""
+    return kept(rows.repartitionByRange(*by, *order).withColumn("range", F.spark_partition_id()))
+
+
+def placed(rows: DataFrame, order: list[Column], by: tuple[str, ...]) -> DataFrame:
+    """Rows with their place in the whole order of each `by`, of which there may be few: no task gets more of one than a range of it.
+
+    The place of a row is the number of rows of its `by` in the ranges before, told by one count for each range, and its
+    number within its own.
+    """
+    parted = in_ranges(rows, order, by)
+    before = F.sum("n").over(Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = parted.groupBy("range", *by).agg(F.count(F.lit(1)).alias("n"))
+    offsets = sizes.select("range", *by, F.coalesce(before, F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("range", *by).orderBy(*order))
+    return parted.withColumn("within", within).join(offsets, ["range", *by]).withColumn("place", F.col("before") + F.col("within")).drop("range", "within", "before")
+
+
 def status_summary(rows: DataFrame) -> DataFrame:
     return rows.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 

@@ -135,7 +135,7 @@ def merged(hits: DataFrame, books: DataFrame, series: DataFrame, as_of: str) ->
     come = arriving(hits, series, as_of).withColumn("arrives", F.lit(True))
     have = shelved(books, series).join(come.select("series_id").distinct(), "series_id", "left_semi").withColumn("arrives", F.lit(False))
     rows = have.unionByName(come.drop("profile_id"), allowMissingColumns=True)
-    return rows.repartition("series_id").sortWithinPartitions("series_id", "arrives", "book_id", "hit_pos", "title").mapInArrow(_merge, EVENTS)
+    return rows.repartition("series_id").sortWithinPartitions("series_id", "arrives", "book_id", "hit_pos", "title", "author", "identifier", "number_key", "book_number", "publication_date", "coming").mapInArrow(_merge, EVENTS)
 
 
 def actions(events: DataFrame) -> DataFrame:

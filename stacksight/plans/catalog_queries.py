@@ -136,7 +136,16 @@ register("J4_orphans", lambda v: integrity.orphans(v.books, v.series), "SELECT b
 register("J5_series_names", lambda v: v.books.join(v.series.select("series_id", F.col("name").alias("series_name")), "series_id", "left").select("book_id", "series_name"), "SELECT book_id, name AS series_name FROM books LEFT JOIN series ON books.series_id = series.series_id")
 register("J9_skeleton_by_number", lambda v: v.hits.where("series_number_hint is not null").select("hit_pos", "series_id", F.col("series_number_hint").alias("n")).join(v.books.where(active() & F.col("book_number").isNotNull()).groupBy("series_id", F.col("book_number").alias("n")).agg(F.max_by("title", "book_id").alias("known")), ["series_id", "n"], "left").select("hit_pos", "known"),
          f"SELECT hit_pos, k.known FROM candidate_hits h LEFT JOIN (SELECT series_id, book_number AS n, arg_max(title, book_id) AS known FROM books WHERE {LIVE} AND book_number IS NOT NULL GROUP BY series_id, book_number) k ON k.series_id = h.series_id AND k.n = h.series_number_hint WHERE h.series_number_hint IS NOT NULL")
-register("J13_series_of_same_author", lambda v: v.series.select("series_id", "profile_id", t.author_identity(F.col("author")).alias("who")).where("who <> ''").alias("a").join(v.series.select(F.col("series_id").alias("other"), "profile_id", t.author_identity(F.col("author")).alias("who")).alias("b"), ["profile_id", "who"]).where("series_id <> other").groupBy("series_id").agg(F.count(F.lit(1)).alias("others")),
+
+
+def same_author_counts(v):
+    """Other series of an author in a profile: one count for each author, never a pair."""
+    rows = v.series.select("series_id", "profile_id", t.author_identity(F.col("author")).alias("who")).where("who <> ''")
+    sizes = rows.groupBy("profile_id", "who").agg((F.count(F.lit(1)) - 1).alias("others")).where("others > 0")
+    return rows.join(sizes, ["profile_id", "who"]).select("series_id", "others")
+
+
+register("J13_series_of_same_author", same_author_counts,
          f"SELECT a.series_id, count(*) AS others FROM series a JOIN series b ON a.profile_id = b.profile_id AND {duck.author('a.author')} = {duck.author('b.author')} AND a.series_id <> b.series_id WHERE {duck.author('a.author')} <> '' GROUP BY a.series_id")
 register("J14_notices", lambda v: v.notifications.join(v.series.select("series_id", "name"), "series_id", "left").join(v.profiles.select("profile_id", "display_name"), "profile_id", "left").select("notification_id", "name", "display_name"), "SELECT n.notification_id, s.name, p.display_name FROM notifications n LEFT JOIN series s ON s.series_id = n.series_id LEFT JOIN profiles p ON p.profile_id = n.profile_id")
 

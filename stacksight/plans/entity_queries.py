@@ -89,9 +89,16 @@ register("J15_dates_backfilled", lambda v: entity.dates_backfilled(v.hits),
          f"WITH dated AS (SELECT * FROM candidate_hits WHERE source = 'hardcover' AND {_DF} IS NOT NULL), d1 AS (SELECT series_id, isbn13, arg_min(published_date, (hit_pos, published_date)) AS x FROM dated WHERE isbn13 IS NOT NULL GROUP BY ALL), d2 AS (SELECT series_id, author, {duck.title('title')} AS tk, arg_min(published_date, (hit_pos, published_date)) AS x FROM dated GROUP BY ALL) SELECT h.hit_pos, h.title, coalesce(d1.x, d2.x) AS published_date FROM candidate_hits h LEFT JOIN d1 ON d1.series_id = h.series_id AND d1.isbn13 = h.isbn13 LEFT JOIN d2 ON d2.series_id = h.series_id AND d2.author = h.author AND d2.tk = {duck.title('h.title')} AND d2.tk <> '' WHERE h.published_date = '' AND coalesce(d1.x, d2.x) IS NOT NULL")
 register("J16_hints_enriched", lambda v: entity.hints_enriched(v.hits),
          f"SELECT h.hit_pos, h.title, n.hint AS series_name_hint FROM candidate_hits h JOIN (SELECT author, {duck.bare_key('title')} AS bare, min(series_name_hint) AS hint FROM candidate_hits WHERE series_name_hint IS NOT NULL GROUP BY ALL HAVING count(DISTINCT series_name_hint) = 1) n ON n.author = h.author AND n.bare = {duck.bare_key('h.title')} WHERE h.series_name_hint IS NULL")
-register("A39_author_index", lambda v: v.books.where(active()).groupBy("author").agg(F.count_distinct("isbn13").alias("isbns"), F.count_distinct(t.title_key(F.col("title"))).alias("titles"), F.count_distinct("series_id").alias("series")),
-         f"SELECT author, count(DISTINCT isbn13) AS isbns, count(DISTINCT nullif({duck.title('title')}, '')) AS titles, count(DISTINCT series_id) AS series FROM books WHERE {LIVE} GROUP BY author")
-register("A40_identity_sets", lambda v: v.books.where(active() & F.col("series_id").isNotNull()).select("series_id", F.concat_ws("|", t.title_key(F.col("title")), t.number_text(F.col("book_number"))).alias("key")).distinct(), f"SELECT DISTINCT series_id, concat_ws('|', nullif({duck.title('title')}, ''), {duck.number_text('book_number')}) AS key FROM books WHERE {LIVE} AND series_id IS NOT NULL")
+register(
+    "A39_author_index",
+    lambda v: entity.author_identities(v.books, v.series),
+    f"""WITH live AS (SELECT profile_id, {duck.author('author')} AS author, series_id, isbn13, title, book_number FROM books WHERE {LIVE} AND {duck.author('author')} <> ''),
+held AS (SELECT profile_id, author, 'isbn' AS kind, isbn13 AS key, CAST(NULL AS BIGINT) AS series_id FROM live UNION ALL SELECT profile_id, author, 'title', nullif({duck.core_key('title')}, ''), NULL FROM live
+UNION ALL SELECT profile_id, author, 'number', CASE WHEN series_id IS NOT NULL AND book_number IS NOT NULL THEN {duck.number_text('book_number')} END, series_id FROM live),
+bare AS (SELECT profile_id, author, nullif({duck.bare_key('title')}, '') AS key FROM live GROUP BY ALL HAVING count(*) = 1)
+SELECT DISTINCT * FROM held WHERE key IS NOT NULL UNION ALL SELECT profile_id, author, 'bare', key, NULL FROM bare WHERE key IS NOT NULL
+UNION ALL SELECT profile_id, {duck.author('author')}, 'tracked', {duck.branding('name')}, max(series_id) FROM series WHERE {duck.author('author')} <> '' GROUP BY ALL""",
+)
 register("W14_missing_slots", lambda v: entity.missing_slots(v.books, v.hits).select("series_id", F.array_join(F.col("slots").cast("array<string>"), ",").alias("slots")),
          f"WITH want AS (SELECT series_id, max(series_total_hint) AS total FROM candidate_hits GROUP BY series_id HAVING total IS NOT NULL), slot AS (SELECT series_id, CAST(unnest(range(1, total + 1)) AS INTEGER) AS n FROM want), lack AS (SELECT * FROM slot EXCEPT SELECT series_id, CAST(floor(book_number) AS INTEGER) FROM books WHERE {LIVE} AND book_number > 0 EXCEPT SELECT series_id, CAST(floor(series_number_hint) AS INTEGER) FROM candidate_hits WHERE series_number_hint > 0), few AS (SELECT * FROM lack QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY n) <= 6) SELECT series_id, string_agg(CAST(n AS VARCHAR), ',' ORDER BY n) AS slots FROM few GROUP BY series_id")
 register("D18_worth_checking", lambda v: entity.worth_checking(v.hits, v.books, v.series),

@@ -128,10 +128,17 @@ def in_series(v):
 
 
 PROFILE = ("profile_id",)
+
+
+def ordered_by_profile(key, rows, order, columns, sql_rows, sql_order, id_col="book_id"):
+    """Every row with its place in the whole order of its profile; `columns` are what the order needs."""
+    register(key, lambda v: lists.placed(rows(v).select(id_col, *PROFILE, *columns), order(), PROFILE).select(id_col, "place"), f"SELECT {id_col}, row_number() OVER (PARTITION BY profile_id ORDER BY {sql_order}) AS place FROM ({sql_rows})")
+
+
 _IN = f"SELECT * FROM books WHERE {LIVE} AND series_id IS NOT NULL"
 ordered("O2_by_number", in_series, lambda: [F.col("book_number").asc_nulls_first(), F.col("book_id")], _IN, "book_number NULLS FIRST, book_id")
 ordered("O3_by_number_or_zero", in_series, lambda: [F.coalesce("book_number", F.lit(0.0)), F.col("book_id")], _IN, "coalesce(book_number, 0), book_id")
-register("O4_newest_notices", lambda v: lists.numbered(v.notifications, [F.desc("created_at"), F.desc("notification_id")], None, PROFILE).select("notification_id", F.col("place").cast("bigint").alias("place")), "SELECT notification_id, row_number() OVER (PARTITION BY profile_id ORDER BY created_at DESC, notification_id DESC) AS place FROM notifications")
+ordered_by_profile("O4_newest_notices", lambda v: v.notifications, lambda: [F.desc("created_at"), F.desc("notification_id")], ("created_at",), "SELECT * FROM notifications", "created_at DESC, notification_id DESC", "notification_id")
 register("O5_profiles_in_order", lambda v: lists.numbered(v.profiles, [F.col("created_at"), F.col("profile_id")]).select("profile_id", F.col("place").cast("bigint").alias("place")), "SELECT profile_id, row_number() OVER (ORDER BY created_at, profile_id) AS place FROM profiles")
 ordered("O6_reresolution_batch", queue, lambda: [F.col("book_id")], f"SELECT * FROM books WHERE {QUEUE}", "book_id", (), 25)
 _RANK = "CASE source WHEN 'hardcover' THEN 0 WHEN 'google_books' THEN 1 WHEN 'openlibrary' THEN 2 ELSE 3 END"
@@ -146,14 +153,26 @@ def library(v):
     return lists.with_status(v.books.where(active()), AS_OF)
 
 
-ordered("O10_library_order", library, lambda: lists.library_order(None), _LIB, _LIBO, PROFILE)
-ordered("O11_user_order", library, lambda: [lists.status_priority(F.col("status")), F.lower("author").desc(), *lists.library_order(None)[1:]], _LIB, f"{_PRI}, lower(author) DESC, {_LIBO.split(', ', 1)[1]}", PROFILE)
-register("O12_series_order", lambda v: lists.numbered(v.series.withColumn("new", d.flag(F.col("has_new_books"))), [F.when(F.col("new"), 0).otherwise(1), F.lower("name"), F.col("series_id")], None, PROFILE).select("series_id", F.col("place").cast("bigint").alias("place")), "SELECT series_id, row_number() OVER (PARTITION BY profile_id ORDER BY CASE WHEN has_new_books THEN 0 ELSE 1 END, lower(name), series_id) AS place FROM series")
+LIBRARY_COLUMNS = ("status", "release_date", "publication_date", "title", "author")
+ordered_by_profile("O10_library_order", library, lambda: lists.library_order(None), LIBRARY_COLUMNS, _LIB, _LIBO)
+ordered_by_profile("O11_user_order", library, lambda: [lists.status_priority(F.col("status")), F.lower("author").desc(), *lists.library_order(None)[1:]], LIBRARY_COLUMNS, _LIB, f"{_PRI}, lower(author) DESC, {_LIBO.split(', ', 1)[1]}")
+
+
+def with_tiers(v):
+    """Series with something new first, then those with something unread, then the others."""
+    state = intelligence.series_state(intelligence.series_intelligence(v.books, v.series), v.series)
+    new = intelligence.new_flags(v.books).where("has_new_available or has_new_upcoming").select("series_id", F.lit(True).alias("new"))
+    rows = v.series.join(state.select("series_id", "has_unread_books"), "series_id").join(new, "series_id", "left")
+    return rows.withColumn("tier", F.when(F.col("new"), 0).when(F.col("has_unread_books"), 1).otherwise(2))
+
+
+ordered_by_profile("O12_series_order", with_tiers, lambda: [F.col("tier"), F.lower("name"), F.col("series_id")], ("tier", "name"),
+                   f"WITH {KNOWN} SELECT s.*, CASE WHEN s.series_id IN (SELECT series_id FROM books WHERE {LIVE} AND (is_missing OR read_status = 'upcoming' OR is_upcoming_final)) THEN 0 WHEN k.next_unread IS NOT NULL THEN 1 ELSE 2 END AS tier FROM series s JOIN known k USING (series_id)", "tier, lower(name), series_id", "series_id")
 ordered("O13_by_title", in_series, lambda: [F.lower("title"), F.col("book_id")], _IN, "lower(title), book_id")
 ordered("O14_skeleton_order", lambda v: in_series(v).where("book_number is not null"), lambda: [F.col("series_id"), F.col("book_number"), F.col("book_id")], f"{_IN} AND book_number IS NOT NULL", "series_id, book_number, book_id")
 ordered("O15_preview_rows", lambda v: v.books.where("profile_id = 'p2'"), lambda: [F.col("book_id")], "SELECT * FROM books WHERE profile_id = 'p2'", "book_id", (), 10)
-ordered("O16_confirmation_order", waiting, lambda: [F.col("book_id")], "SELECT * FROM books WHERE book_id % 3 = 0 AND book_id % 6 <> 0", "book_id", PROFILE)
-ordered("O18_standalone_order", lambda v: lists.standalone(v.books), lambda: [F.lower("author").desc(), F.col("book_id")], f"SELECT * FROM books WHERE {LIVE} AND series_id IS NULL", "lower(author) DESC, book_id", PROFILE)
+ordered_by_profile("O16_confirmation_order", waiting, lambda: [F.col("book_id")], (), "SELECT * FROM books WHERE book_id % 3 = 0 AND book_id % 6 <> 0", "book_id")
+ordered_by_profile("O18_standalone_order", lambda v: lists.standalone(v.books), lambda: [F.lower("author").desc(), F.col("book_id")], ("author",), f"SELECT * FROM books WHERE {LIVE} AND series_id IS NULL", "lower(author) DESC, book_id")
 ordered("W13_pinned_first", lambda v: v.books.where("series_id = 5"), lambda: lists.pinned_first(None, [40, 7]), "SELECT * FROM books WHERE series_id = 5", "CASE book_id WHEN 40 THEN 1 WHEN 7 THEN 2 ELSE 3 END, coalesce(book_number, 0), book_id")
 _GRP = "coalesce(lower(trim(series_name_hint)), '')"
 for key in ("A19_candidate_groups", "O17_grouped_candidates"):

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from stacksight.operators import entity, ingest, integrity, intelligence, persist, snapshots
+from stacksight.operators import entity, ingest, integrity, intelligence, lists, persist, snapshots
 from stacksight.sources.library import AS_OF, Library
 
 
@@ -73,6 +73,21 @@ def test_gaps_of_high_volumes_and_wide_ranges(spark):
     assert {r.series_id: [tuple(g) for g in r.gaps] for r in intelligence.expected_gaps(want, have).select("series_id", "gaps").collect()} == {1: [(1, 1), (3, 4_999_998), (5_000_000, 5_000_000)], 2: [], 3: []}
 
 
+def test_orders_of_few_profiles_are_dealt_evenly(spark):
+    """Five profiles, one with three fifths of all rows: the places equal a window's, and no range has twice the median's rows."""
+    p = F.when(F.col("id") % 10 < 6, "p0").otherwise(F.concat(F.lit("p"), (F.col("id") % 10 - 5).cast("string")))
+    rows = spark.range(40_000).select("id", p.alias("profile_id"), (F.xxhash64("id") % 500).alias("score"))
+    order = [F.col("score").desc_nulls_last(), F.col("id")]
+    got = {r.id: r.place for r in lists.placed(rows, order, ("profile_id",)).collect()}
+    assert got == {r.id: r.place for r in lists.numbered(rows, order, None, ("profile_id",)).collect()}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = sorted(r["count"] for r in lists.in_ranges(rows.repartition(3), order, ("profile_id",)).groupBy("range").count().collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) > 3 and sizes[-1] < 2 * sizes[len(sizes) // 2]
+
+
 def test_healing_is_stable(lib):
     once = integrity.healed(lib.books, AS_OF)
     again = integrity.healed(lib.books.drop("read_status", "is_missing", "is_upcoming_auto", "is_upcoming_final").join(once.drop("changed"), "book_id"), AS_OF)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from stacksight.functions import dates as d
 from stacksight.functions import text as t
 from stacksight.operators.intelligence import active, expected_gaps, first_numbers
+from stacksight.operators.steps import kept
+from stacksight.operators.telemetry import ROWS, Passes
 
 # The order in which providers are trusted, and what each adds to the confidence of a fused candidate.
 PROVIDERS = (("hardcover", 0.4), ("google_books", 0.3), ("openlibrary", 0.25), ("web_search", 0.15))
@@ -122,7 +124,44 @@ def gate(candidates: DataFrame) -> DataFrame:
 
 def of_other_series(candidates: DataFrame) -> DataFrame:
     """Candidates whose hint names another series than the one searched for."""
-    return candidates.where(~t.blank(F.col("series_name_hint")) & ~t.series_names_compatible(F.col("series_name_hint"), F.col("target")))
+    return candidates.where(named_otherwise())
+
+
+def named_otherwise() -> Column:
+    """Whether a hint names another series than the target."""
+    return ~t.blank(F.col("series_name_hint")) & ~t.series_names_compatible(F.col("series_name_hint"), F.col("target"))
+
+
+#: Sources whose search is for the series itself; the others are asked where those leave a series thin.
+TARGETED = ("hardcover", "google_books")
+
+
+def discovered(hits: DataFrame, series: DataFrame, excluded: DataFrame | None = None, passes: Passes | None = None) -> DataFrame:
+    """Candidates of every series in two passes: (series_id, key, title, series_number_hint, confidence, tier, place).
+
+    The targeted pass fuses what the sources that are searched for the series have, collapses editions and filters.
+    A series whose lineup is then incomplete or of low confidence, or empty, gets the fallback pass: hits of the other
+    sources, but for those that name another series, go through the same steps, and add titles that are not there yet.
+    Both passes are counted while they run (`passes`), by hits, fused candidates and candidates kept.
+    """
+    passes = passes or Passes()
+    names = series.select("series_id", F.col("name").alias("target"))
+    is_targeted = F.col("source").isin(*TARGETED)
+    first = passes.watch(hits.where(is_targeted), "targeted", hits=ROWS)
+    found = kept(passes.watch(fused(first, series), "targeted", candidates=ROWS))
+    wide = gate(found).where(~F.col("fallback")).select("series_id")
+    open_series = series.select("series_id").join(wide, "series_id", "left_anti")
+    more = hits.where(~is_targeted).join(open_series, "series_id", "left_semi").join(names, "series_id").withColumn("other", named_otherwise())
+    more = passes.watch(more, "author_fallback", hits=ROWS, of_other_series=F.count_if("other")).where("not other").drop("target", "other")
+    second = passes.watch(fused(more, series), "author_fallback", candidates=ROWS)
+    targeted = filtered(editions_collapsed(found), excluded).withColumn("tier", F.lit("targeted"))
+    targeted = kept(passes.watch(targeted, "targeted", kept=ROWS))
+    there = targeted.select("series_id", "title_key").distinct()
+    fallback = filtered(editions_collapsed(second), excluded).join(there, ["series_id", "title_key"], "left_anti").withColumn("tier", F.lit("author_fallback"))
+    fallback = passes.watch(fallback, "author_fallback", kept=ROWS)
+    rows = targeted.unionByName(fallback)
+    place = F.row_number().over(Window.partitionBy("series_id").orderBy(F.col("series_number_hint").asc_nulls_last(), t.normalized(F.col("title")), F.array_min(F.transform("sources", provider_rank)), "tier", "key"))
+    return rows.select("series_id", "key", "title", "series_number_hint", "confidence", "tier", place.alias("place"))
 
 
 def keyed(rows: DataFrame, keep: tuple[str, ...], keys: dict[str, Column]) -> DataFrame:
@@ -228,9 +267,35 @@ def bound(books: DataFrame, found: DataFrame) -> DataFrame:
     return out.select("book_id", F.when(take, F.coalesce(t.filled(F.col("isbn13")), F.col("found_isbn"))).otherwise(F.col("isbn13")).alias("isbn13"), F.when(take, F.col("found_title")).alias("canonical_title"), F.when(take, "provider").otherwise(F.col("metadata_source")).alias("metadata_source"), F.coalesce(take, F.lit(False)).alias("resolved"))
 
 
-def worth_checking(hits: DataFrame, books: DataFrame, series: DataFrame) -> DataFrame:
-    """Per series, whether any hit of its author has a number above all that are known."""
-    ceiling = books.where(active() & F.col("series_id").isNotNull()).groupBy("series_id").agg(F.max("book_number").alias("ceiling"))
+def worth_checking(hits: DataFrame, books: DataFrame, series: DataFrame, known: DataFrame) -> DataFrame:
+    """Per series, whether any hit of its author has a number above all that are owned or known to be missing. known: intelligence with gaps."""
+    owned = books.where(active() & F.col("series_id").isNotNull()).groupBy("series_id").agg(F.max("book_number").alias("owned"))
+    missing = known.select("series_id", F.try_element_at("gaps", F.lit(-1))["hi"].cast("double").alias("missing"))
+    ceiling = missing.join(owned, "series_id", "left").select("series_id", F.coalesce(F.greatest("owned", "missing"), F.lit(0.0)).alias("ceiling"))
     rows = hits.join(series.select("series_id", F.coalesce("author", F.lit("")).alias("target_author")), "series_id").join(ceiling, "series_id", "left")
     news = (F.col("series_number_hint") > F.coalesce("ceiling", F.lit(0.0))) & t.author_matches(F.array("author"), F.col("target_author"))
     return rows.groupBy("series_id").agg(F.bool_or(F.coalesce(news, F.lit(False))).alias("worth"))
+
+
+# what providers disagree on, and how complete and sure the candidates of a series are
+LEAST_SERIES_COMPLETENESS, MOST_DISAGREEMENT = 0.8, 0.2
+
+
+def reconciliation_needs(candidates: DataFrame, hits: DataFrame) -> DataFrame:
+    """(series_id, candidates, series_completeness, disagreement_ratio, mean_completeness, needs): whether a series' fused candidates leave something to reconcile.
+
+    Its lineup has few of the numbers up to its highest, or the hits of too many candidates disagree on number, ISBN or
+    series, or the metadata are thin on average. A single candidate has nothing to be reconciled with.
+    """
+    members = hits.where(~t.blank(F.col("title"))).withColumns({"key": hit_key(), "brand": t.branding_name(t.filled(F.col("series_name_hint")))})
+    per = members.groupBy("series_id", "key").agg(F.count_distinct(F.round("series_number_hint", 2)).alias("numbers"), F.count_distinct(t.filled(F.col("isbn13"))).alias("isbns"), F.collect_set(F.when(~t.blank(F.col("series_name_hint")), F.col("brand"))).alias("brands"))
+    names = F.exists("brands", lambda a: F.exists(F.col("brands"), lambda b: ~t.brands_compatible(a, b)))
+    per = per.select("series_id", "key", ((F.col("numbers") > 1) | (F.col("isbns") > 1) | ((F.size("brands") > 1) & names)).alias("disagree"))
+    n = F.when(F.coalesce(F.col("series_number_hint") != 0, F.lit(False)), F.col("series_number_hint")).otherwise(t.inferred_number(F.col("title"), F.col("target")))
+    rows = candidates.withColumn("n", n).join(per, ["series_id", "key"], "left")
+    whole = F.when(F.col("n") == F.floor("n"), F.col("n"))
+    told = rows.groupBy("series_id").agg(
+        F.count(F.lit(1)).alias("candidates"), F.try_divide(F.count_distinct(whole), F.max(whole)).alias("share"), F.avg(F.coalesce("disagree", F.lit(False)).cast("double")).alias("ratio"), F.avg("completeness").alias("mean"),
+    )
+    low = (F.coalesce(F.col("share") < LEAST_SERIES_COMPLETENESS, F.lit(False))) | (F.col("ratio") > MOST_DISAGREEMENT) | (F.col("mean") < LEAST_COMPLETENESS)
+    return told.select("series_id", "candidates", F.round("share", 6).alias("series_completeness"), F.round("ratio", 6).alias("disagreement_ratio"), F.round(F.col("mean") + 1e-9, 3).alias("mean_completeness"), ((F.col("candidates") >= 2) & low).alias("needs"))

@@ -113,7 +113,6 @@ register("A25_external_gap_ratio", lambda v: external_gaps(v, True).select("seri
          f"WITH {_EXP}, have AS ({_WHOLE}) SELECT s.series_id, round(count(*) FILTER (h.n IS NULL) / CAST(max(expected) AS DOUBLE), 4) AS ratio FROM slots s LEFT JOIN have h ON h.series_id = s.series_id AND h.n = s.n GROUP BY s.series_id")
 register("A26_number_coverage", lambda v: v.books.where(active()).groupBy("series_id").agg(F.count(F.lit(1)).alias("books"), F.count("book_number").alias("numbered"), F.count_if(F.col("book_number") == F.floor("book_number")).alias("integral")),
          f"SELECT series_id, count(*) AS books, count(book_number) AS numbered, count(*) FILTER (book_number = floor(book_number)) AS integral FROM books WHERE {LIVE} GROUP BY series_id")
-register("A28_rollup_by_pass", lambda v: v.hits.groupBy("source").agg(F.count(F.lit(1)).alias("hits"), F.count("isbn13").alias("with_isbn"), F.count_distinct("series_id").alias("series")), "SELECT source, count(*) AS hits, count(isbn13) AS with_isbn, count(DISTINCT series_id) AS series FROM candidate_hits GROUP BY source")
 register("A29_accepted_rejected", lambda v: v.hits.groupBy("source").agg(F.count_if(~t.is_placeholder_title(F.col("title")) & ~t.is_not_new_release(F.col("title"))).alias("accepted"), F.count_if(t.is_placeholder_title(F.col("title")) | t.is_not_new_release(F.col("title"))).alias("rejected")),
          f"SELECT source, count(*) FILTER (NOT bad) AS accepted, count(*) FILTER (bad) AS rejected FROM (SELECT source, {duck.has(duck.normalized('title'), r'untitled|box set|[0-9]+ books?( |$)')} AS bad FROM candidate_hits) GROUP BY source")
 register("A32_title_pattern_vote", lambda v: v.books.where(active() & F.col("series_id").isNotNull()).groupBy("series_id").agg(F.count_if(w.has_series_suffix(F.col("title"))).alias("with_suffix"), F.count_if(~w.has_series_suffix(F.col("title"))).alias("title_only")).withColumn("pattern", F.when(F.col("with_suffix") >= F.col("title_only"), "with_suffix").otherwise("title_only")),

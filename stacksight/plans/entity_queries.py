@@ -9,9 +9,11 @@ from stacksight.functions import dates as d
 from stacksight.functions import text as t
 from stacksight.functions import titles as w
 from stacksight.operators import entity, grading, ingest, lists, persist
+from stacksight.operators import intelligence
 from stacksight.operators.intelligence import active
+from stacksight.operators.telemetry import Passes
 from stacksight.plans import duck
-from stacksight.plans.catalog_queries import LIVE, queue
+from stacksight.plans.catalog_queries import KNOWN, LIVE, queue
 from stacksight.plans.list_queries import _RANK, eligible
 from stacksight.plans.registry import register
 from stacksight.sources.library import AS_OF
@@ -47,26 +49,71 @@ _SLIM = "series_id, key, title, author, isbn13, published_date, series_name_hint
 register("D4_fused_candidates", lambda v: slim(fused(v)), f"WITH {FUSED} SELECT {_SLIM} FROM fused")
 register("D4a_confidence", lambda v: fused(v).groupBy("confidence").agg(F.count(F.lit(1)).alias("n")), f"WITH {FUSED} SELECT confidence, count(*) AS n FROM fused GROUP BY confidence")
 register("D4b_completeness", lambda v: fused(v).groupBy("completeness").agg(F.count(F.lit(1)).alias("n")), f"WITH {FUSED} SELECT CAST(completeness AS DOUBLE) AS completeness, count(*) AS n FROM fused GROUP BY completeness")
-register("D5_editions_collapsed", lambda v: entity.editions_collapsed(fused(v)).select("series_id", "key", "title", "edition", "confidence"))
-register("W7_dominant_editions", lambda v: entity.editions_collapsed(fused(v)).groupBy("series_id").agg(F.count(F.lit(1)).alias("n")))
 _FIT = f"author_match AND NOT {_BAD} AND language IN ('', 'en') AND NOT ({_TNORM} = {_TGT} AND isbn13 IS NULL AND series_number_hint IS NULL)"
 register("D6_filtered_candidates", lambda v: entity.filtered(fused(v), v.books.where(active()).select("series_id", t.core_title_key(F.col("title")).alias("title_key")).where("series_id is not null").distinct()).select("series_id", "key", "title"),
          f"WITH {FUSED} SELECT series_id, key, title FROM fused f WHERE {_FIT} AND NOT EXISTS (SELECT 1 FROM books b WHERE b.series_id = f.series_id AND {BLIVE} AND {duck.core_key('b.title')} = {duck.core_key('f.title')})")
-for key in ("D7a_fallback_gate", "A22_reconciliation_means"):
-    register(key, lambda v: entity.gate(fused(v)), f"WITH {FUSED} SELECT series_id, round(coalesce(share, 0), 6) AS completeness, round(mean + 1e-9, 3) AS mean_confidence, coalesce(share, 0) < 0.5 OR mean < 0.35 AS fallback FROM (SELECT series_id, count(DISTINCT CASE WHEN series_number_hint > 0 THEN floor(series_number_hint) END) / max(CASE WHEN series_number_hint > 0 THEN floor(series_number_hint) END) AS share, avg(confidence) AS mean FROM fused GROUP BY series_id)")
+register("D7a_fallback_gate", lambda v: entity.gate(fused(v)), f"WITH {FUSED} SELECT series_id, round(coalesce(share, 0), 6) AS completeness, round(mean + 1e-9, 3) AS mean_confidence, coalesce(share, 0) < 0.5 OR mean < 0.35 AS fallback FROM (SELECT series_id, count(DISTINCT CASE WHEN series_number_hint > 0 THEN floor(series_number_hint) END) / max(CASE WHEN series_number_hint > 0 THEN floor(series_number_hint) END) AS share, avg(confidence) AS mean FROM fused GROUP BY series_id)")
 register("D7b_other_series", lambda v: entity.of_other_series(fused(v)).select("series_id", "key", "series_name_hint"), f"WITH {FUSED} SELECT series_id, key, series_name_hint FROM fused WHERE series_name_hint <> target")
 
 
-def discovered(v) -> DataFrame:
-    """Fuse, collapse, filter, leave out other series, rank."""
-    rows = entity.filtered(entity.editions_collapsed(fused(v)))
-    rows = rows.join(entity.of_other_series(rows).select("series_id", "key"), ["series_id", "key"], "left_anti")
-    place = F.row_number().over(Window.partitionBy("series_id").orderBy(F.col("series_number_hint").asc_nulls_last(), t.normalized(F.col("title")), F.get("sources", F.lit(0)), "key"))
-    return rows.select("series_id", "key", "title", "series_number_hint", "confidence", place.alias("place"))
+#: The rule of editions over any fused candidates: `x` names the table.
+def _EDITIONS(x: str) -> str:
+    low = f"lower({duck.text('title')})"
+    rank = f"CASE WHEN {duck.has(low, 'audible|audio ?cd|audiobook')} THEN 2 WHEN {duck.has(low, 'kindle')} THEN 3 WHEN {duck.has(low, 'paperback')} THEN 4 WHEN {duck.has(low, 'hardcover')} THEN 5 ELSE 1 END"
+    return f"""{x}_rows AS (SELECT *, coalesce(nullif({duck.title('title')}, ''), key) AS book, {rank} AS edition_rank FROM {x}),
+{x}_numbers AS (SELECT series_id, book, count(DISTINCT series_number_hint) AS numbers FROM {x}_rows GROUP BY ALL),
+{x}_banded AS (SELECT r.*, CASE WHEN numbers > 1 THEN coalesce(series_number_hint, -1) ELSE -1 END AS grp FROM {x}_rows r JOIN {x}_numbers USING (series_id, book)),
+{x}_best AS (SELECT series_id, book, grp, max(edition_rank) AS e, max(completeness) AS m, max(confidence) AS c FROM {x}_banded GROUP BY ALL),
+{x}_tops AS (SELECT g.*, edition_rank = e AND g.completeness = m AND g.confidence = c AS top FROM {x}_banded g JOIN {x}_best USING (series_id, book, grp)),
+{x}_count AS (SELECT series_id, book, grp, count(*) AS members, count(*) FILTER (top) AS tops FROM {x}_tops GROUP BY ALL),
+{x}_kept AS (SELECT t.* FROM {x}_tops t JOIN {x}_count USING (series_id, book, grp) WHERE members = 1 OR tops <> 1 OR top)"""
 
 
-register("D7_discovered", discovered)
+def _fused_from(hits: str, name: str) -> str:
+    """The fusion of some hits, its tables under names of their own."""
+    out = FUSED.replace("FROM candidate_hits h", f"FROM {hits} h")
+    for table in ("scored", "grouped", "fused"):
+        out = out.replace(f"{table} AS (", f"{name}_{table} AS (").replace(f"FROM {table}", f"FROM {name}_{table}")
+    return out.replace(f"{name}_fused AS", f"{name} AS")
+
+
+_SHARE = "count(DISTINCT CASE WHEN series_number_hint > 0 THEN floor(series_number_hint) END) / max(CASE WHEN series_number_hint > 0 THEN floor(series_number_hint) END)"
+_D7 = f"""t_hits AS (SELECT * FROM candidate_hits WHERE source IN ('hardcover', 'google_books')), {_fused_from('t_hits', 'tar')}, {_EDITIONS('tar')},
+wide AS (SELECT series_id FROM tar GROUP BY series_id HAVING coalesce({_SHARE}, 0) >= 0.5 AND avg(confidence) >= 0.35),
+f_all AS (SELECT h.*, coalesce(h.series_name_hint <> s.name, false) AS other FROM candidate_hits h JOIN series s USING (series_id) WHERE source NOT IN ('hardcover', 'google_books') AND series_id NOT IN (SELECT series_id FROM wide)),
+f_hits AS (SELECT * EXCLUDE (other) FROM f_all WHERE NOT other), {_fused_from('f_hits', 'fal')}, {_EDITIONS('fal')},
+t_fit AS (SELECT *, 'targeted' AS tier FROM tar_kept WHERE {_FIT}), f_fit AS (SELECT *, 'author_fallback' AS tier FROM fal_kept WHERE {_FIT} AND (series_id, {duck.core_key('title')}) NOT IN (SELECT (series_id, {duck.core_key('title')}) FROM t_fit)),
+both_passes AS (SELECT * FROM t_fit UNION ALL SELECT * FROM f_fit)"""
+_BEST_SOURCE = "list_min(list_transform(sources, lambda x: CASE x WHEN 'hardcover' THEN 0 WHEN 'google_books' THEN 1 WHEN 'openlibrary' THEN 2 ELSE 3 END))"
+register("D7_discovered", lambda v: entity.discovered(v.hits, v.series), f"WITH {_D7} SELECT series_id, key, title, series_number_hint, confidence, tier, CAST(row_number() OVER (PARTITION BY series_id ORDER BY series_number_hint NULLS LAST, {duck.normalized('title')}, {_BEST_SOURCE}, tier, key) AS INTEGER) AS place FROM both_passes")
+
+
+def pass_counts(v) -> DataFrame:
+    """Discovery run once, its rows thrown away, and what it told on the way."""
+    passes = Passes()
+    entity.discovered(v.hits, v.series, passes=passes).write.format("noop").mode("overwrite").save()
+    return passes.rollup(v.spark)
+
+
+register(
+    "A28_rollup_by_pass", pass_counts,
+    f"""WITH {_D7}, told AS (SELECT 'targeted' AS pass, 'hits' AS metric, count(*) AS value FROM t_hits UNION ALL SELECT 'targeted', 'candidates', count(*) FROM tar UNION ALL SELECT 'targeted', 'kept', count(*) FROM t_fit
+UNION ALL SELECT 'author_fallback', 'hits', count(*) FROM f_all UNION ALL SELECT 'author_fallback', 'of_other_series', count(*) FROM f_all WHERE other UNION ALL SELECT 'author_fallback', 'candidates', count(*) FROM fal UNION ALL SELECT 'author_fallback', 'kept', count(*) FROM f_fit)
+SELECT * FROM told UNION ALL SELECT 'total', metric, CAST(sum(value) AS BIGINT) FROM told GROUP BY metric""",
+)
 register("D7c_discovered_by_author", lambda v: entity.filtered(fused(v)).where("author_match").groupBy("target_author", t.bare_title_key(F.col("title")).alias("bare")).agg(F.count(F.lit(1)).alias("n"), F.max("confidence").alias("confidence")))
+_RATIO = "avg(CAST(n_numbers > 1 OR n_isbns > 1 OR n_names > 1 AS DOUBLE))"
+register(
+    "A22_reconciliation_means", lambda v: entity.reconciliation_needs(fused(v), v.hits),
+    f"""WITH {FUSED}, told AS (SELECT series_id, key, count(DISTINCT round(series_number_hint, 2)) AS n_numbers, count(DISTINCT isbn13) AS n_isbns FROM scored GROUP BY ALL),
+rows AS (SELECT f.*, n_numbers, n_isbns, coalesce(nullif(series_number_hint, 0), {duck.inferred('title')}, CASE WHEN {duck.get(duck.normalized('title'), '^customer [0-9]+ ([0-9]+)')} IS NOT NULL THEN 0 END) AS n FROM fused f JOIN told USING (series_id, key)),
+means AS (SELECT series_id, count(*) AS candidates, count(DISTINCT CASE WHEN n = floor(n) THEN n END) / max(CASE WHEN n = floor(n) THEN n END) AS share, {_RATIO} AS ratio, avg(completeness) AS mean FROM rows GROUP BY series_id)
+SELECT series_id, candidates, round(share, 6) AS series_completeness, round(ratio, 6) AS disagreement_ratio, round(mean + 1e-9, 3) AS mean_completeness, candidates >= 2 AND (coalesce(share < 0.8, false) OR ratio > 0.2 OR mean < 0.5) AS needs FROM means""",
+)
+
+register("D5_editions_collapsed", lambda v: entity.editions_collapsed(fused(v)).select("series_id", "key", "title", F.col("edition").cast("int").alias("edition"), "confidence"), f"WITH {FUSED}, {_EDITIONS('fused')} SELECT series_id, key, title, edition_rank AS edition, confidence FROM fused_kept")
+register("W7_dominant_editions", lambda v: entity.editions_collapsed(fused(v)).groupBy("series_id").agg(F.count(F.lit(1)).alias("n")), f"WITH {FUSED}, {_EDITIONS('fused')} SELECT series_id, count(*) AS n FROM fused_kept GROUP BY series_id")
+
 # what is owned
 _SBK = lambda s, n: f"CASE WHEN {duck.series(s)} <> '' AND ({duck.positive(n)}) IS NOT NULL THEN {duck.series(s)} || '|' || {duck.number_text(n)} END"
 _OWNED = f"""own AS (SELECT b.profile_id, b.isbn13, nullif({duck.title('b.title')}, '') AS tk, {_SBK('s.name', 'b.book_number')} AS nk, {duck.bare_key('b.title')} AS bare FROM books b LEFT JOIN series s ON s.series_id = b.series_id WHERE {BLIVE}),
@@ -101,8 +148,8 @@ UNION ALL SELECT profile_id, {duck.author('author')}, 'tracked', {duck.branding(
 )
 register("W14_missing_slots", lambda v: entity.missing_slots(v.books, v.hits).select("series_id", F.array_join(F.col("slots").cast("array<string>"), ",").alias("slots")),
          f"WITH want AS (SELECT series_id, max(series_total_hint) AS total FROM candidate_hits GROUP BY series_id HAVING total IS NOT NULL), slot AS (SELECT series_id, CAST(unnest(range(1, total + 1)) AS INTEGER) AS n FROM want), lack AS (SELECT * FROM slot EXCEPT SELECT series_id, CAST(floor(book_number) AS INTEGER) FROM books WHERE {LIVE} AND book_number > 0 EXCEPT SELECT series_id, CAST(floor(series_number_hint) AS INTEGER) FROM candidate_hits WHERE series_number_hint > 0), few AS (SELECT * FROM lack QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY n) <= 6) SELECT series_id, string_agg(CAST(n AS VARCHAR), ',' ORDER BY n) AS slots FROM few GROUP BY series_id")
-register("D18_worth_checking", lambda v: entity.worth_checking(v.hits, v.books, v.series),
-         f"SELECT h.series_id, bool_or(coalesce(h.series_number_hint > coalesce(c.top, 0), false) AND {_AM}) AS worth FROM candidate_hits h JOIN series s ON s.series_id = h.series_id LEFT JOIN (SELECT series_id, max(book_number) AS top FROM books WHERE {LIVE} GROUP BY series_id) c ON c.series_id = h.series_id GROUP BY h.series_id")
+register("D18_worth_checking", lambda v: entity.worth_checking(v.hits, v.books, v.series, intelligence.series_intelligence(v.books, v.series)),
+         f"WITH {KNOWN}, owned AS (SELECT series_id, max(book_number) AS top FROM books WHERE {LIVE} GROUP BY series_id), far AS (SELECT series_id, max(n) AS gap FROM lacking GROUP BY series_id) SELECT h.series_id, bool_or(coalesce(h.series_number_hint > coalesce(greatest(c.top, CAST(far.gap AS DOUBLE)), 0), false) AND {_AM}) AS worth FROM candidate_hits h JOIN series s ON s.series_id = h.series_id LEFT JOIN owned c ON c.series_id = h.series_id LEFT JOIN far ON far.series_id = h.series_id GROUP BY h.series_id")
 
 # delta and grades
 _SK = f"sk AS (SELECT series_id, book_number AS n, arg_max(title, book_id) AS known_title FROM books WHERE {LIVE} AND series_id IS NOT NULL AND book_number IS NOT NULL GROUP BY ALL)"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stacksight.functions import dates as d
 from stacksight.functions import text as t
+from stacksight.sources.sheets import read_xlsx
 
 # The canonical fields and the headers that mean them, without punctuation.
 HEADERS: dict[str, tuple[str, ...]] = {
@@ -57,16 +58,13 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    """By extension; Excel sheets go through pandas on the driver, as Spark has no reader for them."""
+    """By extension: .csv, or .xlsx read in tasks. The older binary .xls has to be saved as .xlsx before."""
     low = path.lower()
     if low.endswith(".csv"):
         return read_csv(spark, path)
-    if low.endswith((".xlsx", ".xls")):
-        import pandas as pd
-
-        sheets = pd.read_excel(path, sheet_name=None, dtype=str, keep_default_na=False)
-        return spark.createDataFrame(sheets.get("Master", next(iter(sheets.values()))))
-    raise ValueError(f"not a sheet: {path}")
+    if low.endswith(".xlsx"):
+        return read_xlsx(spark, path)
+    raise ValueError(f"not a sheet that can be read: {path}")
 
 
 def mapped(rows: DataFrame) -> tuple[DataFrame, list[str]]:

@@ -115,11 +115,20 @@ def filtered(candidates: DataFrame, excluded: DataFrame | None = None) -> DataFr
     return rows
 
 
-def gate(candidates: DataFrame) -> DataFrame:
-    """Per series: share of numbers found, mean confidence, and whether the search by author is needed as well."""
-    n = F.col("series_number_hint")
-    found = candidates.groupBy("series_id").agg(F.try_divide(F.count_distinct(F.when(n > 0, F.floor(n))), F.max(F.when(n > 0, F.floor(n)))).alias("share"), F.avg("confidence").alias("mean"))
-    return found.select("series_id", F.round(F.coalesce("share", F.lit(0.0)), 6).alias("completeness"), F.round(F.col("mean") + 1e-9, 3).alias("mean_confidence"), ((F.coalesce("share", F.lit(0.0)) < LEAST_COMPLETENESS) | (F.col("mean") < LEAST_CONFIDENCE)).alias("fallback"))
+def lineup_means(candidates: DataFrame, books: DataFrame) -> DataFrame:
+    """(series_id, completeness, mean_confidence) of each series with candidates: the share of whole numbers known up to the highest, told by candidates and the highest owned book (1 where none is known), and the candidates' mean confidence."""
+    n = F.when(F.coalesce(F.col("series_number_hint") != 0, F.lit(False)), F.col("series_number_hint")).otherwise(t.inferred_number(F.col("title"), F.col("target")))
+    rows = candidates.select("series_id", F.when(n == F.floor(n), n.cast("bigint")).alias("n"), "confidence")
+    top = books.where(active() & F.col("series_id").isNotNull() & ~d.flag(F.col("is_missing"))).groupBy("series_id").agg(F.max(F.floor("book_number")).cast("bigint").alias("top")).where("top > 0")
+    told = rows.groupBy("series_id").agg(F.collect_set("n").alias("numbers"), F.avg("confidence").alias("mean")).join(top, "series_id", "left")
+    known = F.array_union("numbers", F.when(F.col("top").isNotNull(), F.array("top")).otherwise(F.array().cast("array<bigint>")))
+    return told.select("series_id", F.coalesce(F.try_divide(F.size(known), F.array_max(known)), F.lit(1.0)).alias("completeness"), F.col("mean").alias("mean_confidence"))
+
+
+def gate(candidates: DataFrame, books: DataFrame) -> DataFrame:
+    """lineup_means rounded, and whether the search by author is needed as well."""
+    thin = (F.col("completeness") < LEAST_COMPLETENESS) | (F.col("mean_confidence") < LEAST_CONFIDENCE)
+    return lineup_means(candidates, books).select("series_id", F.round("completeness", 6).alias("completeness"), F.round(F.col("mean_confidence") + 1e-9, 3).alias("mean_confidence"), thin.alias("fallback"))
 
 
 def of_other_series(candidates: DataFrame) -> DataFrame:
@@ -136,7 +145,7 @@ def named_otherwise() -> Column:
 TARGETED = ("hardcover", "google_books")
 
 
-def discovered(hits: DataFrame, series: DataFrame, excluded: DataFrame | None = None, passes: Passes | None = None) -> DataFrame:
+def discovered(hits: DataFrame, series: DataFrame, books: DataFrame, excluded: DataFrame | None = None, passes: Passes | None = None) -> DataFrame:
     """Candidates of every series in two passes: (series_id, key, title, series_number_hint, confidence, tier, place).
 
     The targeted pass fuses what the sources that are searched for the series have, collapses editions and filters.
@@ -149,7 +158,7 @@ def discovered(hits: DataFrame, series: DataFrame, excluded: DataFrame | None =
     is_targeted = F.col("source").isin(*TARGETED)
     first = passes.watch(hits.where(is_targeted), "targeted", hits=ROWS)
     found = kept(passes.watch(fused(first, series), "targeted", candidates=ROWS))
-    wide = gate(found).where(~F.col("fallback")).select("series_id")
+    wide = gate(found, books).where(~F.col("fallback")).select("series_id")
     open_series = series.select("series_id").join(wide, "series_id", "left_anti")
     more = hits.where(~is_targeted).join(open_series, "series_id", "left_semi").join(names, "series_id").withColumn("other", named_otherwise())
     more = passes.watch(more, "author_fallback", hits=ROWS, of_other_series=F.count_if("other")).where("not other").drop("target", "other")
@@ -267,6 +276,22 @@ def bound(books: DataFrame, found: DataFrame) -> DataFrame:
     return out.select("book_id", F.when(take, F.coalesce(t.filled(F.col("isbn13")), F.col("found_isbn"))).otherwise(F.col("isbn13")).alias("isbn13"), F.when(take, F.col("found_title")).alias("canonical_title"), F.when(take, "provider").otherwise(F.col("metadata_source")).alias("metadata_source"), F.coalesce(take, F.lit(False)).alias("resolved"))
 
 
+def reresolved(books: DataFrame, found: DataFrame) -> DataFrame:
+    """What becomes of each book that is resolved again: (book_id, outcome, confidence, canonical_title, metadata_source, needs_reresolution, isbn13).
+
+    The best hit found is bound whatever its confidence (a low one keeps the book in the queue), and fills an ISBN only
+    where there is none; a book without hits is left as it is. found: as `find` gives it.
+    """
+    best = found.where("rank = 1").select("book_id", F.col("isbn13").alias("found_isbn"), F.col("title").alias("found_title"), "confidence")
+    rows = books.join(best, "book_id", "left")
+    hit = F.col("confidence").isNotNull()
+    origin = d.provenance(F.col("confidence"))
+    return rows.select(
+        "book_id", "profile_id", F.when(hit, "updated").otherwise("no_match").alias("outcome"), "confidence", F.col("found_title").alias("canonical_title"), F.when(hit, origin["metadata_source"]).otherwise(F.col("metadata_source")).alias("metadata_source"),
+        F.when(hit, origin["needs_reresolution"]).otherwise(F.col("needs_reresolution")).alias("needs_reresolution"), F.coalesce(t.filled(F.col("isbn13")), "found_isbn").alias("isbn13"),
+    )
+
+
 def worth_checking(hits: DataFrame, books: DataFrame, series: DataFrame, known: DataFrame) -> DataFrame:
     """Per series, whether any hit of its author has a number above all that are owned or known to be missing. known: intelligence with gaps."""
     owned = books.where(active() & F.col("series_id").isNotNull()).groupBy("series_id").agg(F.max("book_number").alias("owned"))

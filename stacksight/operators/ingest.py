@@ -52,6 +52,12 @@ def header_field(header: str) -> str | None:
     return next((field for field, names in HEADERS.items() if " ".join(words) in names), None)
 
 
+def fields_of(headers: DataFrame, column: str) -> DataFrame:
+    """Headers of many sheets, a row each, with the canonical field that they mean; null where none is known."""
+    aliases = F.create_map(*(F.lit(x) for field, names in HEADERS.items() for name in names for x in (name, field)))
+    return headers.withColumn("field", F.try_element_at(aliases, t.header_key(F.col(column))))
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """A sheet as text: blank cells are empty, nothing is guessed. Rows keep their order as row_number, within the file's splits."""
     return spark.read.csv(path, header=True, inferSchema=False, nullValue="\u0000", emptyValue="", multiLine=True)

@@ -5,9 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def created(table: DataFrame, rows: DataFrame) -> DataFrame:
-    return table.unionByName(rows, allowMissingColumns=True)
+from stacksight.functions import dates as d
+from stacksight.functions import text as t
+
+
+def requested(requests: DataFrame, series: DataFrame) -> DataFrame:
+    """Requests for new books as they would be written, and why one is refused (error, null where it is not).
+
+    requests: profile_id, title, series_id, book_number, find_confidence. The title is trimmed; a number that is not
+    given is told by the title, and where it comes from is kept; a book bound to a hit found is the provider's (to be
+    resolved again where the hit was of low confidence), any other the user's. A series must be one of the profile, and a
+    number needs a series.
+    """
+    of = series.select("series_id", F.col("profile_id").alias("home"), F.col("name").alias("series_name"))
+    rows = requests.join(of, "series_id", "left").withColumn("title", F.trim("title"))
+    told = t.inferred_number(F.col("title"), F.coalesce("series_name", F.lit("")))
+    number, source = F.coalesce("book_number", told), F.when(F.col("book_number").isNotNull(), "user").when(told.isNotNull(), "title_inferred")
+    origin = d.provenance(F.col("find_confidence"))
+    foreign = F.col("series_id").isNotNull() & ~F.coalesce(F.col("home") == F.col("profile_id"), F.lit(False))
+    error = F.when(foreign, "series_of_other_profile").when(F.col("series_id").isNull() & F.col("new_number").isNotNull(), "number_without_series")
+    rows = rows.withColumns({"new_number": number, "book_number_source": source, "origin": origin})
+    keep = [c for c in requests.columns if c not in ("title", "series_id", "book_number", "find_confidence")]
+    order = F.when(F.col("new_number") == F.floor("new_number"), F.col("new_number").cast("bigint"))
+    return rows.select(*keep, "title", "series_id", F.col("new_number").alias("book_number"), "book_number_source", order.alias("series_order"), "origin.metadata_source", "origin.needs_reresolution", error.alias("error"))
+
+
+def created(table: DataFrame, requests: DataFrame) -> DataFrame:
+    """The table with the requests that were not refused."""
+    return table.unionByName(requests.where("error is null").drop("error"), allowMissingColumns=True)
 
 
 def patched(table: DataFrame, patches: DataFrame, key: str) -> DataFrame:

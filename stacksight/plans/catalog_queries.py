@@ -85,8 +85,6 @@ register("A18_series_maturity", lambda v: v.hits.withColumn("day", d.flexible_da
          f"SELECT series_name_hint, count(*) AS found, max(series_total_hint) AS total, max(CASE WHEN {_FD} <= DATE '{AS_OF}' THEN {_FD} END) AS last_available, min(CASE WHEN {_FD} > DATE '{AS_OF}' THEN {_FD} END) AS next_upcoming, bool_or(coalesce({_FD} > DATE '{AS_OF}', upcoming_hint, false)) AS has_upcoming FROM candidate_hits WHERE series_name_hint IS NOT NULL GROUP BY series_name_hint")
 register("A20_unique_bare_titles", lambda v: v.books.where(active()).groupBy("profile_id", t.bare_title_key(F.col("title")).alias("title_key")).agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("profile_id", "title_key"),
          f"SELECT profile_id, {duck.bare_key('title')} AS title_key FROM books WHERE {LIVE} GROUP BY ALL HAVING count(*) = 1")
-register("A21_completeness", lambda v: v.books.where(active() & (F.col("book_number") > 0) & F.col("series_id").isNotNull()).groupBy("series_id").agg(F.round(F.count_distinct(F.floor("book_number")) / F.max(F.floor("book_number")), 6).alias("completeness"), F.round(F.avg(F.col("is_read").cast("double")), 6).alias("read_share")).where("completeness is not null"),
-         f"SELECT series_id, round(count(DISTINCT floor(book_number)) / max(floor(book_number)), 6) AS completeness, round(avg(CAST(is_read AS DOUBLE)), 6) AS read_share FROM books WHERE {LIVE} AND book_number > 0 AND series_id IS NOT NULL GROUP BY series_id HAVING max(floor(book_number)) > 0")
 register("A23_expected_total", lambda v: v.hits.groupBy("series_id").agg(F.max("series_total_hint").alias("expected"), F.count("series_total_hint").alias("hints")), "SELECT series_id, max(series_total_hint) AS expected, count(series_total_hint) AS hints FROM candidate_hits GROUP BY series_id")
 _HAVE = f"SELECT DISTINCT series_id, CAST(floor(book_number) AS BIGINT) AS n FROM books WHERE {LIVE} AND book_number > 0"
 
@@ -113,8 +111,6 @@ register("A25_external_gap_ratio", lambda v: external_gaps(v, True).select("seri
          f"WITH {_EXP}, have AS ({_WHOLE}) SELECT s.series_id, round(count(*) FILTER (h.n IS NULL) / CAST(max(expected) AS DOUBLE), 4) AS ratio FROM slots s LEFT JOIN have h ON h.series_id = s.series_id AND h.n = s.n GROUP BY s.series_id")
 register("A26_number_coverage", lambda v: v.books.where(active()).groupBy("series_id").agg(F.count(F.lit(1)).alias("books"), F.count("book_number").alias("numbered"), F.count_if(F.col("book_number") == F.floor("book_number")).alias("integral")),
          f"SELECT series_id, count(*) AS books, count(book_number) AS numbered, count(*) FILTER (book_number = floor(book_number)) AS integral FROM books WHERE {LIVE} GROUP BY series_id")
-register("A29_accepted_rejected", lambda v: v.hits.groupBy("source").agg(F.count_if(~t.is_placeholder_title(F.col("title")) & ~t.is_not_new_release(F.col("title"))).alias("accepted"), F.count_if(t.is_placeholder_title(F.col("title")) | t.is_not_new_release(F.col("title"))).alias("rejected")),
-         f"SELECT source, count(*) FILTER (NOT bad) AS accepted, count(*) FILTER (bad) AS rejected FROM (SELECT source, {duck.has(duck.normalized('title'), r'untitled|box set|[0-9]+ books?( |$)')} AS bad FROM candidate_hits) GROUP BY source")
 register("A32_title_pattern_vote", lambda v: v.books.where(active() & F.col("series_id").isNotNull()).groupBy("series_id").agg(F.count_if(w.has_series_suffix(F.col("title"))).alias("with_suffix"), F.count_if(~w.has_series_suffix(F.col("title"))).alias("title_only")).withColumn("pattern", F.when(F.col("with_suffix") >= F.col("title_only"), "with_suffix").otherwise("title_only")),
          f"SELECT series_id, with_suffix, title_only, CASE WHEN with_suffix >= title_only THEN 'with_suffix' ELSE 'title_only' END AS pattern FROM (SELECT series_id, count(*) FILTER ({duck.has('title', r'\([^)]*\bbook\s*\d+(?:\.\d+)?[^)]*\)\s*$', 'i')}) AS with_suffix, count(*) FILTER (NOT {duck.has('title', r'\([^)]*\bbook\s*\d+(?:\.\d+)?[^)]*\)\s*$', 'i')}) AS title_only FROM books WHERE {LIVE} AND series_id IS NOT NULL GROUP BY series_id)")
 register("A33_series_number_groups", lambda v: v.books.where(active()).select("series_id", "book_number").where("series_id is not null and book_number is not null").distinct(), f"SELECT DISTINCT series_id, book_number FROM books WHERE {LIVE} AND series_id IS NOT NULL AND book_number IS NOT NULL")
@@ -149,8 +145,24 @@ register("J13_series_of_same_author", same_author_counts,
 register("J14_notices", lambda v: v.notifications.join(v.series.select("series_id", "name"), "series_id", "left").join(v.profiles.select("profile_id", "display_name"), "profile_id", "left").select("notification_id", "name", "display_name"), "SELECT n.notification_id, s.name, p.display_name FROM notifications n LEFT JOIN series s ON s.series_id = n.series_id LEFT JOIN profiles p ON p.profile_id = n.profile_id")
 
 # repairs and mutations
-register("K1_created", lambda v: snapshots.created(v.books.select("book_id", "title"), v.hits.where("series_number_hint = 1 and isbn13 is not null").select((F.col("hit_pos") + 10_000_000).alias("book_id"), "title")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("title").alias("titles")),
-         "SELECT count(*) AS n, count(DISTINCT title) AS titles FROM (SELECT book_id, title FROM books UNION ALL SELECT hit_pos + 10000000, title FROM candidate_hits WHERE series_number_hint = 1 AND isbn13 IS NOT NULL)")
+def requests(v):
+    """Hits that somebody adds as books: some without a series, some under another profile, some bound to what was found."""
+    n = F.col("hit_pos")
+    tier = F.when(n % 4 == 0, "high").when(n % 4 == 1, "low")
+    rows = v.hits.where("isbn13 is not null").join(v.series.select("series_id", "profile_id"), "series_id")
+    return rows.select((n + 10_000_000).alias("book_id"), F.when(n % 11 == 0, "p9").otherwise(F.col("profile_id")).alias("profile_id"), F.concat(F.lit(" "), "title").alias("title"), F.when(n % 7 != 0, F.col("series_id")).alias("series_id"), F.col("series_number_hint").alias("book_number"), tier.alias("find_confidence"))
+
+
+_ASKED = f"""asked AS (SELECT h.hit_pos + 10000000 AS book_id, CASE WHEN hit_pos % 11 = 0 THEN 'p9' ELSE s.profile_id END AS profile_id, s.profile_id AS home, trim(title) AS title, CASE WHEN hit_pos % 7 <> 0 THEN h.series_id END AS series_id, hit_pos % 4 AS tier,
+series_number_hint AS given, {duck.inferred('title')} AS told FROM candidate_hits h JOIN series s USING (series_id) WHERE isbn13 IS NOT NULL),
+written AS (SELECT *, coalesce(given, told) AS number, CASE WHEN series_id IS NOT NULL AND profile_id <> home THEN 'series_of_other_profile' WHEN series_id IS NULL AND coalesce(given, told) IS NOT NULL THEN 'number_without_series' END AS error FROM asked)"""
+register(
+    "K1_requests", lambda v: snapshots.requested(requests(v), v.series),
+    f"""WITH {_ASKED} SELECT book_id, profile_id, title, series_id, number AS book_number, CASE WHEN given IS NOT NULL THEN 'user' WHEN told IS NOT NULL THEN 'title_inferred' END AS book_number_source,
+CASE WHEN number = floor(number) THEN CAST(number AS BIGINT) END AS series_order, CASE WHEN tier < 2 THEN 'provider' ELSE 'user' END AS metadata_source, CASE WHEN tier < 2 THEN tier = 1 END AS needs_reresolution, error FROM written""",
+)
+register("K1_created", lambda v: snapshots.created(v.books.select("book_id", "title", "series_id", "book_number"), snapshots.requested(requests(v), v.series).select("book_id", "title", "series_id", "book_number", "error")),
+         f"WITH {_ASKED} SELECT book_id, title, series_id, book_number FROM books UNION ALL SELECT book_id, title, series_id, number FROM written WHERE error IS NULL")
 register("K2_patched", lambda v: snapshots.patched(v.books, v.books.where("book_id % 5 = 0").select("book_id", F.array_compact(F.array(F.lit("title"), F.when(F.col("book_id") % 2 == 0, F.lit("asin")))).alias("set"), F.upper("title").alias("title"), F.lit(None).cast("string").alias("asin")), "book_id").select("book_id", "title", "asin"),
          "SELECT book_id, CASE WHEN book_id % 5 = 0 THEN upper(title) ELSE title END AS title, CASE WHEN book_id % 10 = 0 THEN NULL ELSE asin END AS asin FROM books")
 register("K3_deleted", lambda v: snapshots.deleted(v.books, v.books.where("book_id % 3 = 0"), "book_id").select("book_id"), "SELECT book_id FROM books WHERE book_id % 3 <> 0")

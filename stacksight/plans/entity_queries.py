@@ -13,7 +13,7 @@ from stacksight.operators import intelligence
 from stacksight.operators.intelligence import active
 from stacksight.operators.telemetry import Passes
 from stacksight.plans import duck
-from stacksight.plans.catalog_queries import KNOWN, LIVE, queue
+from stacksight.plans.catalog_queries import KNOWN, LIVE, QUEUE, queue
 from stacksight.plans.list_queries import _RANK, eligible
 from stacksight.plans.registry import register
 from stacksight.sources.library import AS_OF
@@ -52,7 +52,19 @@ register("D4b_completeness", lambda v: fused(v).groupBy("completeness").agg(F.co
 _FIT = f"author_match AND NOT {_BAD} AND language IN ('', 'en') AND NOT ({_TNORM} = {_TGT} AND isbn13 IS NULL AND series_number_hint IS NULL)"
 register("D6_filtered_candidates", lambda v: entity.filtered(fused(v), v.books.where(active()).select("series_id", t.core_title_key(F.col("title")).alias("title_key")).where("series_id is not null").distinct()).select("series_id", "key", "title"),
          f"WITH {FUSED} SELECT series_id, key, title FROM fused f WHERE {_FIT} AND NOT EXISTS (SELECT 1 FROM books b WHERE b.series_id = f.series_id AND {BLIVE} AND {duck.core_key('b.title')} = {duck.core_key('f.title')})")
-register("D7a_fallback_gate", lambda v: entity.gate(fused(v)), f"WITH {FUSED} SELECT series_id, round(coalesce(share, 0), 6) AS completeness, round(mean + 1e-9, 3) AS mean_confidence, coalesce(share, 0) < 0.5 OR mean < 0.35 AS fallback FROM (SELECT series_id, count(DISTINCT CASE WHEN series_number_hint > 0 THEN floor(series_number_hint) END) / max(CASE WHEN series_number_hint > 0 THEN floor(series_number_hint) END) AS share, avg(confidence) AS mean FROM fused GROUP BY series_id)")
+
+
+def _MEANS(x: str) -> str:
+    """The numbers that candidates of x tell, with the highest owned one, and the means of each series."""
+    return f"""{x}_owned AS (SELECT series_id, max(CASE WHEN NOT is_missing THEN floor(book_number) END) AS top FROM books WHERE {LIVE} AND series_id IS NOT NULL GROUP BY series_id),
+{x}_nums AS (SELECT series_id, n FROM (SELECT series_id, coalesce(nullif(series_number_hint, 0), {duck.inferred('title')}) AS n FROM {x}) WHERE n = floor(n) UNION SELECT series_id, top FROM {x}_owned WHERE top > 0 AND series_id IN (SELECT series_id FROM {x})),
+{x}_share AS (SELECT series_id, count(*) / max(n) AS share FROM {x}_nums GROUP BY series_id),
+{x}_means AS (SELECT series_id, coalesce(any_value(share), 1.0) AS completeness, avg(confidence) AS mean_confidence FROM {x} LEFT JOIN {x}_share USING (series_id) GROUP BY series_id)"""
+
+
+_ROUNDED = "series_id, round(completeness, 6) AS completeness, round(mean_confidence + 1e-9, 3) AS mean_confidence"
+register("D7a_fallback_gate", lambda v: entity.gate(fused(v), v.books), f"WITH {FUSED}, {_MEANS('fused')} SELECT {_ROUNDED}, completeness < 0.5 OR mean_confidence < 0.35 AS fallback FROM fused_means")
+register("A21_completeness", lambda v: entity.gate(fused(v), v.books).drop("fallback"), f"WITH {FUSED}, {_MEANS('fused')} SELECT {_ROUNDED} FROM fused_means")
 register("D7b_other_series", lambda v: entity.of_other_series(fused(v)).select("series_id", "key", "series_name_hint"), f"WITH {FUSED} SELECT series_id, key, series_name_hint FROM fused WHERE series_name_hint <> target")
 
 
@@ -77,21 +89,20 @@ def _fused_from(hits: str, name: str) -> str:
     return out.replace(f"{name}_fused AS", f"{name} AS")
 
 
-_SHARE = "count(DISTINCT CASE WHEN series_number_hint > 0 THEN floor(series_number_hint) END) / max(CASE WHEN series_number_hint > 0 THEN floor(series_number_hint) END)"
 _D7 = f"""t_hits AS (SELECT * FROM candidate_hits WHERE source IN ('hardcover', 'google_books')), {_fused_from('t_hits', 'tar')}, {_EDITIONS('tar')},
-wide AS (SELECT series_id FROM tar GROUP BY series_id HAVING coalesce({_SHARE}, 0) >= 0.5 AND avg(confidence) >= 0.35),
+{_MEANS('tar')}, wide AS (SELECT series_id FROM tar_means WHERE completeness >= 0.5 AND mean_confidence >= 0.35),
 f_all AS (SELECT h.*, coalesce(h.series_name_hint <> s.name, false) AS other FROM candidate_hits h JOIN series s USING (series_id) WHERE source NOT IN ('hardcover', 'google_books') AND series_id NOT IN (SELECT series_id FROM wide)),
 f_hits AS (SELECT * EXCLUDE (other) FROM f_all WHERE NOT other), {_fused_from('f_hits', 'fal')}, {_EDITIONS('fal')},
 t_fit AS (SELECT *, 'targeted' AS tier FROM tar_kept WHERE {_FIT}), f_fit AS (SELECT *, 'author_fallback' AS tier FROM fal_kept WHERE {_FIT} AND (series_id, {duck.core_key('title')}) NOT IN (SELECT (series_id, {duck.core_key('title')}) FROM t_fit)),
 both_passes AS (SELECT * FROM t_fit UNION ALL SELECT * FROM f_fit)"""
 _BEST_SOURCE = "list_min(list_transform(sources, lambda x: CASE x WHEN 'hardcover' THEN 0 WHEN 'google_books' THEN 1 WHEN 'openlibrary' THEN 2 ELSE 3 END))"
-register("D7_discovered", lambda v: entity.discovered(v.hits, v.series), f"WITH {_D7} SELECT series_id, key, title, series_number_hint, confidence, tier, CAST(row_number() OVER (PARTITION BY series_id ORDER BY series_number_hint NULLS LAST, {duck.normalized('title')}, {_BEST_SOURCE}, tier, key) AS INTEGER) AS place FROM both_passes")
+register("D7_discovered", lambda v: entity.discovered(v.hits, v.series, v.books), f"WITH {_D7} SELECT series_id, key, title, series_number_hint, confidence, tier, CAST(row_number() OVER (PARTITION BY series_id ORDER BY series_number_hint NULLS LAST, {duck.normalized('title')}, {_BEST_SOURCE}, tier, key) AS INTEGER) AS place FROM both_passes")
 
 
 def pass_counts(v) -> DataFrame:
     """Discovery run once, its rows thrown away, and what it told on the way."""
     passes = Passes()
-    entity.discovered(v.hits, v.series, passes=passes).write.format("noop").mode("overwrite").save()
+    entity.discovered(v.hits, v.series, v.books, passes=passes).write.format("noop").mode("overwrite").save()
     return passes.rollup(v.spark)
 
 
@@ -202,8 +213,28 @@ for key in ("D2_find", "O8_find_order"):
 register("D3_find_signals", lambda v: entity.find(v.books, v.hits).groupBy("author_match", "isbn_present", "strong_title_match", "confidence").agg(F.count(F.lit(1)).alias("n")), f"WITH {_FIND} SELECT author_match, isbn_present, strong_title_match, confidence, count(*) AS n FROM found WHERE rank <= 6 GROUP BY ALL")
 register("J19_bound", lambda v: entity.bound(v.books, entity.find(v.books, v.hits)),
          f"WITH {_FIND} SELECT b.book_id, CASE WHEN f.tier > 1 THEN coalesce(b.isbn13, f.isbn13) ELSE b.isbn13 END AS isbn13, CASE WHEN f.tier > 1 THEN f.title END AS canonical_title, CASE WHEN f.tier > 1 THEN 'provider' ELSE b.metadata_source END AS metadata_source, coalesce(f.tier > 1, false) AS resolved FROM books b LEFT JOIN found f ON f.book_id = b.book_id AND f.rank = 1")
-for key in ("D14_reresolution_batch", "A30_reresolution_outcomes"):
-    register(key, lambda v: (lambda b: entity.bound(b, entity.find(b, v.hits)).agg(F.count(F.lit(1)).alias("n"), F.count_if("resolved").alias("resolved"), F.count_if(~F.col("resolved")).alias("unresolved")))(queue(v).orderBy("book_id").limit(200)))
+
+
+def batch(v) -> DataFrame:
+    """The first 200 of each profile's queue: what one run resolves again."""
+    return lists.numbered(queue(v), [F.col("book_id")], 200, ("profile_id",))
+
+
+def outcomes(v) -> DataFrame:
+    few = batch(v)
+    return entity.reresolved(few, entity.find(few, v.hits))
+
+
+_QUEUED = f"queued AS (SELECT * FROM books WHERE {QUEUE}), batch AS (SELECT * FROM queued QUALIFY row_number() OVER (PARTITION BY profile_id ORDER BY book_id) <= 200)"
+_OUTCOMES = f"""{_QUEUED}, {_FIND.replace('FROM books b JOIN grp', 'FROM batch b JOIN grp')}, best AS (SELECT book_id AS id, title AS found_title, isbn13 AS found_isbn, confidence FROM found WHERE rank = 1),
+outcomes AS (SELECT b.book_id, b.profile_id, CASE WHEN confidence IS NULL THEN 'no_match' ELSE 'updated' END AS outcome, confidence, found_title AS canonical_title, CASE WHEN confidence IS NULL THEN metadata_source ELSE 'provider' END AS metadata_source,
+CASE WHEN confidence IS NULL THEN needs_reresolution ELSE confidence = 'low' END AS needs_reresolution, coalesce(isbn13, found_isbn) AS isbn13 FROM batch b LEFT JOIN best ON best.id = b.book_id)"""
+register("D14_reresolution_batch", outcomes, f"WITH {_OUTCOMES} SELECT * FROM outcomes")
+register(
+    "A30_reresolution_outcomes",
+    lambda v: outcomes(v).groupBy("profile_id").agg(F.count(F.lit(1)).alias("processed"), F.count_if(F.col("outcome") == "updated").alias("updated"), F.count_if(F.col("outcome") == "no_match").alias("no_match"), F.count_if(F.col("confidence") == "low").alias("still_queued")),
+    f"WITH {_OUTCOMES} SELECT profile_id, count(*) AS processed, count(*) FILTER (outcome = 'updated') AS updated, count(*) FILTER (outcome = 'no_match') AS no_match, count(*) FILTER (confidence = 'low') AS still_queued FROM outcomes GROUP BY profile_id",
+)
 
 # persistence
 def events(v) -> DataFrame:
@@ -246,8 +277,8 @@ def retitled(v, mode: str) -> DataFrame:
 
 register("F57_title_modes", lambda v: retitled(v, "match_other_titles").select("book_id", "title"))
 register("F60_titles_normalised", lambda v: retitled(v, "new_clean_title").select("book_id", "title", "skipped"))
-for key in ("A31_title_diagnostics", "D16_series_titles"):
-    register(key, lambda v: retitled(v, "clean_up").groupBy("series_id").agg(F.count(F.lit(1)).alias("total"), F.count_if("skipped").alias("skipped"), F.count_if(~F.col("skipped") & (F.col("old") != F.col("title"))).alias("updated"), F.count_if(~F.col("skipped") & (F.col("old") == F.col("title"))).alias("unchanged")))
+register("D16_series_titles", lambda v: retitled(v, "clean_up").where("not skipped and old <> title").select("book_id", "series_id", "old", "title"))
+register("A31_title_diagnostics", lambda v: retitled(v, "clean_up").groupBy("series_id").agg(F.count(F.lit(1)).alias("total"), F.count_if("skipped").alias("skipped"), F.count_if(~F.col("skipped") & (F.col("old") != F.col("title"))).alias("updated"), F.count_if(~F.col("skipped") & (F.col("old") == F.col("title"))).alias("unchanged")))
 
 # drops, unions, affected sets
 _DROPS = lambda v: v.hits.withColumn("reason", F.when(t.is_placeholder_title(F.col("title")), "filter:placeholder").when(t.is_not_new_release(F.col("title")), "filter:not_new").when(~t.is_english_or_unknown(F.col("language")), "filter:language"))
@@ -272,8 +303,21 @@ def rows_of(v) -> DataFrame:
     return ingest.typed(ingest.mapped(sheet(v))[0]).withColumn("row_number", F.col("import_raw_row")["Shelf"].cast("bigint") + ingest.FIRST_ROW - 1)
 
 
-register("P11_header_map", lambda v: v.spark.createDataFrame([(h, ingest.header_field(h)) for h in (*sheet(v).columns, "ISBN-13", "sub-title", "Ed.", "No Such")], "header string, field string"),
-         "SELECT * FROM (VALUES ('Book Title', 'title'), ('Authors', 'author'), ('Series', 'series_name'), ('Book #', 'book_number'), ('Published', 'publication_date'), ('Status', 'read_status'), ('Shelf', NULL), ('ISBN-13', 'isbn13'), ('sub-title', 'subtitle'), ('Ed.', 'edition'), ('No Such', NULL)) AS t(header, field)")
+def headers(v) -> DataFrame:
+    """Every distinct title, and every distinct word and pair of words of one, as somebody's header."""
+    words = F.filter(F.split(t.squeeze(F.col("title")), " "), lambda w: w != "")
+    pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda k: F.concat_ws(" ", F.element_at("w", k), F.element_at("w", k + 1)))
+    rows = v.cases.select("title", words.alias("w")).withColumn("pairs", F.when(F.size("w") > 1, pairs).otherwise(F.array().cast("array<string>")))
+    return rows.select(F.explode(F.concat("w", "pairs", F.array("title"))).alias("header")).where("header is not null").distinct()
+
+
+_ALIASES = ", ".join(f"('{a}', '{field}')" for field, names in ingest.HEADERS.items() for a in names)
+_HWORDS = "list_filter(regexp_split_to_array(trim(regexp_replace(title, '\\s+', ' ', 'g')), ' '), lambda w: w <> '')"
+register(
+    "P11_header_map", lambda v: ingest.fields_of(headers(v), "header"),
+    f"""WITH w AS (SELECT title, {_HWORDS} AS w FROM title_cases), h AS (SELECT unnest(w) AS header FROM w UNION SELECT unnest(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) FROM w UNION SELECT title FROM w WHERE title IS NOT NULL),
+aliases(alias, field) AS (VALUES {_ALIASES}) SELECT header, field FROM h LEFT JOIN aliases ON alias = {duck.identity('header')}""",
+)
 register("P12_typed_rows", lambda v: rows_of(v).select("row_number", "publication_date", "is_read", "is_upcoming", "read_status"))
 register("P13_row_errors", lambda v: rows_of(v).select("row_number", F.array_join("errors", ",").alias("errors")), f"SELECT id + 1 AS row_number, concat_ws(',', CASE WHEN {duck.filled('title')} IS NULL THEN 'missing_title' END, CASE WHEN {duck.filled('author')} IS NULL THEN 'missing_author' END) AS errors FROM title_cases")
 register("P14_import_preview", lambda v: ingest.preview(rows_of(v)).select("row_number", "title"), "SELECT id + 1 AS row_number, title FROM title_cases WHERE id <= 5")

@@ -10,7 +10,7 @@ from stacksight.functions import text as t
 from stacksight.operators import entity, integrity, intelligence, lists
 from stacksight.operators.intelligence import active, read, upcoming
 from stacksight.plans import duck
-from stacksight.plans.catalog_queries import KNOWN, LIVE, QUEUE, READ, queue
+from stacksight.plans.catalog_queries import AGGREGATES, KNOWN, LIVE, QUEUE, READ, STATE, queue
 from stacksight.plans.registry import register
 from stacksight.sources.library import AS_OF
 
@@ -47,8 +47,21 @@ register("F93_cooldown_text", lambda v: v.books.select("book_id", F.concat(F.lit
 register("P1_active", lambda v: v.books.where(active()).select("book_id"), f"SELECT book_id FROM books WHERE {LIVE}")
 _SLIM = "SELECT b.book_id, b.title, b.author, b.series_id, s.name AS series_name, b.book_number, b.read_status, b.is_read, b.is_upcoming_final FROM books b LEFT JOIN series s ON s.series_id = b.series_id"
 register("P2_slim_books", lambda v: lists.slim_books(v.books, v.series), _SLIM)
-register("P3_slim_series", lambda v: v.series.select("series_id", "name", "author", d.flag(F.col("is_finished")).alias("is_finished"), "last_checked", d.discovery_health(F.col("last_checked"), AS_OF).alias("health")),
-         f"SELECT series_id, name, author, is_finished, last_checked, CASE WHEN last_checked IS NULL THEN 'never' WHEN {TODAY} - last_checked <= 183 THEN 'healthy' WHEN {TODAY} - last_checked <= 365 THEN 'stale' ELSE 'very_stale' END AS health FROM series")
+_SLIM = ("name", "author", "last_checked")
+
+
+def slim_series(v):
+    """What a list of series shows: names, counts, state and how long ago it was checked."""
+    rows = intelligence.recalculated(v.books, v.series).drop("gaps", "missing").join(v.series.select("series_id", *_SLIM), "series_id")
+    return rows.select("series_id", *_SLIM, "total_books", "read_count", "unread_count", "is_finished", "has_new_books", "has_unread_books", "has_upcoming_books", "is_caught_up", d.discovery_health(F.col("last_checked"), AS_OF).alias("discovery_health"))
+
+
+_AGE = f"greatest(0, date_diff('day', s.last_checked, {TODAY}))"
+register(
+    "P3_slim_series", slim_series,
+    f"""WITH {KNOWN}, {AGGREGATES} SELECT k.series_id, s.name, s.author, s.last_checked, coalesce(c.total_books, 0) AS total_books, k.read_count, k.unread_count, k.is_finished, k.has_new_books, {STATE.rsplit(', ', 1)[0]},
+CASE WHEN s.last_checked IS NULL THEN 'never' WHEN {_AGE} <= 183 THEN 'healthy' WHEN {_AGE} <= 365 THEN 'stale' ELSE 'very_stale' END AS discovery_health FROM known k JOIN series s USING (series_id) LEFT JOIN counted c USING (series_id)""",
+)
 register("P4_series_detail", lambda v: v.series.join(v.books.where(active()).groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("book_number", F.lit(0.0)).alias("k"), "book_id", "author"))).alias("e")), "series_id", "left").select("series_id", F.coalesce(t.filled(F.col("author")), F.get("e", F.lit(0))["author"]).alias("author"), F.coalesce(F.array_join(F.transform("e", lambda x: x["book_id"].cast("string")), ","), F.lit("")).alias("books")),
          f"SELECT s.series_id, coalesce({duck.filled('any_value(s.author)')}, arg_min(b.author, coalesce(b.book_number, 0) * 1000000000 + b.book_id)) AS author, coalesce(string_agg(CAST(b.book_id AS VARCHAR), ',' ORDER BY coalesce(b.book_number, 0), b.book_id), '') AS books FROM series s LEFT JOIN (SELECT * FROM books WHERE {LIVE}) b ON b.series_id = s.series_id GROUP BY s.series_id")
 register("P5_series_with_books", lambda v: v.series.select("series_id").join(v.books.where(active()).groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("title")), "|").alias("titles")), "series_id", "left").select("series_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("titles", F.lit("")).alias("titles")),
@@ -103,7 +116,7 @@ register("P27_added_entries", lambda v: v.hits.withColumn("day", d.flexible_date
          f"SELECT hit_pos, CASE WHEN NOT up THEN day END AS publication_date, CASE WHEN up THEN day END AS expected_date, NOT up AS is_missing FROM (SELECT *, coalesce(day > {TODAY}, upcoming_hint, false) AS up FROM (SELECT *, {duck.flexible_date('published_date')} AS day FROM candidate_hits))")
 register("P29_series_recap", lambda v: lists.recap(v.books, 9.0), f"""SELECT series_id, titles[len(titles)] AS last, array_to_string(titles[1:len(titles) - 1], ' | ') AS earlier FROM (SELECT series_id, list(title ORDER BY book_number, book_id) AS titles FROM books WHERE {LIVE} AND {READ} AND book_number < 9 AND series_id IS NOT NULL GROUP BY series_id)""")
 register("P30_name_search", lambda v: v.series.where(F.lower("name").contains("00001")).select("series_id", "name"), "SELECT series_id, name FROM series WHERE contains(lower(name), '00001')")
-_CMP = ("title", "author", "series_id", "book_number", "read_status", "edition", "publication_date", "isbn13", "asin")
+_CMP = ("book_id", "title", "book_number", "is_read", "read_status", "read_date", "rating", "review", "notes", "publication_date", "release_date", "source_url", "isbn", "isbn13", "asin", "record_status")
 register("P31_compared_books", lambda v: lists.compared(v.books, 10, 11, _CMP), " UNION ALL ".join(f"SELECT '{f}' AS field, CAST(a.{f} AS VARCHAR) AS first, CAST(b.{f} AS VARCHAR) AS second, a.{f} IS DISTINCT FROM b.{f} AS different FROM (SELECT * FROM books WHERE book_id = 10) a, (SELECT * FROM books WHERE book_id = 11) b" for f in _CMP))
 register("P32_current_profile", lambda v: v.profiles.orderBy((F.col("profile_id") == "p9").desc(), F.col("is_default").desc(), "profile_id").limit(1).select("profile_id"), "SELECT profile_id FROM profiles ORDER BY profile_id = 'p9' DESC, is_default DESC, profile_id LIMIT 1")
 register("P33_titled_hits", lambda v: v.hits.where(F.trim("title") != "").groupBy("source").agg(F.count(F.lit(1)).alias("n")), "SELECT source, count(*) AS n FROM candidate_hits WHERE trim(title) <> '' GROUP BY source")

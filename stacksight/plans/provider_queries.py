@@ -45,6 +45,8 @@ register("S11_judged_web_hits", lambda v: providers.judged_web_hits(web(v).dropD
          "SELECT 'https://x/' || hit_pos AS url, CASE WHEN hit_pos % 2 = 0 THEN min(author) ELSE 'Target' END AS author, CAST(hit_pos % 7 AS DOUBLE) AS series_number_hint, hit_pos % 11 = 0 OR min(published_date) = '' AS upcoming_hint FROM candidate_hits WHERE source = 'web_search' AND hit_pos % 5 <> 0 AND hit_pos % 3 <> 0 GROUP BY hit_pos")
 register("D20_verdict_cache", lambda v: web(v).select("url").distinct().join(verdicts(v).select("url", "accepted"), "url", "left").select("url", F.when(F.col("accepted"), "accepted").when(~F.col("accepted"), "rejected").otherwise("unknown").alias("state")),
          "SELECT DISTINCT 'https://x/' || hit_pos AS url, CASE WHEN hit_pos % 3 <> 0 THEN 'accepted' ELSE 'rejected' END AS state FROM candidate_hits WHERE source = 'web_search' AND hit_pos % 5 <> 0")
+register("A29_accepted_rejected", lambda v: verdicts(v).agg(F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("rejected"), F.count(F.lit(1)).alias("entries")),
+         "SELECT count(*) FILTER (hit_pos % 3 <> 0) AS accepted, count(*) FILTER (hit_pos % 3 = 0) AS rejected, count(*) AS entries FROM (SELECT DISTINCT hit_pos FROM candidate_hits WHERE source = 'web_search')")
 register("D21_dates_refined", lambda v: (lambda dated: v.hits.where(t.blank(F.col("published_date")) & (F.col("source") == "google_books")).select("hit_pos", "title", "series_id", t.title_key(F.col("title")).alias("k")).join(dated, ["series_id", "k"]).select("hit_pos", "title", "found"))(v.hits.where((F.col("source") == "web_search") & ~t.blank(F.col("published_date"))).groupBy("series_id", t.title_key(F.col("title")).alias("k")).agg(F.max("published_date").alias("found"))),
          f"SELECT h.hit_pos, h.title, d.found FROM candidate_hits h JOIN (SELECT series_id, {duck.title('title')} AS k, max(published_date) AS found FROM candidate_hits WHERE source = 'web_search' AND published_date <> '' GROUP BY ALL) d ON d.series_id = h.series_id AND d.k = {duck.title('h.title')} WHERE h.source = 'google_books' AND h.published_date = ''")
 register("D19_summary_match", lambda v: v.books.where(F.col("series_id").isNotNull()).select("book_id", "series_id", t.bare_title_key(F.col("title")).alias("k"), F.col("book_number").alias("n")).join(v.hits.select("series_id", "hit_pos", t.bare_title_key(F.col("title")).alias("k"), F.col("series_number_hint").alias("m")), ["series_id", "k"]).groupBy("book_id").agg(F.coalesce(F.min(F.when(F.col("n") == F.col("m"), F.col("hit_pos"))), F.min(F.when(F.col("m").isNull(), F.col("hit_pos")))).alias("hit_pos")).where("hit_pos is not null"),

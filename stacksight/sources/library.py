@@ -45,7 +45,13 @@ SELECT CAST(o_orderkey AS BIGINT) AS book_id,
   CASE o_orderkey % 6 WHEN 0 THEN 'user' WHEN 1 THEN 'import' WHEN 2 THEN 'provider' WHEN 3 THEN 'discovery' END AS metadata_source,
   CASE WHEN o_orderkey % 6 = 2 THEN o_orderkey % 9 = 2 END AS needs_reresolution,
   CASE WHEN o_orderkey % 4 = 1 THEN concat('978', lpad(CAST(o_orderkey % 5000 AS STRING), 10, '0')) END AS isbn13,
-  CASE WHEN o_orderkey % 3 = 1 THEN concat('B', lpad(CAST(o_orderkey % 7000 AS STRING), 9, '0')) END AS asin
+  CASE WHEN o_orderkey % 3 = 1 THEN concat('B', lpad(CAST(o_orderkey % 7000 AS STRING), 9, '0')) END AS asin,
+  CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderdate AS DATE) + 30 END AS read_date,
+  CASE WHEN o_orderstatus = 'F' AND o_orderkey % 6 <> 0 THEN CAST(o_orderkey % 6 AS INT) END AS rating,
+  CASE WHEN o_orderstatus = 'F' AND o_orderkey % 25 = 0 THEN concat('Liked ', p_name) END AS review,
+  CASE WHEN o_orderkey % 33 = 0 THEN 'lent out' END AS notes,
+  CASE WHEN o_orderkey % 6 = 3 THEN concat('https://x/', CAST(o_orderkey AS STRING)) END AS source_url,
+  CASE WHEN o_orderkey % 4 = 1 THEN lpad(CAST(o_orderkey % 5000 AS STRING), 10, '0') END AS isbn
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN part ON p_partkey = o_orderkey % 200
 """,
     "candidate_hits": """

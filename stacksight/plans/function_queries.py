@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stacksight.functions import dates as d
+from stacksight.functions import sql
 from stacksight.functions import text as t
 from stacksight.functions import titles as w
 from stacksight.plans import duck
@@ -195,3 +196,23 @@ _v2, _v3 = duck.sub(duck.text("title"), r"\s*\([^)]*book\s*\d+[^)]*\)\s*$", "",
 scalar("F91_summary_variants", lambda: F.array_join(F.filter(F.array_distinct(F.array(F.trim(t.text(F.col("title"))), F.trim(F.regexp_replace(t.text(F.col("title")), r"(?i)\s*\([^)]*book\s*\d+[^)]*\)\s*$", "")), F.trim(F.regexp_replace(t.text(F.col("title")), r"(?i)\s*:\s*[^:]*book\s*\d+.*$", "")))), lambda q: q != ""), "|").cast("string"),
        f"array_to_string(list_filter([trim({duck.text('title')}), CASE WHEN trim({_v2}) <> trim({duck.text('title')}) THEN trim({_v2}) ELSE '' END, CASE WHEN trim({_v3}) NOT IN (trim({duck.text('title')}), trim({_v2})) THEN trim({_v3}) ELSE '' END], lambda q: q <> ''), '|')")
 scalar("F96_subtitle", lambda: w.subtitle_of(F.col("title")))
+
+
+# the rules called from SQL text
+_CALLED = {
+    "title_key": duck.title("title"), "author_identity": duck.author("author"), "series_identity": duck.series("series"), "normalized_text": duck.normalized("title"), "bare_title_key": duck.bare_key("title"), "branding_name": duck.branding("series"),
+    "discovered_title_key": duck.discovered_title("title"), "identity_text": duck.identity("title"),
+}
+_ARGUMENT = {"author_identity": "author", "series_identity": "series", "branding_name": "series"}
+
+
+def called_from_sql(v):
+    sql.register(v.spark)
+    return v.spark.sql("SELECT id, " + ", ".join(f"{n}({_ARGUMENT.get(n, 'title')}) AS {n}" for n in _CALLED) + ", same_author(author, author) AS named, flexible_date(date_text) AS day FROM {cases} WHERE NOT is_placeholder_title(title)", cases=v.cases)
+
+
+register(
+    "F_rules_from_sql", called_from_sql,
+    "SELECT id, " + ", ".join(f"nullif({x}, '') AS {n}" if n == "title_key" else f"{x} AS {n}" for n, x in _CALLED.items()) + f", {duck.author('author')} <> '' AS named, {duck.flexible_date('date_text')} AS day FROM title_cases WHERE NOT ({duck.normalized('title')} = '' OR "
+    + " OR ".join(f"contains(' ' || {duck.normalized('title')} || ' ', ' {m} ')" for m in t.PLACEHOLDER_TITLES) + ")",
+)

@@ -1,3 +1,7 @@
+import math
+
+import numpy as np
+
 from stacksight.llm import language
 
 SF = "/root/testdata/sf0.1"
@@ -43,3 +47,26 @@ def test_rejection_by_distance(spark):
     assert language.kept_documents(odd, model).count() == 0
     known = language.predict(docs, model).where("lang_pred <> 'und'")
     assert known.where("rejected").count() <= 0.01 * known.count()
+
+
+def test_prediction_by_brute_force(spark):
+    """Every text against every centroid, in plain Python from the text's own n-grams."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) < 3000")
+    model = language.train(docs)
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    got = {r.doc_id: r for r in language.predict(docs, model).collect()}
+    assert got.keys() == texts.keys()
+    for doc, text in texts.items():
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        counts = language.gram_counts(data, np.array([0, len(data)]))[0]
+        x = {k: math.log1p(float(n)) * float(model.idf[k]) for k, n in enumerate(counts) if n}
+        norm = math.sqrt(sum(v * v for v in x.values())) or 1.0
+        cosines = [sum(v / norm * float(c[k]) for k, v in x.items()) for c in model.centroids]
+        best = max(cosines)
+        if not any(ch.isalpha() for ch in text or ""):
+            assert got[doc].lang_pred == "und"
+            continue
+        assert abs(got[doc].score - min(1, max(0, best))) < 1e-4
+        near = [k for k, v in enumerate(cosines) if v > best - 1e-5]
+        assert got[doc].lang_pred in {model.languages[k] for k in near}
+        assert got[doc].rejected == (best < model.floor[near[0]]) or abs(best - model.floor[near[0]]) < 1e-4

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from stacksight.functions import dates as d
 from stacksight.functions import text as t
+from stacksight.operators import telemetry
 from stacksight.operators.intelligence import active, expected_gaps, first_numbers
 from stacksight.operators.steps import kept
-from stacksight.operators.telemetry import ROWS, Passes
+from stacksight.operators.telemetry import Passes
 
 # The order in which providers are trusted, and what each adds to the confidence of a fused candidate.
 PROVIDERS = (("hardcover", 0.4), ("google_books", 0.3), ("openlibrary", 0.25), ("web_search", 0.15))
@@ -156,18 +157,18 @@ def discovered(hits: DataFrame, series: DataFrame, books: DataFrame, excluded: D
     passes = passes or Passes()
     names = series.select("series_id", F.col("name").alias("target"))
     is_targeted = F.col("source").isin(*TARGETED)
-    first = passes.watch(hits.where(is_targeted), "targeted", hits=ROWS)
-    found = kept(passes.watch(fused(first, series), "targeted", candidates=ROWS))
+    first = passes.watch(hits.where(is_targeted), "targeted", hits=telemetry.rows())
+    found = kept(passes.watch(fused(first, series), "targeted", candidates=telemetry.rows()))
     wide = gate(found, books).where(~F.col("fallback")).select("series_id")
     open_series = series.select("series_id").join(wide, "series_id", "left_anti")
     more = hits.where(~is_targeted).join(open_series, "series_id", "left_semi").join(names, "series_id").withColumn("other", named_otherwise())
-    more = passes.watch(more, "author_fallback", hits=ROWS, of_other_series=F.count_if("other")).where("not other").drop("target", "other")
-    second = passes.watch(fused(more, series), "author_fallback", candidates=ROWS)
+    more = passes.watch(more, "author_fallback", hits=telemetry.rows(), of_other_series=F.count_if("other")).where("not other").drop("target", "other")
+    second = passes.watch(fused(more, series), "author_fallback", candidates=telemetry.rows())
     targeted = filtered(editions_collapsed(found), excluded).withColumn("tier", F.lit("targeted"))
-    targeted = kept(passes.watch(targeted, "targeted", kept=ROWS))
+    targeted = kept(passes.watch(targeted, "targeted", kept=telemetry.rows()))
     there = targeted.select("series_id", "title_key").distinct()
     fallback = filtered(editions_collapsed(second), excluded).join(there, ["series_id", "title_key"], "left_anti").withColumn("tier", F.lit("author_fallback"))
-    fallback = passes.watch(fallback, "author_fallback", kept=ROWS)
+    fallback = passes.watch(fallback, "author_fallback", kept=telemetry.rows())
     rows = targeted.unionByName(fallback)
     place = F.row_number().over(Window.partitionBy("series_id").orderBy(F.col("series_number_hint").asc_nulls_last(), t.normalized(F.col("title")), F.array_min(F.transform("sources", provider_rank)), "tier", "key"))
     return rows.select("series_id", "key", "title", "series_number_hint", "confidence", "tier", place.alias("place"))

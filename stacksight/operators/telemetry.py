@@ -28,9 +28,11 @@ class Passes:
 
     def rollup(self, spark: SparkSession) -> DataFrame:
         """(pass, metric, value): sums by pass and metric, and over all passes under `total`."""
-        rows = spark.createDataFrame(self.told(), "pass string, metric string, value long")
-        by_pass = rows.groupBy("pass", "metric").agg(F.sum("value").alias("value"))
-        return by_pass.unionByName(rows.groupBy("metric").agg(F.sum("value").alias("value")).withColumn("pass", F.lit("total")))
+        events = spark.createDataFrame(self.told(), "pass string, metric string, value long")
+        by_pass = events.groupBy("pass", "metric").agg(F.sum("value").alias("value"))
+        return by_pass.unionByName(events.groupBy("metric").agg(F.sum("value").alias("value")).withColumn("pass", F.lit("total")))
 
 
-ROWS = F.count(F.lit(1))
+def rows() -> Column:
+    """The number of rows, as a metric."""
+    return F.count(F.lit(1))

@@ -88,7 +88,7 @@ SELECT CAST(id AS BIGINT) AS id, title, series, author, TRY_CAST(num AS DOUBLE)
   (19, 'Volumes I to IV', 'Old Tales', 'J. Doe', NULL, '', '1900-01-01'), (20, 'Stone: (Book Two) : (Unbound, Book 2)', 'Unbound', 'Nicoli Gonnella', '2', '', '12-1-2020'), (21, 'Heart: Unbound, Book 3', 'Unbound', 'Nicoli Gonnella', '3', '', '2020-12-1')
 ) AS t(id, title, series, author, num, isbn13, date_text)
 UNION ALL
-SELECT b.book_id + 1000, b.title, s.name, b.author, b.book_number, b.isbn13, CAST(b.publication_date AS STRING) FROM books b LEFT JOIN series s ON b.series_id = s.series_id
+SELECT b.book_id + 1000, b.title, s.name, b.author, b.book_number, b.isbn13, CAST(b.publication_date AS STRING) FROM books b LEFT JOIN series s ON coalesce(b.series_id, -b.book_id) = s.series_id
 """,
 }
 

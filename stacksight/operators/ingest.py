@@ -130,11 +130,11 @@ BOOK_COLUMNS = tuple(f for f in HEADERS if f not in ("series_name", "series_conf
 
 
 def payload(rows: DataFrame) -> DataFrame:
-    """Typed rows as books to be written: only columns that books have, the title trimmed, a whole number as the order too; `given` names the columns that have a value."""
+    """Imported rows as books to be written, with the series that they are linked to: only columns that books have, the title trimmed, a whole number as the order too; `given` names the columns that have a value."""
     number = F.col("book_number")
     order = F.when(number == F.floor(number), number.cast("bigint"))
     given = F.array_compact(F.array(*(F.when(~t.blank(F.col(c)), F.lit(c)) for c in BOOK_COLUMNS)))
-    return rows.select("row_number", *(F.trim(c).alias(c) if c == "title" else F.col(c) for c in BOOK_COLUMNS), "book_number_source", order.alias("series_order"), F.array_sort(given).alias("given"))
+    return rows.select("row_number", "series_id", "linked_series", *(F.trim(c).alias(c) if c == "title" else F.col(c) for c in BOOK_COLUMNS), "book_number_source", order.alias("series_order"), F.array_sort(given).alias("given"))
 
 
 def preview(rows: DataFrame, n: int = 5) -> DataFrame:

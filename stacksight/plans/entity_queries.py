@@ -328,7 +328,7 @@ register("P17_series_evidence", lambda v: rows_of(v).select("row_number", ingest
 register("K7_good_and_bad_rows", lambda v: rows_of(v).groupBy((F.size("errors") == 0).alias("good")).agg(F.count(F.lit(1)).alias("n")), f"SELECT {duck.filled('title')} IS NOT NULL AND {duck.filled('author')} IS NOT NULL AS good, count(*) AS n FROM title_cases GROUP BY good")
 register("K8_series_of_import", lambda v: ingest.series_of_rows(rows_of(v).where("size(errors) = 0"), v.series, "p1").select("key", "name", "is_finished", "is_new"))
 register("D1_import", lambda v: ingest.imported(rows_of(v), v.series, "p1")[0].select("row_number", F.trim("title").alias("title"), "author", "linked_series", "book_number", "book_number_source", "is_read"))
-register("F86_book_payload", lambda v: ingest.payload(rows_of(v)).select("row_number", "title", "book_number", "book_number_source", "series_order", F.array_join("given", ",").alias("given")))
+register("F86_book_payload", lambda v: ingest.payload(ingest.imported(rows_of(v), v.series, "p1")[0]).select("row_number", "title", "author", "linked_series", "book_number", "book_number_source", "series_order", "is_read", F.array_join("given", ",").alias("given")))
 
 
 def author_entries(v) -> DataFrame:

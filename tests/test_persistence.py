@@ -31,7 +31,9 @@ def run_by_hand(hits, books, series, keys):
             for kind, key in (("identifier", (b["isbn13"] or "").strip().upper()), ("number", number(b)), ("title", keys["title"](b["title"]))):
                 if key and key not in index[kind]:
                     index[kind][key] = b
-        arriving = sorted((h for h in hits if h["series_id"] == s), key=lambda h: (h["hit_pos"], h["title"].strip()))
+        first = lambda *values: [(v is not None, v if v is not None else 0) for v in values]
+        order = lambda h: first(h["hit_pos"], h["title"].strip(), h["author"], (h["isbn13"] or "").strip().upper() or None, keys["number"](h["series_name_hint"] or homes[s]["name"], h["series_number_hint"]), h["series_number_hint"], keys["date"](h["published_date"]))  # noqa: B023, E731
+        arriving = sorted((h for h in hits if h["series_id"] == s), key=order)
         seen, came = set(), False
         for h in arriving:
             if not h["title"].strip() or not keys["author"](h["author"]) or keys["author"](h["author"]) != keys["author"](homes[s]["author"]):

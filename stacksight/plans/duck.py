@@ -160,3 +160,19 @@ def flexible_date(x: str) -> str:
 def joined(x: str) -> str:
     """A list as sorted text; empty for none."""
     return f"coalesce(array_to_string(list_sort({x}), ','), '')"
+
+
+def alignment(candidate: str, target: str) -> str:
+    """How a candidate's author fits those of a series: high, medium, low (nobody to compare) or zero."""
+    split = lambda x: f"list_filter(string_split({normalized(x)}, ' '), lambda t: t <> '')"
+    own = f"list_filter(list_transform({names(target)}, lambda n: {split('n')}), lambda o: len(o) > 0)"
+    w = split(candidate)
+    given = lambda x: f"list_filter(list_distinct({x}), lambda y: y <> {x}[-1])"
+    joined_ = lambda x: f"array_to_string(list_sort({given(x)}), '')"
+    a, b = joined_("o"), joined_(w)
+    short, long = f"CASE WHEN length({b}) <= length({a}) THEN {b} ELSE {a} END", f"CASE WHEN length({b}) <= length({a}) THEN {a} ELSE {b} END"
+    initials = f"(len({given('o')}) = 0 OR len({given(w)}) = 0 OR (length({short}) <= 6 AND starts_with({long}, ({short})[1:1])))"
+    return (
+        f"CASE WHEN trim({text(target)}) = '' THEN 'low' WHEN len(list_filter({own}, lambda o: list_sort(list_distinct(o)) = list_sort(list_distinct({w})))) > 0 THEN 'high' "
+        f"WHEN len({w}) > 0 AND len(list_filter({own}, lambda o: o[-1] = {w}[-1] AND {initials})) > 0 THEN 'medium' ELSE 'zero' END"
+    )

@@ -181,8 +181,11 @@ _TG = f"CASE WHEN reasons IN ('placeholder_title', 'title_is_series_variant') OR
 _NG = "CASE WHEN reasons IN ('negative_number', 'duplicate_number') OR series_number_hint IS NULL OR series_number_hint <= 0 THEN 'low' WHEN known_title IS NOT NULL THEN 'high' ELSE 'medium' END"
 for key, column, sql in (("D10a_provider_grade", "provider_grade", _PG), ("D10b_title_grade", "title_grade", _TG), ("D10c_number_grade", "number_grade", _NG)):
     register(key, lambda v, column=column: grading.graded(fused(v), skeleton(v)).select("series_id", "key", F.col(column).alias("grade")), f"WITH {FUSED}, {_DELTA} SELECT series_id, key, {sql} AS grade FROM delta")
-register("D10_graded", lambda v: grading.graded(fused(v), skeleton(v)).select("series_id", "key", "provider_grade", "title_grade", "number_grade", "alignment_grade", "overall"))
-register("D10d_overall", lambda v: grading.graded(fused(v), skeleton(v)).groupBy("overall").agg(F.count(F.lit(1)).alias("n")))
+_GRADES = f"""grades AS (SELECT series_id, key, {_PG} AS provider_grade, {_TG} AS title_grade, {_NG} AS number_grade, {duck.alignment('author', 'target_author')} AS alignment_grade FROM delta),
+overall AS (SELECT *, [provider_grade, title_grade, number_grade, alignment_grade] AS g FROM grades)"""
+_OVERALL = "CASE WHEN list_contains(g, 'zero') THEN 'zero' WHEN len(list_filter(g, lambda x: x <> 'high')) = 0 THEN 'high' WHEN len(list_filter(g, lambda x: x NOT IN ('high', 'medium', 'unverified'))) = 0 THEN 'medium' ELSE 'low' END"
+register("D10_graded", lambda v: grading.graded(fused(v), skeleton(v)).select("series_id", "key", "provider_grade", "title_grade", "number_grade", "alignment_grade", "overall"), f"WITH {FUSED}, {_DELTA}, {_GRADES} SELECT * EXCLUDE (g), {_OVERALL} AS overall FROM overall")
+register("D10d_overall", lambda v: grading.graded(fused(v), skeleton(v)).groupBy("overall").agg(F.count(F.lit(1)).alias("n")), f"WITH {FUSED}, {_DELTA}, {_GRADES} SELECT {_OVERALL} AS overall, count(*) AS n FROM overall GROUP BY ALL")
 register("J10_reasons_by_key", lambda v: (lambda g: v.hits.select("hit_pos", "series_id", F.lower(F.trim("title")).alias("lt"), "isbn13", F.col("series_number_hint").alias("n")).alias("h").join(
     g.groupBy("series_id", F.lower(F.trim("title")).alias("lt"), "isbn13", F.col("series_number_hint").alias("n")).agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("reasons")))), ",").alias("reasons")).alias("g"),
     (F.col("h.series_id") == F.col("g.series_id")) & (F.col("h.lt") == F.col("g.lt")) & F.col("h.isbn13").eqNullSafe(F.col("g.isbn13")) & F.col("h.n").eqNullSafe(F.col("g.n")), "left").select("h.hit_pos", F.coalesce("g.reasons", F.lit("")).alias("reasons")))(grading.delta(fused(v), skeleton(v))),

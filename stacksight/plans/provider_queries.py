@@ -51,5 +51,6 @@ register("D21_dates_refined", lambda v: (lambda dated: v.hits.where(t.blank(F.co
          f"SELECT h.hit_pos, h.title, d.found FROM candidate_hits h JOIN (SELECT series_id, {duck.title('title')} AS k, max(published_date) AS found FROM candidate_hits WHERE source = 'web_search' AND published_date <> '' GROUP BY ALL) d ON d.series_id = h.series_id AND d.k = {duck.title('h.title')} WHERE h.source = 'google_books' AND h.published_date = ''")
 register("D19_summary_match", lambda v: v.books.where(F.col("series_id").isNotNull()).select("book_id", "series_id", t.bare_title_key(F.col("title")).alias("k"), F.col("book_number").alias("n")).join(v.hits.select("series_id", "hit_pos", t.bare_title_key(F.col("title")).alias("k"), F.col("series_number_hint").alias("m")), ["series_id", "k"]).groupBy("book_id").agg(F.coalesce(F.min(F.when(F.col("n") == F.col("m"), F.col("hit_pos"))), F.min(F.when(F.col("m").isNull(), F.col("hit_pos")))).alias("hit_pos")).where("hit_pos is not null"),
          f"SELECT * FROM (SELECT b.book_id, coalesce(min(CASE WHEN b.book_number = h.series_number_hint THEN h.hit_pos END), min(CASE WHEN h.series_number_hint IS NULL THEN h.hit_pos END)) AS hit_pos FROM books b JOIN candidate_hits h ON h.series_id = b.series_id AND {duck.bare_key('h.title')} = {duck.bare_key('b.title')} GROUP BY b.book_id) WHERE hit_pos IS NOT NULL")
-register("J18_author_alignment", lambda v: v.hits.join(v.series.select("series_id", F.col("author").alias("target")), "series_id").select("hit_pos", "title", t.series_alignment(F.array("author"), F.col("target")).alias("grade")))
+register("J18_author_alignment", lambda v: v.hits.join(v.series.select("series_id", F.col("author").alias("target")), "series_id").select("hit_pos", "title", t.series_alignment(F.array("author"), F.col("target")).alias("grade")),
+         f"SELECT hit_pos, title, {duck.alignment('h.author', 's.author')} AS grade FROM candidate_hits h JOIN series s ON s.series_id = h.series_id")
 register("F47_search_url", lambda v: v.books.select("book_id", F.concat(F.lit("https://www.google.com/search?q="), F.url_encode(F.concat_ws(" ", "title", "author"))).alias("url")), "SELECT book_id, 'https://www.google.com/search?q=' || replace(replace(url_encode(title || ' ' || author), '%20', '+'), '~', '%7E') AS url FROM books")

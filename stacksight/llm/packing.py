@@ -1,8 +1,10 @@
 """Operator 4: bounded-space online packing of tokenised documents into fixed windows.
 
 Each partition keeps a fixed number of open windows. A piece goes to the open window in which it leaves the
-least room; where none has room, the fullest is emitted and a fresh one opened. The windows still open at the
-end of a partition are packed again, as whole blocks, over ever fewer partitions; the last round merges what is left.
+least room; where none has room, its head tops up the fullest, which is emitted, and the rest is placed anew.
+At the end of a partition the fullest windows are topped up from the emptiest until one is left, and those ones are
+packed on over ever fewer partitions. What the last round leaves goes out in sequences of different powers of two,
+so no sequence needs padding.
 """
 
 from __future__ import annotations
@@ -11,6 +13,8 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +26,14 @@ from . import common
 WINDOW = 4096
 #: Open windows of one partition.
 OPEN = 128
-#: Partitions whose leftovers meet in one task of the merge.
+#: Partitions whose last open windows meet in one task of the merge.
 FAN_IN = 64
 #: Entries that a worker's word cache may hold before it starts anew.
 CACHE_WORDS = 700_000
 TOKENIZER = "word_bpe_49k.json"
 SEPARATOR = 2
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part long, window long, offset long, used long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part long, window long, offset long, used long, ids binary"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -121,153 +125,182 @@ def cache(path: str, limit: int = CACHE_WORDS) -> WordCache:
     return _CACHES[path, limit]
 
 
+class Piece(NamedTuple):
+    """A run of one document's ids, as little-endian unsigned 32-bit values."""
+
+    doc_id: int
+    start: int
+    ids: bytes
+    doc_tokens: int
+
+    def cut(self, length: int) -> tuple[Piece, Piece]:
+        """The first `length` ids and the others."""
+        return self._replace(ids=self.ids[: 4 * length]), self._replace(start=self.start + length, ids=self.ids[4 * length :])
+
+
 class Open:
-    """The open windows of one partition: best fit, and the fullest goes first."""
+    """The open windows of one partition: best fit, and the fullest goes first.
+
+    A piece that no window can take tops up the fullest one, so that whatever is emitted is full.
+    """
 
     def __init__(self, size: int, limit: int):
-        self.size, self.limit, self.used, self.rows, self.next = size, limit, [], [], 0
+        self.size, self.limit, self.used, self.pieces = size, limit, [], []
 
-    def place(self, length: int) -> tuple[list, int, list | None]:
-        """The rows of the window that takes length tokens, the offset there, and the rows of a window emitted for it."""
+    def place(self, piece: Piece) -> list[list[Piece]]:
+        """Puts a piece away and gives the windows that it fills."""
+        full, length = [], len(piece.ids) // 4
         best = max((u for u in self.used if u + length <= self.size), default=-1)
-        out = None
-        if best >= 0:
-            k = self.used.index(best)
-        else:
-            if len(self.used) >= self.limit:
-                k = self.used.index(max(self.used))
-                out = self.close(k)
+        if best < 0 and len(self.used) >= self.limit:
+            k = self.used.index(max(self.used))
+            head, piece = piece.cut(self.size - self.used[k])
+            full.append([*self.close(k), head])
+            return full + self.place(piece)
+        if best < 0:
             self.used.append(0)
-            self.rows.append([])
-            k = len(self.used) - 1
-        offset = self.used[k]
+            self.pieces.append([])
+        k = self.used.index(best) if best >= 0 else len(self.used) - 1
         self.used[k] += length
-        return self.rows[k], offset, out if out is not None or self.used[k] < self.size else self.close(k)
+        self.pieces[k].append(piece)
+        if self.used[k] == self.size:
+            full.append(self.close(k))
+        return full
 
-    def close(self, k: int) -> list:
+    def close(self, k: int) -> list[Piece]:
         self.used.pop(k)
-        return self.rows.pop(k)
-
-
-def _token_pieces(path: str, window: int, separator: int, open_windows: int, cache_words: int):
-    """mapInArrow body: documents to packed pieces; windows left open carry a negative window number."""
+        return self.pieces.pop(k)
+
+    def drain(self) -> Iterator[list[Piece]]:
+        """Full windows, each the fullest topped up from the emptiest, until at most one is open."""
+        while len(self.used) > 1:
+            k = self.used.index(max(self.used))
+            room, rows = self.size - self.used[k], self.close(k)
+            while room and self.used:
+                k = self.used.index(min(self.used))
+                piece = self.pieces[k].pop()
+                head, rest = piece.cut(min(room, len(piece.ids) // 4))
+                rows.append(head)
+                room -= len(head.ids) // 4
+                self.used[k] -= len(head.ids) // 4
+                if rest.ids:
+                    self.pieces[k].append(rest)
+                elif not self.pieces[k]:
+                    self.close(k)
+            if room:
+                self.used.append(self.size - room)
+                self.pieces.append(rows)
+            else:
+                yield rows
+
+    def powers(self) -> Iterator[list[Piece]]:
+        """What is still open after drain(), in sequences whose lengths are different powers of two."""
+        pieces = [p for rows in self.pieces for p in rows]
+        total = sum(self.used)
+        for size in (1 << k for k in reversed(range(total.bit_length())) if total >> k & 1):
+            rows, room = [], size
+            while room:
+                piece = pieces.pop(0)
+                head, rest = piece.cut(min(room, len(piece.ids) // 4))
+                rows.append(head)
+                room -= len(head.ids) // 4
+                if rest.ids:
+                    pieces.insert(0, rest)
+            yield rows
+
+
+def _rows(windows: list[tuple[int, list[Piece]]], part: int, left: bool = False) -> pa.RecordBatch:
+    """The pieces of numbered windows as PIECES; only those of a window that is left open carry their ids on."""
+    columns: list[list] = [[] for _ in PIECES.split(", ")]
+    for number, pieces in windows:
+        offset, used = 0, sum(len(p.ids) for p in pieces) // 4
+        for p in pieces:
+            n = len(p.ids) // 4
+            for column, value in zip(columns, (p.doc_id, p.start, n, zlib.crc32(p.ids), p.doc_tokens, part, number, offset, used, p.ids if left else None), strict=True):
+                column.append(value)
+            offset += n
+    kinds = {"long": pa.int64(), "binary": pa.binary()}
+    fields = [(name, kinds[kind]) for name, kind in (x.split() for x in PIECES.split(", "))]
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, fields, strict=True)], [name for name, _ in fields])
+
+
+def _packed(pieces: Iterator[Piece], window: int, open_windows: int, last: bool) -> Iterator[pa.RecordBatch]:
+    """Pieces placed in turn; the windows emitted, and at the end the one that is left (in powers of two in the last round)."""
+    from pyspark import TaskContext
+
+    part, space, number = TaskContext.get().partitionId(), Open(window, open_windows), 0
+    done: list[tuple[int, list[Piece]]] = []
+
+    def numbered(windows) -> None:
+        nonlocal number
+        for rows in windows:
+            number += 1
+            done.append((number, rows))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    for piece in pieces:
+        numbered(space.place(piece) if len(piece.ids) < 4 * window else [[piece]])
+        if len(done) >= 256:
+            yield _rows(done, part)
+            done.clear()
+    numbered(space.drain())
+    if last:
+        numbered(space.powers())
+    yield _rows(done, part)
+    if not last:
+        yield _rows([(0, rows) for rows in space.pieces], part, left=True)
 
-        part = TaskContext.get().partitionId()
-        words, space, number = cache(path, cache_words), Open(window, open_windows), 0
-        done: list[tuple] = []
 
-        def emit(rows: list, sign: int) -> None:
-            nonlocal number
-            number += 1
-            used = sum(r[2] for r in rows)
-            done.extend((*r[:5], part, sign * number, r[5], used) for r in rows)
+def _token_pieces(path: str, window: int, separator: int, open_windows: int, cache_words: int):
+    """mapInArrow body: documents to packed pieces."""
 
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[Piece]:
+        words = cache(path, cache_words)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             _, offsets = common.text_buffer(texts)
             for lo, hi in common.row_blocks(offsets):
                 encoded = words.encode([t or "" for t in texts.slice(lo, hi - lo).to_pylist()])
                 for doc, tokens in zip(ids[lo:hi], encoded, strict=True):
-                    tokens = np.append(tokens, np.uint32(separator)).astype("<u4")
-                    for start in range(0, len(tokens), window):
-                        piece = tokens[start : start + window]
-                        row = [doc, start, len(piece), zlib.crc32(piece.tobytes()), len(tokens), 0]
-                        if len(piece) == window:
-                            emit([row], 1)
-                            continue
-                        rows, row[5], closed = space.place(len(piece))
-                        rows.append(row)
-                        if closed:
-                            emit(closed, 1)
-                if len(done) > 20_000:
-                    yield _rows(done)
-                    done.clear()
-        for rows in space.rows:
-            emit(rows, -1)
-        yield _rows(done)
-
-    return run
-
-
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    names = [x.split()[0] for x in PIECES.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * len(names))], names)
-
-
-def _merge(window: int, open_windows: int, last: bool):
-    """mapInArrow body: (part, window, used) of open windows to (part, window, new_part, new_window, shift)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        me, number, out = TaskContext.get().partitionId(), 0, []
-        space = Open(window, open_windows)
-
-        def emit(rows: list, sign: int) -> None:
-            nonlocal number
-            number += 1
-            used = sum(r[3] for r in rows)
-            out.extend((r[0], r[1], me, sign * number, r[2], used) for r in rows)
-
-        for batch in batches:
-            for p, w, u in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                row = [p, w, 0, u]
-                rows, row[2], closed = space.place(u)
-                rows.append(row)
-                if closed:
-                    emit(closed, 1)
-            if len(out) > 20_000:
-                yield _links(out)
-                out.clear()
-        for rows in space.rows:
-            emit(rows, 1 if last else -1)
-        yield _links(out)
+                    raw = tokens.tobytes() + separator.to_bytes(4, "little")
+                    for at in range(0, len(raw), 4 * window):
+                        yield Piece(doc, at // 4, raw[at : at + 4 * window], len(raw) // 4)
 
-    return run
+    return lambda batches: _packed(pieces(batches), window, open_windows, False)
 
 
-LINKS = "part long, window long, new_part long, new_window long, shift long, new_used long"
+def _left_pieces(window: int, open_windows: int, last: bool):
+    """mapInArrow body: pieces left open by several partitions, packed on."""
 
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[Piece]:
+        for batch in batches:
+            yield from map(Piece, *(c.to_pylist() for c in batch.columns))
 
-def _links(rows: list[tuple]) -> pa.RecordBatch:
-    names = [x.split()[0] for x in LINKS.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * len(names))], names)
+    return lambda batches: _packed(pieces(batches), window, open_windows, last)
 
 
 def pack(docs: DataFrame, *, tokenizer: str | None = None, window: int = WINDOW, separator: int = SEPARATOR, open_windows: int = OPEN, cache_words: int = CACHE_WORDS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_tokens.
 
     A null or empty text is a document of the separator alone. Rows that repeat a doc_id are packed each for
-    itself; rows without doc_id are left out. cache_words bounds what a worker remembers; it changes no result. Other columns are not looked at. An empty table gives no rows.
+    itself; rows without doc_id are left out. Of windows that are equally full the one opened first is taken. A text of
+    any length is cut at every `window` ids; a task holds the ids of its open windows and of one block of texts. All
+    sequences hold `window` ids but a dozen at most, whose lengths are different powers of two. cache_words bounds what a
+    worker remembers; it changes no result. Other columns are not looked at. An empty table gives no rows.
     """
     import public_tokenizers  # noqa: F401  a missing tokenizer package shows here, not in a task
 
     path = tokenizer or tokenizer_path()
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     pieces = common.checkpointed(d.mapInArrow(_token_pieces(path, window, separator, open_windows, cache_words), PIECES))
-    closed = pieces.where("window > 0").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.lit(0).alias("round"), "part", "window", "offset", F.col("used").alias("sequence_tokens"))
-    out, left, level = [closed], pieces.where("window < 0"), 0
-    tasks = max(1, d.rdd.getNumPartitions())
+    rounds, tasks = [pieces], max(1, d.rdd.getNumPartitions())
     while True:
-        level += 1
         tasks = -(-tasks // FAN_IN)
-        blocks = left.select("part", "window", "used").distinct()
-        dealt = blocks.repartition(tasks, F.floor(F.col("part") / FAN_IN)) if tasks > 1 else blocks.coalesce(1)
-        links = common.checkpointed(dealt.sortWithinPartitions(F.desc("used"), "part", "window").mapInArrow(_merge(window, open_windows, tasks == 1), LINKS))
-        moved = left.join(links, ["part", "window"]).select(
-            "doc_id", "start", "length", "ids_crc32", "doc_tokens",
-            F.col("new_part").alias("part"), F.col("new_window").alias("window"), (F.col("offset") + F.col("shift")).alias("offset"), F.col("new_used").alias("used"),
-        )
-        out.append(moved.where("window > 0").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.lit(level).alias("round"), "part", "window", "offset", F.col("used").alias("sequence_tokens")))
+        left = rounds[-1].where("ids is not null")
+        dealt = left.repartition(tasks, F.floor(F.col("part") / FAN_IN)) if tasks > 1 else left.coalesce(1)
+        ordered = dealt.sortWithinPartitions(F.desc("used"), "part", "offset").select("doc_id", "start", "ids", "doc_tokens")
+        rounds.append(common.checkpointed(ordered.mapInArrow(_left_pieces(window, open_windows, tasks == 1), PIECES)))
         if tasks == 1:
             break
-        left = moved.where("window < 0")
-    rows = out[0]
-    for more in out[1:]:
-        rows = rows.unionByName(more)
+    rows = reduce(DataFrame.unionByName, (r.where("ids is null").withColumn("round", F.lit(k)) for k, r in enumerate(rounds)))
     # the round, the partition (25 bits) and its window number (34 bits) name a sequence
     sequence = F.shiftleft(F.col("round").cast("long"), 59) + F.shiftleft("part", 34) + F.col("window")
-    return rows.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", sequence.alias("sequence_id"), "offset", "sequence_tokens")
+    return rows.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", sequence.alias("sequence_id"), "offset", F.col("used").alias("sequence_tokens"))

@@ -13,7 +13,7 @@ def whole(texts: dict) -> dict:
     return {d: np.array(t.encode(x or "", add_special_tokens=False).ids + [packing.SEPARATOR], "<u4") for d, x in texts.items()}
 
 
-def check(rows, texts: dict, window: int, waste: float) -> None:
+def check(rows, texts: dict, window: int) -> None:
     ids, pieces, sequences = whole(texts), {}, {}
     for r in rows:
         pieces.setdefault(r.doc_id, []).append(r)
@@ -32,25 +32,48 @@ def check(rows, texts: dict, window: int, waste: float) -> None:
             assert r.offset == at
             at += r.length
         assert at <= window and {r.sequence_tokens for r in own} == {at}
-    tokens = sum(map(len, ids.values()))
-    assert len(sequences) * window <= tokens * (1 + waste) + 2 * window
+    # full, or left over at the very end: no length twice, all of them powers of two, so nothing is padded
+    lengths = [sum(r.length for r in own) for own in sequences.values()]
+    short = [n for n in lengths if n < window]
+    assert sum(short) < window and len(set(short)) == len(short) and all(n & (n - 1) == 0 for n in short)
 
 
 def test_round_trip_of_the_test_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 500").repartition(6)
     texts = {r.doc_id: r.text for r in docs.collect()}
-    check(packing.pack(docs).collect(), texts, packing.WINDOW, 0.02)
+    check(packing.pack(docs).collect(), texts, packing.WINDOW)
 
 
 @pytest.mark.parametrize("open_windows", [2, 16])
 def test_odd_texts_in_small_windows(spark, open_windows):
     texts = {1: None, 2: "", 3: "Hello, WORLD! it's 3.14 <|endoftext|> x", 4: "ÀÉ naïve  éclair ΟΔΟΣ 日本語 🎉🎉", 5: "word " * 900, 6: "a\x1cb \x85 c​d", 7: "don't stop\r\n\t'll go!!! ...", 8: "x" * 5000}
     docs = spark.createDataFrame([(d, t, d, 0) for d, t in texts.items()], "doc_id long, text string, start long, sequence_id long").repartition(3)
-    check(packing.pack(docs, window=64, open_windows=open_windows).collect(), texts, 64, 0.5)
+    check(packing.pack(docs, window=64, open_windows=open_windows).collect(), texts, 64)
 
 
 def test_repeated_lost_and_no_rows(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c")], "doc_id long, text string")
     rows = packing.pack(docs).collect()
-    assert [r.doc_id for r in rows] == [1, 1] and len({(r.sequence_id, r.offset) for r in rows}) == 2
+    # both rows whole, whether in one piece or cut for the powers of two at the end
+    assert {r.doc_id for r in rows} == {1} and len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
+    assert sorted(k for r in rows for k in range(r.start, r.start + r.length)) == sorted(2 * list(range(rows[0].doc_tokens)))
     assert packing.pack(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("fan_in", [2, 64])
+def test_leftovers_of_many_partitions_and_ties(spark, monkeypatch, fan_in):
+    monkeypatch.setattr(packing, "FAN_IN", fan_in)
+    texts = {d: " ".join(["same"] * (d % 5)) for d in range(300)} | {1000: "long text of words " * 40_000}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(9)
+    check(packing.pack(docs, window=32, open_windows=3).collect(), texts, 32)
+
+
+def test_windows_of_one_fill(spark):
+    space = packing.Open(8, 2)
+    piece = lambda d, n: packing.Piece(d, 0, bytes(4 * n), n)
+    assert space.place(piece(1, 5)) == [] and space.place(piece(2, 5)) == []
+    (full,) = space.place(piece(3, 4))  # fits none: the first of the fullest is topped up and goes
+    assert [(p.doc_id, p.start, len(p.ids) // 4) for p in full] == [(1, 0, 5), (3, 0, 3)]
+    assert [[p.doc_id for p in rows] for rows in space.pieces] == [[2, 3]] and space.used == [6]
+    assert list(space.drain()) == [] and space.used == [6]
+    assert [sum(len(p.ids) // 4 for p in rows) for rows in space.powers()] == [4, 2]

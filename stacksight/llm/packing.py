@@ -10,6 +10,7 @@ so no sequence needs padding.
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -30,6 +31,8 @@ OPEN = 128
 FAN_IN = 64
 #: Entries that a worker's word cache may hold before it starts anew.
 CACHE_WORDS = 700_000
+#: Bytes of text whose different words are looked up together; the more, the fewer look-ups.
+BLOCK_BYTES = 1 << 22
 TOKENIZER = "word_bpe_49k.json"
 SEPARATOR = 2
 
@@ -43,22 +46,24 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class WordCache:
-    """Ids of whole texts from cached ids of their white-space separated words.
+    """Ids of whole texts from cached ids of their words.
 
-    The vocabulary's own rules never join across white space, so a text's ids are its words' ids in turn. Texts
-    to which that may not apply (special-token strings, control characters that only some white-space rules
-    split on, not in NFC) are encoded whole.
+    The vocabulary's own rules never join across white space, so a text's ids are its words' ids in turn. A block of
+    texts is cut at ASCII white space and each of its different words is looked up once; other white space stays within
+    a word, which is then encoded as it is. Texts with a word to which that may not apply (special-token strings,
+    control characters that only some white-space rules split on, not in NFC) are encoded whole.
     """
 
-    marks = ",.!?;:"
-    whole = re.compile(r"<\||[\x1c-\x1f\x85᠎​﻿]")
+    #: ASCII signs that form one token group behind letters; an apostrophe may begin a contraction.
+    marks = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+    whole = re.compile(r"<\||[\x1c-\x1f\x85\u180e\u200b\ufeff]")
 
     def __init__(self, path: str, limit: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         self.limit = limit
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes | None] = {}
         self.cores: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
         # the byte-level alphabet: printable Latin-1 bytes stand for themselves, the others follow from 256 on
@@ -66,42 +71,84 @@ class WordCache:
         rest = iter(range(256, 512))
         self.symbols = [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [None if self.whole.search(t) or not (t.isascii() or unicodedata.is_normalized("NFC", t)) else t.split() for t in texts]
-        seen = set().union(*(s for s in split if s is not None))
-        new = [w for w in seen if w not in self.words]
-        if len(self.words) + len(new) > self.limit:
-            self.words, new = {}, list(seen)
-        self.learn(new)
-        get = self.words.__getitem__
-        out = [np.frombuffer(b"".join(map(get, s)), "<u4") if s is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4") for s, t in zip(split, texts, strict=True)]
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """The ids of each text of a block, given as the bytes of all and where each begins (with the end last)."""
+        starts, ends, first = common.word_spans(data, offsets)
+        lengths = ends - starts
+        # the words' bytes alone, one behind the other: what no word covers is white space
+        packed = pa.py_buffer(data[~common.is_space(data)])
+        words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(np.append(0, np.cumsum(lengths))), packed]).dictionary_encode()
+        code = words.indices.to_numpy()
+        each = self.ids(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        odd = [k for k, x in enumerate(each) if x is None]
+        for k in odd:
+            each[k] = b""
+        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        flat = np.frombuffer(b"".join(each), "<u4")
+        # a token's place among the ids of the different words is its word's first place there and its own place in the word
+        count = size[code]
+        upto = np.append(0, np.cumsum(count))
+        ids = flat[np.repeat((np.cumsum(size) - size)[code] - upto[:-1], count) + np.arange(upto[-1])]
+        bounds = upto[first]
+        out = [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        if odd:
+            for row in np.unique(np.searchsorted(first, np.flatnonzero(np.isin(code, odd)), "right") - 1).tolist():
+                text = data[offsets[row] : offsets[row + 1]].tobytes().decode()
+                out[row] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         return out
 
-    def learn(self, new: list[str]) -> None:
-        """Caches the ids of words: of plain letters with a mark behind from the parts, of others by encoding them."""
-        odd = []
+    def ids(self, words: list[str]) -> list[bytes | None]:
+        """The ids of different words; None for those whose texts are encoded whole."""
+        each = list(map(self.words.get, words))
+        new = [w for w, x in zip(words, each, strict=True) if x is None]
+        if not new:
+            return each
+        learnt = self.learn(new)
+        each = [learnt[w] if x is None else x for w, x in zip(words, each, strict=True)]
+        if len(self.words) + len(new) <= self.limit:
+            self.words.update(learnt)
+        else:
+            self.words = dict(zip(words, each, strict=True)) if len(words) <= self.limit else {}
+        return each
+
+    def learn(self, new: list[str]) -> dict[str, bytes | None]:
+        """The ids of words: of plain letters with marks behind from the cached parts, of others by encoding them."""
+        out: dict[str, bytes | None] = {}
+        odd, text = [], " ".join(new)
+        if self.whole.search(text) or not unicodedata.is_normalized("NFC", text):
+            out = dict.fromkeys(w for w in new if self.whole.search(w) or not unicodedata.is_normalized("NFC", w))
+            new = [w for w in new if w not in out]
         if len(self.cores) > self.limit:
             self.cores = {}
+        if len(self.tails) > self.limit:
+            self.tails = {}
+        cores, tails, marks = self.cores, self.tails, self.marks
         for word in new:
-            core = word.rstrip(self.marks)
+            core = word.rstrip(marks)
             low = core.lower()
             if not low.isalpha() or "Σ" in core or not core.isalpha():
                 odd.append(word)
                 continue
-            ids = self.cores.get(low)
+            ids = cores.get(low)
             if ids is None:
-                ids = self.cores[low] = self.core(low)
-            tail = word[len(core) :]
-            self.words[word] = ids + self.tails[tail] if tail in self.tails else ids + self.tails.setdefault(tail, self.core(tail)) if tail else ids
+                ids = cores[low] = self.core(low)
+            if len(core) < len(word):
+                tail = word[len(core) :]
+                if tail not in tails:
+                    tails[tail] = self.core(tail)
+                ids += tails[tail]
+            out[word] = ids
         for k in range(0, len(odd), 20_000):
             part = odd[k : k + 20_000]
-            self.words.update(zip(part, self.many(part), strict=True))
+            out.update(zip(part, self.many(part), strict=True))
+        return out
 
     def core(self, piece: str) -> bytes:
         """Ids of one pre-token."""
         if not piece.isascii():
             piece = "".join(map(self.symbols.__getitem__, piece.encode()))
-        return np.array([t.id for t in self.tokenizer.model.tokenize(piece)], "<u4").tobytes()
+        ids = [t.id for t in self.tokenizer.model.tokenize(piece)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def many(self, words: list[str]) -> list[bytes]:
         """Ids of words, encoded as one text; a token belongs to the word its offset lies in."""
@@ -256,9 +303,9 @@ def _token_pieces(path: str, window: int, separator: int, open_windows: int, cac
         words = cache(path, cache_words)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            _, offsets = common.text_buffer(texts)
-            for lo, hi in common.row_blocks(offsets):
-                encoded = words.encode([t or "" for t in texts.slice(lo, hi - lo).to_pylist()])
+            data, offsets = common.text_buffer(texts)
+            for lo, hi in common.row_blocks(offsets, BLOCK_BYTES):
+                encoded = words.encode(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 for doc, tokens in zip(ids[lo:hi], encoded, strict=True):
                     raw = tokens.tobytes() + separator.to_bytes(4, "little")
                     for at in range(0, len(raw), 4 * window):

@@ -77,3 +77,53 @@ def test_windows_of_one_fill(spark):
     assert [[p.doc_id for p in rows] for rows in space.pieces] == [[2, 3]] and space.used == [6]
     assert list(space.drain()) == [] and space.used == [6]
     assert [sum(len(p.ids) // 4 for p in rows) for rows in space.powers()] == [4, 2]
+
+
+def block(texts):
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+
+
+@pytest.mark.parametrize("limit", [0, 3, 700_000])
+def test_words_of_a_block_as_the_vocabulary_encodes_the_texts(limit):
+    odd = ["", " ", "the cat", "the. the, The### THE&&& (the) the's the'; don't. '' _ a_b a__ | ||| x|<", "café cafe\u0301 CAFÉ!", "<|endoftext|> the", "< | the", "ΟΔΟΣ. İstanbul Straße ß? \u1e9e", "a\xa0b \u2003 c\u3000d.\xa0", "a\x1cb", "a\u200bb the", "\xa0", "1.5 a1 2b. ½ x² 日本語。 🎉!", "\v\f\r\n\tthe\x0bcat"]
+    rng = np.random.default_rng(4)
+    signs = [*"aBé.,'#|<$ \n_-1Σσςİ", "\xa0", "\u0301", "\u0130", "\u0345", "\u2028", "\x1f", "\u0600", "ǅ", "ª", "٣", "\U0001d400", "the", "'s", " "]
+    odd += ["".join(rng.choice(signs, n)) for n in rng.integers(1, 30, 1500)]
+    words = packing.WordCache(packing.tokenizer_path(), limit)
+    for lo, hi in ((0, 2), (0, 14), (14, 500), (400, len(odd)), (0, len(odd))):
+        for text, ids in zip(odd[lo:hi], words.encode(*block(odd[lo:hi])), strict=True):
+            assert ids.tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids, text
+        assert len(words.words) <= limit
+
+
+def test_a_word_is_looked_up_once_in_a_block(monkeypatch):
+    import pyarrow as pa
+    import pyspark
+
+    class Counted(dict):
+        seen = 0
+
+        def get(self, *key):
+            Counted.seen += 1
+            return super().get(*key)
+
+        def __getitem__(self, key):
+            Counted.seen += 1
+            return super().__getitem__(key)
+
+        def __contains__(self, key):
+            Counted.seen += 1
+            return super().__contains__(key)
+
+    class Task:
+        get = staticmethod(lambda: type("Context", (), {"partitionId": staticmethod(lambda: 0)}))
+
+    monkeypatch.setattr(pyspark, "TaskContext", Task)
+    monkeypatch.setattr(packing, "_CACHES", {})
+    path = packing.tokenizer_path()
+    packing.cache(path).words = Counted()
+    rows = pa.RecordBatch.from_pydict({"doc_id": list(range(100)), "text": ["one two. two three " * 50] * 100})
+    (*full, left) = packing._token_pieces(path, 64, packing.SEPARATOR, 4, packing.CACHE_WORDS)(iter([rows]))
+    assert sum(sum(b.column("length").to_pylist()) for b in [*full, left]) == 100 * (50 * 5 + 1)
+    assert Counted.seen <= 3 * 4  # twenty thousand words, four different ones

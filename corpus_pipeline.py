@@ -8,6 +8,8 @@ from stacksight.llm import common, decontaminate, language, lsh_forest, packing,
 
 #: Words that a worker of the last stage remembers; workers are shared with the other stages, so fewer than where packing runs alone.
 CACHE_WORDS = 150_000
+#: Bytes of text that it works on at a time, fewer for the same reason.
+BLOCK_BYTES = 1 << 20
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +34,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents in sequences of 4096 tokens."""
-    return packing.pack(docs, cache_words=CACHE_WORDS)
+    return packing.pack(docs, cache_words=CACHE_WORDS, block_bytes=BLOCK_BYTES)
 
 
 STAGES = [

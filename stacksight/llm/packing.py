@@ -31,7 +31,7 @@ OPEN = 128
 FAN_IN = 64
 #: Entries that a worker's word cache may hold before it starts anew.
 CACHE_WORDS = 700_000
-#: Bytes of text whose different words are looked up together; the more, the fewer look-ups.
+#: Bytes of text whose different words are looked up together: more mean fewer look-ups, but workers hold on to what a block took.
 BLOCK_BYTES = 1 << 22
 TOKENIZER = "word_bpe_49k.json"
 SEPARATOR = 2
@@ -296,7 +296,7 @@ def _packed(pieces: Iterator[Piece], window: int, open_windows: int, last: bool)
         yield _rows([(0, rows) for rows in space.pieces], part, left=True)
 
 
-def _token_pieces(path: str, window: int, separator: int, open_windows: int, cache_words: int):
+def _token_pieces(path: str, window: int, separator: int, open_windows: int, cache_words: int, block_bytes: int = BLOCK_BYTES):
     """mapInArrow body: documents to packed pieces."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[Piece]:
@@ -304,7 +304,7 @@ def _token_pieces(path: str, window: int, separator: int, open_windows: int, cac
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             data, offsets = common.text_buffer(texts)
-            for lo, hi in common.row_blocks(offsets, BLOCK_BYTES):
+            for lo, hi in common.row_blocks(offsets, block_bytes):
                 encoded = words.encode(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 for doc, tokens in zip(ids[lo:hi], encoded, strict=True):
                     raw = tokens.tobytes() + separator.to_bytes(4, "little")
@@ -324,20 +324,20 @@ def _left_pieces(window: int, open_windows: int, last: bool):
     return lambda batches: _packed(pieces(batches), window, open_windows, last)
 
 
-def pack(docs: DataFrame, *, tokenizer: str | None = None, window: int = WINDOW, separator: int = SEPARATOR, open_windows: int = OPEN, cache_words: int = CACHE_WORDS) -> DataFrame:
+def pack(docs: DataFrame, *, tokenizer: str | None = None, window: int = WINDOW, separator: int = SEPARATOR, open_windows: int = OPEN, cache_words: int = CACHE_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_tokens.
 
     A null or empty text is a document of the separator alone. Rows that repeat a doc_id are packed each for
     itself; rows without doc_id are left out. Of windows that are equally full the one opened first is taken. A text of
     any length is cut at every `window` ids; a task holds the ids of its open windows and of one block of texts. All
     sequences hold `window` ids but a dozen at most, whose lengths are different powers of two. cache_words bounds what a
-    worker remembers; it changes no result. Other columns are not looked at. An empty table gives no rows.
+    worker remembers, block_bytes the texts it works on at a time (one text at least); neither changes a result. Other columns are not looked at. An empty table gives no rows.
     """
     import public_tokenizers  # noqa: F401  a missing tokenizer package shows here, not in a task
 
     path = tokenizer or tokenizer_path()
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    pieces = common.checkpointed(d.mapInArrow(_token_pieces(path, window, separator, open_windows, cache_words), PIECES))
+    pieces = common.checkpointed(d.mapInArrow(_token_pieces(path, window, separator, open_windows, cache_words, block_bytes), PIECES))
     rounds, tasks = [pieces], max(1, d.rdd.getNumPartitions())
     while True:
         tasks = -(-tasks // FAN_IN)

@@ -127,3 +127,9 @@ def test_a_word_is_looked_up_once_in_a_block(monkeypatch):
     (*full, left) = packing._token_pieces(path, 64, packing.SEPARATOR, 4, packing.CACHE_WORDS)(iter([rows]))
     assert sum(sum(b.column("length").to_pylist()) for b in [*full, left]) == 100 * (50 * 5 + 1)
     assert Counted.seen <= 3 * 4  # twenty thousand words, four different ones
+
+
+def test_size_of_blocks_changes_no_result(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 200").coalesce(1)
+    runs = [sorted(map(tuple, packing.pack(docs, cache_words=n, block_bytes=b).collect())) for b, n in ((1, 100), (3000, 700_000), (1 << 22, 0))]
+    assert runs[0] == runs[1] == runs[2]
